@@ -39,33 +39,63 @@ def targets(sizes: DataFrame, most: float = 3.0, weights: int = 3) -> DataFrame:
     everything = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     left = F.sum("source_size").over(everything) - most * F.coalesce(F.sum("source_size").over(by_stop), F.lit(0))
     w = w.withColumn("factor", left / F.sum("weight").over(from_here))
-    factor = F.min(F.when(F.col("stop") >= F.col("factor"), F.col("factor"))).over(everything)
+    factor = F.min(F.when(F.col("stop") >= F.col("factor"), F.struct("stop", "factor"))).over(everything)["factor"]
     return w.select("source", "source_size", F.least(most * F.col("source_size"), F.coalesce(factor, F.lit(0.0)) * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, most: float = 3.0, range_rows: int = 20_000) -> DataFrame:
-    """doc_id, source, key, size, source_size, target and taken of every row of docs(doc_id, text, source, quality).
+def quality(text: str = "text"):
+    """Between 0.25 and 1: the share of letters and white space among a text's characters; null and empty texts have 0.25."""
+    other = F.length(F.regexp_replace(text, r"[\p{L}\s]+", ""))
+    return 0.25 + 0.75 * F.coalesce(1 - F.try_divide(other.cast("double"), F.length(text)), F.lit(0.0))
 
-    A document is in the mix taken / size times (taken is a multiple of size).
-    """
+
+def _same(a: str, b: str):
+    return F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
+
+
+def _small(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """df to be broadcast if it is a saved table of a few rows; else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text, source, weight) with size and key, its exponential key over its quality weight."""
     unit = (F.pmod(F.xxhash64("doc_id", "text", F.lit(29)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    quality = F.when(F.col("quality") > 0, F.col("quality").cast("double")).otherwise(1.0)
-    rows = with_size(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "source", "size", (-F.log(unit) / quality).alias("key"))
-    rows = saved(rows)
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows"))
-    goals = F.broadcast(targets(sizes.select("source", "source_size"), most).alias("g"))
-    counts = F.broadcast(sizes.select("source", "source_rows").alias("c"))
-    same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
-    out = rows.alias("r").join(goals, same("r", "g")).join(counts, same("r", "c"))
+    weight = F.when(F.col("weight") > 0, F.col("weight").cast("double")).otherwise(1.0)
+    return with_size(docs).withColumn("key", -F.log(unit) / weight)
+
+
+def mix(docs: DataFrame, most: float = 3.0, range_rows: int = 2_000) -> DataFrame:
+    """doc_id, source, key, size, source_size, target, epochs and taken of every row of docs(doc_id, text, source, weight).
+
+    A document is in the mix taken / size times: epochs times, and once more at the start of its source's order.
+    """
+    rows = saved(keyed(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "source", "size", "key"))
+    sizes = saved(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows")))
+    goals = saved(targets(sizes, most).alias("t").join(sizes.alias("s"), _same("t", "s")).select("t.*", "source_rows"))
     # keys are about exponential: 1 - exp(-key) is about even, and so are ranges of it
     place = F.floor((1 - F.exp(-F.col("key"))) * F.ceil(F.col("source_rows") / float(range_rows))).cast("long")
-    out = out.select("r.*", "source_size", "target", place.alias("place"))
+    out = rows.alias("r").join(_small(goals).alias("g"), _same("r", "g")).select("r.*", "source_size", "target", place.alias("place"))
     before = W.partitionBy("source").orderBy("place").rowsBetween(W.unboundedPreceding, -1)
     ranges = out.groupBy("source", "place").agg(F.sum("size").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    out = out.alias("o").join(ranges.alias("s"), same("o", "s") & (F.col("o.place") == F.col("s.place"))).select("o.*", "before")
+    out = out.alias("o").join(ranges.alias("s"), _same("o", "s") & (F.col("o.place") == F.col("s.place"))).select("o.*", "before")
     inside = W.partitionBy("source", "place").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     ahead = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-9)).otherwise(0).cast("long")
-    rest = F.col("target") - epochs * F.col("source_size")
-    more = (ahead + F.col("size") / 2.0 <= rest).cast("long")
-    return out.withColumn("taken", F.least(epochs + more, F.lit(int(most))) * F.col("size")).select("doc_id", "source", "key", "size", "source_size", "target", "taken")
+    more = (ahead + F.col("size") / 2.0 <= F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")
+    out = out.withColumn("epochs", epochs).withColumn("taken", F.least(F.col("epochs") + more, F.lit(int(most))) * F.col("size"))
+    return out.select("doc_id", "source", "key", "size", "source_size", "target", "epochs", "taken")
+
+
+def mixed_copies(docs: DataFrame, most: float = 3.0) -> DataFrame:
+    """docs, each row as often as the mix takes it; its columns doc_id, text, source and weight are read, all are returned but weight.
+
+    What is taken of a source is a start of its order, so the last key taken decides row by row, without moving texts.
+    """
+    taken = saved(mix(docs, most))
+    last = F.max(F.when((F.col("taken") > F.col("epochs") * F.col("size")), F.struct("key", "doc_id", "size")))
+    ends = saved(taken.groupBy("source").agg(F.max("epochs").alias("epochs"), last.alias("last")))
+    here = F.struct("d.key", F.col("d.doc_id").cast("long").alias("doc_id"), "d.size")
+    copies = F.when(F.col("size") == 0, 1).otherwise(F.col("epochs") + F.coalesce((here <= F.col("last")).cast("long"), F.lit(0)))
+    rows = keyed(docs).alias("d").join(_small(ends).alias("e"), _same("d", "e")).where(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
+    return rows.select(*[F.col(f"d.{c}") for c in docs.columns if c != "weight"])
