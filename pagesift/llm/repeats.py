@@ -66,7 +66,7 @@ def _candidates(text: str, flagged, length: int, first: int):
 
 def _windows(length: int, first: int):
     def run(batches):
-        for batch, texts in text_chunks(batches):
+        for batch, texts in text_chunks(b.filter(b.column("flagged").is_valid()) for b in batches):
             out: list[list[np.ndarray]] = []
             for k1, k2, flagged, text in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "flagged")), texts, strict=True):
                 words, starts = _candidates(text, flagged, length, first)
@@ -109,7 +109,8 @@ def repeated_out(docs: DataFrame, length: int = 35, keep_text: bool = True) -> D
     again = saved(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     flags = saved(anchors.join(again, "h", "left_semi").groupBy("k1", "k2").agg(F.collect_set("pos").alias("flagged")))
     joined = rows.join(flags, ["k1", "k2"], "left")
-    long = joined.where("flagged is not null").select("k1", "k2", "flagged", "text").mapInArrow(_windows(length, first), _WINDOWS)
+    # the same plan as below, unflagged rows and all, so that one exchange of the texts serves both
+    long = joined.select("doc_id", "k1", "k2", "text", "flagged").mapInArrow(_windows(length, first), _WINDOWS)
     once = long.groupBy("h", "h2").agg(F.count("*").alias("n"), F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("pos").alias("pos")).where("n = 1")
     single = once.groupBy("k1", "k2").agg(F.collect_list("pos").alias("single"))
     out = joined.join(single, ["k1", "k2"], "left").select("doc_id", "text", "flagged", "single")
