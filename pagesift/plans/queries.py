@@ -226,8 +226,8 @@ ORACLE_SQL = {
     "m4_error_alert": f"""WITH {_LOG}, {_WIN}, t AS (SELECT window_end FROM y GROUP BY window_end HAVING sum(CASE WHEN status >= 500 THEN n ELSE 0 END) / sum(n) > 0.1),
         i AS (SELECT window_end, window_end // 15 - row_number() OVER (ORDER BY window_end) AS g FROM t), z AS (SELECT min(window_end) AS a, max(window_end) AS b FROM i GROUP BY g)
         SELECT a AS start, b AS "end" FROM z WHERE b - a >= 300""",
-    "m9_in_flight": f"""WITH {_LOG}, v AS (SELECT endpoint, epoch_us(ts) AS at, 1 AS d FROM l UNION ALL SELECT endpoint, epoch_us(ts) + round(duration_s * 1000 * 1e6)::BIGINT, -1 FROM l),
-        z AS (SELECT endpoint, sum(d) OVER (PARTITION BY endpoint ORDER BY at, d ROWS UNBOUNDED PRECEDING) AS now FROM v) SELECT endpoint, max(now)::BIGINT AS most FROM z GROUP BY endpoint""",
+    "m9_in_flight": f"""WITH {_LOG}, v AS (SELECT endpoint, epoch_us(ts) AS t, 1 AS d FROM l UNION ALL SELECT endpoint, epoch_us(ts) + round(duration_s * 1000 * 1e6)::BIGINT, -1 FROM l),
+        z AS (SELECT endpoint, sum(d) OVER (PARTITION BY endpoint ORDER BY t, d ROWS UNBOUNDED PRECEDING) AS now FROM v) SELECT endpoint, max(now)::BIGINT AS most FROM z GROUP BY endpoint""",
     "m10_history": f"WITH {_LOG} SELECT endpoint, count(*) AS n, count(*) FILTER (status < 500) AS n_success, count(*) FILTER (cached) AS n_cached FROM l GROUP BY endpoint",
     "s8_history_rows": f"WITH {_LOG} SELECT endpoint AS route, sha256('q' || subject) AS query_hash, len('q' || subject)::INTEGER AS query_length, status < 500 AS success, count(*) AS n FROM l GROUP BY ALL",
 }
