@@ -137,3 +137,83 @@ CITATION_STOPWORDS = (
 
 # Upper bounds of the latency histogram in seconds.
 LATENCY_BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 30.0, 60.0, float("inf"))
+
+# Names of sources by a part of the host, in order of precedence.
+SOURCE_NAMES = {
+    "reddit.com": "reddit", "github.com": "github", "stackoverflow.com": "stackoverflow", "medium.com": "medium", "dev.to": "devto",
+    "news.ycombinator.com": "hackernews", "arxiv.org": "arxiv", "wikipedia.org": "wikipedia", "youtube.com": "youtube", "twitter.com": "twitter",
+    "x.com": "twitter", "openai.com": "openai", "anthropic.com": "anthropic", "gemini.google.com": "google-gemini", "ai.google": "google-ai",
+}
+
+# What a crawl leaves out.
+SKIPPED_EXTENSIONS = (
+    ".jpg", ".jpeg", ".png", ".gif", ".svg", ".webp", ".ico", ".css", ".js", ".woff", ".woff2", ".ttf", ".otf", ".eot", ".pdf", ".zip", ".tar",
+    ".gz", ".rar", ".exe", ".dmg", ".mp4", ".mp3", ".avi", ".mov", ".wmv", ".flv", ".xml", ".json", ".txt", ".csv",
+)
+DEAD_ENDS = (
+    "login", "logout", "register", "signup", "sign-up", "cart", "basket", "checkout", "payment", "order", "print", "share", "embed", "feed", "rss",
+    "giris", "cikis", "uye-ol", "kayit", "sepet", "odeme", "search", "ara", "tag", "etiket",
+)
+
+# Sources for queries without candidates, in order.
+TEMPLATES = {
+    "wikipedia": "https://en.wikipedia.org/wiki/{query}",
+    "google_search": "https://www.google.com/search?q={query}",
+    "google_news": "https://news.google.com/search?q={query}",
+    "reddit": "https://www.reddit.com/search/?q={query}",
+    "stackoverflow": "https://stackoverflow.com/search?q={query}",
+    "github": "https://github.com/search?q={query}",
+    "arxiv": "https://arxiv.org/search/?query={query}",
+    "medium": "https://medium.com/search?q={query}",
+    "devto": "https://dev.to/search?q={query}",
+    "hackernews": "https://hn.algolia.com/?q={query}",
+}
+
+# Words of a query that ask for subpages, code, sources of code, tables and benchmarks.
+SUBPAGE_WORDS = (
+    "alt sayfa", "alt sayfalar", "alt sayfaları", "alt sayfalarını", "alt sayfalarini", "alt sayfalarında", "alt sayfalarinda", "alt sayfaları da",
+    "alt sayfalarını da", "alt sayfalarini da", "tüm sayfaları", "tüm sayfalarını", "bağlantıları", "linkleri", "sitedeki sayfalar", "sitemap", "tara",
+    "hepsini tara", "tüm", "subpages", "sub-pages", "all pages", "crawl", "sublinks", "internal links", "all links", "every page", "entire site",
+    "whole site", "follow links",
+)
+CODE_WORDS = (
+    "code", "code example", "code snippet", "function", "class", "method", "algorithm", "syntax", "how to implement", "how to write", "how to create",
+    "how to use", "how to call", "programming", "coding", "developer", "software", "api", "endpoint", "library", "framework", "module", "import",
+    "variable", "loop", "array", "dictionary", "tuple", "struct", "interface", "decorator", "annotation", "async", "await", "promise", "callback",
+    "closure", "inheritance", "polymorphism", "encapsulation", "compile", "runtime", "debug", "exception", "error handling", "type hint", "generic",
+    "template", "kod", "kod örneği", "fonksiyon", "sınıf", "metod", "algoritma", "söz dizimi", "nasıl yazılır", "nasıl kullanılır", "nasıl yapılır",
+    "nasıl çağrılır", "nasil yazilir", "nasil kullanilir", "nasil yapilir", "programlama", "yazılım", "geliştirici", "kütüphane", "değişken", "döngü",
+    "dizi", "sözlük", "hata yakalama", "kod ver", "kod göster", "örnek kod", "kod örnegi", "kod yaz", "kodla", "kodlama", "python", "javascript",
+    "typescript", "java", "c++", "c#", "golang", "rust", "ruby", "php", "swift", "kotlin", "scala", "react", "vue", "angular", "node.js", "nodejs",
+    "django", "flask", "fastapi", "express", "spring", "nextjs", "next.js", "html", "css", "sql", "bash", "shell", "powershell", "docker",
+    "kubernetes", "terraform", "ansible",
+)
+CODE_SOURCE_WORDS = (
+    "code", "example", "how to", "api", "library", "framework", "implement", "tutorial", "usage", "syntax", "function", "class", "method", "kod",
+    "örnek", "nasıl", "kütüphane", "kullanım",
+)
+TABLE_WORDS = (
+    "table", "tablo", "tables", "tablolar", "list", "liste", "listing", "tabulate", "tabular", "grid", "in a table", "as a table", "tablo olarak",
+    "liste olarak", "tablo şeklinde", "liste şeklinde",
+)
+BENCHMARK_WORDS = (
+    "benchmark", "benchmarks", "benchmark results", "benchmark scores", "comparison", "compare", "vs", "versus", "score", "scores", "ranking",
+    "rankings", "leaderboard", "performance results", "test results", "evaluation", "evals", "accuracy", "metrics", "specs", "specifications",
+    "pricing", "price comparison", "speed comparison", "model comparison", "benchmark sonuçları", "sonuçları", "sonuclari", "karşılaştırma",
+    "karsilastirma", "kıyaslama", "kiyaslama", "skor", "skorlar", "puan", "puanlar", "sıralama", "siralama", "performans sonuçları",
+    "özellik karşılaştırması", "fiyat karşılaştırması",
+)
+
+# Signs of official documentation in a URL, and words that don't tell a topic.
+DOC_URL_SIGNS = (
+    "docs.", "developer.", "developers.", "documentation.", "dev.", "api.", "reference.", "learn.", "guide.", "/docs/", "/doc/", "/reference/",
+    "/api/", "/guide/", "/tutorial/", "/manual/", "/en/stable/", "/en/latest/",
+)
+TOPIC_STOPWORDS = ("a", "an", "the", "is", "are", "of", "in", "on", "for", "and", "or", "to", "vs", "ne", "mi", "ve", "ile", "da", "de")
+
+# Class names that tell the language of a code block.
+CODE_CLASS_PREFIXES = ("language-", "lang-", "highlight-source-", "brush:")
+CODE_LANGUAGES = (
+    "python", "javascript", "typescript", "java", "c", "cpp", "csharp", "go", "rust", "ruby", "php", "swift", "kotlin", "scala", "sql", "bash",
+    "shell", "html", "css", "json", "yaml", "xml", "r", "perl", "lua", "dart", "haskell", "elixir", "clojure", "jsx", "tsx",
+)

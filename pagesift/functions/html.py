@@ -3,11 +3,27 @@
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
+from pagesift import constants as K
+
 #: Elements whose whole content is dropped from the main text.
 DROPPED = ("script", "style", "nav", "header", "footer", "aside", "form", "iframe", "noscript", "svg", "canvas", "dialog", "video", "audio", "button", "input", "select", "textarea")
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
+def language_of(classes: str) -> str:
+    """The language of a code block by its class names; empty if none tells it."""
+    for name in classes.split():
+        if known := next((p for p in K.CODE_CLASS_PREFIXES if name.startswith(p)), None):
+            return name[len(known) :]
+        if name in K.CODE_LANGUAGES:
+            return name
+    return ""
+
+
+class Code(str):
+    """A fenced block, which keeps its white space."""
+
+
 class Page(HTMLParser):
     """scope `body` leaves out links, images and metadata of dropped elements; `all` keeps them."""
 
@@ -20,6 +36,7 @@ class Page(HTMLParser):
         self.texts = {"main": [], "article": [], "body": []}
         self.done: set[str] = set()
         self.title, self.meta, self.links, self.images, self.anchor = None, {}, [], [], None
+        self.block: list | None = None  # tag, language and texts of the code block under way
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
@@ -32,6 +49,10 @@ class Page(HTMLParser):
             self.images.append((urljoin(self.url, src), a.get("alt", "")))
         elif tag == "a" and seen and a.get("href"):
             self.anchor = [urljoin(self.url, a["href"]), []]
+        if tag in ("pre", "code") and self.block is None:
+            self.block = [tag, language_of(a.get("class", "")), []]
+        elif tag == "code" and self.block[0] == "pre":  # only the code inside counts
+            self.block = ["pre", language_of(a.get("class", "")), []]
         if tag in _VOID:
             return
         self.open.append(tag)
@@ -47,6 +68,8 @@ class Page(HTMLParser):
             self._left(tag)
 
     def _left(self, tag):
+        if self.block and tag == self.block[0]:
+            self._emit()
         self.dropped -= tag in DROPPED
         if tag in self.texts and tag not in self.open and self.texts[tag]:
             self.done.add(tag)
@@ -56,7 +79,31 @@ class Page(HTMLParser):
             self.title = data.strip()
         if self.anchor:
             self.anchor[1].append(data)
-        text = data.strip()
+        if self.block is not None:
+            self.block[2].append(data)
+            return
+        self._add(data.strip())
+
+    def _emit(self):
+        """The code block that ends here: fenced, or between backticks if it is short or of one line outside pre; empty ones go."""
+        (tag, language, parts), self.block = self.block, None
+        text = "".join(parts)
+        if not text.strip():
+            return
+        if tag == "pre":
+            lines = text.split("\n")
+            full = [i for i, line in enumerate(lines) if line.strip()]
+            text = "\n".join(lines[full[0] : full[-1] + 1])
+        elif "\n" not in text or len(text) <= 60:
+            return self._add(f"`{text}`")
+        self._add(Code(f"```{language}\n{text}\n```"))
+
+    def close(self):
+        super().close()
+        if self.block:
+            self._emit()
+
+    def _add(self, text):
         if not text or self.dropped or "title" in self.open:
             return
         for scope in self.texts:
@@ -69,8 +116,8 @@ def extract(url: str | None, html: str | None, scope: str = "body", max_chars: i
     page.feed(html or "")
     page.close()
     text = next((t for t in (page.texts["main"], page.texts["article"], page.texts["body"]) if t), [])
-    lines = [" ".join(line.split(" ")).strip() for part in text for line in part.split("\n")]
-    content = "\n".join(" ".join(x.split()) for x in lines if x)[:max_chars]
+    lines = [line for part in text for line in ([part] if isinstance(part, Code) else (" ".join(x.split()) for x in part.split("\n")))]
+    content = "\n".join(x for x in lines if x)[:max_chars]
     links = page.links[:max_links]
     inner = [x for x in links if urlsplit(x[0]).netloc == page.host]
     return {

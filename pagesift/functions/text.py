@@ -1,5 +1,9 @@
 """Texts: queries, snippets, dates and tokens."""
 
+import html
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -86,3 +90,35 @@ def spaced_citations(text: Column) -> Column:
 
 def folded(text: Column) -> Column:
     return F.translate(text, "ıçşöüğ", "icsoug")
+
+
+_SCRIPT = re.compile(r"(?:javascript|vbscript|data:(?:text/html|application/[a-z+\-]+)):[^\s]*", re.I)
+_CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
+_FENCE = re.compile(r"(```\w*\n.*?\n```)", re.S)
+SAFETY_NOTE = "\n\n[Content truncated for safety.]"
+
+
+def sanitize(text: str | None, max_chars: int) -> str:
+    """Plain text: entities resolved, script URIs and control characters gone, runs of spaces and empty lines shortened.
+
+    Fenced code keeps its white space. A text over max_chars is cut, before a fence that the cut would leave open, and
+    says so. Null is empty.
+    """
+    plain = _CONTROL.sub("", _SCRIPT.sub("", html.unescape(text or ""))).replace("\r\n", "\n").replace("\r", "\n")
+    parts = _FENCE.split(plain)  # fences are at odd places
+    shorter = [p if i % 2 else re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]{2,}", " ", p)) for i, p in enumerate(parts)]
+    out = "".join(shorter).strip()
+    if len(out) <= max_chars:
+        return out
+    head = out[:max_chars]
+    if head.count("```") % 2 and (at := head.rfind("```")) > 0:
+        head = head[:at].rstrip()
+    return head + SAFETY_NOTE
+
+
+def sanitized(text: Column, max_chars: int) -> Column:
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: sanitize(t, max_chars))
+
+    return run(text)

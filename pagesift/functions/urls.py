@@ -1,6 +1,10 @@
 """URLs: parts, normal form, authority tier and screening."""
 
-from pyspark.sql import Column
+import ipaddress
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagesift import constants as K
@@ -55,3 +59,85 @@ def tier(url: Column) -> Column:
 
 def blacklisted(url: Column) -> Column:
     return domain(url).isin(*K.BLACKLISTED)
+
+
+def decode_redirect(url: Column) -> Column:
+    """The target of a search engine's redirect link (`uddg=`, or `/url?` with `url=`); `//x` gets https; else the URL itself."""
+    plain = F.when(url.startswith("//"), F.concat(F.lit("https:"), url)).otherwise(url)
+    found = F.when(plain.contains("uddg="), F.regexp_extract(plain, "uddg=([^&]+)", 1)).when(plain.startswith("/url?"), F.regexp_extract(plain, "[?&]url=([^&]+)", 1))
+    return F.coalesce(F.nullif(F.try_url_decode(F.replace(found, F.lit("+"), F.lit("%2B"))), F.lit("")), plain)
+
+
+def source_name(url: Column) -> Column:
+    """The name of the first known part that the host holds, wherever it stands; else the host's first label."""
+    h, out = host(url), F
+    for part_of, name in K.SOURCE_NAMES.items():
+        out = out.when(h.contains(part_of), name)
+    return out.otherwise(F.regexp_extract(h, r"^([^.]*)", 1))
+
+
+def public_address(address: Column) -> Column:
+    """Whether an IP address (IPv4, IPv6, IPv4 inside IPv6) is public; null for what is none."""
+
+    @F.pandas_udf("boolean")
+    def public(values: pd.Series) -> pd.Series:
+        def one(value):
+            try:
+                ip = ipaddress.ip_address((value or "").partition("%")[0])
+            except ValueError:
+                return None
+            return (getattr(ip, "ipv4_mapped", None) or ip).is_global
+
+        return values.map(one)
+
+    return public(address)
+
+
+def bare_host(url: Column) -> Column:
+    """The host without credentials, port, brackets and trailing dots."""
+    at_host = F.regexp_replace(domain(url), "^.*@", "")
+    return F.regexp_replace(F.regexp_replace(at_host, r"^\[(.*)\](:[0-9]*)?$|^([^\[:]*)(:[0-9]*)?$", "$1$3"), r"\.+$", "")
+
+
+def unsafe_reason(url: Column) -> Column:
+    """Why a URL must not be fetched, by the first of: scheme, credentials, no host, localhost, address that isn't public; null if safe."""
+    h, who = bare_host(url), F.regexp_extract(part(url, 2), "^(.*)@", 1)
+    return (
+        F.when(~F.lower(part(url, 1)).isin("http", "https"), "scheme")
+        .when(~who.isin("", ":"), "credentials")
+        .when(h == "", "no_host")
+        .when((h == "localhost") | h.endswith(".localhost"), "localhost")
+        .when(~F.coalesce(public_address(h), F.lit(True)), "private_address")
+    )
+
+
+def screen_resolved(urls: DataFrame, dns: DataFrame) -> DataFrame:
+    """urls(url, ...) with reason: unsafe_reason's; for names, by dns(host, ip), `unresolved` without a row, `private_address` if any isn't public."""
+    known = dns.select(F.lower("host").alias("__host"), F.coalesce(public_address(F.col("ip")), F.lit(False)).alias("public")).groupBy("__host").agg(F.min("public").alias("__public"))
+    rows = urls.withColumns({"__host": bare_host(F.col("url")), "reason": unsafe_reason(F.col("url"))}).withColumn("__literal", public_address(F.col("__host")))
+    late = F.when(F.col("__literal").isNotNull(), None).when(F.col("__public").isNull(), "unresolved").when(~F.col("__public"), "private_address")
+    return rows.join(known, "__host", "left").withColumn("reason", F.coalesce("reason", late)).drop("__host", "__public", "__literal")
+
+
+def frontier_score(url: Column, root: Column) -> Column:
+    """How much a link is worth crawling from its root: deep, descriptive paths most; dead ends and the root itself 0."""
+    segments = F.filter(F.split(F.lower(part(url, 3)), "/"), lambda s: s != "")
+    last = F.coalesce(F.try_element_at(segments, F.lit(-1)), F.lit(""))
+    score = F.lit(10) + 5 * F.least(F.size(segments), F.lit(5)) - F.when(part(url, 4) != "", 8).otherwise(0)
+    score = score - F.when(last.rlike("^[0-9]+$"), 6).otherwise(0) + F.when(last.rlike(r"^[a-z\-À-ɏ]+$"), 4).otherwise(0)
+    same = (part(url, 3) == part(root, 3)) & (part(url, 4) == part(root, 4))
+    return F.when(same | F.arrays_overlap(segments, F.array(*map(F.lit, K.DEAD_ENDS))), 0).otherwise(F.greatest(score, F.lit(0)))
+
+
+def select_frontier(links: DataFrame, n: int = 99, like: int = 5) -> DataFrame:
+    """Of links(root, url, pos): root, url, score and rank of the n best of each root, `like` at most of one pattern of path (digits alike).
+
+    URLs lose trailing slashes and count once, where they stand first. Every window is cut by its rank, so Spark limits
+    each group before it is shuffled; a root with very many links doesn't gather in one task.
+    """
+    once = links.select("root", F.regexp_replace("url", "/+$", "").alias("url"), "pos").where("url <> ''").groupBy("root", "url").agg(F.min("pos").alias("pos"))
+    ending = "(" + "|".join(x.replace(".", r"\.") for x in K.SKIPPED_EXTENSIONS) + ")$"
+    rows = once.where(~F.regexp_extract(F.lower("url"), r"^([^?]*)", 1).rlike(ending)).withColumn("score", frontier_score(F.col("url"), F.col("root"))).where("score > 0")
+    rows = rows.withColumn("pattern", F.regexp_replace(part(F.col("url"), 3), "[0-9]+", "N"))
+    rows = rows.withColumn("k", F.row_number().over(W.partitionBy("root", "pattern").orderBy("pos", "url"))).where(F.col("k") <= like)
+    return rows.withColumn("rank", F.row_number().over(W.partitionBy("root").orderBy(F.desc("score"), "url"))).where(F.col("rank") <= n).select("root", "url", "score", "rank")

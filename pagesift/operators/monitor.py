@@ -76,3 +76,17 @@ def latency_stats(runs: DataFrame, by: str) -> DataFrame:
 
 def top_errors(log: DataFrame, n: int = 3) -> DataFrame:
     return log.where("status >= 500").groupBy("subject").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "subject").limit(n)
+
+
+def breaker_alert(states: DataFrame, by: str, width: int = 300, slide: int = 15, hold: int = 60) -> DataFrame:
+    """Spells (start, end in epoch seconds) of each group in which some state of the last `width` seconds was above 0, from `hold` seconds on.
+
+    states has ts and state. Steps are `slide` seconds apart; samples of one step are first made one.
+    """
+    step = F.ceil(F.unix_micros("ts") / (slide * 1_000_000))
+    steps = states.where("state > 0").select(by, step.alias("step")).distinct()
+    order = W.partitionBy(by).orderBy("step")
+    new = (F.col("step") - F.coalesce(F.lag("step").over(order), F.lit(-(1 << 40))) > width // slide).cast("int")
+    spells = steps.withColumn("new", new).withColumn("spell", F.sum("new").over(order)).groupBy(by, "spell").agg(F.min("step").alias("a"), F.max("step").alias("b"))
+    end = (F.col("b") + width // slide - 1) * slide
+    return spells.select(by, (F.col("a") * slide + hold).alias("start"), end.alias("end")).where(F.col("end") >= F.col("start"))

@@ -114,3 +114,43 @@ def evaluate(ranked: DataFrame) -> DataFrame:
 
 def evaluation_summary(each: DataFrame) -> DataFrame:
     return each.agg(F.count("*").alias("n_queries"), F.round(F.avg("n_results"), 6).alias("avg_results"), F.round(F.avg("n_domains"), 6).alias("avg_domains"))
+
+
+def expand_sources(selected: DataFrame, ranked: DataFrame, queries: DataFrame) -> DataFrame:
+    """selected(query_id, url, title, type, priority), topped up to the query's target from ranked(query_id, url, title, snippet, source, rank).
+
+    queries has query_id, query and target. Added rows hold a word of the query's topic in title, snippet or URL, or are
+    all there is if it has none. Each URL counts once, where it stands first; added rows go on from the selected ones.
+    """
+    said = F.split(F.replace(F.coalesce("query", F.lit("")), F.lit("-"), F.lit(" ")), r"\s+")
+    topic = F.array_distinct(F.filter(F.transform(F.filter(said, lambda w: F.length(w) > 2), F.lower), lambda w: ~w.isin(*K.TOPIC_STOPWORDS)))
+    asked = queries.select("query_id", topic.alias("topic"), "target")
+    hay = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("snippet", F.lit("")), F.coalesce("url", F.lit(""))))
+    fit = ranked.join(asked.select("query_id", "topic"), "query_id").where((F.size("topic") == 0) | F.exists("topic", lambda w: hay.contains(w)))
+    kind = F.coalesce("source", F.lit("unknown"))
+    both = selected.select("query_id", "url", "title", "type", "priority", F.lit(0).alias("late"), F.col("priority").alias("place")).unionByName(
+        fit.select("query_id", "url", F.coalesce("title", F.lit("")).alias("title"), kind.alias("type"), F.lit(None).cast("int").alias("priority"), F.lit(1).alias("late"), F.col("rank").alias("place"))
+    )
+    both = both.where("url is not null and url <> ''")
+    both = both.withColumn("k", F.row_number().over(W.partitionBy("query_id", "url").orderBy("late", "place"))).where("k = 1")
+    both = both.withColumn("k", F.row_number().over(W.partitionBy("query_id").orderBy("late", "place", "url"))).join(asked.select("query_id", "target"), "query_id")
+    return both.where("k <= target").select("query_id", "url", "title", "type", F.coalesce("priority", "k").alias("priority"))
+
+
+def union_collectors(*parts: DataFrame) -> DataFrame:
+    """Rows of all collectors by name, with set_pos by their order; columns that one lacks are null. Rows of failures (error) stay out."""
+    out = None
+    for i, part in enumerate(parts):
+        rows = (part.where("error is null").drop("error") if "error" in part.columns else part).withColumn("set_pos", F.lit(i))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
+def collector_failures(*parts: DataFrame) -> DataFrame:
+    """provider, error and n of the rows of failures of all collectors."""
+    out = None
+    for part in parts:
+        if "error" in part.columns:
+            rows = part.where("error is not null").select("provider", "error")
+            out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("provider", "error").agg(F.count("*").alias("n"))

@@ -1,5 +1,6 @@
 """Reports: citation markers, their claims, and how far the cited sources support them."""
 
+import json
 import re
 
 import pandas as pd
@@ -7,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagesift import constants as K
+from pagesift.functions import text as T
 
 _MARK = re.compile(r"\[([0-9]+)\]")
 _ENDS = (". ", ".\n", "! ", "? ")
@@ -53,3 +55,106 @@ def citation_summary(reports: DataFrame, audit: DataFrame) -> DataFrame:
     sums = audit.groupBy("query_id").agg(F.count("*").alias("total"), F.sum(F.col("supported").cast("long")).alias("supported"))
     out = reports.select("query_id").join(sums, "query_id", "left").na.fill(0)
     return out.withColumn("faithfulness", F.when(F.col("total") == 0, 1.0).otherwise(F.bround(F.col("supported") / F.col("total"), 3)))
+
+
+def _closed(text: str) -> str:
+    """The JSON text with the string and the brackets that are still open closed, in order of nesting."""
+    wanted, quoted, skip = [], False, False
+    for ch in text:
+        if skip:
+            skip = False
+        elif quoted:
+            skip, quoted = ch == "\\", ch != '"'
+        elif ch == '"':
+            quoted = True
+        elif ch in "{[":
+            wanted.append({"{": "}", "[": "]"}[ch])
+        elif wanted and ch == wanted[-1]:
+            wanted.pop()
+    return text + '"' * quoted + "".join(reversed(wanted))
+
+
+def _object(text: str) -> dict | None:
+    try:
+        found = json.loads(text)
+    except (ValueError, RecursionError):
+        return None
+    return found if isinstance(found, dict) else None
+
+
+_SUMMARY = re.compile(r'"executive_summary"\s*:\s*"((?:[^"\\]|\\.)*)"')
+
+
+def parsed(raw: str | None) -> tuple[str, str]:
+    """A model's answer as JSON text of one object, and how it was found: strict, repaired, excerpt or empty.
+
+    Strict: from the first opening to the last closing brace. Repaired: from the first brace, closed as it stands or
+    before its last comma, if that has a summary. Excerpt: the summary alone, or the first 1500 characters.
+    """
+    raw = raw or ""
+    start, end = raw.find("{"), raw.rfind("}")
+    if start >= 0 and (found := _object(raw[start : end + 1])):
+        return json.dumps(found), "strict"
+    if start >= 0:
+        cut = raw[start:].rstrip().rstrip(", \n\t\r")
+        tries = [raw[start:], _closed(cut)]
+        if (comma := cut.rfind(",")) > 0:
+            tries.append(_closed(cut[:comma]))
+        found = next((x for x in map(_object, tries) if x is not None), None)
+        if found and isinstance(found.get("executive_summary"), str):
+            return json.dumps(found), "repaired"
+    if not raw.strip():
+        return "{}", "empty"
+    m = _SUMMARY.search(raw)
+    said = (_object('{"s": "' + m[1] + '"}') or {"s": m[1]})["s"] if m else raw[:1500]
+    return json.dumps({"executive_summary": said, "confidence_level": "Low"}), "excerpt"
+
+
+_ROW = "array<struct<metric:string,value:string,source:string,date:string>>"
+_REPORT = (
+    f"executive_summary string, summary string, key_findings array<string>, data_table {_ROW}, conflicts_uncertainty array<string>, "
+    "confidence_level string, confidence_reason string, detailed_analysis string, recommendations string"
+)
+
+
+def parse_reports(outputs: DataFrame) -> DataFrame:
+    """report_id, report (a struct of the report's fields) and parse_status of outputs(report_id, raw). Never fails: null is empty."""
+
+    @F.pandas_udf("json string, status string")
+    def run(raws: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([parsed(r) for r in raws], columns=["json", "status"])
+
+    rows = outputs.select("report_id", run("raw").alias("p"))
+    return rows.select("report_id", F.from_json("p.json", _REPORT).alias("report"), F.col("p.status").alias("parse_status"))
+
+
+def _lines(text) -> F.Column:
+    """A list that came as JSON text as lines; other text as it is."""
+    items = F.from_json(text, "array<string>")
+    return F.coalesce(F.when(text.startswith("["), F.array_join(items, "\n")), text, F.lit(""))
+
+
+def normalize_reports(reports: DataFrame) -> DataFrame:
+    """report_id and the fields of parse_reports' rows in normal form: known confidence (else Medium), texts never null, lists joined by lines, spaced citations."""
+    r = lambda name: F.col(f"report.{name}")
+    level = F.trim(r("confidence_level"))
+    summary = T.spaced_citations(F.coalesce(T.some(r("executive_summary")), r("summary"), F.lit("")))
+    none = F.array().cast("array<string>")
+    return reports.select(
+        "report_id",
+        "parse_status",
+        summary.alias("executive_summary"),
+        T.spaced_citations(_lines(r("detailed_analysis"))).alias("detailed_analysis"),
+        T.spaced_citations(_lines(r("recommendations"))).alias("recommendations"),
+        F.when(level.isin("High", "Medium", "Low"), level).otherwise("Medium").alias("confidence_level"),
+        F.coalesce(r("confidence_reason"), F.lit("")).alias("confidence_reason"),
+        F.coalesce(r("key_findings"), none).alias("key_findings"),
+        F.coalesce(r("conflicts_uncertainty"), none).alias("conflicts_uncertainty"),
+        F.coalesce(r("data_table"), F.array().cast(_ROW)).alias("data_table"),
+    )
+
+
+def data_table_rows(normalized: DataFrame) -> DataFrame:
+    """report_id, pos, metric, value, source and date of rows of data tables that have both metric and value."""
+    rows = normalized.select("report_id", F.posexplode("data_table").alias("pos", "row")).select("report_id", "pos", "row.*")
+    return rows.where("metric <> '' and value <> ''")

@@ -60,3 +60,25 @@ def run_stats(results: DataFrame) -> DataFrame:
         F.count("*").alias("checked"), F.sum(good.cast("long")).alias("succeeded"), F.sum(F.when(good, F.length("content")).otherwise(0)).cast("long").alias("total_chars")
     )
     return out.withColumn("failed", F.col("checked") - F.col("succeeded")).withColumn("success_rate", F.round(F.col("succeeded") * 100.0 / F.col("checked"), 6))
+
+
+def official_doc_hits(results: DataFrame, most: int = 5) -> DataFrame:
+    """Of each query with any: the first URLs (by pos) that look like official documentation, among results without error."""
+    lower, hit = F.lower("url"), F.lit(False)
+    for sign in K.DOC_URL_SIGNS:
+        hit = hit | lower.contains(sign)
+    rows = results.where("error is null").where(hit)
+    rows = rows.withColumn("k", F.row_number().over(W.partitionBy("query_id").orderBy("pos", "url"))).where(F.col("k") <= most)
+    return rows.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "url"))), lambda x: x["url"]), " ").alias("doc_urls"))
+
+
+def map_sources(results: DataFrame, include_content: bool = False, max_chars: int = 8000) -> DataFrame:
+    """Results as an answer's sources: sanitized content (null if empty or not asked for), score 0 and tier 5 where unknown."""
+    text = T.some(T.sanitized(F.col("content"), max_chars)) if include_content else F.lit(None).cast("string")
+    return results.select("query_id", "pos", "title", text.alias("content"), "error", F.coalesce("relevance_score", F.lit(0.0)).alias("relevance_score"), F.coalesce("source_tier", F.lit(5)).alias("source_tier"))
+
+
+def map_citations(results: DataFrame, max_chars: int = 8000) -> DataFrame:
+    """Results without error as citations, with a snippet of their sanitized content."""
+    good = results.where("error is null or error = ''")
+    return good.select("query_id", "pos", "title", F.coalesce("relevance_score", F.lit(0.0)).alias("relevance_score"), T.snippet(T.sanitized(F.col("content"), max_chars)).alias("snippet"), F.coalesce("source_tier", F.lit(5)).alias("source_tier"))
