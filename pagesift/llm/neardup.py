@@ -8,9 +8,11 @@ as large a part of some partition, so few candidates are counted again over ever
 A text's signature has `bins` samples. Each shingle falls into a bin by its hash, and a bin's sample is the shingle and
 level that improved consistent weighted sampling draws from it; bins that stay empty draw from the shingles' next places,
 so that each shingle is drawn once in most texts instead of once a bin. Samples are banded. In a bucket of a band every
-text is compared with one centre, which is the first in one of four orders that take turns over the buckets; those that
-fail are dealt among themselves again, `rounds` times in all. Candidate links are
-verified exactly, and classes are the connected components of links with similarity `least` or more.
+text is compared with one centre, which is the last in one of four orders that take turns over the buckets. Buckets whose
+texts are not of one component then get the text with most links for their next centre, `rounds` times in all; linked
+texts stay. Then all pairs of texts of a bucket that are still of different components are judged, in blocks. Candidate
+links are verified exactly, and classes are the connected components of links with similarity `least` or more: no two
+texts that share a bucket and have that similarity end in different classes.
 
 Equal texts are one text from the start (by their 128-bit digest), so copies are never paired. Hot buckets are joined
 to one centre row, hot centres are split by adaptive joins, and links are tables all along. Texts without words (null,
@@ -130,18 +132,19 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 def _signatures(weights: Weights, bands: int, width: int):
     def run(batches):
         for batch, texts in text_chunks(batches):
-            docs, keys = [], []
-            for d, (k, n) in enumerate(shingles(texts)):
+            keys, total = [], []
+            for k, n in shingles(texts):
+                w = weights(k, n)
+                total.append(w.sum())
                 if len(k):
-                    s = samples(k, weights(k, n), bands * width).reshape(bands, width)
+                    s = samples(k, w, bands * width).reshape(bands, width)
                     h = np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
                     for c in range(width):
                         h = mixed(h ^ s[:, c]) + np.uint64(c)
                     keys.append(h.view(np.int64))
-                    docs.append(d)
                 else:
                     keys.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column("t"), batch.column("doc_id"), pa.array(keys, pa.list_(pa.int64()))], names=["t", "doc_id", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("t"), batch.column("doc_id"), pa.array(keys, pa.list_(pa.int64())), pa.array(total, pa.float64())], names=["t", "doc_id", "bands", "w"])
 
     return run
 
@@ -177,6 +180,89 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _open(buckets: DataFrame, labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """t, band, label and n_links of all texts in the buckets whose texts are not of one component yet."""
+    if labels is None:
+        known = buckets.withColumn("label", F.col("t")).withColumn("n_links", F.lit(0).cast("long"))
+    else:
+        known = labels.join(_degrees(links), "t")
+        known = buckets.join(known, "t", "left").select("t", "band", F.coalesce("label", "t").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    known = saved(known)
+    several = known.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
+    return saved(known.join(several, "band"))
+
+
+def _degrees(links: DataFrame) -> DataFrame:
+    return links.select("c").union(links.select("t")).groupBy(F.col("c").alias("t")).agg(F.count("*").alias("n_links"))
+
+
+def _cell(rows: list, weights: Weights, least: float) -> list[tuple[bytes, bytes]]:
+    """Links between the texts of a cell that join two components."""
+    rows = sorted(rows, key=lambda r: r["t"])
+    found = shingles([r["text"] for r in rows])
+    keys, ws = [k for k, _ in found], [weights(k, n) for k, n in found]
+    total, bands = np.array([w.sum() for w in ws]), np.array([r["bands"] for r in rows])
+    level, block = (np.array([r[x] for r in rows]) for x in ("level", "block"))
+    band, low, i, j = (rows[0][x] for x in CELL)
+    _, label = np.unique(np.array([r["label"].hex() for r in rows]), return_inverse=True)
+    owner, flat, flat_w = np.repeat(np.arange(len(rows)), [len(k) for k in keys]), np.concatenate(keys), np.concatenate(ws)
+    out = []
+    for a in range(len(rows) - 1):
+        same = bands[a + 1 :] == bands[a]
+        first = bands[a][same.argmax(1)] == band  # a pair is judged in the first bucket it shares
+        meets = first & same.any(1) & (np.minimum(level[a + 1 :], level[a]) == low)
+        meets &= (np.minimum(block[a + 1 :], block[a]) == i) & (np.maximum(block[a + 1 :], block[a]) == j)
+        use = np.zeros(len(rows), bool)
+        use[a + 1 :] = meets & (label[a + 1 :] != label[a])
+        if not use.any():
+            continue
+        part = use[owner]
+        k, w, o = flat[part], flat_w[part], owner[part]
+        at = np.minimum(np.searchsorted(keys[a], k), len(keys[a]) - 1)
+        hit = keys[a][at] == k
+        common = np.bincount(o[hit], np.minimum(ws[a][at[hit]], w[hit]), len(rows))
+        for b in np.flatnonzero(use & (common >= least * (total + total[a] - common))):
+            if label[a] != label[b]:
+                out.append((rows[a]["t"], rows[b]["t"]))
+                label[label == label[b]] = label[a]
+    return out
+
+
+CELL, BLOCK = ("band", "low", "i", "j"), 128
+
+
+def _settled(live: DataFrame, texts: DataFrame, there: DataFrame, weights: Weights, least: float) -> DataFrame:
+    """c, t: links that join the components left in each bucket, all of whose pairs between components are judged.
+
+    Similar texts have weights of the same level or the next (a level is a factor of 1 / least). The texts of two levels
+    of a bucket are dealt into blocks, and each two blocks meet in a cell of their own.
+    """
+    step = float(-np.log(least * 0.999))
+    rows = live.select("t", "band", "label").join(texts.select("t", "bands", F.floor(F.log("w") / step).cast("int").alias("level")), "t")
+    rows = saved(rows.withColumn("low", F.explode(F.array("level", F.col("level") - 1))))
+    sizes = rows.groupBy("band", "low").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.min("level").alias("level"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(sizes.where("a <> b and level = low").select("band", "low", "blocks"), ["band", "low"])
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rows = saved(rows.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("blocks", "other"))
+
+    def run(batches):
+        key, cell = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if (at := tuple(row[x] for x in CELL)) != key:
+                    yield from judged(cell)
+                    key, cell = at, []
+                cell.append(row)
+        yield from judged(cell)
+
+    def judged(cell):
+        if found := _cell(cell, weights, least) if len(cell) > 1 else []:
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["c", "t"])
+
+    met = rows.hint("merge").join(there, "t").repartition(*CELL).sortWithinPartitions(*CELL)
+    return saved(met.mapInArrow(run, "c binary, t binary"))
+
+
 def _digest(text: str = "text"):
     return F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit(""))))
 
@@ -185,35 +271,36 @@ def _classes(docs: DataFrame, bands: int, width: int, least: float, rounds: int)
     """doc_id and digest t of every row; of every digest: bare (no words), class_id, class_size and n_links."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), _digest().alias("t"))
     weights = Weights(*frequent(rows))
-    signed = saved(rows.mapInArrow(_signatures(weights, bands, width), "t binary, doc_id long, bands array<long>"))
-    texts = saved(signed.groupBy("t").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands")))
+    signed = saved(rows.mapInArrow(_signatures(weights, bands, width), "t binary, doc_id long, bands array<long>, w double"))
+    texts = saved(signed.groupBy("t").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("w").alias("w")))
     buckets = saved(texts.where("bands is not null").select("t", F.explode("bands").alias("band")))
-    links = there = None
-    for _ in range(rounds):
-        order = F.xxhash64("t", F.pmod("band", F.lit(4)))
-        centres = saved(buckets.groupBy("band").agg(F.min_by("t", order).alias("centre"), F.count("*").alias("n")).where("n > 1").select("band", "centre"))
+    links = docs.sparkSession.createDataFrame([], "c binary, t binary")
+    labels = there = None
+    for turn in range(rounds):
+        live = _open(buckets, labels, links)
+        # hubs link to the centres of many buckets, so they are the next centres
+        order = F.struct("n_links", F.xxhash64("t", F.pmod("band", F.lit(4))))
+        centres = saved(live.groupBy("band").agg(F.max_by(F.struct("t", "label"), order).alias("x")).select("band", F.col("x.t").alias("centre"), F.col("x.label").alias("own")))
         if not centres.limit(1).count():
             break
-        dealt = buckets.join(centres, "band").where("t <> centre")
-        dealt = saved(dealt.select(F.least("t", "centre").alias("c"), F.greatest("t", "centre").alias("t"), F.col("t").alias("member"), "band"))
-        pairs = saved(dealt.select("c", "t").distinct())
+        dealt = live.join(centres, "band").where("label <> own")
+        pairs = saved(dealt.select(F.least("t", "centre").alias("c"), F.greatest("t", "centre").alias("t")).distinct())
         if there is None:  # later rounds compare texts of the first
             nodes = saved(pairs.select("t").union(pairs.select("c")).distinct())
             there = saved(rows.groupBy("t").agg(F.first("text").alias("text")).join(nodes.hint("merge"), "t"))
         # the same joins at every size: texts are never broadcast
         by_centre = pairs.hint("merge").join(there.select(F.col("t").alias("c"), F.col("text").alias("centre")), "c")
         checked = saved(by_centre.hint("merge").join(there, "t").select("c", "centre", "t", "text").mapInArrow(_verify(weights, least), "c binary, t binary, linked boolean"))
-        found = checked.where("linked").select("c", "t")
-        links = found if links is None else links.union(found)
-        failed = saved(checked.where("not linked").select("c", "t"))
-        if not failed.limit(1).count():
-            break
-        buckets = saved(dealt.join(failed, ["c", "t"], "left_semi").select(F.col("member").alias("t"), "band"))
-    if links is None:
-        links = docs.sparkSession.createDataFrame([], "c binary, t binary")
-    links = saved(links.distinct())
-    labels = components(links)
-    degree = links.select("c").union(links.select("t")).groupBy(F.col("c").alias("t")).agg(F.count("*").alias("n_links"))
+        links = saved(links.union(checked.where("linked").select("c", "t")).distinct())
+        labels = components(links)
+        # a centre has met all its bucket
+        buckets = saved(buckets.join(centres.select("band", F.col("centre").alias("t")), ["band", "t"], "left_anti"))
+    if there is not None:
+        links = saved(links.union(_settled(_open(buckets, labels, links), texts, there, weights, least)).distinct())
+        labels = components(links)
+    else:
+        labels = links.select("t", F.col("c").alias("label"))
+    degree = _degrees(links)
     classes = labels.join(texts, "t").groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size"))
     linked = saved(labels.join(classes, "label").join(degree, "t").select("t", "class_id", "class_size", "n_links"))
     bare = F.col("bands").isNull()
