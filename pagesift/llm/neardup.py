@@ -268,7 +268,7 @@ def _digest(text: str = "text"):
 
 
 def _classes(docs: DataFrame, bands: int, width: int, least: float, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """doc_id and digest t of every row; of every digest: bare (no words), class_id, class_size and n_links."""
+    """doc_id and digest t of every row; of every digest: bare (no words), label (its component), class_id, class_size and n_links."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), _digest().alias("t"))
     weights = Weights(*frequent(rows))
     signed = saved(rows.mapInArrow(_signatures(weights, bands, width), "t binary, doc_id long, bands array<long>, w double"))
@@ -302,32 +302,34 @@ def _classes(docs: DataFrame, bands: int, width: int, least: float, rounds: int)
         labels = links.select("t", F.col("c").alias("label"))
     degree = _degrees(links)
     classes = labels.join(texts, "t").groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size"))
-    linked = saved(labels.join(classes, "label").join(degree, "t").select("t", "class_id", "class_size", "n_links"))
+    linked = saved(labels.join(classes, "label").join(degree, "t").select("t", "label", "class_id", "class_size", "n_links"))
     bare = F.col("bands").isNull()
     each = texts.join(linked, "t", "left").select(
-        "t", "rep", bare.alias("bare"), F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("class_size", "n").alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+        "t", "rep", bare.alias("bare"), F.coalesce("label", "t").alias("label"), F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("class_size", "n").alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
     return signed.select("doc_id", "t"), saved(each)
 
 
 def near_duplicates(docs: DataFrame, bands: int = 16, width: int = 3, least: float = LEAST, rounds: int = 3) -> DataFrame:
-    """doc_id, class_id (the least doc_id of the class), class_size and n_links of every row of docs(doc_id, text).
+    """doc_id, class_id (the least doc_id of the class), class_size, n_links and class_key of every row of docs(doc_id, text).
 
-    n_links counts the verified links of the row's text to other texts.
+    n_links counts the verified links of the row's text to other texts. class_key tells classes apart where doc_id is null
+    or repeats: it is the least digest of the class; rows without words, each alone in its class, have none.
     """
     rows, each = _classes(docs, bands, width, least, rounds)
     out = rows.join(each, "t")
-    return out.select("doc_id", F.when(F.col("bare"), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(F.col("bare"), F.lit(1)).otherwise(F.col("class_size")).alias("class_size"), "n_links")
+    return out.select("doc_id", F.when(F.col("bare"), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(F.col("bare"), F.lit(1)).otherwise(F.col("class_size")).alias("class_size"), "n_links", F.when(~F.col("bare"), F.lower(F.hex("label"))).alias("class_key"))
 
 
 def one_of_each(docs: DataFrame, bands: int = 16, width: int = 3, least: float = LEAST, rounds: int = 3) -> DataFrame:
-    """Rows of docs, all columns: those without words, and of each class the row of least doc_id (one, if that repeats).
+    """Rows of docs, all columns: those without words, and of each class the row of least doc_id (one, if that repeats;
+    one of null doc_id, if all are null). Unrelated texts of one doc_id, or of none, are classes of their own.
 
     Texts move once, to be joined with the digests that stay; rows of a digest are told apart by their least doc_id.
     """
     _, each = _classes(docs, bands, width, least, rounds)
-    first = F.min(F.struct("rep", "t"))
-    keep = each.where("not bare").groupBy("class_id").agg(first.alias("first")).select(F.col("first.t").alias("__first"), F.col("first.rep").alias("__rep"))
+    first = F.min(F.struct(F.col("rep").isNull(), "rep", "t"))
+    keep = each.where("not bare").groupBy("label").agg(first.alias("first")).select(F.col("first.t").alias("__first"), F.col("first.rep").alias("__rep"))
     keep = saved(keep)
     tagged = docs.withColumn("__t", _digest())
     bare = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
