@@ -52,10 +52,37 @@ def ttl_cache(log: DataFrame, ttl: float) -> DataFrame:
     return rows.groupBy("endpoint", "subject", "island").applyInPandas(run, "event_id long, hit boolean")
 
 
+def breaker_islands(rows: DataFrame, threshold: int, recovery: float) -> DataFrame:
+    """rows (endpoint, event_id, at, ok) with their island (island_span, island).
+
+    A breaker opens only at the last of `threshold` failures in a row, so a success with no such event in the `recovery`
+    seconds up to it leaves it closed at count 0. This is told in spans of time of their own; what lies before a span
+    counts as failures, which only makes islands longer. Only one row a span is put in order over an upstream.
+    """
+    rows = rows.withColumn("span", F.floor(F.col("at") / (4 * recovery)))
+    order = W.partitionBy("endpoint", "span").orderBy("at", "event_id")
+    opens = ~F.col("ok")
+    for k in range(1, threshold):
+        opens &= ~F.coalesce(F.lag("ok", k).over(order), F.lit(False))
+    rows = rows.withColumn("opens", F.when(opens, F.col("at")))
+    last = F.coalesce(F.max("opens").over(order.rowsBetween(W.unboundedPreceding, 0)), F.col("span") * (4 * recovery))
+    rows = rows.withColumn("sure", (F.col("ok") & (F.col("at") - last >= recovery)).cast("int"))
+    rows = rows.withColumn("island", F.coalesce(F.sum("sure").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    # events before a span's first cut go on with the last island of an earlier span
+    spans = rows.groupBy("endpoint", "span").agg(F.sum("sure").alias("cuts"))
+    before = W.partitionBy("endpoint").orderBy("span").rowsBetween(W.unboundedPreceding, -1)
+    cut = F.when(F.col("cuts") > 0, F.struct("span", "cuts"))
+    spans = spans.select("endpoint", "span", F.last(cut, ignorenulls=True).over(before).alias("from"))
+    rows = rows.join(spans, ["endpoint", "span"])
+    own = F.col("island") > 0
+    island = F.when(own, F.col("island")).otherwise(F.coalesce("from.cuts", F.lit(0)))
+    return rows.select("endpoint", "event_id", "at", "ok", F.when(own, F.col("span")).otherwise(F.col("from.span")).alias("island_span"), island.alias("island"))
+
+
 def circuit_breaker(log: DataFrame, threshold: int, recovery: float) -> DataFrame:
     """event_id and state (closed, or rejected) for each upstream: `threshold` failures in a row open it for `recovery` seconds.
 
-    A breaker needs all its events in order; they are cut to id, time and outcome first, and upstreams are few and known.
+    Islands start behind events that surely leave the breaker closed and its count at 0, and are replayed each on its own.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -73,4 +100,5 @@ def circuit_breaker(log: DataFrame, threshold: int, recovery: float) -> DataFram
         return pd.DataFrame(out, columns=["event_id", "state"])
 
     rows = log.select("endpoint", "event_id", (F.unix_micros("ts") / 1e6).alias("at"), (F.col("status") < 500).alias("ok"))
-    return rows.groupBy("endpoint").applyInPandas(run, "event_id long, state string")
+    rows = breaker_islands(rows, threshold, recovery)
+    return rows.groupBy("endpoint", "island_span", "island").applyInPandas(run, "event_id long, state string")
