@@ -1,7 +1,6 @@
 """Shared small helpers of the training-data operators: tables, scratch storage, text batches, word hashes."""
 
 import functools
-import tempfile
 import uuid
 
 import numpy as np
@@ -22,21 +21,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder name in the shared folder of the cluster (spark.checkpoint.dir); a local one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="pagesift-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    """A new folder name in the shared folder of the cluster (spark.checkpoint.dir); in the warehouse only where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/pagesift-scratch"
     return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame, path: str | None = None) -> DataFrame:
     """df, written once as Parquet in the shared folder and read again: it cuts lineage and survives lost executors."""
-    path = scratch(df.sparkSession)
+    path = path or scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Shelf:
+    """Tables of one operator in a folder of their own; those that no result reads any more are taken down."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.n, self.paths = spark, scratch(spark), 0, {}
+
+    def save(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        out = saved(df, path := f"{self.root}/{self.n}")
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            _, path = self.paths.pop(id(table))
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def row_key(df: DataFrame) -> DataFrame:
     """df (doc_id, text) with a 96-bit key k1, k2 of the row. Repeated rows share it, and so every result drawn by it."""
     return df.withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.hash("text", "doc_id")})
