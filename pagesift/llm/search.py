@@ -4,29 +4,39 @@ A code is cut into segments, and each segment is an index of its own. By the pig
 Hamming radius agree with the query in some segment to within the radius shared out over the segments, so probing each
 index at all values that near retrieves every such code.
 
-`exact_top_k`: radii of the segments grow together until the k-th best verified distance is provably covered.
+`exact_top_k`: the index is a table of (segment, value) of all codes, and a probe is a join with it, so that it reads
+its buckets alone. Radii of the segments grow together, a round for each, until the k-th best verified distance is
+provably covered; queries that are done leave. Equal codes are one code from the start, with their least ids; so are
+queries of equal codes.
+
 `approximate_top_k`: codes are signs of learned rotated components (principal axes, then iterative quantisation, fitted
 on a bounded sample of vectors); all codes within a radius, also fitted on the sample, are reranked by inner products.
+Rows are dealt into blocks by a hash of their id, and so are the queries; each pair of blocks is a task's work, with an
+index of its own, and gives the k best of each query, of which the k best over all blocks are kept.
 
-The rows are dealt into blocks by a hash of their id, and so are the queries; each pair of blocks is a task's work and
-gives the k best of each query, of which the k best over all blocks are kept. Vectors that are null, empty, zero or
-hold null or non-finite components take no part; a query meets only vectors of its own dimension; ties go to the
-smaller vec_id; with fewer than k candidates all are returned. Only vec_id and embedding are read.
+Vectors that are null, empty, zero or hold null or non-finite components take no part; repeated rows are one, and of
+several vectors of a vec_id the least (by components in order) stands for it; a query meets only vectors of its own
+dimension; ties go to the smaller vec_id; with fewer than k candidates all are returned. Only vec_id and embedding are read.
 """
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-QUERIES, ROWS, BLOCKS = 1024, 16_384, 8
+from pagesift.llm.common import Shelf
+
+QUERIES, ROWS, BLOCKS = 8192, 16_384, 8
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, embedding and dim of the vectors that take part."""
+    """vec_id, embedding and dim of the vectors that take part, one for each vec_id."""
     ok = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & F.coalesce(ok, F.lit(False))).withColumn("dim", F.size("embedding"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = rows.where(F.col("vec_id").isNotNull() & F.coalesce(ok, F.lit(False)))
+    return rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("dim", F.size("embedding"))
 
 
 def _matrix(table: pa.Table) -> np.ndarray:
@@ -34,46 +44,52 @@ def _matrix(table: pa.Table) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
-def in_blocks(rows: DataFrame, every: int, k: int, search, score: str, ascending: bool) -> DataFrame:
+def in_blocks(rows: DataFrame, every: int, k: int, search) -> DataFrame:
     """query_id, rank, vec_id and score: search(candidates, queries) in each pair of blocks, then the k best of each query."""
     n = rows.select("vec_id").count()
     n_q, n_r = max(1, -(-n // every // QUERIES)), max(BLOCKS, -(-n // ROWS))
     candidates = rows.withColumn("r", F.pmod(F.xxhash64("vec_id"), F.lit(n_r))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)).cast("array<bigint>")))
     queries = rows.where(F.col("vec_id") % every == 0).withColumn("q", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_q)))
     queries = queries.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(n_r - 1)).cast("array<bigint>")))
-    names = ["query_id", "vec_id", score]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         found = [(np.full(len(ids), q), ids, s) for q, ids, s in search(left.column("vec_id").to_numpy(), _matrix(left), right.column("vec_id").to_numpy(), _matrix(right))] if len(left) and len(right) else []
         columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=names)
+        return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
     keys = ["q", "r", "dim"]
-    best = candidates.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(run, f"query_id long, vec_id long, {score} double")
-    order = W.partitionBy("query_id").orderBy(F.col(score).asc() if ascending else F.col(score).desc(), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", score)
+    best = candidates.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score double")
+    return _firsts(best, k, ["query_id"], F.desc("score"), "vec_id").select("query_id", "rank", "vec_id", "score")
+
 
+def segments(bits: np.ndarray, width: int) -> np.ndarray:
+    """Codes (rows of bits) as numbers of `width` bits, a column for each segment."""
+    bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % width)))
+    return bits.reshape(len(bits), -1, width) @ (1 << np.arange(width))
 
-class Segments:
-    """Codes (rows of bits) in indexes of `width` bits each."""
+
+class Index:
+    """Codes in an index for each segment: the rows in order of its values, and where each value begins."""
 
     def __init__(self, bits: np.ndarray, width: int):
-        pad = -bits.shape[1] % width
-        bits = np.pad(bits, ((0, 0), (0, pad)))
-        self.n = bits.shape[1] // width
-        self.values = np.stack([bits[:, i * width : (i + 1) * width] @ (1 << np.arange(width)) for i in range(self.n)], 1).astype(np.int64)
+        self.values, self.width = segments(bits, width), width
+        self.n = self.values.shape[1]
         self.order = np.argsort(self.values, 0, kind="stable")
-        self.sorted = np.take_along_axis(self.values, self.order, 0)
-        masks = np.arange(1 << width)
-        self.masks = [masks[np.bitwise_count(masks) == r] for r in range(width + 1)]
-
-    def near(self, code: np.ndarray, segment: int, radii) -> np.ndarray:
-        """Rows whose segment is at one of these Hamming distances from the code's."""
-        want = np.concatenate([self.masks[r] for r in radii]) ^ code[segment]
-        low, high = (np.searchsorted(self.sorted[:, segment], want, side) for side in ("left", "right"))
-        sizes = high - low
-        at = np.repeat(low - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        return self.order[at, segment]
+        each = [np.unique(self.values[:, s], return_counts=True) for s in range(self.n)]
+        self.known = [v for v, _ in each]
+        self.starts = [np.append(0, np.cumsum(n)) for _, n in each]
+
+    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """Rows that probing retrieves: those with a segment near enough that the whole code may be within the radius.
+
+        Within the radius some segment is within a share of it: `least`, or one less for the segments past `extra`.
+        """
+        least, extra = divmod(radius, self.n)
+        seen = np.zeros(len(self.values), bool)
+        for s in range(self.n):
+            near = np.bitwise_count(self.known[s] ^ code[s]) <= (least if s <= extra else least - 1)
+            seen[self.order[np.repeat(near, np.diff(self.starts[s])), s]] = True
+        return np.flatnonzero(seen)
 
     def distances(self, code: np.ndarray, rows: np.ndarray) -> np.ndarray:
         return np.bitwise_count(self.values[rows] ^ code).sum(1).astype(np.int64)
@@ -83,29 +99,63 @@ def _best(ids: np.ndarray, keys: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, keys))[:k]
 
 
-def exact_top_k(vectors: DataFrame, every: int = 100, k: int = 10, width: int = 16) -> DataFrame:
-    """query_id, rank, vec_id and distance: the k rows nearest by Hamming distance of sign codes (component > 0) to each
-    row whose id is divisible by `every`, exactly."""
+def _firsts(rows: DataFrame, n: int, by: list[str], *order) -> DataFrame:
+    return rows.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= n)
 
-    def search(ids, rows, query_ids, queries):
-        index, codes = Segments(rows > 0, width), Segments(queries > 0, width).values
-        for q, code in zip(query_ids, codes, strict=True):
-            seen, found, far = np.zeros(len(ids), bool), np.zeros(0, np.int64), np.zeros(0, np.int64)
-            seen[ids == q] = True
-            for r in range(width + 1):
-                new = np.unique(np.concatenate([index.near(code, s, [r]) for s in range(index.n)]))
-                new = new[~seen[new]]
-                seen[new] = True
-                found, far = np.append(found, new), np.append(far, index.distances(code, new))
-                best = _best(ids[found], far, k)
-                found, far = found[best], far[best]
-                # a code not seen yet differs by more than r in every segment
-                if len(found) == k and far[-1] <= index.n * (r + 1) - 1:
-                    break
-            yield q, ids[found], far.astype(float)
 
-    out = in_blocks(usable(vectors), every, k, search, "distance", True)
-    return out.withColumn("distance", F.col("distance").cast("long"))
+def exact_top_k(vectors: DataFrame, every: int = 100, k: int = 10, width: int = 16) -> DataFrame:
+    """query_id, rank, vec_id and distance: the k rows nearest by Hamming distance of sign codes (component > 0) to each
+    row whose id is divisible by `every`, exactly. Segments have `width` bits (16 at most; about log2 of the number of rows)."""
+    shelf = Shelf(vectors.sparkSession)
+
+    def coded(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for dim in np.unique(table.column("dim").to_numpy()):
+                part = table.filter(pc.equal(table.column("dim"), int(dim)))
+                code = segments(_matrix(part) > 0, width).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(code) + 1) * code.shape[1], pa.int32()), pa.array(code.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("vec_id").combine_chunks(), part.column("dim").combine_chunks(), lists], names=["vec_id", "dim", "code"])
+
+    rows = shelf.save(usable(vectors).mapInArrow(coded, "vec_id long, dim int, code array<int>"))
+    of = ["dim", "code"]
+    # more ids of one code than a result can hold never matter
+    codes = _firsts(rows, k + 1, of, "vec_id").groupBy(*of).agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    postings = shelf.save(codes.select("dim", F.posexplode("code").alias("segment", "value"), "code", "ids"))
+    total = postings.where("segment = 0").groupBy("dim").agg(F.count("*").alias("total"))
+    asked = rows.where(F.col("vec_id") % every == 0)
+    live = shelf.save(asked.select(F.col("dim"), F.col("code").alias("query")).distinct().join(F.broadcast(total), "dim").withColumn("found", F.lit(0).cast("long")))
+    best = vectors.sparkSession.createDataFrame([], "dim int, query array<int>, distance int, vec_id long")
+    done, key = best, ["dim", "query"]
+    for radius in range(width + 1):
+        masks = F.split(F.lit(",".join(str(m) for m in range(1 << width) if m.bit_count() == radius)), ",").cast("array<int>")
+        probes = live.select(*key, F.posexplode("query").alias("segment", "at")).withColumn("mask", F.explode(masks))
+        probes = probes.select(*key, "segment", F.col("at").bitwiseXOR(F.col("mask")).alias("value"))
+        hits = probes.join(postings, ["dim", "segment", "value"])
+        gaps = F.zip_with("query", "code", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+        hits = hits.withColumn("gaps", gaps)
+        # a code is new in this round if no segment is nearer, and counts in the first segment that is so near
+        hits = hits.where((F.array_min("gaps") == radius) & (F.array_position("gaps", radius) == F.col("segment") + 1))
+        hits = hits.select(*key, F.aggregate("gaps", F.lit(0), lambda a, b: a + b).alias("distance"), "ids")
+        hits = shelf.save(hits)
+        counts = hits.groupBy(*key).agg(F.count("*").alias("more"))
+        new = hits.select(*key, "distance", F.explode("ids").alias("vec_id"))
+        merged = shelf.save(_firsts(best.unionByName(new), k + 1, key, "distance", "vec_id").drop("rank"))
+        # codes not found yet differ by more than the radius in every segment
+        ends = merged.groupBy(*key).agg(F.count("*").alias("n"), F.max("distance").alias("far"))
+        state = live.join(counts, key, "left").withColumn("found", F.col("found") + F.coalesce("more", F.lit(0))).drop("more").join(ends, key, "left")
+        covered = (F.coalesce("n", F.lit(0)) > k) & (F.col("far") < F.size("query") * (radius + 1))
+        state = shelf.save(state.withColumn("over", covered | (F.col("found") == F.col("total"))))
+        over = state.where("over").select(*key)
+        done = done.unionByName(shelf.save(merged.join(over, key, "left_semi")))
+        best = shelf.save(merged.join(over, key, "left_anti"))
+        live = state.where("not over").select(*key, "total", "found")
+        shelf.drop(hits, merged)
+        if not live.limit(1).count():
+            break
+    answers = asked.select("dim", F.col("code").alias("query"), F.col("vec_id").alias("query_id")).join(done, key).where("query_id <> vec_id")
+    out = _firsts(answers, k, ["query_id"], "distance", "vec_id")
+    return out.select("query_id", "rank", "vec_id", F.col("distance").cast("long").alias("distance"))
 
 
 class Codes:
@@ -136,41 +186,31 @@ class Codes:
         return (rows - self.mean) @ self.rotation > 0
 
 
-def approximate_top_k(vectors: DataFrame, every: int = 20, k: int = 20, sample: int = 5000, recall: float = 0.97, width: int = 8) -> DataFrame:
+def approximate_top_k(vectors: DataFrame, every: int = 20, k: int = 20, sample: int = 5000, recall: float = 0.92, width: int = 16) -> DataFrame:
     """query_id, rank, vec_id and score: of each row whose id is divisible by `every`, the k rows with the largest inner
-    product among those whose codes are near. Rotation and radius come from about `sample` vectors of each dimension."""
+    product among those whose codes are near. Rotation and radius come from about `sample` vectors of each dimension, one
+    dimension after the other; the radius is wide enough for `recall` of the nearest ones in the sample."""
     rows = usable(vectors)
     sizes = {r.dim: r.n for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect()}
     chance = F.pmod(F.xxhash64("vec_id", F.lit(61)), F.lit(1 << 20)) / float(1 << 20)
     codes = {}
-    for dim in sorted(sizes, key=sizes.get)[-4:]:  # other dimensions are searched in full
-        part = rows.where((F.col("dim") == dim) & (chance < min(1.0, sample / sizes[dim]))).select("embedding").toArrow()
-        if len(part):
-            codes[dim] = Codes(_matrix(part), k, recall)
+    for dim, n in sorted(sizes.items()):
+        part = rows.where((F.col("dim") == dim) & (chance < min(1.0, sample / n))).orderBy("vec_id").select("embedding").toArrow()
+        codes[dim] = Codes(_matrix(part) if len(part) else np.zeros((1, dim)), k, recall)
 
     def search(ids, rows, query_ids, queries):
-        model = codes.get(rows.shape[1])
-        if model:
-            index, query_codes = Segments(model.bits(rows), width), Segments(model.bits(queries), width).values
+        model = codes[rows.shape[1]]
+        index, query_codes = Index(model.bits(rows), width), segments(model.bits(queries), width)
         for i, q in enumerate(query_ids):
-            found = np.flatnonzero(ids != q)
-            if model:
-                radius = model.radius
-                while True:  # wider only where a block holds too few
-                    least, extra = divmod(radius, index.n)
-                    seen = np.zeros(len(ids), bool)
-                    for s in range(index.n):  # within the radius some segment is within `least`, or within one less for those past `extra`
-                        if (r := least if s <= extra else least - 1) >= 0:
-                            seen[index.near(query_codes[i], s, range(min(r, width) + 1))] = True
-                    seen &= ids != q
-                    near = np.flatnonzero(seen)
-                    near = near[index.distances(query_codes[i], near) <= radius]
-                    if len(near) >= min(k, len(found)) or radius >= index.n * width:
-                        break
-                    radius += index.n
-                found = near
+            radius, others = model.radius, int((ids != q).sum())
+            while True:  # wider only where a block holds too few
+                found = index.within(query_codes[i], radius)
+                found = found[(index.distances(query_codes[i], found) <= radius) & (ids[found] != q)]
+                if len(found) >= min(k, others) or radius >= index.n * width:
+                    break
+                radius += index.n
             scores = (rows[found] * queries[i]).sum(1)
             best = _best(ids[found], -scores, k)
             yield q, ids[found[best]], scores[best]
 
-    return in_blocks(rows, every, k, search, "score", False)
+    return in_blocks(rows, every, k, search)
