@@ -3,7 +3,8 @@
 Each language has a probability for every piece of a fixed public vocabulary (letter pieces only; characters outside
 it have a small fixed probability). A word's probability is the sum over all its segmentations into pieces, by a
 forward recursion; a text's is the product over its words. Piece probabilities are learned by expectation-maximisation
-on a bounded sample of texts whose language is known: about `sample` documents of each language.
+on a bounded sample of texts whose language is known: about `sample` documents of each language. Scoring sums over all
+segmentations of words of any length; in learning alone, words of over 64 characters count as their parts of 64.
 
 Null texts and texts without letters give `und` with score 0; ties go to the language that sorts first; repeated rows
 are scored alike. Only doc_id, text and lang are read, lang for learning alone.
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 from pagesift.llm.common import text_chunks
 from pagesift.llm.lattice import PieceTable
 
-#: Words held by a worker's cache at most; beyond, it starts anew.
-CACHE = 400_000
+#: Words held by a worker's cache at most, and their letters; beyond, it starts anew.
+CACHE, LETTERS = 400_000, 1 << 25
+#: Words over LONG characters are scored one by one, in stretches.
+LONG, STRETCH = 64, 4096
 _FLOOR = 1e-9
 _LETTERS = re.compile(r"[^\W\d_]+")
 _WORD_END = "▁"
@@ -42,7 +45,7 @@ class Unigrams:
 
     def __init__(self, pieces: list[str], probs: np.ndarray):
         self.table, self.probs = PieceTable(pieces), probs
-        self.seen, self.scores = {}, np.zeros((0, probs.shape[1]))
+        self.seen, self.scores, self.held = {}, np.zeros((0, probs.shape[1])), 0
 
     def _weights(self, words: list[str], size: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
         """For each piece length: its index at each start (-1: none; the last row of probs for single characters), and its probabilities."""
@@ -82,29 +85,44 @@ class Unigrams:
             np.add.at(out, e[e >= 0], post[e >= 0])
         return out
 
+    def long(self, word: str) -> np.ndarray:
+        """Log probabilities (languages) of one word, by the same recursion from each start on, in stretches of bounded memory."""
+        size, far = len(word), self.table.longest
+        log = np.full((size + far + 1, self.probs.shape[1]), -np.inf)
+        log[0] = 0
+        for first in range(0, size, STRETCH):
+            part, m = word[first : first + STRETCH + far - 1], min(STRETCH, size - first)
+            steps = np.full((m, far, self.probs.shape[1]), -np.inf)
+            for n, _, p in self._weights([part], len(part)):
+                with np.errstate(divide="ignore"):
+                    steps[: len(p), n - 1] = np.log(p[:m, 0])
+            for k in range(m):
+                ends = log[first + k + 1 : first + k + 1 + far]
+                np.logaddexp(ends, log[first + k] + steps[k], out=ends)
+        return log[size]
+
     def words(self, words: list[str]) -> None:
-        """Learn the scores of new words. Words of over 64 characters are cut into parts of 64, each scored on its own."""
-        if len(self.seen) > CACHE:
-            self.seen, self.scores = {}, np.zeros((0, self.probs.shape[1]))
-        by_size, owner = defaultdict(list), defaultdict(list)
+        """Learn the scores of new words."""
+        by_size = defaultdict(list)
         for i, w in enumerate(words):
-            w = _WORD_END + w
-            for k in range(0, len(w), 64):
-                by_size[len(part := w[k : k + 64])].append(part)
-                owner[len(part)].append(i)
+            by_size[min(len(w) + 1, LONG + 1)].append(i)
         scores = np.zeros((len(words), self.probs.shape[1]))
+        for i in by_size.pop(LONG + 1, []):
+            scores[i] = self.long(_WORD_END + words[i])
         for size, group in by_size.items():
             step = max(1, 400_000 // (size * self.probs.shape[1]))
             for k in range(0, len(group), step):
-                np.add.at(scores, owner[size][k : k + step], self.forward(group[k : k + step], size)[2])
+                at = group[k : k + step]
+                scores[at] = self.forward([_WORD_END + words[i] for i in at], size)[2]
         self.seen.update(zip(words, range(len(self.scores), len(self.scores) + len(words)), strict=True))
         self.scores = np.concatenate([self.scores, scores])
+        self.held += sum(map(len, words))
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log likelihoods (texts, languages), and which texts have letters."""
         split = [_LETTERS.findall(t.lower()) for t in texts]
-        if len(self.seen) > CACHE:
-            self.words([])
+        if len(self.seen) > CACHE or self.held > LETTERS:
+            self.seen, self.scores, self.held = {}, np.zeros((0, self.probs.shape[1])), 0
         self.words(list(set().union(*split).difference(self.seen)))
         out, some = np.zeros((len(texts), self.probs.shape[1])), np.zeros(len(texts), bool)
         for i, w in enumerate(split):
@@ -128,16 +146,17 @@ def learn(docs: DataFrame, pieces: list[str], sample: int = 300, rounds: int = 3
     table = rows.pivot_table(index="word", columns="lang", values="n", fill_value=0).reindex(columns=langs, fill_value=0).sort_index() if len(rows) else pd.DataFrame(columns=langs)
     by_size = defaultdict(list)
     for i, w in enumerate(table.index):
-        if len(w) < 40:
-            by_size[len(w) + 1].append(i)
+        w = _WORD_END + w
+        for k in range(0, len(w), LONG):
+            by_size[len(part := w[k : k + LONG])].append((part, i))
     model = Unigrams(pieces, np.full((len(pieces) + 1, len(langs)), 1.0 / (len(pieces) + 1)))
     counts = table.to_numpy(float)
     for _ in range(rounds):
         got = np.zeros_like(model.probs)
         for size, which in by_size.items():
             for k in range(0, len(which), 4000):
-                at = which[k : k + 4000]
-                got += model.expected([_WORD_END + table.index[i] for i in at], size, counts[at])
+                parts, at = zip(*which[k : k + 4000], strict=True)
+                got += model.expected(list(parts), size, counts[list(at)])
         got += 1e-3
         model.probs = got / got.sum(0)
         model.probs[-1] = _FLOOR
