@@ -1,8 +1,9 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, found in block-max inverted indexes.
 
 A bounded sample of labelled documents (about `per_class` of each class) is the index. Its terms are lower-case words
-and their first 4 to 8 letters where more follow (words of one stem) that tell the classes apart in the sample: by chi-square, by a ratio
-of their rates and by a least number of documents, `terms` at most; copies count once. Each term's
+and their first 4 to 8 letters where more follow (words of one stem) that tell the classes apart in the sample: by
+chi-square (25 or more), by their rates (three times apart) and by their documents (eight and a hundredth of a class);
+all such terms are taken, and copies count once, for the least doc_id. The cosine is over these terms. Each term's
 postings are cut into blocks of 64 examples with the largest weight of each; the sum of a query's block maxima bounds
 every example in a block, so blocks are read from the highest bound down until none can beat the k-th best: the k
 nearest are exact. Their votes, weighted by cosine, are turned into a score by a logistic curve that is fitted to
@@ -118,7 +119,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(vote * self.curve[0] + self.curve[1], -30, 30)))), [self.ids[i] for i in ids]
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2000, terms: int = 1024, k: int = 7) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2000, k: int = 7) -> Model:
     """A model from docs(doc_id, text) and labels(doc_id, toxic), whose rows are those to learn from."""
     labels = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = {r.toxic: r.n for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -127,7 +128,8 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2000, terms: int
     picked = labels.where(chance < F.when(F.col("toxic") == 1, min(1.0, per_class / max(n1, 1))).otherwise(min(1.0, per_class / max(n0, 1))))
     words = F.explode(F.expr(r"regexp_extract_all(lower(text), '[\\p{L}]+', 0)"))
     starts = [F.when(F.length("word") > n, F.concat(F.substring("word", 1, n), F.lit("*"))) for n in STEMS]
-    some = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["text", "toxic"]).select("doc_id", "toxic", words.alias("word"))  # at most about 2 per_class rows
+    some = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most about 2 per_class rows
+    some = some.groupBy("text", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic", words.alias("word"))
     some = some.select("doc_id", "toxic", F.explode(F.array("word", *starts)).alias("term")).where("term is not null")
     counts = some.groupBy("doc_id", "toxic", "term").agg(F.count("*").alias("n")).cache()
     sizes = {r.toxic: r.n for r in counts.groupBy("toxic").agg(F.countDistinct("doc_id").alias("n")).collect()}
@@ -137,7 +139,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2000, terms: int
     both = (F.col("p") + F.col("q")) / float(a + b)
     chi = ((rate1 - rate0) ** 2) / (both * (1 - both) + 1e-9) * (a * b / float(a + b))
     rates = rates.withColumn("chi", chi).where((chi >= 25) & (F.greatest(F.col("p") / float(a), F.col("q") / float(b)) >= 0.01) & (F.greatest("p", "q") >= 8) & (F.abs(F.log(rate1 / rate0)) >= float(np.log(3.0))))
-    chosen = rates.orderBy(F.desc("chi"), "term").limit(terms).collect()
+    chosen = rates.orderBy(F.desc("chi"), "term").collect()  # terms of the examples alone
     at = {r.term: i for i, r in enumerate(chosen)}
     idf = np.array([np.log((1 + a + b) / (1 + r.p + r.q)) + 1 for r in chosen])
     examples: dict = {(r.doc_id, r.toxic): {} for r in counts.select("doc_id", "toxic").distinct().collect()}
