@@ -4,8 +4,9 @@ Every document draws an exponential key from a hash of its id and text, divided
 weighted sampling without replacement. A source's target is met by complete epochs over it first; the rest is taken
 from the start of its documents in key order, by a prefix sum of sizes against the budget left.
 
-The prefix sum is in two steps, so that no source meets in one task: sums of key ranges (about `range_rows` documents
-each), then a running sum within a range. Sources are few next to documents; their targets come from one small table.
+The prefix sum is in two steps, so that no source meets in one task: sums of ranges of keys, then a running sum within a
+range. Ranges are even steps of the key's logarithm, `steps` to each doubling: whatever the weights, one holds at most
+about a part of 4 * steps of a source, and a source has a bounded number of them. Targets come from one row a source.
 
 Null and empty texts have size 0 and are taken 0 times; a null source is a source of its own, the last; ties of keys
 (repeated rows) go by size; weights that are null or not positive count as 1. Only the columns named are read.
@@ -65,16 +66,15 @@ def keyed(docs: DataFrame) -> DataFrame:
     return with_size(docs).withColumn("key", -F.log(unit) / weight)
 
 
-def mix(docs: DataFrame, most: float = 3.0, range_rows: int = 2_000) -> DataFrame:
+def mix(docs: DataFrame, most: float = 3.0, steps: int = 256) -> DataFrame:
     """doc_id, source, key, size, source_size, target, epochs and taken of every row of docs(doc_id, text, source, weight).
 
     A document is in the mix taken / size times: epochs times, and once more at the start of its source's order.
     """
     rows = saved(keyed(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "source", "size", "key"))
-    sizes = saved(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows")))
-    goals = saved(targets(sizes, most).alias("t").join(sizes.alias("s"), _same("t", "s")).select("t.*", "source_rows"))
-    # keys are about exponential: 1 - exp(-key) is about even, and so are ranges of it
-    place = F.floor((1 - F.exp(-F.col("key"))) * F.ceil(F.col("source_rows") / float(range_rows))).cast("long")
+    sizes = saved(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
+    goals = saved(targets(sizes, most))
+    place = F.floor(F.log2("key") * steps).cast("long")
     out = rows.alias("r").join(_small(goals).alias("g"), _same("r", "g")).select("r.*", "source_size", "target", place.alias("place"))
     before = W.partitionBy("source").orderBy("place").rowsBetween(W.unboundedPreceding, -1)
     ranges = out.groupBy("source", "place").agg(F.sum("size").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
@@ -95,7 +95,8 @@ def mixed_copies(docs: DataFrame, most: float = 3.0) -> DataFrame:
     taken = saved(mix(docs, most))
     last = F.max(F.when((F.col("taken") > F.col("epochs") * F.col("size")), F.struct("key", "doc_id", "size")))
     ends = saved(taken.groupBy("source").agg(F.max("epochs").alias("epochs"), last.alias("last")))
+    whole = F.struct(*[c for c in docs.columns if c != "weight"]).alias("whole")
     here = F.struct("d.key", F.col("d.doc_id").cast("long").alias("doc_id"), "d.size")
     copies = F.when(F.col("size") == 0, 1).otherwise(F.col("epochs") + F.coalesce((here <= F.col("last")).cast("long"), F.lit(0)))
-    rows = keyed(docs).alias("d").join(_small(ends).alias("e"), _same("d", "e")).where(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
-    return rows.select(*[F.col(f"d.{c}") for c in docs.columns if c != "weight"])
+    rows = keyed(docs.select(whole, "doc_id", "text", "source", "weight")).alias("d").join(_small(ends).alias("e"), _same("d", "e")).where(copies > 0)
+    return rows.select("whole", F.explode(F.sequence(F.lit(1), copies.cast("int")))).select("whole.*")

@@ -138,7 +138,7 @@ def test_repeats(spark, docs, texts):
 
 def test_mix(docs, texts):
     rows = docs.select("doc_id", "text", "source", mixing.quality().alias("weight"))
-    got, again = (mixing.mix(rows, range_rows=7).toPandas().sort_values("doc_id", ignore_index=True) for _ in range(2))
+    got, again = (mixing.mix(rows, steps=7).toPandas().sort_values("doc_id", ignore_index=True) for _ in range(2))
     pd.testing.assert_frame_equal(got, again)
     assert [*got["size"]] == [len(WORDS.findall(texts[i])) for i in got.doc_id]
     sizes = got.groupby("source")["size"].sum()
