@@ -71,8 +71,8 @@ ORACLE_SQL = {
         p AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, w FROM d),
         g AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM p WHERE i + 34 <= len(w)),
         r AS (SELECT h FROM g GROUP BY h HAVING count(*) > 1),
-        s AS (SELECT doc_id, list(i) AS at FROM g SEMI JOIN r USING (h) GROUP BY doc_id),
-        k AS (SELECT d.doc_id, len(w) AS n_words, w, list_distinct(flatten(list_transform(coalesce(at, []), lambda x: range(x, x + 35)))) AS gone
+        s AS (SELECT doc_id, list(i) AS starts FROM g SEMI JOIN r USING (h) GROUP BY doc_id),
+        k AS (SELECT d.doc_id, len(w) AS n_words, w, list_distinct(flatten(list_transform(coalesce(starts, []), lambda x: range(x, x + 35)))) AS gone
               FROM d LEFT JOIN s USING (doc_id)),
         o AS (SELECT doc_id, n_words, len(gone) AS n_removed,
                      coalesce(array_to_string(list_filter(w, lambda x, i: NOT list_contains(gone, i)), ' '), '') AS kept FROM k)
