@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from pagesift.llm.common import text_chunks
 
-#: Words held by a worker's cache at most; beyond, it starts anew.
-CACHE = 400_000
+#: Words held by a worker's cache at most, and their letters; beyond, it starts anew.
+CACHE, LETTERS = 400_000, 1 << 25
 _WORDS = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 
 
@@ -101,7 +101,7 @@ class Counter:
     """Token counts of words, remembered. A word is a run without ASCII white space, in which no token can cross an end."""
 
     def __init__(self, model: dict):
-        self.model, self.seen = model, {}
+        self.model, self.seen, self.held = model, {}, 0
         self.pattern = regex.compile(model["pattern"])
         self.special = re.compile("(" + "|".join(map(re.escape, model["special"])) + ")") if model["special"] else None
 
@@ -120,9 +120,10 @@ class Counter:
 
     def counts(self, texts: list[str]) -> list[int]:
         words = [_WORDS.findall(t) for t in texts]
-        if len(self.seen) > CACHE:
-            self.seen = {}
+        if len(self.seen) > CACHE or self.held > LETTERS:
+            self.seen, self.held = {}, 0
         new = set().union(*words).difference(self.seen)
+        self.held += sum(map(len, new))
         self._learn(list(new))
         get = self.seen.__getitem__
         return [sum(map(get, w)) for w in words]
