@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagesift.llm.common import Shelf
+from pagesift.llm.common import Shelf, saved
 
 QUERIES, ROWS, BLOCKS = 8192, 16_384, 8
 
@@ -190,7 +190,7 @@ def approximate_top_k(vectors: DataFrame, every: int = 20, k: int = 20, sample:
     """query_id, rank, vec_id and score: of each row whose id is divisible by `every`, the k rows with the largest inner
     product among those whose codes are near. Rotation and radius come from about `sample` vectors of each dimension, one
     dimension after the other; the radius is wide enough for `recall` of the nearest ones in the sample."""
-    rows = usable(vectors)
+    rows = saved(usable(vectors))
     sizes = {r.dim: r.n for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect()}
     chance = F.pmod(F.xxhash64("vec_id", F.lit(61)), F.lit(1 << 20)) / float(1 << 20)
     codes = {}
