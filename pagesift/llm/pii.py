@@ -1,13 +1,15 @@
 """Personal data: base patterns, and a semi-Markov conditional random field that adds spans.
 
 Base: leftmost non-overlapping matches of each kind, found in time linear in the text; matches that fail their check
-are dropped. The model reads islands: stretches of neighbouring words that hold digits or an @, at most 48 tokens long
-(runs of letters, runs of digits, single other characters). A segment of at most 16 tokens of an island is an entity of
-some kind with a score by features of the whole span; tokens outside entities score 0. As no entity goes without a
-digit or @, islands decode on their own. Boundaries and kinds are chosen jointly by dynamic programming. Features see
+are dropped. The model reads islands: stretches of neighbouring words that hold digits or an @, in tokens (runs of
+letters, runs of digits, single other characters). Entities are bounded, at `LONGEST` tokens, and so are islands: one
+begins at most `BACK` characters before its first digit or @, takes at most `PART` characters of a word, takes no
+further word once it has `REACH` characters, and ends after `ISLAND` tokens; what lies beyond begins the next island, so
+that all digits and @ of a text are in one. A segment of an island is an entity of some kind with a score by features of
+the whole span; tokens outside entities score 0. As no entity goes without a digit or @, islands decode on their own. Boundaries and kinds are chosen jointly by dynamic programming. Features see
 tokens by shape alone (and which segments pass the check of card numbers), so that islands of one shape share a decoding. Weights are learned by maximum likelihood from
-the base matches in a bounded sample of documents (`sample`, about), with `hidden` of the telling first characters
-withheld so that spans are known by their other features too. Model spans that touch a base span are dropped.
+the base matches in a bounded sample of documents (`sample`, about), on the `shapes` most frequent shapes of islands in
+it, with `hidden` of the telling first characters withheld so that spans are known by their other features too. Model spans that touch a base span are dropped.
 
 Null and empty texts have no spans; repeated rows and clashing columns don't matter (doc_id and text alone are read).
 """
@@ -25,6 +27,7 @@ from pagesift.llm.common import text_chunks
 
 KINDS = ("email", "ip", "card", "phone")
 LONGEST, ISLAND, FEATURES = 16, 48, 20
+BACK, PART, REACH = 40, 64, 160
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -33,8 +36,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 _SIGN = re.compile("[0-9@]")
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|.", re.S)
-_WORD = re.compile(r"\S{1,64}")
-_NEXT = re.compile(r"\s{1,2}(?=\S{0,64}[0-9@])")
+_WORD = re.compile(rf"\S{{1,{PART}}}")
+_NEXT = re.compile(rf"\s{{1,2}}(?=\S{{0,{PART}}}[0-9@])")
 
 
 def luhn(digits: str) -> bool:
@@ -70,12 +73,12 @@ def islands(text: str):
     """(start of each token, ends with the end of the last; shape of each token) of each island."""
     done = 0
     while m := _SIGN.search(text, done):
-        low = max(done, m.start() - 40)
+        low = max(done, m.start() - BACK)
         start = next((k + 1 for k in range(m.start() - 1, low - 1, -1) if text[k].isspace()), low)
         end = m.end()
         if w := _WORD.match(text, end):
             end = w.end()
-        while end - start < 160 and (w := _NEXT.match(text, end)):
+        while end - start < REACH and (w := _NEXT.match(text, end)):
             end = _WORD.match(text, w.end()).end()
         tokens = list(_TOKEN.finditer(text, start, end))[:ISLAND]
         end = max(tokens[-1].end(), m.end())
