@@ -217,3 +217,39 @@ CODE_LANGUAGES = (
     "python", "javascript", "typescript", "java", "c", "cpp", "csharp", "go", "rust", "ruby", "php", "swift", "kotlin", "scala", "sql", "bash",
     "shell", "html", "css", "json", "yaml", "xml", "r", "perl", "lua", "dart", "haskell", "elixir", "clojure", "jsx", "tsx",
 )
+
+# Elements dropped from a page's text, and signs of a bot challenge.
+DROPPED_ELEMENTS = (
+    "script", "style", "nav", "header", "footer", "aside", "form", "iframe", "noscript",
+    "svg", "canvas", "dialog", "video", "audio", "button", "input", "select", "textarea",
+)
+CHALLENGE_SIGNS = (
+    "just a moment", "cf-browser-verification", "cloudflare-challenge", "challenge-error-text",
+    "enable javascript and cookies to continue", "cf-chl-bypass", "cf-challenge-body",
+)
+
+# Patterns of dates in snippets and contents, with [0-9] for digits so that all engines read them alike.
+_MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
+_SHORT_MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
+SNIPPET_ISO_DATE = r"\b(202[0-9]-[01][0-9]-[0123][0-9])\b"
+SNIPPET_WRITTEN_DATE = rf"(?i)\b({_MONTHS}|{_SHORT_MONTHS})\s+[0-9]{{1,2}},?\s+(202[0-9])\b"
+SNIPPET_YEAR = r"\b(202[0-9]|2019)\b"
+CONTENT_METADATA_DATE = r'"(?:datePublished|date|publishedAt|pubDate)"\s*:\s*"([0-9]{4}-[0-9]{2}-[0-9]{2})'
+CONTENT_ISO_DATE = r"\b(202[0-9]-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01]))\b"
+CONTENT_WRITTEN_DATE = rf"\b(?:{_MONTHS})\s+[0-9]{{1,2}},?\s+(202[0-9])\b"
+
+# What sanitizing takes out, and the notes of texts that are cut.
+SCRIPT_URI = r"(?:javascript|vbscript|data:(?:text/html|application/[a-z+\-]+)):[^\s]*"
+CONTROL_CHARACTERS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
+FENCE = r"(```\w*\n.*?\n```)"
+SAFETY_NOTE = "\n\n[Content truncated for safety.]"
+CONTENT_NOTE = "\n\n[Content truncated...]"
+
+# How long a citation's claim is at most, and where sentences end.
+CLAIM_SIZE = 300
+SENTENCE_ENDS = (". ", ".\n", "! ", "? ")
+
+# Words of sites that suit a query's profile.
+NEWS_SITES = ("reuters", "apnews", "bbc", "cnn", "news", "bloomberg")
+ACADEMIC_SITES = ("arxiv", "pubmed", "doi", "acm", "ieee", "springer")
+DOC_SITES = ("docs", "documentation", "api", "developer")

@@ -5,8 +5,7 @@ from urllib.parse import urljoin, urlsplit
 
 from pagesift import constants as K
 
-#: Elements whose whole content is dropped from the main text.
-DROPPED = ("script", "style", "nav", "header", "footer", "aside", "form", "iframe", "noscript", "svg", "canvas", "dialog", "video", "audio", "button", "input", "select", "textarea")
+DROPPED = K.DROPPED_ELEMENTS
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
@@ -20,6 +19,17 @@ def language_of(classes: str) -> str:
     return ""
 
 
+def resolved(base: str, href: str) -> tuple[str, str]:
+    """The link's full URL and its host; as it stands where it can't be joined, and without a host where it can't be parsed."""
+    for join in (urljoin, lambda _, own: own):
+        try:
+            url = join(base, href)
+            return url, urlsplit(url).netloc.lower()
+        except ValueError:
+            continue
+    return href, ""
+
+
 class Code(str):
     """A fenced block, which keeps its white space."""
 
@@ -30,25 +40,29 @@ class Page(HTMLParser):
     def __init__(self, url: str, scope: str):
         super().__init__(convert_charrefs=True)
         self.url, self.all = url, scope == "all"
-        self.host = urlsplit(url).netloc
+        self.host = resolved(url, "")[1]
         self.open: list[str] = []
         self.dropped = 0
         self.texts = {"main": [], "article": [], "body": []}
+        self.all_text: list[str] = []
+        self.seen: set[str] = set()
         self.done: set[str] = set()
-        self.title, self.meta, self.links, self.images, self.anchor = None, {}, [], [], None
+        self.title, self.og_title, self.meta, self.named, self.links, self.images, self.anchor = None, "", {}, {}, [], [], None
         self.block: list | None = None  # tag, language and texts of the code block under way
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
         seen = self.all or not (self.dropped or tag in DROPPED)
-        if tag == "meta" and seen and (name := a.get("name") or a.get("property")) and "content" in a:
-            self.meta[name] = a["content"]
-        elif tag == "link" and seen and a.get("rel", "").lower() == "canonical" and a.get("href"):
-            self.meta["canonical_url"] = a["href"]
+        if tag == "meta":
+            self._meta(a, seen)
+        elif tag == "link" and seen and "canonical" in a.get("rel", "").lower().split():
+            self.named.setdefault("canonical_url", a.get("href", ""))
         elif tag == "img" and seen and (src := a.get("src") or a.get("data-src")):
-            self.images.append((urljoin(self.url, src), a.get("alt", "")))
-        elif tag == "a" and seen and a.get("href"):
-            self.anchor = [urljoin(self.url, a["href"]), []]
+            self.images.append((resolved(self.url, src)[0], a.get("alt", "")))
+        elif tag == "a":
+            self._linked()  # a link that isn't closed ends where the next begins
+            if seen and "href" in a:
+                self.anchor = [*resolved(self.url, a["href"].strip()), a.get("title", ""), []]
         if tag in ("pre", "code") and self.block is None:
             self.block = [tag, language_of(a.get("class", "")), []]
         elif tag == "code" and self.block[0] == "pre":  # only the code inside counts
@@ -57,11 +71,27 @@ class Page(HTMLParser):
             return
         self.open.append(tag)
         self.dropped += tag in DROPPED
+        if tag in self.texts and not self.dropped:
+            self.seen.add(tag)
+
+    def _meta(self, a: dict, seen: bool) -> None:
+        name, content = a.get("name") or a.get("property"), a.get("content", "")
+        if a.get("property") == "og:title" and not self.og_title:
+            self.og_title = content
+        if seen and name and content:
+            self.meta[name] = content
+        if seen and a.get("name") in ("description", "keywords", "author"):  # of these the first holds
+            self.named.setdefault(a["name"], content)
+
+    def _linked(self) -> None:
+        if self.anchor:
+            url, host, title, parts = self.anchor
+            self.links.append((url, host, "".join(x.strip() for x in parts)[:100], title))
+            self.anchor = None
 
     def handle_endtag(self, tag):
-        if tag == "a" and self.anchor:
-            self.links.append((self.anchor[0], " ".join("".join(self.anchor[1]).split())[:100]))
-            self.anchor = None
+        if tag == "a":
+            self._linked()
         if tag in self.open:
             while (last := self.open.pop()) != tag:
                 self._left(last)
@@ -77,8 +107,8 @@ class Page(HTMLParser):
     def handle_data(self, data):
         if self.open and self.open[-1] == "title" and self.title is None and data.strip():
             self.title = data.strip()
-        if self.anchor:
-            self.anchor[1].append(data)
+        if self.anchor and not (self.open and self.open[-1] in ("script", "style")):
+            self.anchor[3].append(data)
         if self.block is not None:
             self.block[2].append(data)
             return
@@ -102,10 +132,12 @@ class Page(HTMLParser):
         super().close()
         if self.block:
             self._emit()
+        self._linked()
 
     def _add(self, text):
         if not text or self.dropped or "title" in self.open:
             return
+        self.all_text.append(text)
         for scope in self.texts:
             if scope in self.open and scope not in self.done:
                 self.texts[scope].append(text)
@@ -115,16 +147,16 @@ def extract(url: str | None, html: str | None, scope: str = "body", max_chars: i
     page = Page(url or "", scope)
     page.feed(html or "")
     page.close()
-    text = next((t for t in (page.texts["main"], page.texts["article"], page.texts["body"]) if t), [])
+    # without main, article and body the whole page counts
+    text = next((page.texts[x] for x in page.texts if x in page.seen), page.all_text)
     lines = [line for part in text for line in ([part] if isinstance(part, Code) else (" ".join(x.split()) for x in part.split("\n")))]
     content = "\n".join(x for x in lines if x)[:max_chars]
-    links = page.links[:max_links]
-    inner = [x for x in links if urlsplit(x[0]).netloc == page.host]
+    links = [{"url": u, "host": h, "text": t, "title": title} for u, h, t, title in page.links[:max_links]]
     return {
-        "title": page.title or page.meta.get("og:title") or "No title found",
+        "title": page.title or page.og_title or "No title found",
         "content": content,
-        "metadata": page.meta,
-        "internal": [{"url": u, "text": t} for u, t in inner],
-        "external": [{"url": u, "text": t} for u, t in links if urlsplit(u).netloc != page.host],
+        "metadata": page.meta | page.named,
+        "internal": [x for x in links if x["host"] == page.host],
+        "external": [x for x in links if x["host"] != page.host],
         "images": [{"url": u, "alt": t} for u, t in page.images[:max_images]],
     }

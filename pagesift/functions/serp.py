@@ -3,7 +3,7 @@
 from html.parser import HTMLParser
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-#: For each provider: class of a hit's container, then (tag, classes) of title, link and snippet; None stands for any class.
+#: Fixed values, for each provider: class of a hit's container, then (tag, classes) of title, link and snippet; None stands for any class.
 SHAPES = {
     "duckduckgo": ("result", ("a", ("result__a",)), ("a", ("result__a",)), ("a", ("result__snippet",))),
     "google": ("g", ("h3", None), ("a", None), ("div", ("VwiC3b", "s3v94d", "Lyiue"))),

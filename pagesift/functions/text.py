@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from pagesift import constants as K
 
-_MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
 
 
 def some(column: Column) -> Column:
@@ -58,11 +57,10 @@ def snippet(text: Column, size: int = 280) -> Column:
 
 def snippet_date(text: Column) -> Column:
     """An ISO date, else the year of a written date, else a bare year."""
-    short = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
     return F.coalesce(
-        some(F.regexp_extract(text, r"\b(202[0-9]-[01][0-9]-[0123][0-9])\b", 1)),
-        some(F.regexp_extract(text, rf"(?i)\b({_MONTHS}|{short})\s+[0-9]{{1,2}},?\s+(202[0-9])\b", 2)),
-        some(F.regexp_extract(text, r"\b(202[0-9]|2019)\b", 1)),
+        some(F.regexp_extract(text, K.SNIPPET_ISO_DATE, 1)),
+        some(F.regexp_extract(text, K.SNIPPET_WRITTEN_DATE, 2)),
+        some(F.regexp_extract(text, K.SNIPPET_YEAR, 1)),
     )
 
 
@@ -70,15 +68,15 @@ def content_date(text: Column) -> Column:
     """A date in JSON metadata, else an ISO date, else the year of a written date, in the first 4000 characters."""
     head = F.substring(F.coalesce(text, F.lit("")), 1, 4000)
     return F.coalesce(
-        some(F.regexp_extract(head, r'"(?:datePublished|date|publishedAt|pubDate)"\s*:\s*"([0-9]{4}-[0-9]{2}-[0-9]{2})', 1)),
-        some(F.regexp_extract(head, r"\b(202[0-9]-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01]))\b", 1)),
-        some(F.regexp_extract(head, rf"\b(?:{_MONTHS})\s+[0-9]{{1,2}},?\s+(202[0-9])\b", 1)),
+        some(F.regexp_extract(head, K.CONTENT_METADATA_DATE, 1)),
+        some(F.regexp_extract(head, K.CONTENT_ISO_DATE, 1)),
+        some(F.regexp_extract(head, K.CONTENT_WRITTEN_DATE, 1)),
     )
 
 
 def freshness(date: Column, text: Column, as_of_year: int) -> Column:
     """By age in years of the date, or of the first year in the text: 0.20, 0.10, 0, -0.10 or -0.15; 0 if unknown."""
-    year = F.coalesce(F.substring(date, 1, 4), some(F.regexp_extract(F.coalesce(text, F.lit("")), r"\b(202[0-9]|2019)\b", 1)))
+    year = F.coalesce(F.substring(date, 1, 4), some(F.regexp_extract(F.coalesce(text, F.lit("")), K.SNIPPET_YEAR, 1)))
     age = as_of_year - year.try_cast("int")
     return F.when(age.isNull(), 0.0).when(age <= 1, 0.20).when(age <= 2, 0.10).when(age <= 3, 0.0).when(age <= 4, -0.10).otherwise(-0.15)
 
@@ -88,14 +86,20 @@ def spaced_citations(text: Column) -> Column:
     return F.regexp_replace(text, r"(\[[0-9]+\])(?=\[[0-9]+\])", "$1, ")
 
 
+def spaced_lists(text: Column) -> Column:
+    """An empty line before each list item (a line that starts with a digit, a hyphen or a bullet) that follows other text."""
+    lines = F.split(text, "\n")
+    item = lambda x: x.rlike(r"(?U)^\s*[\p{Nd}\-•]")
+    spaced = lambda x, i: F.when(item(x) & (F.trim(F.coalesce(F.get(lines, i - 1), F.lit(""))) != ""), F.concat(F.lit("\n"), x)).otherwise(x)
+    return F.array_join(F.transform(lines, spaced), "\n")
+
+
 def folded(text: Column) -> Column:
     return F.translate(text, "ıçşöüğ", "icsoug")
 
 
-_SCRIPT = re.compile(r"(?:javascript|vbscript|data:(?:text/html|application/[a-z+\-]+)):[^\s]*", re.I)
-_CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
-_FENCE = re.compile(r"(```\w*\n.*?\n```)", re.S)
-SAFETY_NOTE = "\n\n[Content truncated for safety.]"
+_SCRIPT, _CONTROL, _FENCE = re.compile(K.SCRIPT_URI, re.I), re.compile(K.CONTROL_CHARACTERS), re.compile(K.FENCE, re.S)
+SAFETY_NOTE = K.SAFETY_NOTE
 
 
 def sanitize(text: str | None, max_chars: int) -> str:

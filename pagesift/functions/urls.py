@@ -64,7 +64,9 @@ def blacklisted(url: Column) -> Column:
 def decode_redirect(url: Column) -> Column:
     """The target of a search engine's redirect link (`uddg=`, or `/url?` with `url=`); `//x` gets https; else the URL itself."""
     plain = F.when(url.startswith("//"), F.concat(F.lit("https:"), url)).otherwise(url)
-    found = F.when(plain.contains("uddg="), F.regexp_extract(plain, "uddg=([^&]+)", 1)).when(plain.startswith("/url?"), F.regexp_extract(plain, "[?&]url=([^&]+)", 1))
+    found = F.when(
+        plain.contains("uddg="), F.regexp_extract(plain, "uddg=([^&]+)", 1)
+    ).when(plain.startswith("/url?"), F.regexp_extract(plain, "[?&]url=([^&]+)", 1))
     return F.coalesce(F.nullif(F.try_url_decode(F.replace(found, F.lit("+"), F.lit("%2B"))), F.lit("")), plain)
 
 
@@ -113,8 +115,12 @@ def unsafe_reason(url: Column) -> Column:
 
 def screen_resolved(urls: DataFrame, dns: DataFrame) -> DataFrame:
     """urls(url, ...) with reason: unsafe_reason's; for names, by dns(host, ip), `unresolved` without a row, `private_address` if any isn't public."""
-    known = dns.select(F.lower("host").alias("__host"), F.coalesce(public_address(F.col("ip")), F.lit(False)).alias("public")).groupBy("__host").agg(F.min("public").alias("__public"))
-    rows = urls.withColumns({"__host": bare_host(F.col("url")), "reason": unsafe_reason(F.col("url"))}).withColumn("__literal", public_address(F.col("__host")))
+    known = dns.select(
+        F.lower("host").alias("__host"), F.coalesce(public_address(F.col("ip")), F.lit(False)).alias("public")
+    ).groupBy("__host").agg(F.min("public").alias("__public"))
+    rows = urls.withColumns(
+        {"__host": bare_host(F.col("url")), "reason": unsafe_reason(F.col("url"))}
+    ).withColumn("__literal", public_address(F.col("__host")))
     late = F.when(F.col("__literal").isNotNull(), None).when(F.col("__public").isNull(), "unresolved").when(~F.col("__public"), "private_address")
     return rows.join(known, "__host", "left").withColumn("reason", F.coalesce("reason", late)).drop("__host", "__public", "__literal")
 
@@ -135,9 +141,15 @@ def select_frontier(links: DataFrame, n: int = 99, like: int = 5) -> DataFrame:
     URLs lose trailing slashes and count once, where they stand first. Every window is cut by its rank, so Spark limits
     each group before it is shuffled; a root with very many links doesn't gather in one task.
     """
-    once = links.select("root", F.regexp_replace("url", "/+$", "").alias("url"), "pos").where("url <> ''").groupBy("root", "url").agg(F.min("pos").alias("pos"))
+    once = links.select(
+        "root", F.regexp_replace("url", "/+$", "").alias("url"), "pos"
+    ).where("url <> ''").groupBy("root", "url").agg(F.min("pos").alias("pos"))
     ending = "(" + "|".join(x.replace(".", r"\.") for x in K.SKIPPED_EXTENSIONS) + ")$"
-    rows = once.where(~F.regexp_extract(F.lower("url"), r"^([^?]*)", 1).rlike(ending)).withColumn("score", frontier_score(F.col("url"), F.col("root"))).where("score > 0")
+    rows = once.where(
+        ~F.regexp_extract(F.lower("url"), r"^([^?]*)", 1).rlike(ending)
+    ).withColumn("score", frontier_score(F.col("url"), F.col("root"))).where("score > 0")
     rows = rows.withColumn("pattern", F.regexp_replace(part(F.col("url"), 3), "[0-9]+", "N"))
     rows = rows.withColumn("k", F.row_number().over(W.partitionBy("root", "pattern").orderBy("pos", "url"))).where(F.col("k") <= like)
-    return rows.withColumn("rank", F.row_number().over(W.partitionBy("root").orderBy(F.desc("score"), "url"))).where(F.col("rank") <= n).select("root", "url", "score", "rank")
+    return rows.withColumn(
+        "rank", F.row_number().over(W.partitionBy("root").orderBy(F.desc("score"), "url"))
+    ).where(F.col("rank") <= n).select("root", "url", "score", "rank")

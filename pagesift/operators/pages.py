@@ -4,9 +4,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagesift import constants as K
 from pagesift.functions.html import extract
 
-_LINK = "array<struct<url:string,text:string>>"
+_LINK = "array<struct<url:string,text:string,title:string>>"
 EXTRACTED = f"title string, content string, metadata map<string,string>, internal {_LINK}, external {_LINK}, images array<struct<url:string,alt:string>>"
 
 
@@ -16,14 +17,19 @@ def extract_pages(pages: DataFrame, scope: str = "body") -> DataFrame:
     def run(batches):
         for pdf in batches:
             found = [extract(u, h, scope) for u, h in zip(pdf["url"], pdf["html"], strict=True)]
-            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], **{k: [f[k] for f in found] for k in ("title", "content", "metadata", "internal", "external", "images")}})
+            yield pd.DataFrame(
+                {
+                    "page_id": pdf["page_id"], "url": pdf["url"],
+                    **{k: [f[k] for f in found] for k in ("title", "content", "metadata", "internal", "external", "images")}
+                }
+            )
 
     return pages.select("page_id", "url", "html").mapInPandas(run, f"page_id long, url string, {EXTRACTED}")
 
 
 def page_links(extracted: DataFrame) -> DataFrame:
     each = lambda kind: extracted.select("page_id", F.lit(kind).alias("kind"), F.posexplode(kind).alias("pos", "link"))
-    return each("internal").unionByName(each("external")).select("page_id", "kind", "pos", "link.url", "link.text")
+    return each("internal").unionByName(each("external")).select("page_id", "kind", "pos", "link.url", "link.text", "link.title")
 
 
 def link_counts(extracted: DataFrame) -> DataFrame:
@@ -33,9 +39,8 @@ def link_counts(extracted: DataFrame) -> DataFrame:
 def is_challenge(html: Column, status: Column) -> Column:
     """Whether a page is a bot challenge instead of content."""
     h = F.lower(html)
-    signs = ("just a moment", "cf-browser-verification", "cloudflare-challenge", "challenge-error-text", "enable javascript and cookies to continue", "cf-chl-bypass", "cf-challenge-body")
     out = h.contains("cloudflare") & (h.contains("ray id") | status.isin(403, 503))
-    for s in signs:
+    for s in K.CHALLENGE_SIGNS:
         out = out | h.contains(s)
     return F.coalesce(out, F.lit(False))
 
@@ -45,4 +50,6 @@ def prefer_rescrapes(base: DataFrame, again: DataFrame) -> DataFrame:
     b = again.where("error is null").select("url", F.col("content").alias("c2"))
     longer = F.length(F.trim("c2")) > F.length(F.trim(F.coalesce("content", F.lit(""))))
     rows = base.join(b, "url", "left")
-    return rows.withColumn("error", F.when(longer, None).otherwise(F.col("error"))).withColumn("content", F.when(longer, F.col("c2")).otherwise(F.col("content"))).drop("c2")
+    return rows.withColumn(
+        "error", F.when(longer, None).otherwise(F.col("error"))
+    ).withColumn("content", F.when(longer, F.col("c2")).otherwise(F.col("content"))).drop("c2")
