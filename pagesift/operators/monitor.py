@@ -25,12 +25,24 @@ def latency_histogram(log: DataFrame, by: str) -> DataFrame:
     return wide.select(by, F.inline(bounds))
 
 
+def latency_totals(log: DataFrame, by: str) -> DataFrame:
+    """What goes with the buckets: the sum and the count of durations of each value of `by`."""
+    return log.where("duration_s is not null").groupBy(by).agg(F.round(F.sum("duration_s"), 6).alias("total"), F.count("*").alias("n"))
+
+
 def histogram_quantile(histogram: DataFrame, by: str, q: float) -> DataFrame:
     """The quantile of each group, linear within its bucket; the last finite bound beyond it; null without rows."""
     order = W.partitionBy(by).orderBy("le")
-    rows = histogram.withColumns({"low": F.coalesce(F.lag("le").over(order), F.lit(0.0)), "before": F.coalesce(F.lag("n").over(order), F.lit(0)), "total": F.max("n").over(W.partitionBy(by))})
+    rows = histogram.withColumns(
+        {
+            "low": F.coalesce(F.lag("le").over(order), F.lit(0.0)), "before": F.coalesce(F.lag("n").over(order), F.lit(0)),
+            "total": F.max("n").over(W.partitionBy(by))
+        }
+    )
     rows = rows.where(F.col("n") >= q * F.col("total")).withColumn("k", F.row_number().over(order)).where("k = 1")
-    inside = F.col("low") + (F.col("le") - F.col("low")) * F.try_divide(q * F.col("total") - F.col("before"), (F.col("n") - F.col("before")).cast("double"))
+    inside = F.col("low") + (F.col("le") - F.col("low")) * F.try_divide(
+        q * F.col("total") - F.col("before"), (F.col("n") - F.col("before")).cast("double")
+    )
     value = F.when(F.col("total") == 0, None).when(F.col("le") == float("inf"), F.col("low")).otherwise(inside)
     return rows.select(by, F.round(value, 6).alias("quantile"))
 
@@ -39,23 +51,42 @@ def error_rate_alert(log: DataFrame, limit: float = 0.1, width: int = 300, slide
     """Spells (start, end in epoch seconds) in which over `limit` of the requests of a window failed, for `hold` seconds or more."""
     counts = windowed_counts(log.withColumn("failed", (F.col("status") >= 500).cast("int")), "failed", width, slide)
     steps = counts.groupBy("window_end").agg((F.sum(F.col("n") * F.col("failed")) / F.sum("n")).alias("share")).where(F.col("share") > limit)
-    # days apart, so that no task gets all steps; spells are put together across midnights by their ends
+    # a spell's parts lie in days of their own; only parts at a day's edge are put together, two for each day at most
     step = F.col("window_end") / slide
     steps = steps.withColumn("day", F.floor(F.col("window_end") / 86_400))
     island = step - F.row_number().over(W.partitionBy("day").orderBy("window_end"))
     parts = steps.withColumn("island", island).groupBy("day", "island").agg(F.min("window_end").alias("a"), F.max("window_end").alias("b"))
+    edge = (F.col("a") == F.col("day") * 86_400) | (F.col("b") == F.col("day") * 86_400 + 86_400 - slide)
     order = W.orderBy("a")
-    parts = parts.withColumn("new", (F.col("a") > F.coalesce(F.lag("b").over(order), F.lit(-1)) + slide).cast("int"))
-    spells = parts.withColumn("spell", F.sum("new").over(order)).groupBy("spell").agg(F.min("a").alias("start"), F.max("b").alias("end"))
-    return spells.where(F.col("end") - F.col("start") >= hold).select("start", "end")
+    edges = parts.where(edge).withColumn("new", (F.col("a") > F.coalesce(F.lag("b").over(order), F.lit(-1)) + slide).cast("int"))
+    joined = edges.withColumn("spell", F.sum("new").over(order)).groupBy("spell").agg(F.min("a").alias("start"), F.max("b").alias("end"))
+    spells = parts.where(~edge).select(F.col("a").alias("start"), F.col("b").alias("end")).unionByName(joined.select("start", "end"))
+    return spells.where(F.col("end") - F.col("start") >= hold)
+
 
+def in_flight(log: DataFrame, by: str, bucket: int = 3600) -> DataFrame:
+    """Most requests of each group under way at once; one that ends as another starts counts no more.
 
-def in_flight(log: DataFrame, by: str) -> DataFrame:
-    """Most requests of each group under way at once; one that ends as another starts counts no more."""
+    Sums of buckets of `bucket` seconds are added up over each group, and changes are put in order within a bucket alone.
+    """
     start = F.unix_micros("ts")
-    both = log.select(by, F.explode(F.array(F.struct(start.alias("at"), F.lit(1).alias("d")), F.struct((start + F.round(F.col("duration_s") * 1e6).cast("long")).alias("at"), F.lit(-1).alias("d")))).alias("e"))
-    order = W.partitionBy(by).orderBy("e.at", "e.d").rowsBetween(W.unboundedPreceding, 0)
-    return both.withColumn("now", F.sum("e.d").over(order)).groupBy(by).agg(F.max("now").alias("most"))
+    both = log.select(
+        by,
+        F.explode(
+            F.array(
+                F.struct(start.alias("at"), F.lit(1).alias("d")),
+                F.struct((start + F.round(F.col("duration_s") * 1e6).cast("long")).alias("at"), F.lit(-1).alias("d"))
+            )
+        ).alias("e")
+    )
+    both = both.select(by, "e.at", "e.d").withColumn("bucket", F.floor(F.col("at") / (bucket * 1_000_000)))
+    earlier = W.partitionBy(by).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    sums = both.groupBy(by, "bucket").agg(F.sum("d").alias("change")).select(
+        by, "bucket", F.coalesce(F.sum("change").over(earlier), F.lit(0)).alias("before")
+    )
+    order = W.partitionBy(by, "bucket").orderBy("at", "d").rowsBetween(W.unboundedPreceding, 0)
+    tops = both.withColumn("now", F.sum("d").over(order)).groupBy(by, "bucket").agg(F.max("now").alias("now"))
+    return tops.join(sums, [by, "bucket"]).groupBy(by).agg(F.max(F.col("before") + F.col("now")).alias("most"))
 
 
 def history(log: DataFrame) -> DataFrame:
@@ -65,13 +96,33 @@ def history(log: DataFrame) -> DataFrame:
 
 
 def latency_stats(runs: DataFrame, by: str) -> DataFrame:
-    """Of each group: runs, mean, median and the 95th percentile by the exclusive rule (place p (n + 1))."""
-    rank = F.row_number().over(W.partitionBy(by).orderBy("duration_s"))
-    rows = runs.withColumn("rank", rank).withColumn("n", F.count("*").over(W.partitionBy(by)))
+    """Of each group: runs, mean, median and the 95th percentile by the exclusive rule (place p (n + 1)).
+
+    Durations are counted in ranges (even steps of their inverse hyperbolic sine); only the few ranges that hold a wanted
+    place are put in order, each on its own.
+    """
+    rows = runs.where("duration_s is not null").withColumn("range", F.floor(F.asinh(F.col("duration_s") * 1000) * 64))
+    counts = rows.groupBy(by, "range").agg(F.count("*").alias("m"), F.sum("duration_s").alias("s"))
+    group = W.partitionBy(by)
+    counts = counts.withColumn("before", F.coalesce(F.sum("m").over(group.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    counts = counts.withColumn("n", F.sum("m").over(group))
     low = F.greatest(F.lit(1), F.least(F.floor(19 * (F.col("n") + 1) / 20), F.col("n") - 1))
-    rows = rows.withColumn("low", low).withColumn("part", 19 * (F.col("n") + 1) - 20 * F.col("low"))
-    p95 = F.sum(F.when(F.col("rank") == F.col("low"), F.col("duration_s") * (20 - F.col("part")) / 20).when(F.col("rank") == F.col("low") + 1, F.col("duration_s") * F.col("part") / 20))
-    return rows.groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg("duration_s"), 6).alias("mean"), F.round(F.median("duration_s"), 6).alias("median"), F.round(p95, 6).alias("p95"))
+    # (place, weight of twentieths) of the two middle values and of the two around the percentile
+    part = 19 * (F.col("n") + 1) - 20 * low
+    half = F.floor((F.col("n") + 1) / 2)
+    places = F.array(half, F.floor(F.col("n") / 2) + 1, low, low + 1)
+    counts = counts.withColumns({"places": places, "part": part})
+    holds = F.exists("places", lambda x: (x > F.col("before")) & (x <= F.col("before") + F.col("m")))
+    wanted = counts.where(holds).select(by, "range", "before", "places", "part")
+    picked = rows.select(by, "range", "duration_s").join(wanted, [by, "range"])
+    picked = picked.withColumn("rank", F.col("before") + F.row_number().over(W.partitionBy(by, "range").orderBy("duration_s")))
+    at = lambda i: F.max(F.when(F.col("rank") == F.col("places")[i], F.col("duration_s")))
+    values = picked.groupBy(by).agg(
+        at(0).alias("x0"), at(1).alias("x1"), at(2).alias("x2"), F.coalesce(at(3), F.lit(0.0)).alias("x3"), F.max("part").alias("part")
+    )
+    totals = counts.groupBy(by).agg(F.sum("m").alias("n"), F.round(F.sum("s") / F.sum("m"), 6).alias("mean"))
+    p95 = (F.col("x2") * (20 - F.col("part")) + F.col("x3") * F.col("part")) / 20
+    return totals.join(values, by).select(by, "n", "mean", F.round((F.col("x0") + F.col("x1")) / 2, 6).alias("median"), F.round(p95, 6).alias("p95"))
 
 
 def top_errors(log: DataFrame, n: int = 3) -> DataFrame:
@@ -87,6 +138,8 @@ def breaker_alert(states: DataFrame, by: str, width: int = 300, slide: int = 15,
     steps = states.where("state > 0").select(by, step.alias("step")).distinct()
     order = W.partitionBy(by).orderBy("step")
     new = (F.col("step") - F.coalesce(F.lag("step").over(order), F.lit(-(1 << 40))) > width // slide).cast("int")
-    spells = steps.withColumn("new", new).withColumn("spell", F.sum("new").over(order)).groupBy(by, "spell").agg(F.min("step").alias("a"), F.max("step").alias("b"))
+    spells = steps.withColumn("new", new).withColumn("spell", F.sum("new").over(order)).groupBy(by, "spell").agg(
+        F.min("step").alias("a"), F.max("step").alias("b")
+    )
     end = (F.col("b") + width // slide - 1) * slide
     return spells.select(by, (F.col("a") * slide + hold).alias("start"), end.alias("end")).where(F.col("end") >= F.col("start"))

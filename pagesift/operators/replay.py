@@ -1,55 +1,129 @@
 """Replays of rate limits, caches and circuit breakers over a request log.
 
-A key's state is forgotten once nothing has happened to it for longer than the window (or lifetime), so its events fall
-into islands at such gaps and each island is replayed on its own, in order of time and event_id.
+Each is a small state machine that sees one request after the other. A key's state is forgotten once nothing has
+happened to it for longer than the window (or lifetime), so its events fall into islands at such gaps; a breaker's
+islands start where it is surely closed. Islands are dealt to tasks, sorted by time and event_id, and replayed one after
+the other over Arrow batches; a task holds one state at a time.
 """
 
 from collections import deque
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+class Limiter:
+    """A request passes while fewer than `limit` passed in the last `window` seconds: admitted, remaining, retry_after."""
+
+    FIELDS = "admitted boolean, remaining int, retry_after int"
+    STATE = "passed array<double>"
+
+    def __init__(self, limit: int, window: float, passed=()):
+        self.limit, self.window, self.passed = limit, window, deque(passed)
+
+    def __call__(self, at: float, ok: bool) -> tuple:
+        while self.passed and at - self.passed[0] >= self.window:
+            self.passed.popleft()
+        if len(self.passed) >= self.limit:
+            return False, 0, max(1, int(self.window - (at - self.passed[0])))
+        self.passed.append(at)
+        return True, self.limit - len(self.passed), 0
+
+    def state(self) -> tuple:
+        return (list(self.passed),)
+
+
+class Cache:
+    """A request hits if its key was set less than `ttl` seconds ago; a miss sets it, a hit doesn't extend it: hit."""
+
+    FIELDS = "hit boolean"
+    STATE = "until double"
+
+    def __init__(self, ttl: float, until: float = float("-inf")):
+        self.ttl, self.until = ttl, until
+
+    def __call__(self, at: float, ok: bool) -> tuple:
+        hit = at < self.until
+        self.until = self.until if hit else at + self.ttl
+        return (hit,)
+
+    def state(self) -> tuple:
+        return (self.until,)
+
+
+class Breaker:
+    """`threshold` failures in a row open it for `recovery` seconds, then it is closed at count 0: state (closed or rejected)."""
+
+    FIELDS = "state string"
+    STATE = "failed int, opened double"
+
+    def __init__(self, threshold: int, recovery: float, failed: int = 0, opened: float | None = None):
+        self.threshold, self.recovery, self.failed, self.opened = threshold, recovery, failed, opened
+
+    def __call__(self, at: float, ok: bool) -> tuple:
+        if self.opened is not None and at - self.opened >= self.recovery:
+            self.failed, self.opened = 0, None
+        if self.opened is not None:
+            return ("rejected",)
+        self.failed = 0 if ok else self.failed + 1
+        if self.failed >= self.threshold:
+            self.opened = at
+        return ("closed",)
+
+    def state(self) -> tuple:
+        return self.failed, self.opened
+
+
+def replayed(rows: DataFrame, keys: list[str], begin: Callable, fields: str) -> DataFrame:
+    """event_id and the fields that begin()'s machine gives for rows(keys, event_id, at, ok), a new one for each value of the keys."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = f"event_id long, {fields}"
+    shape = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        key, machine = None, None
+        for batch in batches:
+            columns = batch.to_pydict()
+            out = []
+            for *own, event, at, ok in zip(*(columns[c] for c in (*keys, "event_id", "at", "ok")), strict=True):
+                if own != key:
+                    key, machine = own, begin()
+                out.append((event, *machine(at, ok)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), shape.types, strict=True)], schema=shape)
+
+    dealt = rows.select(*keys, "event_id", "at", "ok").repartition(*keys).sortWithinPartitions(*keys, "at", "event_id")
+    return dealt.mapInArrow(run, schema)
+
+
+def timed(log: DataFrame) -> DataFrame:
+    """log(ts, status) with at (epoch seconds) and ok (no server error)."""
+    return log.withColumn("at", F.unix_micros("ts") / 1e6).withColumn(
+        "ok", F.coalesce(F.col("status") < 500, F.lit(True)) if "status" in log.columns else F.lit(True)
+    )
+
+
 def with_islands(log: DataFrame, gap: float, *keys: str) -> DataFrame:
     order = W.partitionBy(*keys).orderBy("at", "event_id")
-    rows = log.withColumn("at", F.unix_micros("ts") / 1e6)
+    rows = timed(log)
     rows = rows.withColumn("cut", (F.col("at") - F.lag("at").over(order) >= gap).cast("int"))
     return rows.withColumn("island", F.sum(F.coalesce("cut", F.lit(0))).over(order)).drop("cut")
 
 
 def rate_limit(log: DataFrame, limit: int, window: float) -> DataFrame:
-    """event_id, admitted, remaining and retry_after: a request passes while fewer than `limit` passed in the last `window` seconds."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        passed, out = deque(), []
-        for e, t in pdf.sort_values(["at", "event_id"])[["event_id", "at"]].itertuples(index=False):
-            while passed and t - passed[0] >= window:
-                passed.popleft()
-            if len(passed) >= limit:
-                out.append((e, False, 0, max(1, int(window - (t - passed[0])))))
-            else:
-                passed.append(t)
-                out.append((e, True, limit - len(passed), 0))
-        return pd.DataFrame(out, columns=["event_id", "admitted", "remaining", "retry_after"])
-
-    rows = with_islands(log, window, "endpoint", "subject").select("endpoint", "subject", "island", "event_id", "at")
-    return rows.groupBy("endpoint", "subject", "island").applyInPandas(run, "event_id long, admitted boolean, remaining int, retry_after int")
+    """event_id, admitted, remaining and retry_after for each endpoint and subject."""
+    return replayed(
+        with_islands(log, window, "endpoint", "subject"), ["endpoint", "subject", "island"], lambda: Limiter(limit, window), Limiter.FIELDS
+    )
 
 
 def ttl_cache(log: DataFrame, ttl: float) -> DataFrame:
-    """event_id and hit: a request hits if its key was set less than `ttl` seconds ago; a miss sets it, a hit doesn't extend it."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        until, out = float("-inf"), []
-        for e, t in pdf.sort_values(["at", "event_id"])[["event_id", "at"]].itertuples(index=False):
-            out.append((e, t < until))
-            until = until if t < until else t + ttl
-        return pd.DataFrame(out, columns=["event_id", "hit"])
-
-    rows = with_islands(log, ttl, "endpoint", "subject").select("endpoint", "subject", "island", "event_id", "at")
-    return rows.groupBy("endpoint", "subject", "island").applyInPandas(run, "event_id long, hit boolean")
+    """event_id and hit for each endpoint and subject."""
+    return replayed(with_islands(log, ttl, "endpoint", "subject"), ["endpoint", "subject", "island"], lambda: Cache(ttl), Cache.FIELDS)
 
 
 def breaker_islands(rows: DataFrame, threshold: int, recovery: float) -> DataFrame:
@@ -76,29 +150,14 @@ def breaker_islands(rows: DataFrame, threshold: int, recovery: float) -> DataFra
     rows = rows.join(spans, ["endpoint", "span"])
     own = F.col("island") > 0
     island = F.when(own, F.col("island")).otherwise(F.coalesce("from.cuts", F.lit(0)))
-    return rows.select("endpoint", "event_id", "at", "ok", F.when(own, F.col("span")).otherwise(F.col("from.span")).alias("island_span"), island.alias("island"))
+    return rows.select(
+        "endpoint", "event_id", "at", "ok", F.when(own, F.col("span")).otherwise(F.col("from.span")).alias("island_span"), island.alias("island")
+    )
 
 
 def circuit_breaker(log: DataFrame, threshold: int, recovery: float) -> DataFrame:
-    """event_id and state (closed, or rejected) for each upstream: `threshold` failures in a row open it for `recovery` seconds.
-
-    Islands start behind events that surely leave the breaker closed and its count at 0, and are replayed each on its own.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        failed, opened, out = 0, None, []
-        for e, t, ok in pdf.sort_values(["at", "event_id"])[["event_id", "at", "ok"]].itertuples(index=False):
-            if opened is not None and t - opened >= recovery:
-                failed, opened = 0, None
-            if opened is not None:
-                out.append((e, "rejected"))
-                continue
-            out.append((e, "closed"))
-            failed = 0 if ok else failed + 1
-            if failed >= threshold:
-                opened = t
-        return pd.DataFrame(out, columns=["event_id", "state"])
-
-    rows = log.select("endpoint", "event_id", (F.unix_micros("ts") / 1e6).alias("at"), (F.col("status") < 500).alias("ok"))
-    rows = breaker_islands(rows, threshold, recovery)
-    return rows.groupBy("endpoint", "island_span", "island").applyInPandas(run, "event_id long, state string")
+    """event_id and state for each upstream (endpoint); islands start behind events that surely leave it closed at count 0."""
+    rows = timed(log).select("endpoint", "event_id", "at", "ok")
+    return replayed(
+        breaker_islands(rows, threshold, recovery), ["endpoint", "island_span", "island"], lambda: Breaker(threshold, recovery), Breaker.FIELDS
+    )

@@ -4,12 +4,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def windowed_counts(log: DataFrame, by: str, width: str = "5 minutes", slide: str = "1 minute", late: str = "10 minutes") -> DataFrame:
-    """Counts of each value of `by` in sliding windows of event time; rows later than the watermark are left out."""
-    return log.withWatermark("ts", late).groupBy(F.window("ts", width, slide), by).agg(F.count("*").alias("n"))
+def windowed_counts(log: DataFrame, by: str, width: int = 300, slide: int = 15, late: str = "10 minutes") -> DataFrame:
+    """window_end (epoch seconds), `by` and n, as the batch form gives them; rows later than the watermark are left out."""
+    windows = log.withWatermark("ts", late).groupBy(
+        F.window("ts", f"{width} seconds", f"{slide} seconds").alias("w"), by
+    ).agg(F.count("*").alias("n"))
+    return windows.select(F.unix_seconds("w.end").alias("window_end"), by, "n")
 
 
 def progress(results: DataFrame) -> DataFrame:
     """Of each query so far: sources done, without error, and characters gathered (for update mode)."""
     good = F.col("error").isNull()
-    return results.groupBy("query_id").agg(F.count("*").alias("done"), F.sum(good.cast("long")).alias("succeeded"), F.sum(F.when(good, F.length("content")).otherwise(0)).alias("total_chars"))
+    return results.groupBy("query_id").agg(
+        F.count("*").alias("done"), F.sum(good.cast("long")).alias("succeeded"),
+        F.sum(F.when(good, F.length("content")).otherwise(0)).alias("total_chars")
+    )

@@ -2,11 +2,14 @@
 
 from pyspark.sql import functions as F
 
+from pagesift.operators import monitor as batch
 from pagesift.streaming import monitor
 
 
 def run(spark, df, mode, folder):
-    query = df.writeStream.format("memory").queryName(f"out_{mode}").outputMode(mode).option("checkpointLocation", str(folder / "state")).trigger(availableNow=True).start()
+    query = df.writeStream.format("memory").queryName(f"out_{mode}").outputMode(mode).option(
+        "checkpointLocation", str(folder / "state")
+    ).trigger(availableNow=True).start()
     assert query.awaitTermination(60)
     return spark.table(f"out_{mode}")
 
@@ -20,10 +23,12 @@ def test_progress(spark, tmp_path):
 
 
 def test_windowed_counts(spark, tmp_path):
-    log = spark.createDataFrame([(0, 200), (30, 200), (61, 500), (9000, 200)], "s long, status int").select(F.timestamp_seconds("s").alias("ts"), "status")
+    log = spark.createDataFrame(
+        [(0, 200), (30, 200), (61, 500), (9000, 200)], "s long, status int"
+    ).select(F.timestamp_seconds("s").alias("ts"), "status")
     log.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("ts timestamp, status int").parquet(str(tmp_path / "in"))
-    closed = run(spark, monitor.windowed_counts(stream, "status"), "append", tmp_path)
-    want = log.groupBy(F.window("ts", "5 minutes", "1 minute"), "status").count().where("window.end <= timestamp '1970-01-01 02:00:00'")
-    shown = lambda df: sorted((r[0].start, r[1], r[2]) for r in df.collect())
+    closed = run(spark, monitor.windowed_counts(stream, "status", 300, 60), "append", tmp_path)
+    want = batch.windowed_counts(log, "status", 300, 60).where("window_end <= 7200")
+    shown = lambda df: sorted((r.window_end, r.status, r.n) for r in df.collect())
     assert shown(closed) == shown(want) and closed.count()
