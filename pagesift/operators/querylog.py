@@ -19,7 +19,9 @@ def query_variants(queries: DataFrame, cap: int = 5, longest: int = 500) -> Data
     rows = queries.withColumn("__fit", fit).withColumn("__keys", F.transform("__fit", F.lower))
     first = F.slice(F.filter("__fit", lambda x, i: F.array_position("__keys", F.lower(x)) == i + 1), 1, cap)
     original = T.clean(F.col("original"))
-    rows = rows.withColumn("variants", F.when(F.size(first) > 0, first).when(original != "", F.array(original)).otherwise(F.array().cast("array<string>")))
+    rows = rows.withColumn(
+        "variants", F.when(F.size(first) > 0, first).when(original != "", F.array(original)).otherwise(F.array().cast("array<string>"))
+    )
     return rows.drop("__fit", "__keys")
 
 
@@ -33,7 +35,9 @@ def _any(query: Column, words) -> Column:
 def intent_flags(queries: DataFrame) -> DataFrame:
     """queries with wants_code, wants_code_sources, wants_table and wants_benchmark."""
     q = F.col("query")
-    kinds = {"wants_code": K.CODE_WORDS, "wants_code_sources": K.CODE_SOURCE_WORDS, "wants_table": K.TABLE_WORDS, "wants_benchmark": K.BENCHMARK_WORDS}
+    kinds = {
+        "wants_code": K.CODE_WORDS, "wants_code_sources": K.CODE_SOURCE_WORDS, "wants_table": K.TABLE_WORDS, "wants_benchmark": K.BENCHMARK_WORDS
+    }
     return queries.withColumns({name: _any(q, words) for name, words in kinds.items()})
 
 
@@ -50,13 +54,18 @@ def direct_urls(queries: DataFrame) -> DataFrame:
 def route_queries(queries: DataFrame) -> DataFrame:
     """queries with route: `direct` if they hold URLs, `direct+subpages` if they ask for subpages too, else `search`."""
     q = F.col("query")
-    return queries.withColumn("route", F.when(F.size(urls_in(q)) == 0, "search").when(_any(q, K.SUBPAGE_WORDS), "direct+subpages").otherwise("direct"))
+    return queries.withColumn(
+        "route", F.when(F.size(urls_in(q)) == 0, "search").when(_any(q, K.SUBPAGE_WORDS), "direct+subpages").otherwise("direct")
+    )
 
 
 def official_docs(queries: DataFrame) -> DataFrame:
     """query_id, pos and url of the documentation of each technology that a query names as a whole word, in the table's order."""
     lower = F.lower(F.coalesce("query", F.lit("")))
-    named = [F.when(lower.rlike(r"\b" + word.replace(".", r"\.") + r"\b"), F.array(*map(F.lit, urls))).otherwise(F.array().cast("array<string>")) for word, urls in K.TECH_DOCS.items()]
+    named = [
+        F.when(lower.rlike(r"\b" + word.replace(".", r"\.") + r"\b"), F.array(*map(F.lit, urls))).otherwise(F.array().cast("array<string>")) for word,
+        urls in K.TECH_DOCS.items()
+    ]
     return queries.select("query_id", F.posexplode(F.array_distinct(F.concat(*named))).alias("pos", "url"))
 
 

@@ -50,34 +50,55 @@ def _domain_boost(host: Column, tech, standard) -> Column:
 
 def _profile_boost(url: Column, source: Column, fresh: Column) -> Column:
     both = F.concat_ws(" ", F.lower(url), F.lower(source))
-    news = F.when(both.rlike("reuters|apnews|bbc|cnn|news|bloomberg"), 0.15).otherwise(0.0)
-    academic = F.when(both.rlike("arxiv|pubmed|doi|acm|ieee|springer"), 0.2).otherwise(0.0) + F.when(F.lower(url).rlike(r"\.(edu|gov|org)$"), 0.08).otherwise(0.0)
-    docs = F.when(F.lower(url).rlike("docs|documentation|api|developer"), 0.12).otherwise(0.0)
+    news = F.when(both.rlike("|".join(K.NEWS_SITES)), 0.15).otherwise(0.0)
+    academic = F.when(
+        both.rlike("|".join(K.ACADEMIC_SITES)), 0.2
+    ).otherwise(0.0) + F.when(F.lower(url).rlike(r"\.(edu|gov|org)$"), 0.08).otherwise(0.0)
+    docs = F.when(F.lower(url).rlike("|".join(K.DOC_SITES)), 0.12).otherwise(0.0)
     return F.when(F.col("profile") == "news", 0.8 * fresh + news).when(F.col("profile") == "academic", academic).otherwise(docs)
 
 
-def score_candidates(candidates: DataFrame, queries: DataFrame, as_of_year: int = 2026) -> DataFrame:
-    """candidates with the normalized url and rank_score; rows without an http URL or on a blacklisted host go."""
+def score_parts(candidates: DataFrame, queries: DataFrame, as_of_year: int = 2026) -> DataFrame:
+    """candidates with the normalized url and what their score is made of; rows without an http URL or on a blacklisted host go.
+
+    overlap with the query's tokens, exact (the search was the query itself), provider_boost, freshness, domain_boost (in
+    the score), merge_boost (at the merge of providers), profile_boost, and path_boost (a token in the path).
+    """
     rows = candidates.where(F.col("url").startswith("http") & ~U.blacklisted(F.col("url"))).withColumn("url", U.normalize(F.col("url")))
     rows = rows.join(query_features(queries), "query_id")
     host, url = U.host(F.col("url")), F.col("url")
     have = F.array_union(F.array_union(T.tokens(F.col("title")), T.tokens(F.col("snippet"))), T.tokens(F.col("source")))
-    overlap = F.when(F.size("qt") == 0, 0.0).otherwise(F.size(F.array_intersect("qt", have)) / F.size("qt"))
-    exact = F.when(F.lower("search_query") == F.lower("query"), 0.15).otherwise(0.0)
-    provider = F.when(F.col("provider") == "duckduckgo", 0.05).otherwise(0.0)
-    fresh = T.freshness(F.col("publication_date"), F.col("snippet"), as_of_year)
-    inner = F.round(overlap + exact + provider + _domain_boost(host, (0.6, 0.2, 0.0, 0.1), (0.3, 0.3, 0.15)) + fresh + _profile_boost(url, F.col("source"), fresh), 6)
     path = F.lower(U.part(url, 3))
-    in_path = F.when(F.exists("qt", lambda t: (F.length(t) > 3) & path.contains(t)), 0.05).otherwise(0.0)
-    outer = F.round(inner + _domain_boost(host, (0.8, 0.3, 0.0, 0.1), (0.5, 0.4, 0.2)) + in_path, 6)
-    return rows.withColumn("rank_score", outer).drop("qt", "official", "profile", "query")
+    rows = rows.withColumns({
+        "overlap": F.when(F.size("qt") == 0, 0.0).otherwise(F.size(F.array_intersect("qt", have)) / F.size("qt")),
+        "exact": F.when(F.lower("search_query") == F.lower("query"), 0.15).otherwise(0.0),
+        "provider_boost": F.when(F.col("provider") == "duckduckgo", 0.05).otherwise(0.0),
+        "freshness": T.freshness(F.col("publication_date"), F.col("snippet"), as_of_year),
+        "domain_boost": _domain_boost(host, (0.6, 0.2, 0.0, 0.1), (0.3, 0.3, 0.15)),
+        "merge_boost": _domain_boost(host, (0.8, 0.3, 0.0, 0.1), (0.5, 0.4, 0.2)),
+        "path_boost": F.when(F.exists("qt", lambda t: (F.length(t) > 3) & path.contains(t)), 0.05).otherwise(0.0),
+    })
+    rows = rows.withColumn("profile_boost", _profile_boost(url, F.col("source"), F.col("freshness")))
+    return rows.drop("qt", "official", "profile", "query")
+
+
+def score_candidates(candidates: DataFrame, queries: DataFrame, as_of_year: int = 2026) -> DataFrame:
+    """candidates with the normalized url and rank_score, which adds up all parts and is rounded before and after the merge."""
+    rows = score_parts(candidates, queries, as_of_year)
+    inner = F.round(
+        F.col("overlap") + F.col("exact") + F.col("provider_boost") + F.col("domain_boost") + F.col("freshness") + F.col("profile_boost"), 6
+    )
+    rows = rows.withColumn("rank_score", F.round(inner + F.col("merge_boost") + F.col("path_boost"), 6))
+    return rows.select(*candidates.columns, "rank_score")
 
 
 def dedupe_candidates(scored: DataFrame) -> DataFrame:
     """One row for each query and URL: the best score (the earliest of equals) at the place of its first hit, with all providers."""
     place = F.struct("set_pos", "pos")
     best = F.max_by(F.struct("title", "snippet", "rank_score"), F.struct("rank_score", -F.col("set_pos"), -F.col("pos")))
-    out = scored.groupBy("query_id", "url").agg(best.alias("b"), F.min(place).alias("p"), F.array_join(F.array_sort(F.collect_set("provider")), ",").alias("providers"))
+    out = scored.groupBy("query_id", "url").agg(
+        best.alias("b"), F.min(place).alias("p"), F.array_join(F.array_sort(F.collect_set("provider")), ",").alias("providers")
+    )
     return out.select("query_id", "url", "b.title", "b.snippet", "b.rank_score", "p.set_pos", "p.pos", "providers")
 
 
@@ -94,11 +115,15 @@ def diversity_topk(deduped: DataFrame, k: int, first: float = 0.25, later: float
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("j", "effective")
 
 
-def collection_summary(ranked: DataFrame) -> DataFrame:
-    """Of each query: results, providers, and whether others than the first provider were needed."""
+def collection_summary(ranked: DataFrame, first: tuple = ("duckduckgo",), fallback: tuple = ("google",)) -> DataFrame:
+    """Of each query: results, providers, and whether a fallback gave results, or a provider for its profile (any other)."""
     each = ranked.withColumn("provider", F.explode(F.split("providers", ",")))
-    out = each.groupBy("query_id").agg(F.countDistinct("url").alias("n_results"), F.array_join(F.array_sort(F.collect_set("provider")), ",").alias("providers_used"))
-    return out.withColumn("fallback_used", F.col("providers_used").contains("google"))
+    return each.groupBy("query_id").agg(
+        F.countDistinct("url").alias("n_results"),
+        F.array_join(F.array_sort(F.collect_set("provider")), ",").alias("providers_used"),
+        F.bool_or(F.col("provider").isin(*fallback)).alias("fallback_used"),
+        F.bool_or(~F.col("provider").isin(*first, *fallback)).alias("profile_used"),
+    )
 
 
 def append_new(early: DataFrame, extra: DataFrame) -> DataFrame:
@@ -106,14 +131,30 @@ def append_new(early: DataFrame, extra: DataFrame) -> DataFrame:
     return early.unionByName(extra.join(early.select("query_id", "url").distinct(), ["query_id", "url"], "left_anti"), allowMissingColumns=True)
 
 
-def evaluate(ranked: DataFrame) -> DataFrame:
-    """Of each query: results, distinct domains, and its first five URLs."""
+def evaluate(ranked: DataFrame, fallback: tuple = ("google",)) -> DataFrame:
+    """Of each query: results, distinct domains, providers, whether a fallback gave results, and its first five URLs."""
     top = F.slice(F.array_sort(F.collect_list(F.struct("rank", "url"))), 1, 5)
-    return ranked.groupBy("query_id").agg(F.count("*").alias("n_results"), F.countDistinct(U.domain(F.col("url"))).alias("n_domains"), F.array_join(F.transform(top, lambda x: x["url"]), " ").alias("top"))
+    providers = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.split("providers", ",")))))
+    out = ranked.groupBy("query_id").agg(
+        F.count("*").alias("n_results"),
+        F.countDistinct(U.domain(F.col("url"))).alias("n_domains"),
+        F.array_join(providers, ",").alias("providers_used"),
+        F.array_join(F.transform(top, lambda x: x["url"]), " ").alias("top"),
+    )
+    return out.withColumn("fallback_used", F.arrays_overlap(F.split("providers_used", ","), F.array(*map(F.lit, fallback))))
 
 
 def evaluation_summary(each: DataFrame) -> DataFrame:
-    return each.agg(F.count("*").alias("n_queries"), F.round(F.avg("n_results"), 6).alias("avg_results"), F.round(F.avg("n_domains"), 6).alias("avg_domains"))
+    """Over all queries: how many, means of results and domains, how many needed a fallback, and the providers seen."""
+    seen = each.agg(
+        F.count("*").alias("n_queries"),
+        F.round(F.avg("n_results"), 6).alias("avg_results"),
+        F.round(F.avg("n_domains"), 6).alias("avg_domains"),
+        F.sum(F.col("fallback_used").cast("long")).alias("n_fallback"),
+        F.collect_set("providers_used").alias("seen"),  # sets of the few providers
+    )
+    providers = F.array_sort(F.array_distinct(F.flatten(F.transform("seen", lambda x: F.split(x, ",")))))
+    return seen.withColumn("providers_seen", F.array_join(providers, ",")).drop("seen")
 
 
 def expand_sources(selected: DataFrame, ranked: DataFrame, queries: DataFrame) -> DataFrame:
@@ -129,11 +170,16 @@ def expand_sources(selected: DataFrame, ranked: DataFrame, queries: DataFrame) -
     fit = ranked.join(asked.select("query_id", "topic"), "query_id").where((F.size("topic") == 0) | F.exists("topic", lambda w: hay.contains(w)))
     kind = F.coalesce("source", F.lit("unknown"))
     both = selected.select("query_id", "url", "title", "type", "priority", F.lit(0).alias("late"), F.col("priority").alias("place")).unionByName(
-        fit.select("query_id", "url", F.coalesce("title", F.lit("")).alias("title"), kind.alias("type"), F.lit(None).cast("int").alias("priority"), F.lit(1).alias("late"), F.col("rank").alias("place"))
+        fit.select(
+            "query_id", "url", F.coalesce("title", F.lit("")).alias("title"), kind.alias("type"), F.lit(None).cast("int").alias("priority"),
+            F.lit(1).alias("late"), F.col("rank").alias("place")
+        )
     )
     both = both.where("url is not null and url <> ''")
     both = both.withColumn("k", F.row_number().over(W.partitionBy("query_id", "url").orderBy("late", "place"))).where("k = 1")
-    both = both.withColumn("k", F.row_number().over(W.partitionBy("query_id").orderBy("late", "place", "url"))).join(asked.select("query_id", "target"), "query_id")
+    both = both.withColumn(
+        "k", F.row_number().over(W.partitionBy("query_id").orderBy("late", "place", "url"))
+    ).join(asked.select("query_id", "target"), "query_id")
     return both.where("k <= target").select("query_id", "url", "title", "type", F.coalesce("priority", "k").alias("priority"))
 
 

@@ -11,16 +11,16 @@ from pagesift import constants as K
 from pagesift.functions import text as T
 
 _MARK = re.compile(r"\[([0-9]+)\]")
-_ENDS = (". ", ".\n", "! ", "? ")
+_LAST_END = re.compile("(?s).*(?:" + "|".join(map(re.escape, K.SENTENCE_ENDS)) + ")")
 
 
-def claims_of(text: str, before: int = 300) -> list[dict]:
-    """Each marker's number, and the text before it back to the last end of a sentence, 300 characters at most."""
+def claims_of(text: str, before: int = K.CLAIM_SIZE) -> list[dict]:
+    """Each marker's number, and the text before it from the last end of a sentence on."""
     out = []
     for m in _MARK.finditer(text):
         head = text[max(0, m.start() - before) : m.start()]
-        cut = max(head.rfind(e) for e in _ENDS)
-        out.append({"n": min(int(m[1]), 2**31 - 1), "claim": (head[cut + 2 :] if cut >= 0 else head).strip()})
+        end = _LAST_END.match(head)
+        out.append({"n": min(int(m[1]), 2**31 - 1), "claim": head[end.end() if end else 0 :].strip()})
     return out
 
 
@@ -41,19 +41,29 @@ def words(text) -> F.Column:
 
 def verify_citations(claims: DataFrame, numbered: DataFrame, least: float = 0.04) -> DataFrame:
     """query_id, marker, n, claim, overlap, supported and reason. A source is cut down to its words before it is joined."""
-    sources = numbered.select("query_id", "n", words(F.substring(F.coalesce("content", F.lit("")), 1, 5000)).alias("have"), (F.trim(F.coalesce("content", F.lit(""))) == "").alias("empty"))
+    sources = numbered.select(
+        "query_id", "n", words(F.substring(F.coalesce("content", F.lit("")), 1, 5000)).alias("have"),
+        (F.trim(F.coalesce("content", F.lit(""))) == "").alias("empty")
+    )
     rows = claims.withColumn("said", words(F.col("claim"))).join(sources, ["query_id", "n"], "left")
     both, either = F.size(F.array_intersect("said", "have")), F.size(F.array_union("said", "have"))
     rows = rows.withColumn("share", F.when(F.least(F.size("said"), F.size("have")) > 0, both / either).otherwise(0.0))
     reason = F.when(F.col("have").isNull(), "out_of_range").when(F.col("empty"), "empty_source").when(F.col("share") >= least, "ok").otherwise("weak")
     rows = rows.withColumn("reason", reason).withColumn("overlap", F.when(F.col("reason").isin("ok", "weak"), F.bround("share", 4)).otherwise(0.0))
-    return rows.select("query_id", "marker", "n", F.substring("claim", 1, 120).alias("claim"), "overlap", (F.col("reason") == "ok").alias("supported"), "reason")
+    return rows.select(
+        "query_id", "marker", "n", F.substring("claim", 1, 120).alias("claim"), "overlap", (F.col("reason") == "ok").alias("supported"), "reason"
+    )
 
 
 def citation_summary(reports: DataFrame, audit: DataFrame) -> DataFrame:
-    """Of each report: citations, supported ones, and their share to three digits (1 if there is none)."""
-    sums = audit.groupBy("query_id").agg(F.count("*").alias("total"), F.sum(F.col("supported").cast("long")).alias("supported"))
-    out = reports.select("query_id").join(sums, "query_id", "left").na.fill(0)
+    """Of each report: citations, supported ones, their share to three digits (1 if there is none), and the weak ones.
+
+    The weak ones are numbers and reasons in order of the markers, as `2:weak 7:out_of_range`.
+    """
+    weak = F.when(~F.col("supported"), F.struct("marker", F.concat(F.col("n").cast("string"), F.lit(":"), F.col("reason")).alias("s")))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(weak)), lambda x: x["s"]), " ")
+    sums = audit.groupBy("query_id").agg(F.count("*").alias("total"), F.sum(F.col("supported").cast("long")).alias("supported"), listed.alias("weak"))
+    out = reports.select("query_id").join(sums, "query_id", "left").na.fill(0).na.fill("", ["weak"])
     return out.withColumn("faithfulness", F.when(F.col("total") == 0, 1.0).otherwise(F.bround(F.col("supported") / F.col("total"), 3)))
 
 
@@ -135,7 +145,7 @@ def _lines(text) -> F.Column:
 
 
 def normalize_reports(reports: DataFrame) -> DataFrame:
-    """report_id and the fields of parse_reports' rows in normal form: known confidence (else Medium), texts never null, lists joined by lines, spaced citations."""
+    """report_id and the fields of parse_reports' rows in normal form: known confidence (else Medium), texts never null, lists joined by lines, spaced citations, an empty line before list items of recommendations."""
     r = lambda name: F.col(f"report.{name}")
     level = F.trim(r("confidence_level"))
     summary = T.spaced_citations(F.coalesce(T.some(r("executive_summary")), r("summary"), F.lit("")))
@@ -145,7 +155,7 @@ def normalize_reports(reports: DataFrame) -> DataFrame:
         "parse_status",
         summary.alias("executive_summary"),
         T.spaced_citations(_lines(r("detailed_analysis"))).alias("detailed_analysis"),
-        T.spaced_citations(_lines(r("recommendations"))).alias("recommendations"),
+        T.spaced_lists(_lines(r("recommendations"))).alias("recommendations"),
         F.when(level.isin("High", "Medium", "Low"), level).otherwise("Medium").alias("confidence_level"),
         F.coalesce(r("confidence_reason"), F.lit("")).alias("confidence_reason"),
         F.coalesce(r("key_findings"), none).alias("key_findings"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pagesift import constants as K
 from pagesift.functions import text as T
 
-NOTE = "\n\n[Content truncated...]"
+NOTE = K.CONTENT_NOTE
 RULE = "\n\n---\n\n"
 
 
@@ -16,7 +16,9 @@ def filter_low_quality(results: DataFrame, least: int = 100) -> DataFrame:
 
 
 def cap_content(results: DataFrame, size: int = 10_000) -> DataFrame:
-    return results.withColumn("content", F.when(F.length("content") > size, F.concat(F.substring("content", 1, size), F.lit(NOTE))).otherwise(F.col("content")))
+    return results.withColumn(
+        "content", F.when(F.length("content") > size, F.concat(F.substring("content", 1, size), F.lit(NOTE))).otherwise(F.col("content"))
+    )
 
 
 def thin_pages(results: DataFrame, least: int = 250) -> DataFrame:
@@ -43,11 +45,25 @@ def number_citations(results: DataFrame) -> DataFrame:
 
 
 def context_pack(numbered: DataFrame, size: int = 2500) -> DataFrame:
-    """Of each query: its numbered sources in order, cut at `size` characters each, and their total length."""
-    block = F.concat(F.lit("["), F.col("n").cast("string"), F.lit("] "), F.coalesce("title", F.lit("")), F.lit("\n"), F.substring("content", 1, size))
-    parts = F.array_sort(F.collect_list(F.struct("n", block.alias("block"))))
-    out = numbered.groupBy("query_id").agg(F.array_join(F.transform(parts, lambda x: x["block"]), RULE).alias("context"), F.count("*").alias("n_sources"))
-    return out.withColumn("total_chars", F.length("context"))
+    """Of each query: its numbered sources in order, contents cut at `size` characters, an index of them, and their whole length.
+
+    chars, where it is there, is the length of contents that were cut before.
+    """
+    n, date = F.col("n").cast("string"), F.col("publication_date")
+    share = F.concat(F.bround(F.col("relevance_score") * 100, 0).cast("int").cast("string"), F.lit("%"))
+    block = F.concat(
+        F.lit("SOURCE ["), n, F.lit("]: "), F.coalesce("source", F.lit("")), F.lit(" [Tier "), F.col("source_tier").cast("string"), F.lit("]\nTITLE: "), F.coalesce("title", F.lit("")),
+        F.lit("\nURL: "), F.coalesce("url", F.lit("")), F.lit("\nDATE: "), F.coalesce(date, F.lit("unknown")), F.lit("\nRELEVANCE: "), share, F.lit("\nCONTENT:\n"), F.substring("content", 1, size),
+    )
+    line = F.concat(
+        F.lit("  ["), n, F.lit("] "), F.coalesce(T.some(F.col("title")), F.col("source"), F.lit("")), F.lit(" — "), F.coalesce("url", F.lit("")),
+        F.lit(" ("), F.coalesce(date, F.lit("date unknown")), F.lit(")")
+    )
+    chars = F.col("chars") if "chars" in numbered.columns else F.length("content")
+    parts = F.array_sort(F.collect_list(F.struct("n", block.alias("block"), line.alias("line"))))
+    joined = lambda name, rule: F.array_join(F.transform("parts", lambda x: x[name]), rule).alias({"block": "context", "line": "source_index"}[name])
+    out = numbered.groupBy("query_id").agg(parts.alias("parts"), F.count("*").alias("n_sources"), F.sum(chars).cast("long").alias("total_chars"))
+    return out.select("query_id", joined("block", RULE), joined("line", "\n"), "n_sources", "total_chars")
 
 
 def tier_summary(results: DataFrame) -> DataFrame:
@@ -57,9 +73,13 @@ def tier_summary(results: DataFrame) -> DataFrame:
 def run_stats(results: DataFrame) -> DataFrame:
     good = F.col("error").isNull()
     out = results.groupBy("query_id").agg(
-        F.count("*").alias("checked"), F.sum(good.cast("long")).alias("succeeded"), F.sum(F.when(good, F.length("content")).otherwise(0)).cast("long").alias("total_chars")
+        F.count("*").alias("checked"), F.sum(good.cast("long")).alias("succeeded"), F.sum(
+            F.when(good, F.length("content")).otherwise(0)
+        ).cast("long").alias("total_chars")
     )
-    return out.withColumn("failed", F.col("checked") - F.col("succeeded")).withColumn("success_rate", F.round(F.col("succeeded") * 100.0 / F.col("checked"), 6))
+    return out.withColumn(
+        "failed", F.col("checked") - F.col("succeeded")
+    ).withColumn("success_rate", F.round(F.col("succeeded") * 100.0 / F.col("checked"), 6))
 
 
 def official_doc_hits(results: DataFrame, most: int = 5) -> DataFrame:
@@ -69,16 +89,24 @@ def official_doc_hits(results: DataFrame, most: int = 5) -> DataFrame:
         hit = hit | lower.contains(sign)
     rows = results.where("error is null").where(hit)
     rows = rows.withColumn("k", F.row_number().over(W.partitionBy("query_id").orderBy("pos", "url"))).where(F.col("k") <= most)
-    return rows.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "url"))), lambda x: x["url"]), " ").alias("doc_urls"))
+    return rows.groupBy("query_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "url"))), lambda x: x["url"]), " ").alias("doc_urls")
+    )
 
 
 def map_sources(results: DataFrame, include_content: bool = False, max_chars: int = 8000) -> DataFrame:
     """Results as an answer's sources: sanitized content (null if empty or not asked for), score 0 and tier 5 where unknown."""
     text = T.some(T.sanitized(F.col("content"), max_chars)) if include_content else F.lit(None).cast("string")
-    return results.select("query_id", "pos", "title", text.alias("content"), "error", F.coalesce("relevance_score", F.lit(0.0)).alias("relevance_score"), F.coalesce("source_tier", F.lit(5)).alias("source_tier"))
+    return results.select(
+        "query_id", "pos", "title", text.alias("content"), "error", F.coalesce("relevance_score", F.lit(0.0)).alias("relevance_score"),
+        F.coalesce("source_tier", F.lit(5)).alias("source_tier")
+    )
 
 
 def map_citations(results: DataFrame, max_chars: int = 8000) -> DataFrame:
     """Results without error as citations, with a snippet of their sanitized content."""
     good = results.where("error is null or error = ''")
-    return good.select("query_id", "pos", "title", F.coalesce("relevance_score", F.lit(0.0)).alias("relevance_score"), T.snippet(T.sanitized(F.col("content"), max_chars)).alias("snippet"), F.coalesce("source_tier", F.lit(5)).alias("source_tier"))
+    return good.select(
+        "query_id", "pos", "title", F.coalesce("relevance_score", F.lit(0.0)).alias("relevance_score"),
+        T.snippet(T.sanitized(F.col("content"), max_chars)).alias("snippet"), F.coalesce("source_tier", F.lit(5)).alias("source_tier")
+    )
