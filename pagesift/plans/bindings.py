@@ -12,7 +12,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id and query, the first six words of each benchmark item."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("query"))
+    return table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("query")
+    )
 
 
 def _with_query(rows: DataFrame, asked: DataFrame, key: str) -> DataFrame:
@@ -46,6 +48,9 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
         "query_id",
         F.col("doc_id").alias("pos"),
         F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("title"),
+        F.col("source").alias("source"),
+        F.concat(F.lit("https://docs.example/"), F.col("doc_id").cast("string")).alias("url"),
+        F.when(F.col("doc_id") % 2 == 0, "2024-05-04").alias("publication_date"),
         F.col("text").alias("content"),
         F.when(F.col("doc_id") % 13 == 0, "timeout").alias("error"),
         (F.col("doc_id") % 5 + 1).alias("source_tier"),
@@ -60,10 +65,13 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A report for each query: the starts of its first numbered documents, each with a citation that may be off by one."""
+    """A report for each query: its numbered documents, with a citation at the end of each sentence that may be off by one."""
     from pagesift.operators.results import number_citations, with_relevance
 
     rows = with_relevance(results(spark, sf_dir), queries(spark, sf_dir)).where("error is null and content is not null")
-    part = F.concat(F.regexp_replace(F.substring("content", 1, 90), r"\s+", " "), F.lit(" ["), (F.col("n") + F.col("pos") % 2).cast("string"), F.lit("]. "))
-    rows = number_citations(rows).where("n <= 8")
-    return rows.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", part.alias("p")))), lambda x: x["p"]), "").alias("text"))
+    mark = F.concat(F.lit(" ["), (F.col("n") + F.col("pos") % 2).cast("string"), F.lit("]. "))
+    part = F.concat(F.regexp_replace("content", F.lit(r"\.\s+"), mark), mark)
+    rows = number_citations(rows)
+    return rows.groupBy("query_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", part.alias("p")))), lambda x: x["p"]), "").alias("text")
+    )

@@ -7,8 +7,10 @@ from pagesift.functions import text as T
 from pagesift.functions import urls as U
 from pagesift.operators import monitor, pages, querylog, ranking, reports, results
 from pagesift.plans import bindings as B
-from pagesift.plans.queries import _C, _DOMAIN, _HOST, _LOG, _PART, _Q, _REL, _has, _in, _ranked, _score, _scored
+from pagesift.plans.queries import _C, _DOMAIN, _HOST, _LOG, _PART, _Q, _R, _REL, _has, _in, _ranked, _score, _scored
 from pagesift.sources import feeds
+from pagesift.sources.pages import read_pages
+from pagesift.streaming import monitor as live
 
 
 _LOW = "abcdefghijklmnopqrstuvwxyz"
@@ -21,15 +23,21 @@ def _pages(s, d):
 def _redirects(s, d):
     """Every third URL behind one search engine's redirect, every third behind another's."""
     kind, coded = F.col("page_id") % 3, F.url_encode("url")
-    link = F.when(kind == 0, F.concat(F.lit("//duckduckgo.com/l/?uddg="), coded, F.lit("&rut=1"))).when(kind == 1, F.concat(F.lit("/url?q=x&url="), coded, F.lit("&sa=U"))).otherwise(F.col("url"))
+    link = F.when(
+        kind == 0, F.concat(F.lit("//duckduckgo.com/l/?uddg="), coded, F.lit("&rut=1"))
+    ).when(kind == 1, F.concat(F.lit("/url?q=x&url="), coded, F.lit("&sa=U"))).otherwise(F.col("url"))
     return _pages(s, d).select("page_id", link.alias("url"))
 
 
 def _risky(s, d):
     kind, rest = F.col("page_id") % 7, F.regexp_replace("url", "^https?://", "")
     low = (F.col("page_id") % 250).cast("string")
-    url = F.when(kind == 1, F.concat(F.lit("ftp://"), rest)).when(kind == 2, F.concat(F.lit("http://me:pw@"), rest)).when(kind == 3, "http://a.localhost:80/")
-    url = url.when(kind == 4, F.concat(F.lit("http://10.0.0."), low, F.lit("/x"))).when(kind == 5, F.concat(F.lit("http://[::ffff:8.8.8."), low, F.lit("]/"))).when(kind == 6, "https:///x").otherwise(F.col("url"))
+    url = F.when(
+        kind == 1, F.concat(F.lit("ftp://"), rest)
+    ).when(kind == 2, F.concat(F.lit("http://me:pw@"), rest)).when(kind == 3, "http://a.localhost:80/")
+    url = url.when(
+        kind == 4, F.concat(F.lit("http://10.0.0."), low, F.lit("/x"))
+    ).when(kind == 5, F.concat(F.lit("http://[::ffff:8.8.8."), low, F.lit("]/"))).when(kind == 6, "https:///x").otherwise(F.col("url"))
     return _pages(s, d).select("page_id", url.alias("url"))
 
 
@@ -45,7 +53,10 @@ def _links(s, d):
 
 def _written(s, d):
     """Queries as a user writes them, with page URLs inside."""
-    text = F.concat(F.lit("see "), F.col("url"), F.lit(". and "), F.col("url"), F.when(F.col("page_id") % 2 == 0, ", crawl (https://a.example/x)!").otherwise(","), F.lit(" please"))
+    text = F.concat(
+        F.lit("see "), F.col("url"), F.lit(". and "), F.col("url"),
+        F.when(F.col("page_id") % 2 == 0, ", crawl (https://a.example/x)!").otherwise(","), F.lit(" please")
+    )
     return _pages(s, d).select(F.col("page_id").alias("query_id"), F.when(F.col("page_id") % 5 == 0, "plain words").otherwise(text).alias("query"))
 
 
@@ -53,12 +64,17 @@ def _technical(s, d):
     """Each query, naming two technologies by its number."""
     names = F.array(*map(F.lit, K.TECH_DOCS))
     name = lambda n: F.element_at(names, (F.pmod(n, F.lit(len(K.TECH_DOCS))) + 1).cast("int"))
-    return B.queries(s, d).withColumn("query", F.concat("query", F.lit(" usage of "), name(F.col("query_id")), F.lit(", "), name(F.col("query_id") * 7)))
+    return B.queries(s, d).withColumn(
+        "query", F.concat("query", F.lit(" usage of "), name(F.col("query_id")), F.lit(", "), name(F.col("query_id") * 7))
+    )
 
 
 def _budgets(s, d):
     q = F.col("query_id")
-    return B.queries(s, d).select("query_id", "query", F.when(q % 3 == 0, q % 70).cast("int").alias("requested"), F.when(q % 2 == 0, q % 45).cast("int").alias("suggested"), (q % 5 == 0).alias("deep"))
+    return B.queries(s, d).select(
+        "query_id", "query", F.when(q % 3 == 0, q % 70).cast("int").alias("requested"), F.when(q % 2 == 0, q % 45).cast("int").alias("suggested"),
+        (q % 5 == 0).alias("deep")
+    )
 
 
 def _planned(s, d):
@@ -70,8 +86,10 @@ def _answers(s, d):
     kind, text = F.col("doc_id") % 4, F.translate(F.coalesce("text", F.lit("")), '"\\\n\t\r', "")
     level = F.when(F.col("doc_id") % 3 == 0, "High").otherwise("sure")
     tail = F.concat(F.lit('", "confidence_level": "'), level, F.lit('", "data_table": [{"metric": "m", "value": 5}, {"metric": "only"}'))
-    body = F.concat(F.lit('{"executive_summary": "s [1][2] '), F.substring(F.regexp_replace(text, r"[\x00-\x1f]", ""), 1, 40))
-    raw = F.when(kind == 0, F.concat(F.lit("Here: "), body, tail, F.lit("]} done"))).when(kind == 1, body).when(kind == 2, F.concat(body, tail, F.lit(","))).otherwise(F.lit("no answer"))
+    body = F.concat(F.lit('{"executive_summary": "s [1][2] '), F.regexp_replace(text, r"[\x00-\x1f]", ""))
+    raw = F.when(
+        kind == 0, F.concat(F.lit("Here: "), body, tail, F.lit("]} done"))
+    ).when(kind == 1, body).when(kind == 2, F.concat(body, tail, F.lit(","))).otherwise(F.lit("no answer"))
     return B.table(s, d, "documents").select(F.col("doc_id").alias("report_id"), raw.alias("raw"))
 
 
@@ -83,15 +101,73 @@ def _hits(s, d):
     """Each page as a search payload of one hit."""
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
     hit = F.struct(title.alias("title"), F.lit("a <b>bold</b> word").alias("snippet"))
-    return _pages(s, d).select(F.col("page_id").alias("query_id"), F.to_json(F.struct(F.struct(F.array(hit).alias("search")).alias("query"))).alias("json"))
+    return _pages(s, d).select(
+        F.col("page_id").alias("query_id"), F.to_json(F.struct(F.struct(F.array(hit).alias("search")).alias("query"))).alias("json")
+    )
 
 
 def _feeds(s, d):
     title = F.regexp_replace(F.regexp_extract("html", "<title>([^<]*)</title>", 1), "[&<>]", " ")
-    xml = F.concat(F.lit("<rss><channel><item><title>"), title, F.lit("</title><link>https://e.example/"), F.col("page_id").cast("string"), F.lit("</link></item></channel></rss>"))
+    xml = F.concat(
+        F.lit("<rss><channel><item><title>"), title, F.lit("</title><link>https://e.example/"), F.col("page_id").cast("string"),
+        F.lit("</link></item></channel></rss>")
+    )
     return _pages(s, d).select(F.col("page_id").alias("query_id"), F.when(F.col("page_id") % 10 == 0, "not xml <><").otherwise(xml).alias("xml"))
 
 
+def _described(s, d):
+    """Pages with metadata and an image in front."""
+    front = F.concat(
+        F.lit('<meta name="description" content="about '), F.col("page_id").cast("string"),
+        F.lit('"><meta property="og:url" content="x"><meta name="empty" content=""><img src="/i/'), F.col("page_id").cast("string"),
+        F.lit('.png" alt="an image">')
+    )
+    return pages.extract_pages(_pages(s, d).withColumn("html", F.concat(front, F.coalesce("html", F.lit("")))), "all")
+
+
+def _plain(column):
+    return F.regexp_replace(column, "[&<>]", " ")
+
+
+def _title():
+    return F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+
+
+def _atom(s, d, paper=False):
+    """Each page as an Atom feed of one entry; every tenth is broken."""
+    link = F.concat(F.lit("http://arxiv.example/"), F.col("page_id").cast("string"))
+    where = F.concat(F.lit("<id>"), link, F.lit("</id>")) if paper else F.concat(F.lit('<link href="'), link, F.lit('"/>'))
+    date = "published" if paper else "updated"
+    xml = F.concat(
+        F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><entry>'), where, F.lit("<title>"), _plain(_title()),
+        F.lit(f"</title><summary>about it</summary><{date}>2024-01-02</{date}></entry></feed>")
+    )
+    return _pages(s, d).select(F.col("page_id").alias("query_id"), F.when(F.col("page_id") % 10 == 0, "<").otherwise(xml).alias("xml"))
+
+
+def _result_pages(s, d):
+    """Each page as a search-result page of one hit behind a redirect."""
+    hit = F.concat(
+        F.lit('<div class="result"><a class="result__a" href="//duckduckgo.com/l/?uddg='), F.url_encode("url"), F.lit('&rut=1">hit '),
+        F.col("page_id").cast("string"), F.lit('</a><a class="result__snippet" href="#">Some text</a></div>')
+    )
+    return _pages(s, d).select(F.col("page_id").alias("query_id"), hit.alias("html"))
+
+
+def _payload(s, d, name, **fields):
+    """Each page as a JSON payload of one item."""
+    item = F.struct(*[v.alias(k) for k, v in fields.items()])
+    return _pages(s, d).select(F.col("page_id").alias("query_id"), F.to_json(F.struct(F.array(item).alias(name))).alias("json"))
+
+
+def _documented(s, d):
+    """Candidates, of which every third is a page of a technology's documentation."""
+    named = F.concat(F.lit("https://docs.python.org/3/library/"), F.col("pos").cast("string"))
+    return B.candidates(s, d).withColumn(
+        "url", F.when(F.col("pos") % 3 == 0, named).otherwise(F.col("url"))
+    ).withColumn("error", F.when(F.col("pos") % 7 == 0, "timeout"))
+
+
 def _shortlist(s, d):
     return _ranked(s, d).withColumn("source", U.source_name(F.col("url")))
 
@@ -106,8 +182,9 @@ def _states(s, d):
 
 def _rescraped(s, d):
     base = B.table(s, d, "documents").select(F.col("doc_id").cast("string").alias("url"), "text", "doc_id")
-    first = base.select("url", F.substring("text", 1, 100).alias("content"), F.when(F.col("doc_id") % 4 == 0, "timeout").alias("error"))
-    again = base.where("doc_id % 3 = 0").select("url", F.substring("text", 1, 150).alias("content"), F.when(F.col("doc_id") % 9 == 0, "timeout").alias("error"))
+    half = F.expr("substring(text, 1, length(text) div 2)")
+    first = base.select("url", half.alias("content"), F.when(F.col("doc_id") % 4 == 0, "timeout").alias("error"))
+    again = base.where("doc_id % 3 = 0").select("url", F.col("text").alias("content"), F.when(F.col("doc_id") % 9 == 0, "timeout").alias("error"))
     return pages.prefer_rescrapes(first, again)
 
 
@@ -118,33 +195,58 @@ def _collected(s, d):
 
 QUERIES = {
     "s2_json_candidates": lambda s, d: feeds.encyclopedia_candidates(_hits(s, d)).select("query_id", "title", "snippet"),
+    "s1_pages": lambda s, d: read_pages(s, f"{d}/pages.parquet").select("page_id", "url", F.length("html").alias("n_chars"), "status_code"),
+    "s2_stories": lambda s, d: feeds.story_candidates(_payload(s, d, "hits", title=_title(), story_url=F.col("url"), created_at=F.lit("2024-01-02"))),
+    "s2_answers": lambda s, d: feeds.answer_candidates(
+        _payload(s, d, "items", title=_title(), link=F.col("url"), body=F.lit("<p>an <b>answer</b></p>"))
+    ),
+    "s3_atom": lambda s, d: feeds.feed_candidates(_atom(s, d)),
+    "s4_papers": lambda s, d: feeds.arxiv_candidates(_atom(s, d, True)),
+    "s5_result_pages": lambda s, d: feeds.result_page_candidates(_result_pages(s, d)).select("query_id", "pos", "title", "url", "snippet"),
+    "m11_progress": lambda s, d: live.progress(B.results(s, d)),
     "s3_feed_candidates": lambda s, d: feeds.feed_candidates(_feeds(s, d)).select("query_id", "url"),
     "s6_feed_filter": lambda s, d: feeds.filter_feed_by_query(B.candidates(s, d), B.queries(s, d)).select("query_id", "pos", "url"),
     "u4_redirects": lambda s, d: _redirects(s, d).select("page_id", U.decode_redirect(F.col("url")).alias("url")),
     "u5_source_name": lambda s, d: _pages(s, d).select("page_id", U.source_name(F.col("url")).alias("source")),
     "u7_unsafe_urls": lambda s, d: _risky(s, d).select("page_id", F.coalesce(U.unsafe_reason(F.col("url")), F.lit("safe")).alias("reason")),
-    "u8_resolved_urls": lambda s, d: U.screen_resolved(_pages(s, d).select("page_id", "url"), _dns(s, d)).select("page_id", F.coalesce("reason", F.lit("safe")).alias("reason")),
+    "u8_resolved_urls": lambda s, d: U.screen_resolved(
+        _pages(s, d).select("page_id", "url"), _dns(s, d)
+    ).select("page_id", F.coalesce("reason", F.lit("safe")).alias("reason")),
     "u10_frontier_score": lambda s, d: _links(s, d).select("pos", U.frontier_score(F.col("url"), F.col("root")).alias("score")),
-    "u11_frontier": lambda s, d: U.select_frontier(_links(s, d), 3),
+    "u11_frontier": lambda s, d: U.select_frontier(_links(s, d), 99),
     "q2_variants": lambda s, d: querylog.query_variants(
-        B.queries(s, d).select("query_id", F.col("query").alias("original"), T.clean(F.col("query")).alias("normalized"), F.array(F.translate("query", _LOW, _LOW.upper()), F.concat(F.lit(" a  guide to "), F.col("query")), F.lit("x"), F.lit("more"), F.lit("most")).alias("variants")), 3
+        B.queries(s, d).select(
+            "query_id", F.col("query").alias("original"), T.clean(F.col("query")).alias("normalized"),
+            F.array(
+                F.translate("query", _LOW, _LOW.upper()), F.concat(F.lit(" a  guide to "), F.col("query")), F.lit("x"), F.lit("more"), F.lit("most"),
+                F.lit("mist")
+            ).alias("variants")
+        ), 5
     ).select("query_id", F.array_join("variants", "|").alias("variants")),
-    "q6_intents": lambda s, d: querylog.intent_flags(B.table(s, d, "conversations").select("conv_id", "turn", F.col("text").alias("query"))).drop("query"),
+    "q6_intents": lambda s, d: querylog.intent_flags(
+        B.table(s, d, "conversations").select("conv_id", "turn", F.col("text").alias("query"))
+    ).drop("query"),
     "q7_direct_urls": lambda s, d: querylog.direct_urls(_written(s, d)),
     "q8_routes": lambda s, d: querylog.route_queries(_written(s, d)).select("query_id", "route"),
     "q9_official_docs": lambda s, d: querylog.official_docs(_technical(s, d)),
-    "q9_injected_docs": lambda s, d: querylog.inject_docs(_technical(s, d).select("query_id", F.lit("https://docs.python.org/3/").alias("url"), F.lit(1).alias("priority")), _technical(s, d)),
+    "q9_injected_docs": lambda s, d: querylog.inject_docs(
+        _technical(s, d).select("query_id", F.lit("https://docs.python.org/3/").alias("url"), F.lit(1).alias("priority")), _technical(s, d)
+    ),
     "q10_budget": lambda s, d: _planned(s, d).select("query_id", "target", "pool"),
     "q11_fallback_plan": lambda s, d: querylog.fallback_plan(_planned(s, d), B.candidates(s, d).where("query_id % 4 <> 0")),
     "q12_request_key": lambda s, d: B.log(s, d).select("event_id", querylog.request_key(F.col("endpoint"), "subject", "cached").alias("request_key")),
-    "p4_metadata": lambda s, d: pages.extract_pages(_pages(s, d), "all").select("page_id", F.explode("metadata").alias("name", "content")),
-    "p6_images": lambda s, d: pages.extract_pages(_pages(s, d), "all").select("page_id", F.posexplode("images").alias("pos", "i")).select("page_id", "pos", "i.url", "i.alt"),
-    "p8_sanitized": lambda s, d: B.table(s, d, "documents").select("doc_id", F.sha2(T.sanitized(F.concat(F.lit("a &amp; b "), F.coalesce("text", F.lit(""))), 8000), 256).alias("sha")),
+    "p4_metadata": lambda s, d: _described(s, d).select("page_id", F.explode("metadata").alias("name", "content")),
+    "p6_images": lambda s, d: _described(s, d).select("page_id", F.posexplode("images").alias("pos", "i")).select("page_id", "pos", "i.url", "i.alt"),
+    "p8_sanitized": lambda s, d: B.table(s, d, "documents").select(
+        "doc_id", F.sha2(T.sanitized(F.concat(F.lit("a &amp; b "), F.coalesce("text", F.lit(""))), 8000), 256).alias("sha")
+    ),
     "p12_rescrapes": _rescraped,
     "r12_expanded": lambda s, d: ranking.expand_sources(_selected(s, d), _shortlist(s, d), _planned(s, d)).select("query_id", "url", "priority"),
-    "r13_collected": lambda s, d: ranking.union_collectors(*_collected(s, d)).select("query_id", "set_pos", "pos", "provider", F.col("snippet").isNull().alias("bare")),
+    "r13_collected": lambda s, d: ranking.union_collectors(*_collected(s, d)).select(
+        "query_id", "set_pos", "pos", "provider", F.col("snippet").isNull().alias("bare")
+    ),
     "r13_failures": lambda s, d: ranking.collector_failures(*_collected(s, d)),
-    "c7_official_docs": lambda s, d: results.official_doc_hits(B.candidates(s, d).withColumn("error", F.when(F.col("pos") % 7 == 0, "timeout"))),
+    "c7_official_docs": lambda s, d: results.official_doc_hits(_documented(s, d)),
     "a1_parse_status": lambda s, d: reports.parse_reports(_answers(s, d)).select("report_id", "parse_status"),
     "a2_normalized": lambda s, d: _reports(s, d).select("report_id", "executive_summary", "confidence_level"),
     "a4_claims": lambda s, d: reports.claim_windows(B.reports(s, d)),
@@ -154,65 +256,105 @@ QUERIES = {
     "m5_breaker_alert": lambda s, d: monitor.breaker_alert(_states(s, d), "upstream"),
 }
 
+_TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
 _FLAG = lambda words: f"coalesce({_has('lower(text)', words)}, false)"
 _SEG = "list_filter(string_split(lower({p}), '/'), lambda x: x <> '')"
 _WRITTEN = "wq AS (SELECT page_id AS query_id, CASE WHEN page_id % 5 = 0 THEN 'plain words' ELSE 'see ' || url || '. and ' || url || CASE WHEN page_id % 2 = 0 THEN ', crawl (https://a.example/x)!' ELSE ',' END || ' please' END AS query FROM pages)"
 _LINKS = f"l AS (SELECT 'https://' || {_DOMAIN()} || '/' AS root, url, page_id AS pos FROM pages)"
 _FRONT = f"""g AS (SELECT *, {_PART(3)} AS path, {_PART(4)} AS asked, {_SEG.format(p=_PART(3))} AS seg FROM l),
     sc AS (SELECT *, CASE WHEN path = {_PART(3, 'root')} AND asked = {_PART(4, 'root')} OR len(list_filter(seg, lambda x: {_in('x', K.DEAD_ENDS)})) > 0 THEN 0
-        ELSE greatest(0, 10 + 5 * least(len(seg), 5) - CASE WHEN asked <> '' THEN 8 ELSE 0 END - CASE WHEN regexp_matches(coalesce(seg[-1], ''), '^[0-9]+$') THEN 6 ELSE 0 END
+        ELSE greatest(0, 10 + 5 * least(len(seg), 5) - CASE WHEN asked <> '' THEN 8 ELSE 0 END - CASE WHEN regexp_matches(coalesce(seg[-1], ''),
+            '^[0-9]+$') THEN 6 ELSE 0 END
         + CASE WHEN regexp_matches(coalesce(seg[-1], ''), '^[a-z\\-À-ɏ]+$') THEN 4 ELSE 0 END) END::INTEGER AS score FROM g)"""
-_TECHQ = f"""{_Q}, names AS (SELECT [{', '.join(repr(k) for k in K.TECH_DOCS)}] AS x), tq AS (SELECT query_id, query || ' usage of ' || x[query_id % len(x) + 1] || ', ' || x[query_id * 7 % len(x) + 1] AS query FROM q, names)"""
+_TECHQ = f"""{_Q}, names AS (SELECT [{', '.join(repr(k) for k in K.TECH_DOCS)}] AS x), tq AS (SELECT query_id, query || ' usage of ' || x[query_id %
+            len(x) + 1] || ', ' || x[query_id * 7 % len(x) + 1] AS query FROM q, names)"""
 _DOCS = f"""dk(word, w, u, url) AS (VALUES {', '.join(f"('{k}', {i}, {j}, '{u}')" for i, (k, us) in enumerate(K.TECH_DOCS.items()) for j, u in enumerate(us))}),
-    dm AS (SELECT query_id, url, min(w * 10 + u) AS place FROM tq JOIN dk ON regexp_matches(lower(query), '\\b' || replace(word, '.', '\\.') || '\\b') GROUP BY query_id, url)"""
-_BUD = f"""{_Q}, b0 AS (SELECT query_id, query, CASE WHEN query_id % 3 = 0 THEN query_id % 70 END AS requested, CASE WHEN query_id % 2 = 0 THEN query_id % 45 END AS suggested, query_id % 5 = 0 AS deep FROM q),
+    dm AS (SELECT query_id, url, min(w * 10 + u) AS place FROM tq JOIN dk ON regexp_matches(lower(query), '\\b' || replace(word, '.', '\\.') || '\\b')
+            GROUP BY query_id, url)"""
+_BUD = f"""{_Q}, b0 AS (SELECT query_id, query, CASE WHEN query_id % 3 = 0 THEN query_id % 70 END AS requested, CASE WHEN query_id % 2 = 0 THEN
+            query_id % 45 END AS suggested, query_id % 5 = 0 AS deep FROM q),
     b1 AS (SELECT *, coalesce(requested, suggested, CASE WHEN deep THEN 20 ELSE 5 END) AS wish FROM b0),
     b AS (SELECT *, (CASE WHEN deep THEN least(greatest(wish, 15), 50) ELSE least(greatest(wish, 1), 15) END)::INTEGER AS target FROM b1)"""
 _TOPIC = f"list_filter(list_transform(list_filter(regexp_split_to_array(replace(query, '-', ' '), '\\s+'), lambda x: len(x) > 2), lambda x: lower(x)), lambda x: NOT {_in('x', K.TOPIC_STOPWORDS)})"
 
 ORACLE_SQL = {
-    "s2_json_candidates": "SELECT page_id AS query_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, 'a bold word' AS snippet FROM pages",
+    "s2_json_candidates": "SELECT page_id AS query_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, 'a bold word' AS snippet FROM "
+        "pages",
+    "s1_pages": "SELECT page_id, url, len(html)::INTEGER AS n_chars, NULL::INTEGER AS status_code FROM pages",
+    "s2_stories": f"SELECT page_id AS query_id, 0 AS pos, {_TITLE} AS title, url, '2024-01-02' AS publication_date FROM pages WHERE {_TITLE} <> '' "
+        f"AND url <> ''",
+    "s2_answers": f"SELECT page_id AS query_id, 0 AS pos, trim({_TITLE}) AS title, trim(url) AS url, 'an answer' AS snippet FROM pages WHERE "
+        f"trim({_TITLE}) <> '' AND trim(url) <> ''",
+    "s3_atom": f"SELECT page_id AS query_id, 0 AS pos, trim(regexp_replace({_TITLE}, '[&<>]', ' ', 'g')) AS title, 'http://arxiv.example/' || page_id "
+        f"AS url, 'about it' AS snippet, '2024-01-02' AS publication_date FROM pages WHERE page_id % 10 <> 0 AND trim({_TITLE}) <> ''",
+    "s4_papers": f"SELECT page_id AS query_id, 0 AS pos, trim(regexp_replace({_TITLE}, '[&<>]', ' ', 'g')) AS title, 'http://arxiv.example/' || page_id AS url, 'about it' AS snippet, '2024-01-02' AS publication_date FROM pages WHERE page_id % 10 <> 0 AND trim({_TITLE}) <> ''",
+    "s5_result_pages": "SELECT page_id AS query_id, 0 AS pos, 'hit ' || page_id AS title, url, 'Some text' AS snippet FROM pages WHERE NOT contains(url, 'duckduckgo.com')",
+    "m11_progress": f"WITH {_R} SELECT query_id, count(*) AS done, count(*) FILTER (error IS NULL) AS succeeded, coalesce(sum(len(content)) FILTER (error IS NULL), 0)::BIGINT AS total_chars FROM d GROUP BY query_id",
+    "p4_metadata": "SELECT page_id, unnest(['description', 'og:url']) AS name, unnest(['about ' || page_id, 'x']) AS content FROM pages",
+    "p6_images": "SELECT page_id, 0 AS pos, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || '/i/' || page_id || '.png' AS url, 'an image' AS alt FROM pages",
+    "a2_normalized": r"""SELECT doc_id AS report_id, CASE doc_id % 4 WHEN 3 THEN 'no answer' WHEN 1 THEN regexp_replace(rtrim('s [1], [2] ' || t),
+            '[,\s]+$', '') ELSE 's [1], [2] ' || t END AS executive_summary,
+        CASE WHEN doc_id % 4 = 3 THEN 'Low' WHEN doc_id % 4 IN (0, 2) AND doc_id % 3 = 0 THEN 'High' ELSE 'Medium' END AS confidence_level FROM
+            (SELECT doc_id, regexp_replace(coalesce(text, ''), '["\\\x00-\x1f]', '', 'g') AS t FROM documents)""",
     "s3_feed_candidates": "SELECT page_id AS query_id, 'https://e.example/' || page_id AS url FROM pages WHERE page_id % 10 <> 0 AND trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) <> ''",
     "s6_feed_filter": f"""WITH {_C}, k AS (SELECT query_id, list_filter(regexp_split_to_array(lower(query), '[\\s,;]+'), lambda x: len(x) > 3) AS words FROM q)
-        SELECT query_id, pos, url FROM c JOIN k USING (query_id) WHERE url <> '' AND (len(words) = 0 OR len(list_filter(words, lambda x: contains(lower(title || ' ' || snippet), x))) > 0)
+        SELECT query_id, pos, url FROM c JOIN k USING (query_id) WHERE url <> '' AND (len(words) = 0 OR len(list_filter(words, lambda x:
+            contains(lower(title || ' ' || snippet), x))) > 0)
         QUALIFY row_number() OVER (PARTITION BY query_id, url ORDER BY pos) = 1""",
     "u4_redirects": "SELECT page_id, url FROM pages",
     "u5_source_name": f"SELECT page_id, CASE {' '.join(f'''WHEN contains({_HOST()}, '{k}') THEN '{v}' ''' for k, v in K.SOURCE_NAMES.items())} ELSE regexp_extract({_HOST()}, '^([^.]*)', 1) END AS source FROM pages",
     "u7_unsafe_urls": "SELECT page_id, ['safe', 'scheme', 'credentials', 'localhost', 'private_address', 'safe', 'no_host'][page_id % 7 + 1] AS reason FROM pages",
     "u8_resolved_urls": f"SELECT page_id, CASE WHEN len({_DOMAIN()}) % 5 = 0 THEN 'unresolved' WHEN len({_DOMAIN()}) % 3 = 0 THEN 'private_address' ELSE 'safe' END AS reason FROM pages",
     "u10_frontier_score": f"WITH {_LINKS}, {_FRONT} SELECT pos, score FROM sc",
-    "u11_frontier": f"""WITH l0 AS (SELECT 'https://' || {_DOMAIN()} || '/' AS root, regexp_replace(url, '/+$', '') AS url, page_id AS pos FROM pages), l AS (SELECT root, url, min(pos) AS pos FROM l0 WHERE url <> '' GROUP BY ALL), {_FRONT},
-        f AS (SELECT * FROM sc WHERE score > 0 AND NOT regexp_matches(regexp_extract(lower(url), '^([^?]*)', 1), '({'|'.join(x.replace('.', chr(92) + '.') for x in K.SKIPPED_EXTENSIONS)})$')
+    "u11_frontier": f"""WITH l0 AS (SELECT 'https://' || {_DOMAIN()} || '/' AS root, regexp_replace(url, '/+$', '') AS url, page_id AS pos FROM
+            pages), l AS (SELECT root, url, min(pos) AS pos FROM l0 WHERE url <> '' GROUP BY ALL), {_FRONT},
+        f AS (SELECT * FROM sc WHERE score > 0 AND NOT regexp_matches(regexp_extract(lower(url), '^([^?]*)', 1),
+            '({'|'.join(x.replace('.', chr(92) + '.') for x in K.SKIPPED_EXTENSIONS)})$')
             QUALIFY row_number() OVER (PARTITION BY root, regexp_replace(path, '[0-9]+', 'N', 'g') ORDER BY pos, url) <= 5)
-        SELECT root, url, score, row_number() OVER (PARTITION BY root ORDER BY score DESC, url)::INTEGER AS rank FROM f QUALIFY rank <= 3""",
-    "q2_variants": f"""WITH {_Q}, v AS (SELECT query_id, list_filter(list_transform([query, query, translate(query, '{_LOW}', '{_LOW.upper()}'), ' a  guide to ' || query, 'x', 'more', 'most'], lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: len(x) BETWEEN 2 AND 500) AS x FROM q),
-        e AS (SELECT query_id, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM v), o AS (SELECT query_id, arg_min(y, i) AS y, min(i) AS i FROM e GROUP BY query_id, lower(y)),
-        t AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY i) <= 3) SELECT query_id, string_agg(y, '|' ORDER BY i) AS variants FROM t GROUP BY query_id""",
+        SELECT root, url, score, row_number() OVER (PARTITION BY root ORDER BY score DESC, url)::INTEGER AS rank FROM f QUALIFY rank <= 99""",
+    "q2_variants": f"""WITH {_Q}, v AS (SELECT query_id, list_filter(list_transform([query, query, translate(query, '{_LOW}', '{_LOW.upper()}'),
+            ' a  guide to ' || query, 'x', 'more', 'most', 'mist'], lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: len(x) BETWEEN 2
+            AND 500) AS x FROM q),
+        e AS (SELECT query_id, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM v), o AS (SELECT query_id, arg_min(y, i) AS y, min(i) AS i FROM e
+            GROUP BY query_id, lower(y)),
+        t AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY i) <= 5) SELECT query_id, string_agg(y, '|' ORDER BY i) AS
+            variants FROM t GROUP BY query_id""",
     "q6_intents": f"SELECT conv_id, turn, {_FLAG(K.CODE_WORDS)} AS wants_code, {_FLAG(K.CODE_SOURCE_WORDS)} AS wants_code_sources, {_FLAG(K.TABLE_WORDS)} AS wants_table, {_FLAG(K.BENCHMARK_WORDS)} AS wants_benchmark FROM conversations",
     "q7_direct_urls": "SELECT page_id AS query_id, 0 AS pos, url FROM pages WHERE page_id % 5 <> 0 UNION ALL SELECT page_id, 1, 'https://a.example/x' FROM pages WHERE page_id % 5 <> 0 AND page_id % 2 = 0",
     "q8_routes": f"WITH {_WRITTEN} SELECT query_id, CASE WHEN NOT contains(query, 'http') THEN 'search' WHEN {_has('lower(query)', K.SUBPAGE_WORDS)} THEN 'direct+subpages' ELSE 'direct' END AS route FROM wq",
     "q9_official_docs": f"WITH {_TECHQ}, {_DOCS} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY place)::INTEGER - 1 AS pos, url FROM dm",
     "q9_injected_docs": f"WITH {_TECHQ}, {_DOCS} SELECT query_id, 'https://docs.python.org/3/' AS url, 1 AS priority FROM tq UNION ALL SELECT query_id, url, 0 FROM dm WHERE url <> 'https://docs.python.org/3/'",
     "q10_budget": f"WITH {_BUD} SELECT query_id, target, least(greatest(target + CASE WHEN deep THEN 10 ELSE 5 END, CASE WHEN deep THEN target ELSE 15 END), 50)::INTEGER AS pool FROM b",
-    "q11_fallback_plan": f"""WITH {_BUD}, has AS (SELECT DISTINCT page_id % (SELECT count(*) FROM benchmark) AS query_id FROM pages), lone AS (SELECT * FROM b WHERE query_id % 4 = 0 OR query_id NOT IN (SELECT query_id FROM has)),
-        p AS (SELECT *, unnest(range(1, CASE WHEN deep THEN least(target, 50) ELSE greatest(1, least(target, {len(K.TEMPLATES)})) END + 1))::INTEGER AS priority FROM lone)
+    "q11_fallback_plan": f"""WITH {_BUD}, has AS (SELECT DISTINCT page_id % (SELECT count(*) FROM benchmark) AS query_id FROM pages), lone AS (SELECT
+            * FROM b WHERE query_id % 4 = 0 OR query_id NOT IN (SELECT query_id FROM has)),
+        p AS (SELECT *, unnest(range(1, CASE WHEN deep THEN least(target, 50) ELSE greatest(1, least(target, {len(K.TEMPLATES)})) END + 1))::INTEGER
+            AS priority FROM lone)
         SELECT query_id, [{', '.join(repr(k) for k in K.TEMPLATES)}][(priority - 1) % {len(K.TEMPLATES)} + 1] AS type,
         [{', '.join(repr(u.partition('{')[0]) for u in K.TEMPLATES.values())}][(priority - 1) % {len(K.TEMPLATES)} + 1] || replace(url_encode(query), '%20', '+') AS url, priority FROM p""",
     "q12_request_key": f"WITH {_LOG} SELECT event_id, sha256(endpoint || ':' || '{{\"cached\":' || cached || ',\"subject\":' || subject || '}}') AS request_key FROM l",
-    "p12_rescrapes": """WITH f AS (SELECT doc_id::VARCHAR AS url, doc_id, substr(text, 1, 100) AS a, CASE WHEN doc_id % 4 = 0 THEN 'timeout' END AS error, CASE WHEN doc_id % 3 = 0 AND doc_id % 9 <> 0 THEN substr(text, 1, 150) END AS b FROM documents)
-        SELECT url, CASE WHEN len(trim(b, ' ')) > len(trim(coalesce(a, ''), ' ')) THEN b ELSE a END AS content, CASE WHEN len(trim(b, ' ')) > len(trim(coalesce(a, ''), ' ')) THEN NULL ELSE error END AS error FROM f""",
+    "p12_rescrapes": """WITH f AS (SELECT doc_id::VARCHAR AS url, doc_id, substr(text, 1, len(text) // 2) AS a, CASE WHEN doc_id % 4 = 0 THEN
+            'timeout' END AS error, CASE WHEN doc_id % 3 = 0 AND doc_id % 9 <> 0 THEN text END AS b FROM documents)
+        SELECT url, CASE WHEN len(trim(b, ' ')) > len(trim(coalesce(a, ''), ' ')) THEN b ELSE a END AS content, CASE WHEN len(trim(b, ' ')) >
+            len(trim(coalesce(a, ''), ' ')) THEN NULL ELSE error END AS error FROM f""",
     "r12_expanded": f"""WITH {_C}, {_score('m50')}, {_BUD.replace(_Q + ',', '')}, tp AS (SELECT query_id, target, {_TOPIC} AS topic FROM b),
         x AS (SELECT DISTINCT r.query_id, r.url, r.rank, target, rank <= 2 AS chosen FROM r JOIN s USING (query_id, url) JOIN tp USING (query_id)
-            WHERE rank <= 2 OR len(topic) = 0 OR len(list_filter(topic, lambda w: contains(lower(coalesce(s.title, '') || ' ' || coalesce(s.snippet, '') || ' ' || r.url), w))) > 0),
-        y AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INTEGER AS k FROM x) SELECT query_id, url, CASE WHEN chosen THEN rank ELSE k END AS priority FROM y WHERE k <= target""",
+            WHERE rank <= 2 OR len(topic) = 0 OR len(list_filter(topic, lambda w: contains(lower(coalesce(s.title, '') || ' ' || coalesce(s.snippet,
+            '') || ' ' || r.url), w))) > 0),
+        y AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INTEGER AS k FROM x) SELECT query_id, url, CASE WHEN chosen THEN rank
+            ELSE k END AS priority FROM y WHERE k <= target""",
     "r13_collected": f"WITH {_C} SELECT query_id, (pos % 2)::INTEGER AS set_pos, pos, provider, pos % 2 = 1 AS bare FROM c WHERE pos % 6 <> 0",
     "r13_failures": f"WITH {_C} SELECT provider, 'timeout' AS error, count(*) AS n FROM c WHERE pos % 6 = 0 GROUP BY provider",
-    "c7_official_docs": f"""WITH {_C}, h AS (SELECT query_id, pos, url, row_number() OVER (PARTITION BY query_id ORDER BY pos, url) AS k FROM c WHERE pos % 7 <> 0 AND {_has('lower(url)', K.DOC_URL_SIGNS)})
+    "c7_official_docs": f"""WITH {_C}, dc AS (SELECT query_id, pos, CASE WHEN pos % 3 = 0 THEN 'https://docs.python.org/3/library/' || pos ELSE url
+            END AS url FROM c), h AS (SELECT query_id, pos, url, row_number() OVER (PARTITION BY query_id ORDER BY pos, url) AS k FROM dc WHERE pos %
+            7 <> 0 AND {_has('lower(url)', K.DOC_URL_SIGNS)})
         SELECT query_id, string_agg(url, ' ' ORDER BY k) AS doc_urls FROM h WHERE k <= 5 GROUP BY query_id""",
     "a1_parse_status": "SELECT doc_id AS report_id, ['strict', 'repaired', 'repaired', 'excerpt'][doc_id % 4 + 1] AS parse_status FROM documents",
     "a7_sources": f"WITH {_REL} SELECT query_id, pos, error, relevance_score, source_tier FROM e",
     "a8_data_rows": "SELECT doc_id AS report_id, 0 AS pos, 'm' AS metric, '5' AS value FROM documents WHERE doc_id % 4 IN (0, 2)",
-    "m5_breaker_alert": f"""WITH {_LOG}, st AS (SELECT DISTINCT subject % 10 AS upstream, ceil(epoch_us(ts) / 15000000)::BIGINT AS step FROM l WHERE status >= 500),
-        nw AS (SELECT *, CASE WHEN step - coalesce(lag(step) OVER w, -1099511627776) > 20 THEN 1 ELSE 0 END AS new FROM st WINDOW w AS (PARTITION BY upstream ORDER BY step)),
-        sp AS (SELECT *, sum(new) OVER (PARTITION BY upstream ORDER BY step) AS spell FROM nw) SELECT upstream, min(step) * 15 + 60 AS start, (max(step) + 19) * 15 AS "end" FROM sp GROUP BY upstream, spell""",
+    "m5_breaker_alert": f"""WITH {_LOG}, st AS (SELECT DISTINCT subject % 10 AS upstream, ceil(epoch_us(ts) / 15000000)::BIGINT AS step FROM l WHERE
+            status >= 500),
+        nw AS (SELECT *, CASE WHEN step - coalesce(lag(step) OVER w, -1099511627776) > 20 THEN 1 ELSE 0 END AS new FROM st WINDOW w AS (PARTITION BY
+            upstream ORDER BY step)),
+        sp AS (SELECT *, sum(new) OVER (PARTITION BY upstream ORDER BY step) AS spell FROM nw) SELECT upstream, min(step) * 15 + 60 AS start,
+            (max(step) + 19) * 15 AS "end" FROM sp GROUP BY upstream, spell""",
 }

@@ -29,6 +29,14 @@ def _numbered(spark, d):
     return results.number_citations(results.filter_low_quality(_scored(spark, d)))
 
 
+def _packed(spark, d, size=2500):
+    """Contents are cut before they are put in order."""
+    rows = results.filter_low_quality(_scored(spark, d))
+    return results.context_pack(
+        results.number_citations(rows.withColumn("chars", F.length("content")).withColumn("content", F.substring("content", 1, size))), size
+    )
+
+
 def _texts(spark, d):
     return B.table(spark, d, "conversations").select("conv_id", "turn", "text")
 
@@ -46,6 +54,14 @@ def _extracted(spark, d, scope="all"):
     return pages.extract_pages(B.table(spark, d, "pages"), scope)
 
 
+def _with_link(spark, d):
+    """Pages with a link to another host in front."""
+    rows = B.table(spark, d, "pages")
+    return pages.extract_pages(
+        rows.withColumn("html", F.concat(F.lit('<a href=" https://other.example/x?y=1" title="out">Elsewhere</a>'), F.coalesce("html", F.lit("")))), "all"
+    )
+
+
 QUERIES = {
     "u1_normalize_url": lambda s, d: _urls(s, d).select("page_id", U.normalize(F.col("url")).alias("url")),
     "u2_domain": lambda s, d: _urls(s, d).select("page_id", U.domain(F.col("url")).alias("domain"), U.host(F.col("url")).alias("host")),
@@ -56,29 +72,46 @@ QUERIES = {
     "q3_year": lambda s, d: B.queries(s, d).select("query_id", T.with_year(F.col("query"), YEAR).alias("query")),
     "q4_language": lambda s, d: _texts(s, d).select("conv_id", "turn", T.language(F.col("text")).alias("language")),
     "q5_profile": lambda s, d: _texts(s, d).select("conv_id", "turn", T.profile(F.col("text")).alias("profile")),
-    "p1_title": lambda s, d: B.table(s, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title")),
+    "p1_title": lambda s, d: _extracted(s, d).select("page_id", "title"),
     "p2_extract_pages": lambda s, d: _extracted(s, d).select("page_id", "title", "content"),
-    "p5_page_links": lambda s, d: pages.page_links(_extracted(s, d)),
-    "p7_link_counts": lambda s, d: pages.link_counts(_extracted(s, d)),
+    "p5_page_links": lambda s, d: pages.page_links(_with_link(s, d)),
+    "p7_link_counts": lambda s, d: pages.link_counts(_with_link(s, d)),
     "p9_snippet": lambda s, d: _texts(s, d).select("conv_id", "turn", T.snippet(F.col("text")).alias("snippet")),
-    "p10_challenge": lambda s, d: B.table(s, d, "pages").select("page_id", pages.is_challenge(F.col("html"), F.when(F.col("page_id") % 7 == 0, 503).otherwise(200)).alias("challenge")),
+    "p10_challenge": lambda s, d: B.table(s, d, "pages").select(
+        "page_id", pages.is_challenge(F.col("html"), F.when(F.col("page_id") % 7 == 0, 503).otherwise(200)).alias("challenge")
+    ),
     "p11_thin_pages": lambda s, d: results.thin_pages(B.results(s, d)).select("query_id", "pos"),
-    "p13_cap_content": lambda s, d: results.cap_content(B.results(s, d)).select("query_id", "pos", F.length("content").alias("n")),
-    "r1_merge_variants": lambda s, d: ranking.merge_variants(B.candidates(s, d), 3).select("query_id", "provider", "url"),
+    "p13_cap_content": lambda s, d: results.cap_content(B.results(s, d)).select(
+        "query_id", "pos", F.length("content").alias("n"), F.sha2("content", 256).alias("sha")
+    ),
+    "r1_merge_variants": lambda s, d: ranking.merge_variants(B.candidates(s, d), CAP).select("query_id", "provider", "url"),
     "r2_dates": lambda s, d: ranking.with_dates(B.candidates(s, d)).select("query_id", "set_pos", "pos", "publication_date"),
-    "r7_scores": lambda s, d: ranking.score_candidates(ranking.with_dates(B.candidates(s, d)), B.queries(s, d), YEAR).select("query_id", "set_pos", "pos", "rank_score"),
-    "r8_dedupe": lambda s, d: ranking.dedupe_candidates(ranking.score_candidates(ranking.with_dates(B.candidates(s, d)), B.queries(s, d), YEAR)).select("query_id", "url", "rank_score", "providers", "pos"),
+    "r3_score_parts": lambda s, d: ranking.score_parts(ranking.with_dates(B.candidates(s, d)), B.queries(s, d), YEAR).select(
+        "query_id", "set_pos", "pos", F.round("overlap", 6).alias("overlap"), "freshness", F.round("domain_boost", 6).alias("domain_boost"), F.round("merge_boost", 6).alias("merge_boost"), F.round("profile_boost", 6).alias("profile_boost")
+    ),
+    "r7_scores": lambda s, d: ranking.score_candidates(
+        ranking.with_dates(B.candidates(s, d)), B.queries(s, d), YEAR
+    ).select("query_id", "set_pos", "pos", "rank_score"),
+    "r8_dedupe": lambda s, d: ranking.dedupe_candidates(
+        ranking.score_candidates(ranking.with_dates(B.candidates(s, d)), B.queries(s, d), YEAR)
+    ).select("query_id", "url", "rank_score", "providers", "pos"),
     "r9_diversity_topk": lambda s, d: _ranked(s, d).select("query_id", "rank", "url", "rank_score"),
     "r10_collection_summary": lambda s, d: ranking.collection_summary(_ranked(s, d)),
-    "r11_append_new": lambda s, d: ranking.append_new(B.candidates(s, d).where("set_pos = 0").select("query_id", "url"), B.candidates(s, d).where("set_pos = 1").select("query_id", "url")),
+    "r11_append_new": lambda s, d: ranking.append_new(
+        B.candidates(s, d).where("set_pos = 0").select("query_id", "url"), B.candidates(s, d).where("set_pos = 1").select("query_id", "url")
+    ),
     "c1_relevance": lambda s, d: _scored(s, d).select("query_id", "pos", "relevance_score"),
-    "c2_content_date": lambda s, d: B.results(s, d).select("pos", T.content_date(F.concat(F.coalesce("content", F.lit("")), F.lit(" on May 4, 2024"))).alias("date")),
+    "c2_content_date": lambda s, d: B.results(s, d).select(
+        "pos", T.content_date(F.concat(F.coalesce("content", F.lit("")), F.lit(" on May 4, 2024"))).alias("date")
+    ),
     "c3_quality": lambda s, d: results.filter_low_quality(B.results(s, d)).select("query_id", "pos"),
     "c4_numbers": lambda s, d: _numbered(s, d).select("query_id", "pos", "n"),
-    "c5_context": lambda s, d: results.context_pack(_numbered(s, d)),
+    "c5_context": _packed,
     "c6_tiers": lambda s, d: results.tier_summary(B.results(s, d)),
     "c8_run_stats": lambda s, d: results.run_stats(B.results(s, d)),
-    "a3_spacing": lambda s, d: B.queries(s, d).select("query_id", T.spaced_citations(F.concat("query", F.lit(" [1][2][3] x [4] [5][6]"))).alias("text")),
+    "a3_spacing": lambda s, d: B.queries(s, d).select(
+        "query_id", T.spaced_citations(F.concat("query", F.lit(" [1][2][3] x [4] [5][6]"))).alias("text")
+    ),
     "a5_citations": _audit,
     "a6_citation_summary": _summary,
     "e1_evaluation": lambda s, d: ranking.evaluate(_ranked(s, d)),
@@ -86,15 +119,23 @@ QUERIES = {
     "e3_latency_stats": lambda s, d: monitor.latency_stats(B.log(s, d), "endpoint"),
     "e4_top_errors": lambda s, d: monitor.top_errors(B.log(s, d)),
     "m1_windowed_counts": lambda s, d: monitor.windowed_counts(B.log(s, d), "status"),
+    "a3_lists": lambda s, d: B.table(s, d, "documents").select(
+        "doc_id", F.sha2(T.spaced_lists(F.concat(F.lit("1. a\n - b\n\n• c\n"), F.coalesce("text", F.lit("")), F.lit("\n2) d"))), 256).alias("sha")
+    ),
+    "m2_totals": lambda s, d: monitor.latency_totals(B.log(s, d), "endpoint"),
     "m2_histogram": lambda s, d: monitor.latency_histogram(B.log(s, d), "endpoint").withColumn("le", F.least("le", F.lit(1e9))),
     "m3_quantile": lambda s, d: monitor.histogram_quantile(monitor.latency_histogram(B.log(s, d), "endpoint"), "endpoint", 0.95),
     "m4_error_alert": lambda s, d: monitor.error_rate_alert(B.log(s, d)),
     "m6_rate_limit": lambda s, d: replay.rate_limit(B.log(s, d), 2, 86_400.0),
     "m7_ttl_cache": lambda s, d: replay.ttl_cache(B.log(s, d), 21_600.0),
-    "m8_circuit_breaker": lambda s, d: replay.circuit_breaker(B.log(s, d).withColumn("endpoint", F.lit("all").substr(1, 3)), 2, 3600.0),
+    "m8_circuit_breaker": lambda s, d: replay.circuit_breaker(
+        B.log(s, d).withColumn("endpoint", F.concat(F.lit("upstream "), (F.col("subject") % 100).cast("string"))), 2, 3600.0
+    ),
     "m9_in_flight": lambda s, d: monitor.in_flight(B.log(s, d).withColumn("duration_s", F.col("duration_s") * 1000), "endpoint"),
     "m10_history": lambda s, d: monitor.history(B.log(s, d)),
-    "s8_history_rows": lambda s, d: history.history_rows(B.log(s, d).withColumn("query", F.concat(F.lit("q"), F.col("subject").cast("string")))).groupBy("route", "query_hash", "query_length", "success").agg(F.count("*").alias("n")),
+    "s8_history_rows": lambda s, d: history.history_rows(
+        B.log(s, d).withColumn("query", F.concat(F.lit("q"), F.col("subject").cast("string")))
+    ).groupBy("route", "query_hash", "query_length", "success").agg(F.count("*").alias("n")),
 }
 
 
@@ -111,12 +152,14 @@ _PART = lambda n, u="url": f"regexp_extract({u}, {_P}, {n})"
 _DOMAIN = lambda u="url": f"lower({_PART(2, u)})"
 _HOST = lambda u="url": f"regexp_replace({_DOMAIN(u)}, '^www\\.', '')"
 _NORM = lambda u="url": (
-    f"lower({_PART(1, u)}) || '://' || {_DOMAIN(u)} || CASE WHEN regexp_replace({_PART(3, u)}, '/+$', '') = '' THEN '/' ELSE regexp_replace({_PART(3, u)}, '/+$', '') END"
+    f"lower({_PART(1, u)}) || '://' || {_DOMAIN(u)} || CASE WHEN regexp_replace({_PART(3, u)}, '/+$', '') = '' THEN '/' ELSE "
+    f"regexp_replace({_PART(3, u)}, '/+$', '') END"
     f" || CASE WHEN {_PART(4, u)} = '' THEN '' ELSE '?' || {_PART(4, u)} END"
 )
 _Q = "q AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:6], ' ') AS query FROM benchmark)"
 _C = f"""{_Q}, nq AS (SELECT count(*) AS n FROM q),
-    c0 AS (SELECT page_id % n AS query_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, url, substr(regexp_extract(html, '<p>([^<]*)<', 1), 1, 200) AS snippet, page_id AS pos FROM pages, nq),
+    c0 AS (SELECT page_id % n AS query_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, url, substr(regexp_extract(html, '<p>([^<]*)<',
+            1), 1, 200) AS snippet, page_id AS pos FROM pages, nq),
     c1 AS (SELECT *, ['duckduckgo', 'google', 'wikipedia'][pos % 3 + 1] AS provider, 0 AS set_pos FROM c0
            UNION ALL SELECT query_id, title, url || '#x', snippet, pos, ['duckduckgo', 'google', 'wikipedia'][(pos + 1) % 3 + 1], 1 FROM c0 WHERE pos % 4 = 0),
     c AS (SELECT c1.*, regexp_extract({_HOST('c1.url')}, '^([^.]*)', 1) AS source, q.query AS search_query FROM c1 JOIN q USING (query_id)),
@@ -138,96 +181,163 @@ def _boost(tech, plain) -> str:
 _PROFILE = lambda x: f"CASE WHEN {_has(f'lower({x})', K.ACADEMIC_WORDS)} THEN 'academic' WHEN {_has(f'lower({x})', K.NEWS_WORDS)} THEN 'news' ELSE 'technical' END"
 
 
+_PROFILED = r"""(CASE profile WHEN 'news' THEN 0.8 * fresh + CASE WHEN regexp_matches(both_, 'reuters|apnews|bbc|cnn|news|bloomberg') THEN 0.15 ELSE 0 END
+              WHEN 'academic' THEN CASE WHEN regexp_matches(both_, 'arxiv|pubmed|doi|acm|ieee|springer') THEN 0.2 ELSE 0 END + CASE WHEN
+            regexp_matches(lower(url), '\.(edu|gov|org)$') THEN 0.08 ELSE 0 END
+              ELSE CASE WHEN regexp_matches(lower(url), 'docs|documentation|api|developer') THEN 0.12 ELSE 0 END END)::DOUBLE"""
+
+
 def _score(of: str) -> str:
     return f"""tech(word, hosts) AS (VALUES {_TECH}),
     qf AS (SELECT query_id, query, {_TOK('query')} AS qt, {_PROFILE('query')} AS profile,
-           coalesce((SELECT list_distinct(flatten(list(hosts))) FROM tech WHERE regexp_matches(' ' || lower(query) || ' ', '[^a-z0-9_]' || replace(word, '.', '\\.') || '[^a-z0-9_]')), []) AS official FROM q),
-    s0 AS (SELECT x.* EXCLUDE (url), {_NORM('x.url')} AS url, {_DATE.replace('snippet', 'x.snippet')} AS pub, qf.query, qt, profile, official FROM {of} x JOIN qf USING (query_id)
+           coalesce((SELECT list_distinct(flatten(list(hosts))) FROM tech WHERE regexp_matches(' ' || lower(query) || ' ', '[^a-z0-9_]' ||
+            replace(word, '.', '\\.') || '[^a-z0-9_]')), []) AS official FROM q),
+    s0 AS (SELECT x.* EXCLUDE (url), {_NORM('x.url')} AS url, {_DATE.replace('snippet', 'x.snippet')} AS pub, qf.query, qt, profile, official FROM
+            {of} x JOIN qf USING (query_id)
            WHERE starts_with(x.url, 'http') AND NOT ({_in(_DOMAIN('x.url'), K.BLACKLISTED)})),
     s1 AS (SELECT *, {_HOST()} AS host, coalesce({YEAR} - try_cast(substr(pub, 1, 4) AS INTEGER), NULL) AS age FROM s0),
-    s2 AS (SELECT *, (CASE WHEN age IS NULL THEN 0.0 WHEN age <= 1 THEN 0.2 WHEN age <= 2 THEN 0.1 WHEN age <= 3 THEN 0.0 WHEN age <= 4 THEN -0.1 ELSE -0.15 END)::DOUBLE AS fresh,
-           CASE WHEN len(qt) = 0 THEN 0 ELSE len(list_intersect(qt, list_concat({_TOK('title')}, {_TOK('snippet')}, {_TOK('source')}))) / len(qt) END AS overlap,
+    s2 AS (SELECT *, (CASE WHEN age IS NULL THEN 0.0 WHEN age <= 1 THEN 0.2 WHEN age <= 2 THEN 0.1 WHEN age <= 3 THEN 0.0 WHEN age <= 4 THEN -0.1 ELSE
+            -0.15 END)::DOUBLE AS fresh,
+           CASE WHEN len(qt) = 0 THEN 0 ELSE len(list_intersect(qt, list_concat({_TOK('title')}, {_TOK('snippet')}, {_TOK('source')}))) / len(qt) END
+            AS overlap,
            lower(url) || ' ' || lower(source) AS both_ FROM s1),
-    s3 AS (SELECT *, round(overlap + (CASE WHEN lower(search_query) = lower(query) THEN 0.15 ELSE 0 END)::DOUBLE + (CASE WHEN provider = 'duckduckgo' THEN 0.05 ELSE 0 END)::DOUBLE
+    s3 AS (SELECT *, round(overlap + (CASE WHEN lower(search_query) = lower(query) THEN 0.15 ELSE 0 END)::DOUBLE + (CASE WHEN provider = 'duckduckgo'
+            THEN 0.05 ELSE 0 END)::DOUBLE
            + {_boost((0.6, 0.2, 0.0, 0.1), (0.3, 0.3, 0.15))} + fresh
-           + (CASE profile WHEN 'news' THEN 0.8 * fresh + CASE WHEN regexp_matches(both_, 'reuters|apnews|bbc|cnn|news|bloomberg') THEN 0.15 ELSE 0 END
-              WHEN 'academic' THEN CASE WHEN regexp_matches(both_, 'arxiv|pubmed|doi|acm|ieee|springer') THEN 0.2 ELSE 0 END + CASE WHEN regexp_matches(lower(url), '\\.(edu|gov|org)$') THEN 0.08 ELSE 0 END
-              ELSE CASE WHEN regexp_matches(lower(url), 'docs|documentation|api|developer') THEN 0.12 ELSE 0 END END)::DOUBLE, 6) AS inner_ FROM s2),
+           + {_PROFILED}, 6) AS inner_ FROM s2),
     s AS (SELECT *, round(inner_ + {_boost((0.8, 0.3, 0.0, 0.1), (0.5, 0.4, 0.2))}
-          + (CASE WHEN len(list_filter(qt, lambda t: len(t) > 3 AND contains(lower({_PART(3)}), t))) > 0 THEN 0.05 ELSE 0 END)::DOUBLE, 6) AS rank_score FROM s3),
-    u AS (SELECT query_id, url, max(rank_score) AS rank_score, min(set_pos * 1000000000 + pos) AS place, array_to_string(list_sort(list(DISTINCT provider)), ',') AS providers FROM s GROUP BY query_id, url),
+          + (CASE WHEN len(list_filter(qt, lambda t: len(t) > 3 AND contains(lower({_PART(3)}), t))) > 0 THEN 0.05 ELSE 0 END)::DOUBLE, 6) AS
+            rank_score FROM s3),
+    u AS (SELECT query_id, url, max(rank_score) AS rank_score, min(set_pos * 1000000000 + pos) AS place, array_to_string(list_sort(list(DISTINCT
+            provider)), ',') AS providers FROM s GROUP BY query_id, url),
     j AS (SELECT *, {_DOMAIN()} AS domain, row_number() OVER (PARTITION BY query_id, {_DOMAIN()} ORDER BY rank_score DESC, place) - 1 AS j FROM u),
     k AS (SELECT *, (CASE WHEN j = 0 THEN rank_score + 0.25::DOUBLE ELSE rank_score - 0.08::DOUBLE * j END) AS eff FROM j),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY eff DESC, place)::INTEGER AS rank FROM k QUALIFY rank <= {TOP})"""
 
 
 _R = f"""{_Q}, nq AS (SELECT count(*) AS n FROM q),
-    d AS (SELECT doc_id % n AS query_id, doc_id AS pos, 'doc ' || doc_id AS title, text AS content, CASE WHEN doc_id % 13 = 0 THEN 'timeout' END AS error, doc_id % 5 + 1 AS source_tier FROM documents, nq)"""
-_REL = f"""{_R}, w AS (SELECT query_id, list_filter(list_distinct(regexp_split_to_array(regexp_replace(lower(query), '[^\\w\\s]', ' ', 'g'), '\\s+')), lambda x: x <> '') AS words FROM q),
-    w2 AS (SELECT *, list_filter(words, lambda x: len(x) > 3 AND NOT {_in("translate(x, 'ıçşöüğ', 'icsoug')", K.RELEVANCE_STOPWORDS)}) AS long, list_filter(words, lambda x: len(x) > 2) AS middle FROM w),
+    d AS (SELECT doc_id % n AS query_id, doc_id AS pos, 'doc ' || doc_id AS title, source, 'https://docs.example/' || doc_id AS url, CASE WHEN doc_id
+            % 2 = 0 THEN '2024-05-04' END AS published, text AS content, CASE WHEN doc_id % 13 = 0 THEN 'timeout' END AS error, doc_id % 5 + 1 AS
+            source_tier FROM documents, nq)"""
+_REL = f"""{_R}, w AS (SELECT query_id, list_filter(list_distinct(regexp_split_to_array(regexp_replace(lower(query), '[^\\w\\s]', ' ', 'g'), '\\s+')),
+            lambda x: x <> '') AS words FROM q),
+    w2 AS (SELECT *, list_filter(words, lambda x: len(x) > 3 AND NOT {_in("translate(x, 'ıçşöüğ', 'icsoug')", K.RELEVANCE_STOPWORDS)}) AS long,
+            list_filter(words, lambda x: len(x) > 2) AS middle FROM w),
     w3 AS (SELECT query_id, CASE WHEN len(long) > 0 THEN long WHEN len(middle) > 0 THEN middle ELSE words END AS telling FROM w2),
-    e AS (SELECT d.*, CASE WHEN len(telling) > 0 THEN round_even(len(list_filter(telling, lambda t: contains(lower(coalesce(content, '')), t))) / len(telling), 2) ELSE 0.0 END AS relevance_score FROM d JOIN w3 USING (query_id))"""
-_NUM = f"""{_REL}, f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY source_tier, relevance_score DESC, pos)::INTEGER AS n FROM e WHERE error IS NULL AND content IS NOT NULL AND len(trim(content, ' ')) >= 100)"""
+    e AS (SELECT d.*, CASE WHEN len(telling) > 0 THEN round_even(len(list_filter(telling, lambda t: contains(lower(coalesce(content, '')), t))) /
+            len(telling), 2) ELSE 0.0 END AS relevance_score FROM d JOIN w3 USING (query_id))"""
+_NUM = f"""{_REL}, f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY source_tier, relevance_score DESC, pos)::INTEGER AS n FROM e
+            WHERE error IS NULL AND content IS NOT NULL AND len(trim(content, ' ')) >= 100)"""
 _LOG = "l AS (SELECT event_id, ts, user_id AS subject, event_type AS endpoint, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status, value / 100 AS duration_s, event_id % 3 = 0 AS cached FROM events)"
 _B = ", ".join(f"({b if b != float('inf') else 1e9}::DOUBLE)" for b in K.LATENCY_BOUNDS)
 _HIST = f"{_LOG}, b(le) AS (VALUES {_B}), h AS (SELECT endpoint, le, count(*) FILTER (duration_s <= le) AS n FROM l, b WHERE duration_s IS NOT NULL GROUP BY endpoint, le)"
+_ANCHORS = """l AS (SELECT page_id, url, regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')[1:99] AS a FROM pages)"""
 _FLAT = r"trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'), ' ')"
 _WIN = "w AS (SELECT floor(epoch_us(ts) / 15000000)::BIGINT AS bucket, status, count(*) AS n FROM l GROUP BY ALL), x AS (SELECT unnest(range(bucket + 1, bucket + 21)) * 15 AS window_end, status, n FROM w), y AS (SELECT window_end, status, sum(n)::BIGINT AS n FROM x GROUP BY ALL)"
 
 ORACLE_SQL = {
     "u1_normalize_url": f"SELECT page_id, {_NORM()} AS url FROM pages",
     "u2_domain": f"SELECT page_id, {_DOMAIN()} AS domain, {_HOST()} AS host FROM pages",
-    "u3_ensure_scheme": "SELECT page_id, CASE WHEN starts_with(u, 'https://') THEN u ELSE 'https://' || u END AS url FROM (SELECT page_id, regexp_replace(url, '^http://', '') AS u FROM pages)",
-    "u6_source_tier": f"""WITH p AS (SELECT page_id, {_HOST()} AS host, lower({_PART(3)}) AS path FROM pages) SELECT page_id, CASE {' '.join(f"WHEN {_in('host', v)} THEN {k}" for k, v in K.TIERS.items())}
-        WHEN regexp_matches(host, '\\.(gov|mil|int)$') THEN 1 WHEN ends_with(host, '.edu') OR ends_with(host, '.ac.uk') THEN 2 WHEN {' OR '.join(f"starts_with(host, '{p}')" for p in K.DOC_SUBDOMAINS)} THEN 1
-        WHEN {_has('path', K.DOC_PATHS)} THEN CASE WHEN {' OR '.join(f"ends_with(host, '{x}')" for x in K.TECH_DOMAINS)} THEN 1 ELSE 4 END ELSE 5 END AS tier FROM p""",
+    "u3_ensure_scheme": "SELECT page_id, CASE WHEN starts_with(u, 'https://') THEN u ELSE 'https://' || u END AS url FROM (SELECT page_id, "
+        "regexp_replace(url, '^http://', '') AS u FROM pages)",
+    "u6_source_tier": f"""WITH p AS (SELECT page_id, {_HOST()} AS host, lower({_PART(3)}) AS path FROM pages) SELECT page_id, CASE
+            {' '.join(f"WHEN {_in('host', v)} THEN {k}" for k, v in K.TIERS.items())}
+        WHEN regexp_matches(host, '\\.(gov|mil|int)$') THEN 1 WHEN ends_with(host, '.edu') OR ends_with(host, '.ac.uk') THEN 2 WHEN
+            {' OR '.join(f"starts_with(host, '{p}')" for p in K.DOC_SUBDOMAINS)} THEN 1
+        WHEN {_has('path', K.DOC_PATHS)} THEN CASE WHEN {' OR '.join(f"ends_with(host, '{x}')" for x in K.TECH_DOMAINS)} THEN 1 ELSE 4 END ELSE 5 END
+            AS tier FROM p""",
     "u9_drop_blacklisted": f"SELECT page_id, url FROM pages WHERE NOT ({_in(_DOMAIN(), K.BLACKLISTED)})",
     "q1_clean_query": f"SELECT conv_id, turn, {_FLAT} AS query FROM conversations",
-    "q3_year": f"WITH {_Q} SELECT query_id, CASE WHEN regexp_matches(query, '\\b(19|20)[0-9]{{2}}\\b') THEN query ELSE query || ' {YEAR}' END AS query FROM q",
+    "q3_year": f"WITH {_Q} SELECT query_id, CASE WHEN regexp_matches(query, '\\b(19|20)[0-9]{{2}}\\b') THEN query ELSE query || ' {YEAR}' END AS "
+        f"query FROM q",
     "q4_language": f"""WITH t AS (SELECT *, list_filter(list_distinct(regexp_split_to_array(lower(text), '\\s+')), lambda x: x <> '') AS w FROM conversations),
         k AS (SELECT *, len(list_filter(w, lambda x: {_in('x', K.TURKISH_WORDS)})) AS n FROM t)
-        SELECT conv_id, turn, CASE WHEN regexp_matches(text, '[{K.TURKISH_LETTERS}]') OR n >= 2 OR n >= 1 AND len(w) <= 5 THEN 'tr' ELSE 'en' END AS language FROM k""",
+        SELECT conv_id, turn, CASE WHEN regexp_matches(text, '[{K.TURKISH_LETTERS}]') OR n >= 2 OR n >= 1 AND len(w) <= 5 THEN 'tr' ELSE 'en' END AS
+            language FROM k""",
     "q5_profile": f"SELECT conv_id, turn, {_PROFILE('text')} AS profile FROM conversations",
-    "p1_title": "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages",
-    "p9_snippet": f"SELECT conv_id, turn, CASE WHEN len(t) <= 280 THEN t ELSE rtrim(substr(t, 1, 280), ' ') || '...' END AS snippet FROM (SELECT conv_id, turn, {_FLAT} AS t FROM conversations)",
-    "p10_challenge": f"""WITH p AS (SELECT page_id, lower(html) AS h, CASE WHEN page_id % 7 = 0 THEN 503 ELSE 200 END AS status FROM pages) SELECT page_id, coalesce(
+    "p1_title": "SELECT page_id, coalesce(nullif(trim(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&')), ''), 'No title "
+        "found') AS title FROM pages",
+    "p5_page_links": f"""WITH {_ANCHORS}, e AS (SELECT page_id, url, unnest(a) AS x, unnest(range(len(a)))::INTEGER AS pos FROM l)
+        SELECT page_id, 'internal' AS kind, pos, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || regexp_extract(x, 'href="([^"]*)"', 1) AS url,
+            trim(regexp_extract(x, '>([^<]*)<', 1)) AS text, '' AS title FROM e
+        UNION ALL SELECT page_id, 'external', 0, 'https://other.example/x?y=1', 'Elsewhere', 'out' FROM pages""",
+    "p7_link_counts": f"WITH {_ANCHORS} SELECT page_id, len(a)::INTEGER AS n_internal, 1 AS n_external FROM l",
+    "p9_snippet": f"SELECT conv_id, turn, CASE WHEN len(t) <= 280 THEN t ELSE rtrim(substr(t, 1, 280), ' ') || '...' END AS snippet FROM (SELECT "
+        f"conv_id, turn, {_FLAT} AS t FROM conversations)",
+    "p10_challenge": f"""WITH p AS (SELECT page_id, lower(html) AS h, CASE WHEN page_id % 7 = 0 THEN 503 ELSE 200 END AS status FROM pages) SELECT
+            page_id, coalesce(
         {_has('h', ("just a moment", "cf-browser-verification", "cloudflare-challenge", "challenge-error-text", "enable javascript and cookies to continue", "cf-chl-bypass", "cf-challenge-body"))} OR contains(h, 'cloudflare') AND (contains(h, 'ray id') OR status IN (403, 503)), false) AS challenge FROM p""",
     "p11_thin_pages": f"WITH {_R} SELECT query_id, pos FROM d WHERE len(trim(coalesce(content, ''), ' ')) < 250",
-    "p13_cap_content": f"WITH {_R} SELECT query_id, pos, CASE WHEN len(content) > 10000 THEN 10000 + {len(results.NOTE)} ELSE len(content) END AS n FROM d",
-    "r1_merge_variants": f"WITH {_C} SELECT query_id, provider, url FROM m QUALIFY row_number() OVER (PARTITION BY query_id, provider ORDER BY set_pos, pos) <= 3",
+    "p13_cap_content": f"WITH {_R} SELECT query_id, pos, CASE WHEN len(content) > 10000 THEN 10000 + {len(results.NOTE)} ELSE len(content) END AS n, "
+        f"sha256(CASE WHEN len(content) > 10000 THEN substr(content, 1, 10000) || '{results.NOTE}' ELSE content END) AS sha FROM d",
+    "r1_merge_variants": f"WITH {_C} SELECT query_id, provider, url FROM m QUALIFY row_number() OVER (PARTITION BY query_id, provider ORDER BY "
+        f"set_pos, pos) <= {CAP}",
     "r2_dates": f"WITH {_C} SELECT query_id, set_pos, pos, {_DATE} AS publication_date FROM c",
+    "r3_score_parts": f"""WITH {_C}, {_score('c')} SELECT query_id, set_pos, pos, round(overlap, 6) AS overlap, fresh AS freshness,
+            round({_boost((0.6, 0.2, 0.0, 0.1), (0.3, 0.3, 0.15))}, 6) AS domain_boost,
+        round({_boost((0.8, 0.3, 0.0, 0.1), (0.5, 0.4, 0.2))}, 6) AS merge_boost, round({_PROFILED}, 6) AS profile_boost FROM s2""",
     "r7_scores": f"WITH {_C}, {_score('c')} SELECT query_id, set_pos, pos, rank_score FROM s",
     "r8_dedupe": f"WITH {_C}, {_score('c')} SELECT query_id, url, rank_score, providers, place % 1000000000 AS pos FROM u",
     "r9_diversity_topk": f"WITH {_C}, {_score('m50')} SELECT query_id, rank, url, rank_score FROM r",
     "r10_collection_summary": f"""WITH {_C}, {_score('m50')}, v AS (SELECT query_id, url, unnest(string_split(providers, ',')) AS p FROM r)
-        SELECT query_id, count(DISTINCT url) AS n_results, array_to_string(list_sort(list(DISTINCT p)), ',') AS providers_used, bool_or(p = 'google') AS fallback_used FROM v GROUP BY query_id""",
-    "r11_append_new": f"WITH {_C} SELECT query_id, url FROM c WHERE set_pos = 0 UNION ALL SELECT query_id, url FROM c WHERE set_pos = 1 AND (query_id, url) NOT IN (SELECT (query_id, url) FROM c WHERE set_pos = 0)",
+        SELECT query_id, count(DISTINCT url) AS n_results, array_to_string(list_sort(list(DISTINCT p)), ',') AS providers_used, bool_or(p = 'google')
+            AS fallback_used, bool_or(p NOT IN ('duckduckgo', 'google')) AS profile_used FROM v GROUP BY query_id""",
+    "r11_append_new": f"WITH {_C} SELECT query_id, url FROM c WHERE set_pos = 0 UNION ALL SELECT query_id, url FROM c WHERE set_pos = 1 AND "
+        f"(query_id, url) NOT IN (SELECT (query_id, url) FROM c WHERE set_pos = 0)",
     "c1_relevance": f"WITH {_REL} SELECT query_id, pos, relevance_score FROM e",
-    "c2_content_date": r"""SELECT doc_id AS pos, coalesce(nullif(regexp_extract(h, '"(?:datePublished|date|publishedAt|pubDate)"\s*:\s*"([0-9]{4}-[0-9]{2}-[0-9]{2})', 1), ''), nullif(regexp_extract(h, '\b(202[0-9]-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01]))\b', 1), ''),
+    "c2_content_date": r"""SELECT doc_id AS pos, coalesce(nullif(regexp_extract(h,
+            '"(?:datePublished|date|publishedAt|pubDate)"\s*:\s*"([0-9]{4}-[0-9]{2}-[0-9]{2})', 1), ''), nullif(regexp_extract(h,
+            '\b(202[0-9]-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01]))\b', 1), ''),
         nullif(regexp_extract(h, '\b(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+[0-9]{1,2},?\s+(202[0-9])\b', 1), '')) AS date FROM (SELECT doc_id, substr(coalesce(text, '') || ' on May 4, 2024', 1, 4000) AS h FROM documents)""",
     "c3_quality": f"WITH {_R} SELECT query_id, pos FROM d WHERE error IS NULL AND content IS NOT NULL AND len(trim(content, ' ')) >= 100",
     "c4_numbers": f"WITH {_NUM} SELECT query_id, pos, n FROM f",
-    "c5_context": f"""WITH {_NUM} SELECT query_id, string_agg('[' || n || '] ' || title || chr(10) || substr(content, 1, 2500), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY n) AS context, count(*) AS n_sources, len(context)::INTEGER AS total_chars FROM f GROUP BY query_id""",
+    "c5_context": f"""WITH {_NUM} SELECT query_id, string_agg('SOURCE [' || n || ']: ' || coalesce(source, '') || ' [Tier ' || source_tier || ']' ||
+            chr(10) || 'TITLE: ' || title || chr(10) || 'URL: ' || url || chr(10) || 'DATE: ' || coalesce(published, 'unknown') || chr(10)
+            || 'RELEVANCE: ' || round_even(relevance_score * 100, 0)::INTEGER || '%' || chr(10) || 'CONTENT:' || chr(10) || substr(content, 1, 2500),
+            chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY n) AS context,
+        string_agg('  [' || n || '] ' || title || ' — ' || url || ' (' || coalesce(published, 'date unknown') || ')', chr(10) ORDER BY n) AS
+            source_index, count(*) AS n_sources, sum(len(content))::BIGINT AS total_chars FROM f GROUP BY query_id""",
     "c6_tiers": f"WITH {_R} SELECT query_id, source_tier, count(*) AS n FROM d GROUP BY ALL",
-    "c8_run_stats": f"""WITH {_R} SELECT query_id, count(*) AS checked, count(*) FILTER (error IS NULL) AS succeeded, coalesce(sum(len(content)) FILTER (error IS NULL), 0)::BIGINT AS total_chars, count(*) FILTER (error IS NOT NULL) AS failed,
+    "c8_run_stats": f"""WITH {_R} SELECT query_id, count(*) AS checked, count(*) FILTER (error IS NULL) AS succeeded, coalesce(sum(len(content))
+            FILTER (error IS NULL), 0)::BIGINT AS total_chars, count(*) FILTER (error IS NOT NULL) AS failed,
         round(succeeded * 100.0::DOUBLE / checked, 6) AS success_rate FROM d GROUP BY query_id""",
     "a3_spacing": f"WITH {_Q} SELECT query_id, query || ' [1], [2], [3] x [4] [5], [6]' AS text FROM q",
-    "e1_evaluation": f"WITH {_C}, {_score('m50')} SELECT query_id, count(*) AS n_results, count(DISTINCT domain) AS n_domains, array_to_string(list(url ORDER BY rank)[1:5], ' ') AS top FROM r GROUP BY query_id",
-    "e2_evaluation_summary": f"WITH {_C}, {_score('m50')}, z AS (SELECT query_id, count(*) AS a, count(DISTINCT domain) AS b FROM r GROUP BY query_id) SELECT count(*) AS n_queries, round(avg(a), 6) AS avg_results, round(avg(b), 6) AS avg_domains FROM z",
-    "e3_latency_stats": f"""WITH {_LOG}, o AS (SELECT endpoint, list(duration_s ORDER BY duration_s) AS x, count(*) AS n, round(avg(duration_s), 6) AS mean, round(median(duration_s), 6) AS median FROM l GROUP BY endpoint),
+    "e1_evaluation": f"""WITH {_C}, {_score('m50')}, v AS (SELECT query_id, unnest(string_split(providers, ',')) AS p FROM r), pv AS (SELECT query_id,
+            array_to_string(list_sort(list(DISTINCT p)), ',') AS providers_used, bool_or(p = 'google') AS fallback_used FROM v GROUP BY query_id)
+        SELECT query_id, count(*) AS n_results, count(DISTINCT domain) AS n_domains, providers_used, fallback_used, array_to_string(list(url ORDER BY
+            rank)[1:5], ' ') AS top FROM r JOIN pv USING (query_id) GROUP BY query_id, providers_used, fallback_used""",
+    "e2_evaluation_summary": f"""WITH {_C}, {_score('m50')}, v AS (SELECT query_id, unnest(string_split(providers, ',')) AS p FROM r), z AS (SELECT
+            query_id, count(*) AS a, count(DISTINCT domain) AS b FROM r GROUP BY query_id)
+        SELECT count(*) AS n_queries, round(avg(a), 6) AS avg_results, round(avg(b), 6) AS avg_domains, (SELECT count(DISTINCT query_id) FROM v WHERE
+            p = 'google') AS n_fallback, (SELECT array_to_string(list_sort(list(DISTINCT p)), ',') FROM v) AS providers_seen FROM z""",
+    "a3_lists": "SELECT doc_id, sha256('1. a' || chr(10) || chr(10) || ' - b' || chr(10) || chr(10) || '• c' || chr(10) || "
+        "regexp_replace(coalesce(text, ''), '([^\\s])([^\\S\\n]*)\\n([ \\t]*[0-9•-])', '\\1\\2\n\n\\3', 'g') || CASE WHEN "
+        "regexp_matches(coalesce(text, ''), '[^\\s][^\\S\\n]*$') THEN chr(10) ELSE '' END || chr(10) || '2) d') AS sha FROM documents",
+    "m2_totals": f"WITH {_LOG} SELECT endpoint, round(sum(duration_s), 6) AS total, count(*) AS n FROM l WHERE duration_s IS NOT NULL GROUP BY "
+        f"endpoint",
+    "e3_latency_stats": f"""WITH {_LOG}, o AS (SELECT endpoint, list(duration_s ORDER BY duration_s) AS x, count(*) AS n, round(avg(duration_s), 6) AS
+            mean, round(median(duration_s), 6) AS median FROM l GROUP BY endpoint),
         p AS (SELECT *, greatest(1, least((19 * (n + 1)) // 20, n - 1)) AS low FROM o)
         SELECT endpoint, n, mean, median, round((x[low] * (20 - (19 * (n + 1) - 20 * low)) + x[low + 1] * (19 * (n + 1) - 20 * low)) / 20, 6) AS p95 FROM p""",
     "e4_top_errors": f"WITH {_LOG} SELECT subject, count(*) AS n FROM l WHERE status >= 500 GROUP BY subject ORDER BY n DESC, subject LIMIT 3",
     "m1_windowed_counts": f"WITH {_LOG}, {_WIN} SELECT * FROM y",
     "m2_histogram": f"WITH {_HIST} SELECT endpoint, le, n FROM h",
-    "m3_quantile": f"""WITH {_HIST}, g AS (SELECT *, coalesce(lag(le) OVER o, 0) AS low, coalesce(lag(n) OVER o, 0) AS before, max(n) OVER (PARTITION BY endpoint) AS total FROM h WINDOW o AS (PARTITION BY endpoint ORDER BY le)),
+    "m3_quantile": f"""WITH {_HIST}, g AS (SELECT *, coalesce(lag(le) OVER o, 0) AS low, coalesce(lag(n) OVER o, 0) AS before, max(n) OVER (PARTITION
+            BY endpoint) AS total FROM h WINDOW o AS (PARTITION BY endpoint ORDER BY le)),
         k AS (SELECT * FROM g WHERE n >= 0.95 * total QUALIFY row_number() OVER (PARTITION BY endpoint ORDER BY le) = 1)
-        SELECT endpoint, round(CASE WHEN total = 0 THEN NULL WHEN le >= 1e9 THEN low ELSE low + (le - low) * ((0.95 * total - before)::DOUBLE / (n - before)) END, 6) AS quantile FROM k""",
-    "m4_error_alert": f"""WITH {_LOG}, {_WIN}, t AS (SELECT window_end FROM y GROUP BY window_end HAVING sum(CASE WHEN status >= 500 THEN n ELSE 0 END) / sum(n) > 0.1),
-        i AS (SELECT window_end, window_end // 15 - row_number() OVER (ORDER BY window_end) AS g FROM t), z AS (SELECT min(window_end) AS a, max(window_end) AS b FROM i GROUP BY g)
+        SELECT endpoint, round(CASE WHEN total = 0 THEN NULL WHEN le >= 1e9 THEN low ELSE low + (le - low) * ((0.95 * total - before)::DOUBLE / (n -
+            before)) END, 6) AS quantile FROM k""",
+    "m4_error_alert": f"""WITH {_LOG}, {_WIN}, t AS (SELECT window_end FROM y GROUP BY window_end HAVING sum(CASE WHEN status >= 500 THEN n ELSE 0
+            END) / sum(n) > 0.1),
+        i AS (SELECT window_end, window_end // 15 - row_number() OVER (ORDER BY window_end) AS g FROM t), z AS (SELECT min(window_end) AS a,
+            max(window_end) AS b FROM i GROUP BY g)
         SELECT a AS start, b AS "end" FROM z WHERE b - a >= 300""",
-    "m9_in_flight": f"""WITH {_LOG}, v AS (SELECT endpoint, epoch_us(ts) AS t, 1 AS d FROM l UNION ALL SELECT endpoint, epoch_us(ts) + round(duration_s * 1000 * 1e6)::BIGINT, -1 FROM l),
-        z AS (SELECT endpoint, sum(d) OVER (PARTITION BY endpoint ORDER BY t, d ROWS UNBOUNDED PRECEDING) AS now FROM v) SELECT endpoint, max(now)::BIGINT AS most FROM z GROUP BY endpoint""",
-    "m10_history": f"WITH {_LOG} SELECT endpoint, count(*) AS n, count(*) FILTER (status < 500) AS n_success, count(*) FILTER (cached) AS n_cached FROM l GROUP BY endpoint",
-    "s8_history_rows": f"WITH {_LOG} SELECT endpoint AS route, sha256('q' || subject) AS query_hash, len('q' || subject)::INTEGER AS query_length, status < 500 AS success, count(*) AS n FROM l GROUP BY ALL",
+    "m9_in_flight": f"""WITH {_LOG}, v AS (SELECT endpoint, epoch_us(ts) AS t, 1 AS d FROM l UNION ALL SELECT endpoint, epoch_us(ts) +
+            round(duration_s * 1000 * 1e6)::BIGINT, -1 FROM l),
+        z AS (SELECT endpoint, sum(d) OVER (PARTITION BY endpoint ORDER BY t, d ROWS UNBOUNDED PRECEDING) AS now FROM v) SELECT endpoint,
+            max(now)::BIGINT AS most FROM z GROUP BY endpoint""",
+    "m10_history": f"WITH {_LOG} SELECT endpoint, count(*) AS n, count(*) FILTER (status < 500) AS n_success, count(*) FILTER (cached) AS n_cached "
+        f"FROM l GROUP BY endpoint",
+    "s8_history_rows": f"WITH {_LOG} SELECT endpoint AS route, sha256('q' || subject) AS query_hash, len('q' || subject)::INTEGER AS query_length, "
+        f"status < 500 AS success, count(*) AS n FROM l GROUP BY ALL",
 }

@@ -29,18 +29,25 @@ def one(spark, value, function, kind="string"):
 
 def test_feeds(spark):
     raw = spark.createDataFrame([(1, RSS), (2, "not xml at all <><"), (3, None)], "query_id long, xml string")
-    assert values(feeds.feed_candidates(raw)) == [(1, 0, "Test Article", "https://example.com/article", "Test description", "Mon, 01 Jan 2026 00:00:00 GMT")]
+    assert values(feeds.feed_candidates(raw)) == [
+        (1, 0, "Test Article", "https://example.com/article", "Test description", "Mon, 01 Jan 2026 00:00:00 GMT")
+    ]
     raw = spark.createDataFrame([(1, ATOM), (2, "<"), (3, None)], "query_id long, xml string")
     assert values(feeds.arxiv_candidates(raw)) == [(1, 0, "One", "http://a/1", "About", "2024-01-02")]
     raw = spark.createDataFrame([(1, PUBMED), (2, "<")], "query_id long, xml string")
-    assert sorted(values(feeds.pubmed_candidates(raw))) == [(1, 0, "On x", "https://pubmed.ncbi.nlm.nih.gov/77/", "First", "2023"), (1, 1, "PubMed 78", "https://pubmed.ncbi.nlm.nih.gov/78/", "", None)]
+    assert sorted(values(feeds.pubmed_candidates(raw))) == [
+        (1, 0, "On x", "https://pubmed.ncbi.nlm.nih.gov/77/", "First", "2023"), (1, 1, "PubMed 78", "https://pubmed.ncbi.nlm.nih.gov/78/", "", None)
+    ]
 
 
 def test_json_payloads(spark):
     wiki = json.dumps({"query": {"search": [{"title": "Café x", "snippet": "<b>a</b> b"}]}})
     raw = spark.createDataFrame([(1, wiki), (2, "{"), (3, None)], "query_id long, json string")
     assert values(feeds.encyclopedia_candidates(raw)) == [(1, 0, "Café x", "https://en.wikipedia.org/wiki/Caf%C3%A9_x", "a b")]
-    raw = spark.createDataFrame([(1, json.dumps({"hits": [{"title": None, "story_title": "S", "url": "", "story_url": "http://s"}, {"title": "T"}]}))], "query_id long, json string")
+    raw = spark.createDataFrame(
+        [(1, json.dumps({"hits": [{"title": None, "story_title": "S", "url": "", "story_url": "http://s"}, {"title": "T"}]}))],
+        "query_id long, json string"
+    )
     assert values(feeds.story_candidates(raw)) == [(1, 0, "S", "http://s", None)]
 
 
@@ -103,15 +110,29 @@ def test_unsafe_urls(spark, url, reason):
 
 
 def test_resolved_urls(spark):
-    urls = spark.createDataFrame([("https://internal.example.test",), ("https://example.com/articles?id=1",), ("http://nowhere.example/",), ("http://8.8.8.8/",)], "url string")
-    dns = spark.createDataFrame([("internal.example.test", "10.0.0.8"), ("internal.example.test", "93.184.216.34"), ("example.com", "93.184.216.34")], "host string, ip string")
+    urls = spark.createDataFrame(
+        [("https://internal.example.test",), ("https://example.com/articles?id=1",), ("http://nowhere.example/",), ("http://8.8.8.8/",)], "url string"
+    )
+    dns = spark.createDataFrame(
+        [("internal.example.test", "10.0.0.8"), ("internal.example.test", "93.184.216.34"), ("example.com", "93.184.216.34")],
+        "host string, ip string"
+    )
     got = {r.url: r.reason for r in U.screen_resolved(urls, dns).collect()}
-    assert got == {"https://internal.example.test": "private_address", "https://example.com/articles?id=1": None, "http://nowhere.example/": "unresolved", "http://8.8.8.8/": None}
+    assert got == {
+        "https://internal.example.test": "private_address", "https://example.com/articles?id=1": None, "http://nowhere.example/": "unresolved",
+        "http://8.8.8.8/": None
+    }
 
 
 def test_variants(spark):
     rows = spark.createDataFrame(
-        [(1, "OpenAI ajanlari", "OpenAI ajanlari son gelismeler", ["OpenAI ajanlari son gelismeler", "OpenAI agents latest updates", "  OpenAI ajanlari  ", "extra"]), (2, "x", None, None), (3, None, None, [])],
+        [
+            (
+                1, "OpenAI ajanlari", "OpenAI ajanlari son gelismeler",
+                ["OpenAI ajanlari son gelismeler", "OpenAI agents latest updates", "  OpenAI ajanlari  ", "extra"]
+            ),
+            (2, "x", None, None), (3, None, None, [])
+        ],
         "query_id long, original string, normalized string, variants array<string>",
     )
     got = [r.variants for r in querylog.query_variants(rows, 3).orderBy("query_id").collect()]
@@ -119,15 +140,22 @@ def test_variants(spark):
 
 
 def test_budget(spark):
-    rows = spark.createDataFrame([(5, None, True), (70, None, True), (None, 1, False), (None, 40, False), (40, None, False)], "requested int, suggested int, deep boolean")
+    rows = spark.createDataFrame(
+        [(5, None, True), (70, None, True), (None, 1, False), (None, 40, False), (40, None, False)], "requested int, suggested int, deep boolean"
+    )
     assert [(r.target, r.pool) for r in querylog.source_budget(rows).collect()] == [(15, 25), (50, 50), (1, 15), (15, 20), (15, 20)]
 
 
 def test_expanded_sources(spark):
     selected = spark.createDataFrame([(1, "u1", "t", "web", 7)], "query_id long, url string, title string, type string, priority int")
-    ranked = spark.createDataFrame([(1, "u1", "rust", "", "s", 1), (1, "u2", "off topic", "", None, 2), (1, "u3", "Rust book", "", None, 3), (1, "u4", "", "on rust", "s", 4)], "query_id long, url string, title string, snippet string, source string, rank int")
+    ranked = spark.createDataFrame(
+        [(1, "u1", "rust", "", "s", 1), (1, "u2", "off topic", "", None, 2), (1, "u3", "Rust book", "", None, 3), (1, "u4", "", "on rust", "s", 4)],
+        "query_id long, url string, title string, snippet string, source string, rank int"
+    )
     asked = spark.createDataFrame([(1, "the Rust", 3)], "query_id long, query string, target int")
-    assert sorted(values(ranking.expand_sources(selected, ranked, asked))) == [(1, "u1", "t", "web", 7), (1, "u3", "Rust book", "unknown", 2), (1, "u4", "", "s", 3)]
+    assert sorted(
+        values(ranking.expand_sources(selected, ranked, asked))
+    ) == [(1, "u1", "t", "web", 7), (1, "u3", "Rust book", "unknown", 2), (1, "u4", "", "s", 3)]
 
 
 @pytest.mark.parametrize(
@@ -150,7 +178,12 @@ def test_parsed_reports(raw, status, summary):
 
 
 def test_normalized_reports(spark):
-    raw = json.dumps({"summary": "s [1][2]", "recommendations": ["a", "b"], "confidence_level": " High ", "data_table": [{"metric": "m", "value": 3}, {"metric": "", "value": "x"}]})
+    raw = json.dumps(
+        {
+            "summary": "s [1][2]", "recommendations": ["a", "b"], "confidence_level": " High ",
+            "data_table": [{"metric": "m", "value": 3}, {"metric": "", "value": "x"}]
+        }
+    )
     rows = reports.normalize_reports(reports.parse_reports(spark.createDataFrame([(1, raw), (2, None)], "report_id long, raw string")))
     got = {r.report_id: r for r in rows.collect()}
     assert (got[1].executive_summary, got[1].recommendations, got[1].confidence_level) == ("s [1], [2]", "a\nb", "High")
@@ -162,15 +195,21 @@ def test_better_scrape_wins(spark):
     schema = "url string, content string, error string"
     base = spark.createDataFrame([("a", "short", "404"), ("b", "long enough", None), ("c", None, "x")], schema)
     again = spark.createDataFrame([("a", "much longer", None), ("b", "no", None), ("c", "text", "timeout")], schema)
-    assert sorted(values(pages.prefer_rescrapes(base, again).select("url", "content", "error"))) == [("a", "much longer", None), ("b", "long enough", None), ("c", None, "x")]
+    assert sorted(
+        values(pages.prefer_rescrapes(base, again).select("url", "content", "error"))
+    ) == [("a", "much longer", None), ("b", "long enough", None), ("c", None, "x")]
 
 
 def test_breaker_alert(spark):
-    rows = spark.createDataFrame([("u", 1000, 1), ("u", 1200, 1), ("u", 9000, 1), ("v", 0, 0)], "up string, s long, state int").withColumn("ts", F.timestamp_seconds("s"))
+    rows = spark.createDataFrame(
+        [("u", 1000, 1), ("u", 1200, 1), ("u", 9000, 1), ("v", 0, 0)], "up string, s long, state int"
+    ).withColumn("ts", F.timestamp_seconds("s"))
     assert sorted(values(monitor.breaker_alert(rows, "up"))) == [("u", 1065, 1485), ("u", 9060, 9285)]
 
 
 def test_rate_limit(spark):
-    rows = spark.createDataFrame([(1, 0, "s", "e"), (2, 10, "s", "e"), (3, 61, "s", "e")], "event_id long, t long, subject string, endpoint string").withColumn("ts", F.timestamp_seconds("t"))
+    rows = spark.createDataFrame(
+        [(1, 0, "s", "e"), (2, 10, "s", "e"), (3, 61, "s", "e")], "event_id long, t long, subject string, endpoint string"
+    ).withColumn("ts", F.timestamp_seconds("t"))
     got = {r.event_id: r.admitted for r in replay.rate_limit(rows, 1, 60.0).collect()}
     assert got == {1: True, 2: False, 3: True}
