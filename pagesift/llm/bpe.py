@@ -140,7 +140,13 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
         counter = _counters.setdefault(path, None) or _counters.__setitem__(path, Counter(model.value)) or _counters[path]
         for batch, texts in text_chunks(batches):
             n = counter.counts(texts)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n])], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()),
+                    pa.array([x > limit for x in n])
+                ],
+                names=["doc_id", "n_bytes", "n_tokens", "over_limit"]
+            )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -77,7 +77,9 @@ class Unigrams:
         weights, log, total = self.forward(words, size)
         back = np.full_like(log, 0.0)
         for start in range(size - 1, -1, -1):
-            terms = [np.where(p[start] > 0, np.log(np.maximum(p[start], 1e-300)) + back[start + n], -np.inf) for n, _, p in weights if n <= size - start]
+            terms = [
+                np.where(p[start] > 0, np.log(np.maximum(p[start], 1e-300)) + back[start + n], -np.inf) for n, _, p in weights if n <= size - start
+            ]
             back[start] = np.logaddexp.reduce(terms, axis=0)
         out = np.zeros_like(self.probs)
         for n, e, p in weights:
@@ -141,9 +143,13 @@ def learn(docs: DataFrame, pieces: list[str], sample: int = 300, rounds: int = 3
         return [], np.zeros(0), np.zeros((len(pieces) + 1, 0))
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, sample / sizes[k]))])
     chance = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 20)) / float(1 << 20)
-    words = docs.where(chance < share[F.col("lang")]).select("lang", F.explode(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)")).alias("word"))
+    words = docs.where(chance < share[F.col("lang")]).select(
+        "lang", F.explode(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)")).alias("word")
+    )
     rows = words.groupBy("lang", "word").agg(F.count("*").alias("n")).toPandas()
-    table = rows.pivot_table(index="word", columns="lang", values="n", fill_value=0).reindex(columns=langs, fill_value=0).sort_index() if len(rows) else pd.DataFrame(columns=langs)
+    table = rows.pivot_table(
+        index="word", columns="lang", values="n", fill_value=0
+    ).reindex(columns=langs, fill_value=0).sort_index() if len(rows) else pd.DataFrame(columns=langs)
     by_size = defaultdict(list)
     for i, w in enumerate(table.index):
         w = _WORD_END + w
@@ -192,7 +198,10 @@ def identify(docs: DataFrame, train: DataFrame, path: str, sample: int = 300) ->
                 pred = [langs[k] if ok else "und" for k, ok in zip(top, some, strict=True)]
             else:
                 pred, score = ["und"] * len(texts), np.zeros(len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(pred, pa.string()), pa.array(score, pa.float64())],
+                names=["doc_id", "held_out", "lang_pred", "score"]
+            )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "held_out")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")

@@ -146,7 +146,13 @@ def segments(shapes: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
             left = i == 0 or shapes[i - 1] in (" ", '"', "'", "(", "<", ":", ",", "|")
             right = j + 1 == len(shapes) or shapes[j + 1] not in ("@", "-", "_", "+", "a") and not shapes[j + 1][0].isdigit()
             spans.append((i, j + 1))
-            rows.append((1, ats == 1, ats > 1, after > 0, first == "+", dots == 3 and runs == 4 == small and not letters, 10 <= digits <= 13, 14 <= digits <= 15, 16 <= digits <= 19, 14 <= digits <= 19 and f"{i}-{j + 1}" in marked, digits < 7, digits > 19, letters > 0, spaces > 0, pairs == 2, others > 0, 3 <= runs <= 5 and not letters, left, right, letters > 0 and not ats))
+            rows.append(
+                (
+                    1, ats == 1, ats > 1, after > 0, first == "+", dots == 3 and runs == 4 == small and not letters, 10 <= digits <= 13,
+                    14 <= digits <= 15, 16 <= digits <= 19, 14 <= digits <= 19 and f"{i}-{j + 1}" in marked, digits < 7, digits > 19, letters > 0,
+                    spaces > 0, pairs == 2, others > 0, 3 <= runs <= 5 and not letters, left, right, letters > 0 and not ats
+                )
+            )
     return np.array(spans, np.int64).reshape(-1, 2), np.array(rows, float).reshape(-1, FEATURES)
 
 
@@ -231,7 +237,10 @@ def learn(docs: DataFrame, sample: int = 2000, shapes: int = 150, hidden: float
                     at = {s: k for k, s in enumerate(starts)}
                     gold = [(at[s], k, at[e]) for (s, e), k in base.items() if s in at and e in at]
                     found[" ".join(x if x != " " else "_" for x in shapes), ";".join(f"{a},{k},{b}" for a, k, b in sorted(gold))] += 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(found.values(), pa.int64())], names=["shapes", "gold", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(found.values(), pa.int64())],
+                names=["shapes", "gold", "n"]
+            )
 
     rows = some.mapInArrow(run, "shapes string, gold string, n long").groupBy("shapes", "gold").agg(F.sum("n").alias("n"))
     rows = rows.orderBy(F.desc("n"), "shapes", "gold").limit(shapes).collect()
@@ -281,7 +290,13 @@ def find(docs: DataFrame, sample: int = 2000) -> DataFrame:
     def rows_of(batch, found):
         counts = [[sum(k == kind for _, k, _ in base) for _, base, _ in found] for kind in range(len(KINDS))]
         digests = [hashlib.sha256(named(base).encode()).hexdigest() for _, base, _ in found]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array([named(s) for _, _, s in found], pa.string())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()),
+                pa.array([named(s) for _, _, s in found], pa.string())
+            ],
+            names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
+        )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return _mapped(rows, rows, sample, rows_of, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
@@ -300,7 +315,9 @@ def redact(docs: DataFrame, sample: int = 2000) -> DataFrame:
                     end = e
             texts.append("".join(out) + text[end:])
         at = batch.schema.get_field_index("text")
-        texts = pa.array([t if ok else None for t, ok in zip(texts, batch.column("text").is_valid().to_pylist(), strict=True)], batch.schema.field(at).type)
+        texts = pa.array(
+            [t if ok else None for t, ok in zip(texts, batch.column("text").is_valid().to_pylist(), strict=True)], batch.schema.field(at).type
+        )
         return batch.set_column(at, "text", texts)
 
     return _mapped(docs, docs, sample, rows_of, docs.schema)

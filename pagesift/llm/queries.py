@@ -63,7 +63,13 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.approximate_top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_toxicity, op3_language, op4_substring_dedup, op5_mixing, op6_pieces, op7_token_counts, op8_near_duplicates, op9_exact_top_k, op10_nearest)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_pii, op2_toxicity, op3_language, op4_substring_dedup, op5_mixing, op6_pieces, op7_token_counts, op8_near_duplicates, op9_exact_top_k,
+        op10_nearest
+    )
+}
 
 ORACLE_SQL = {
     "op4_substring_dedup": r"""

@@ -56,7 +56,10 @@ def _anchors(length: int, first: int):
             base = np.cumsum(counts) - counts
             row = np.searchsorted(base + counts, at, side="right")
             k1, k2 = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("k1", "k2"))
-            yield pa.RecordBatch.from_arrays([pa.array(k1[row]), pa.array(k2[row]), pa.array((at - base[row]).astype(np.int32)), pa.array(short[at].view(np.int64))], names=["k1", "k2", "pos", "h"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(k1[row]), pa.array(k2[row]), pa.array((at - base[row]).astype(np.int32)), pa.array(short[at].view(np.int64))],
+                names=["k1", "k2", "pos", "h"]
+            )
 
     return run
 
@@ -70,7 +73,13 @@ def _longer(length: int, sizes: list[int]):
                 words, starts = _candidates(text, flagged, length, sizes[:-1])
                 every, at, short = picked(words, np.array([len(words)]), length, sizes[-1])
                 at = np.unique(at[np.isin(every, starts)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k1)), pa.array(np.full(len(at), k2, np.int32)), pa.array(at.astype(np.int32)), pa.array(short[at].view(np.int64))], names=["k1", "k2", "pos", "h"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(at), k1)), pa.array(np.full(len(at), k2, np.int32)), pa.array(at.astype(np.int32)),
+                        pa.array(short[at].view(np.int64))
+                    ],
+                    names=["k1", "k2", "pos", "h"]
+                )
 
     return run
 
@@ -92,7 +101,13 @@ def _windows(length: int, sizes: list[int]):
             out: list[list[np.ndarray]] = []
             for k1, k2, flagged, text in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "flagged")), texts, strict=True):
                 words, starts = _candidates(text, flagged, length, sizes)
-                out.append([np.full(len(starts), k1), np.full(len(starts), k2, np.int32), starts.astype(np.int32), window_hashes(words, length)[starts].view(np.int64), (window_hashes(words, length, True)[starts] >> np.uint64(33)).astype(np.int32)])
+                out.append(
+                    [
+                        np.full(len(starts), k1), np.full(len(starts), k2, np.int32), starts.astype(np.int32),
+                        window_hashes(words, length)[starts].view(np.int64),
+                        (window_hashes(words, length, True)[starts] >> np.uint64(33)).astype(np.int32)
+                    ]
+                )
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["k1", "k2", "pos", "h", "h2"])
 
     return run
@@ -115,7 +130,13 @@ def _removal(length: int, sizes: list[int], keep_text: bool):
                     words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 kept = b" ".join(words)
                 rows.append((doc_id, n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode() if keep_text else None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(c, t) for c,
+                    t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)
+                ],
+                names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]
+            )
 
     return run
 
@@ -146,7 +167,9 @@ def repeated_out(docs: DataFrame, length: int = 35, keep_text: bool = True, firs
     joined = rows.join(flags, key, "left")
     # the same plan as below, unflagged rows and all, so that one exchange of the texts serves both
     long = joined.select("doc_id", *key, "text", "flagged").mapInArrow(_windows(length, sizes), _WINDOWS)
-    once = long.groupBy("h", "h2").agg(F.count("*").alias("n"), F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("pos").alias("pos")).where("n = 1")
+    once = long.groupBy("h", "h2").agg(
+        F.count("*").alias("n"), F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("pos").alias("pos")
+    ).where("n = 1")
     single = once.groupBy(*key).agg(F.collect_list("pos").alias("single"))
     out = joined.join(single, key, "left").select("doc_id", "text", "flagged", "single")
     return out.mapInArrow(_removal(length, sizes, keep_text), _RESULT)

@@ -76,7 +76,9 @@ class Model:
         self.labels = np.array([e[1] for e in examples], float)
         vectors = [self.unit(e[2]) for e in examples]
         self.index = BlockMax(vectors, len(terms))
-        weight = np.array([shares[int(y)] for y in self.labels]) / np.maximum(1, np.bincount(self.labels.astype(int), minlength=2)[self.labels.astype(int)])
+        weight = np.array([shares[int(y)] for y in self.labels]) / np.maximum(
+            1, np.bincount(self.labels.astype(int), minlength=2)[self.labels.astype(int)]
+        )
         votes = np.array([self.vote(v, i)[0] for i, v in enumerate(vectors)])
         alone = np.isnan(votes)
         total = weight.sum() or 1.0
@@ -138,7 +140,10 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 2000, k: int = 7)
     rate1, rate0 = (F.col("p") + 0.5) / (a + 1.0), (F.col("q") + 0.5) / (b + 1.0)
     both = (F.col("p") + F.col("q")) / float(a + b)
     chi = ((rate1 - rate0) ** 2) / (both * (1 - both) + 1e-9) * (a * b / float(a + b))
-    rates = rates.withColumn("chi", chi).where((chi >= 25) & (F.greatest(F.col("p") / float(a), F.col("q") / float(b)) >= 0.01) & (F.greatest("p", "q") >= 8) & (F.abs(F.log(rate1 / rate0)) >= float(np.log(3.0))))
+    rates = rates.withColumn("chi", chi).where(
+        (chi >= 25) & (F.greatest(F.col("p") / float(a), F.col("q") / float(b)) >= 0.01) & (F.greatest("p", "q") >= 8)
+        & (F.abs(F.log(rate1 / rate0)) >= float(np.log(3.0)))
+    )
     chosen = rates.orderBy(F.desc("chi"), "term").collect()  # terms of the examples alone
     at = {r.term: i for i, r in enumerate(chosen)}
     idf = np.array([np.log((1 + a + b) / (1 + r.p + r.q)) + 1 for r in chosen])
@@ -156,7 +161,10 @@ def with_scores(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         for batch, texts in text_chunks(batches):
             scores, evidence = zip(*map(shared.value.score, texts), strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))], names=["doc_id", "held_out", "score", "evidence"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array(evidence, pa.list_(pa.int64()))],
+                names=["doc_id", "held_out", "score", "evidence"]
+            )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "held_out")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, evidence array<long>")

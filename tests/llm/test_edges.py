@@ -103,7 +103,10 @@ def test_probes_read_a_part_of_the_codes(spark, capsys):
         probed, reranked, hits = probed + len(found), reranked + len(near), hits + len({*top} & {*near})
     n = len(asked) * len(x)
     with capsys.disabled():
-        print(f"\n  radius {model.radius} of 64: recall {hits / len(asked) / 20:.3f}, codes probed {probed / n:.2f}, vectors reranked {reranked / n:.2f}")
+        print(
+            f"\n  radius {model.radius} of 64: recall {hits / len(asked) / 20:.3f}, codes probed {probed / n:.2f}, vectors reranked "
+            f"{reranked / n:.2f}"
+        )
     assert hits >= 0.9 * len(asked) * 20 and probed < 0.85 * n and reranked < 0.4 * n
 
 
@@ -136,7 +139,9 @@ def test_arrays_and_queue_agree(lattice):
 
 def test_decode_odd_rows(spark):
     path = queries.vocabulary("piece_bpe_32k.model")
-    rows = spark.createDataFrame([(1, "a  b\n\n▁c", "x"), (2, None, "y"), (None, "", "z"), (3, "\u0000 é ☃", "w")], "doc_id long, text string, ids string")
+    rows = spark.createDataFrame(
+        [(1, "a  b\n\n▁c", "x"), (2, None, "y"), (None, "", "z"), (3, "\u0000 é ☃", "w")], "doc_id long, text string, ids string"
+    )
     back = {r.doc_id: r.text for r in pieces.decode(pieces.encode(rows, path), path).collect()}
     assert back == {1: "a  b\n\n▁c", 2: "", None: "", 3: "\u0000 é ☃"}
     assert pieces.decode(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>"), path).first().text == ""
@@ -264,7 +269,10 @@ def test_pipeline_on_odd_rows(spark, tmp_path, empty):
     import corpus_pipeline
 
     texts = [None, "", " ", "x " * 5000, "y" * 9000, "same text here", "same text here", "mail a@b.cd or +44 20 7946 0018"]
-    docs = spark.createDataFrame([] if empty else [(None if i == 5 else i, t, None, None if i % 2 else "s", 0, "extra", 1.0, 2) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long, t string, weight double, key int")
+    docs = spark.createDataFrame(
+        [] if empty else [(None if i == 5 else i, t, None, None if i % 2 else "s", 0, "extra", 1.0, 2) for i, t in enumerate(texts)],
+        "doc_id long, text string, lang string, source string, n_chars long, t string, weight double, key int"
+    )
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()

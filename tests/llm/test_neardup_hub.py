@@ -16,7 +16,9 @@ def edited(words, n, salt):
 
 def test_hub_of_edited_copies(spark):
     base = [f"word{i}" for i in range(200)]
-    texts = [" ".join(base)] + [edited(base, 3, i) for i in range(300)] + [f"apart {i} " + " ".join(f"w{i}x{k}" for k in range(30)) for i in range(50)]
+    texts = [" ".join(base)] + [edited(base, 3, i) for i in range(300)] + [
+        f"apart {i} " + " ".join(f"w{i}x{k}" for k in range(30)) for i in range(50)
+    ]
     got = {r.doc_id: r for r in neardup.near_duplicates(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
     assert sum(got[i].class_id == 0 for i in range(301)) == 301 and got[0].class_size == 301
     assert all(got[i].class_size == 1 for i in range(301, 351))
@@ -30,7 +32,10 @@ def test_settled_without_a_centre(spark):
         texts |= {len(texts): " ".join(words), len(texts) + 1: edited(words, 1, g)}
     block, neardup.BLOCK = neardup.BLOCK, 16
     try:
-        got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame([*texts.items()], "doc_id long, text string"), bands=48, width=1).collect()}
+        got = {
+            r.doc_id: r.class_id
+            for r in neardup.near_duplicates(spark.createDataFrame([*texts.items()], "doc_id long, text string"), bands=48, width=1).collect()
+        }
     finally:
         neardup.BLOCK = block
     assert all(got[i] == i - i % 2 for i in texts)

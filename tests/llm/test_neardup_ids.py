@@ -2,7 +2,10 @@
 
 from pagesift.llm import neardup
 
-TEXTS = [(None, "alpha beta gamma delta epsilon zeta"), (None, "one two three four five six"), (7, "red green blue white black grey"), (7, "north east south west up down"), (None, "same text twice over and again"), (9, "same text twice over and again"), (None, " ")]
+TEXTS = [
+    (None, "alpha beta gamma delta epsilon zeta"), (None, "one two three four five six"), (7, "red green blue white black grey"),
+    (7, "north east south west up down"), (None, "same text twice over and again"), (9, "same text twice over and again"), (None, " ")
+]
 
 
 def test_null_and_repeated_ids(spark):

@@ -19,7 +19,13 @@ WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 def frame(spark, texts, ids=None):
     """Documents with extra columns whose names clash with those the operators make."""
     ids = ids or range(len(texts))
-    return spark.createDataFrame([(i, t, None if i is None or i % 3 == 0 else "en", None if i is None or i % 2 else "s", 0, 0.0, "x", 1, "k", "t") for i, t in zip(ids, texts, strict=True)], SCHEMA)
+    return spark.createDataFrame(
+        [
+            (i, t, None if i is None or i % 3 == 0 else "en", None if i is None or i % 2 else "s", 0, 0.0, "x", 1, "k", "t") for i,
+            t in zip(ids, texts, strict=True)
+        ],
+        SCHEMA
+    )
 
 
 @pytest.fixture(scope="module")
@@ -165,7 +171,9 @@ def test_n_best():
     lattice, known = pieces.Lattice(model, 4), model["pieces"]
 
     def every(w):
-        return [(0.0, ())] if not w else [(known[w[:n]][1] + s, (known[w[:n]][0], *i)) for n in range(1, len(w) + 1) if w[:n] in known for s, i in every(w[n:])]
+        return [(0.0, ())] if not w else [
+            (known[w[:n]][1] + s, (known[w[:n]][0], *i)) for n in range(1, len(w) + 1) if w[:n] in known for s, i in every(w[n:])
+        ]
 
     for word in ("▁hello", "▁thand", "▁world", "tion"):
         want = sorted((s for s, _ in every(word)), reverse=True)[:4]
@@ -188,12 +196,17 @@ def test_token_counts(docs, texts):
     got = {r.doc_id: r.n_tokens for r in bpe.token_counts(docs, queries.vocabulary("word_bpe_49k.json")).collect()}
     assert got == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in texts.items()}
     odd = ["<|endoftext|>x<|ENDOFTEXT|>", "ΑΣ Σ İK½²٣_-", "aaaaaaaaaaaaa" * 9, "é\x1cb\x85c　d's"]
-    assert bpe.Counter(bpe.load(queries.vocabulary("word_bpe_49k.json"))).counts(odd) == [len(library.encode(t, add_special_tokens=False).ids) for t in odd]
+    assert bpe.Counter(
+        bpe.load(queries.vocabulary("word_bpe_49k.json"))
+    ).counts(odd) == [len(library.encode(t, add_special_tokens=False).ids) for t in odd]
 
 
 def test_near_duplicates(docs, texts):
     got = neardup.near_duplicates(docs).toPandas().set_index("doc_id")
-    bags = {i: Counter(zip(*(w[k:] for k in range(5)), strict=False)) if len(w := WORDS.findall(t)) > 4 else Counter([tuple(w)]) if w else Counter() for i, t in texts.items()}
+    bags = {
+        i: Counter(zip(*(w[k:] for k in range(5)), strict=False))
+        if len(w := WORDS.findall(t)) > 4 else Counter([tuple(w)]) if w else Counter() for i, t in texts.items()
+    }
     where: dict = {}
     for i, b in bags.items():
         for s in b:
@@ -203,14 +216,19 @@ def test_near_duplicates(docs, texts):
     assert len(near) > 20 and sum(got.class_id[a] != got.class_id[b] for a, b in near) <= 0.01 * len(near)
     linked = got[got.n_links > 0]
     for i in linked.index[:200]:
-        assert any(sum((bags[i] & bags[j]).values()) >= 0.75 * sum((bags[i] | bags[j]).values()) for j in linked.index[linked.class_id == linked.class_id[i]] if j != i)
+        assert any(
+            sum((bags[i] & bags[j]).values()) >= 0.75 * sum((bags[i] | bags[j]).values())
+            for j in linked.index[linked.class_id == linked.class_id[i]] if j != i
+        )
 
 
 @pytest.fixture(scope="module")
 def vectors(spark):
     rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     bad = [(1000, None), (1020, [0.0] * 64), (1040, [float("nan")] * 64), (1060, [None] * 64), (1080, [])]
-    return spark.createDataFrame(rows + [(2000 + i, rows[0][1]) for i in range(30)] + bad, "vec_id long, embedding array<double>"), dict(rows + [(2000 + i, rows[0][1]) for i in range(30)])
+    return spark.createDataFrame(
+        rows + [(2000 + i, rows[0][1]) for i in range(30)] + bad, "vec_id long, embedding array<double>"
+    ), dict(rows + [(2000 + i, rows[0][1]) for i in range(30)])
 
 
 def test_exact_search(vectors):
