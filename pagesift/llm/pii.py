@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pagesift.llm.common import text_chunks
 
 KINDS = ("email", "ip", "card", "phone")
-LONGEST, ISLAND, FEATURES = 16, 48, 20
+LONGEST, ISLAND, FEATURES = 16, 48, 21
 BACK, PART, REACH = 40, 64, 160
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -150,7 +150,7 @@ def segments(shapes: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
                 (
                     1, ats == 1, ats > 1, after > 0, first == "+", dots == 3 and runs == 4 == small and not letters, 10 <= digits <= 13,
                     14 <= digits <= 15, 16 <= digits <= 19, 14 <= digits <= 19 and f"{i}-{j + 1}" in marked, digits < 7, digits > 19, letters > 0,
-                    spaces > 0, pairs == 2, others > 0, 3 <= runs <= 5 and not letters, left, right, letters > 0 and not ats
+                    spaces > 0, pairs == 2, others > 0, 3 <= runs <= 5 and not letters, left, right, letters > 0 and not ats, digits > 6 and not dots and not letters
                 )
             )
     return np.array(spans, np.int64).reshape(-1, 2), np.array(rows, float).reshape(-1, FEATURES)

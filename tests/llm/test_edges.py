@@ -238,6 +238,25 @@ def test_decoding_is_the_best_of_all_segmentations():
         assert np.isclose(sum(scores[c] for c in model.decode(shapes)), best)
 
 
+def test_model_adds_what_the_base_patterns_miss(spark):
+    """Phones without the sign and with spaced digits are found; dates, prices and plain numbers are left alone."""
+    model = pii.SemiMarkov(pii.learn(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")))
+    found = {
+        "call 44 20 7946 0018 now": "phone:5:20",
+        "call (555) 248-5123 today": "phone:5:19",
+        "phone 020 7946 0018.": "phone:6:19",
+        "tel: 0049 30 901820": "phone:5:19",
+        "on 2024-05-04 at 12:30": "",
+        "room 12 of 300": "",
+        "price 1,234.50": "",
+        "id 12345678901": "",
+        "mail bob@corp now": "",
+    }
+    for text, want in found.items():
+        base, every = pii.all_spans(text, model)
+        assert not base and pii.named(every) == want
+
+
 # near duplicates and the pipeline
 
 
