@@ -107,23 +107,39 @@ def timed(log: DataFrame) -> DataFrame:
     )
 
 
-def with_islands(log: DataFrame, gap: float, *keys: str) -> DataFrame:
-    order = W.partitionBy(*keys).orderBy("at", "event_id")
-    rows = timed(log)
-    rows = rows.withColumn("cut", (F.col("at") - F.lag("at").over(order) >= gap).cast("int"))
-    return rows.withColumn("island", F.sum(F.coalesce("cut", F.lit(0))).over(order)).drop("cut")
+def with_islands(log: DataFrame, gap: float, *keys: str, spans: int = 16) -> DataFrame:
+    """log with at, ok and the island (island_span, island) of each event: a key's events with less than `gap` seconds between them.
+
+    Events are put in order in spans of `spans` gaps; only one row a span is put in order over a key. What comes before a
+    span's first gap goes on with the last island of an earlier span, if that is near enough.
+    """
+    rows = timed(log).withColumn("span", F.floor(F.col("at") / (spans * gap)))
+    order = W.partitionBy(*keys, "span").orderBy("at", "event_id")
+    cut = F.coalesce((F.col("at") - F.lag("at").over(order) >= gap).cast("int"), F.lit(0))
+    rows = rows.withColumn("cut", cut).withColumn("n", F.sum("cut").over(order))
+    each = rows.groupBy(*keys, "span").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.max("n").alias("cuts"))
+    over = W.partitionBy(*keys).orderBy("span")
+    each = each.withColumn("opens", F.coalesce(F.col("first") - F.lag("last").over(over) >= gap, F.lit(True)))
+    here = F.struct("span", "cuts")
+    last = F.last(F.when((F.col("cuts") > 0) | F.col("opens"), here), ignorenulls=True).over(over.rowsBetween(W.unboundedPreceding, -1))
+    own = F.struct("span", F.lit(0).cast("long").alias("cuts"))
+    each = each.select(*keys, "span", F.when(F.col("opens"), own).otherwise(last).alias("head"))
+    rows = rows.join(each, [*keys, "span"])
+    inner = F.col("n") > 0
+    islands = {"island_span": F.when(inner, F.col("span")).otherwise(F.col("head.span")), "island": F.when(inner, F.col("n")).otherwise(F.col("head.cuts"))}
+    return rows.withColumns(islands).drop("span", "cut", "n", "head")
 
 
 def rate_limit(log: DataFrame, limit: int, window: float) -> DataFrame:
     """event_id, admitted, remaining and retry_after for each endpoint and subject."""
-    return replayed(
-        with_islands(log, window, "endpoint", "subject"), ["endpoint", "subject", "island"], lambda: Limiter(limit, window), Limiter.FIELDS
-    )
+    rows = with_islands(log, window, "endpoint", "subject")
+    return replayed(rows, ["endpoint", "subject", "island_span", "island"], lambda: Limiter(limit, window), Limiter.FIELDS)
 
 
 def ttl_cache(log: DataFrame, ttl: float) -> DataFrame:
     """event_id and hit for each endpoint and subject."""
-    return replayed(with_islands(log, ttl, "endpoint", "subject"), ["endpoint", "subject", "island"], lambda: Cache(ttl), Cache.FIELDS)
+    rows = with_islands(log, ttl, "endpoint", "subject")
+    return replayed(rows, ["endpoint", "subject", "island_span", "island"], lambda: Cache(ttl), Cache.FIELDS)
 
 
 def breaker_islands(rows: DataFrame, threshold: int, recovery: float) -> DataFrame:

@@ -71,6 +71,20 @@ def test_streams(spark, log, events, tmp_path, name, settings, begin, by_subject
     assert got == straight(events, begin, by_subject)
 
 
+@pytest.mark.parametrize("spans", [1, 2, 16])
+def test_islands(log, events, spans):
+    """Two events of a key are in one island just if no pause of 20 seconds lies between them."""
+    got = {r.event_id: (r.endpoint, r.subject, r.island_span, r.island) for r in replay.with_islands(log, 20.0, "endpoint", "subject", spans=spans).collect()}
+    last, want, n = {}, {}, 0
+    for e, t, k, s, _ in sorted(events, key=lambda x: (x[1], x[0])):
+        if (k, s) not in last or t - last[k, s][0] >= 20:
+            n += 1
+            last[k, s] = (t, n)
+        last[k, s] = (t, last[k, s][1])
+        want[e] = last[k, s][1]
+    assert len(set(zip(got.values(), (want[e] for e in got), strict=True))) == len(set(want.values())) == len(set(got.values()))
+
+
 def test_limiter_by_hand():
     one = replay.Limiter(1, 60.0)
     assert [one(0.0, True), one(59.5, True), one(60.0, True)] == [(True, 0, 0), (False, 0, 1), (True, 0, 0)]
