@@ -46,8 +46,10 @@ def verify_citations(claims: DataFrame, numbered: DataFrame, least: float = 0.04
         (F.trim(F.coalesce("content", F.lit(""))) == "").alias("empty")
     )
     rows = claims.withColumn("said", words(F.col("claim"))).join(sources, ["query_id", "n"], "left")
-    both, either = F.size(F.array_intersect("said", "have")), F.size(F.array_union("said", "have"))
-    rows = rows.withColumn("share", F.when(F.least(F.size("said"), F.size("have")) > 0, both / either).otherwise(0.0))
+    both = F.size(F.array_intersect("said", "have"))
+    rows = rows.withColumn("both", both)  # either list is distinct
+    either = F.size("said") + F.size("have") - F.col("both")
+    rows = rows.withColumn("share", F.when(F.least(F.size("said"), F.size("have")) > 0, F.col("both") / either).otherwise(0.0))
     reason = F.when(F.col("have").isNull(), "out_of_range").when(F.col("empty"), "empty_source").when(F.col("share") >= least, "ok").otherwise("weak")
     rows = rows.withColumn("reason", reason).withColumn("overlap", F.when(F.col("reason").isin("ok", "weak"), F.bround("share", 4)).otherwise(0.0))
     return rows.select(
