@@ -8,7 +8,7 @@ then frequent and weighs little next to their edits.) Frequencies are exact, ove
 A text's signature has `bands` times `width` samples, each drawn by improved consistent weighted sampling from all its
 shingles, so that two texts agree in a sample with the probability of their weighted Jaccard similarity. Samples are
 banded, and texts that share a bucket of some band are candidates. In each bucket a centre is compared with all others
-(in cells of at most `BLOCK` texts). Of a bucket whose texts are not all linked to its centre, all pairs are then judged
+(in cells of about `STAR` texts). Of a bucket whose texts are not all linked to its centre, all pairs are then judged
 but those of two linked texts: its texts are dealt into blocks, and each two blocks meet in a cell of their own. A pair
 in several buckets is judged in the first one. So no two texts that share a bucket and have a similarity of `least` end
 in different classes, which are the connected components of the links.
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from pagesift.llm.common import Shelf, mixed, text_chunks, window_hashes, word_hashes
 
 SHINGLE, LEAST, SHARE, LOWEST = 5, 0.8, 20, 0.75
-#: Texts of a block, and words of a block about.
-BLOCK, WORDS = 256, 1 << 20
+#: Texts of a block, texts that meet a centre in one cell, and words of either about.
+BLOCK, STAR, WORDS = 256, 64, 1 << 20
 #: The place of the low half of a 64-bit number.
 _LOW = int(sys.byteorder == "big")
 
@@ -267,9 +267,9 @@ def components(links: DataFrame, shelf: Shelf) -> DataFrame:
             return labels
 
 
-def _dealt(column: str, rows: str, words: str):
+def _dealt(column: str, rows: str, words: str, block: int | None = None):
     """Into how many blocks so many texts of so many words go."""
-    return F.greatest(F.ceil(F.col(rows) / BLOCK), F.ceil(F.col(words) / WORDS), F.lit(1)).cast("int").alias(column)
+    return F.greatest(F.ceil(F.col(rows) / (block or BLOCK)), F.ceil(F.col(words) / WORDS), F.lit(1)).cast("int").alias(column)
 
 
 def _star(live: DataFrame, there: DataFrame, weights: Weights, least: float, shelf: Shelf) -> DataFrame:
@@ -308,7 +308,8 @@ def _settled(live: DataFrame, linked: DataFrame, there: DataFrame, weights: Weig
     apart = F.when(~F.col("own"), F.col("words"))
     sums = status.groupBy("band").agg(F.count(apart).alias("n"), F.coalesce(F.sum(apart), F.lit(0)).alias("nw"), F.count("*").alias("all"), F.sum("words").alias("all_words"))
     sums = sums.where("n > 0 and all > 1").withColumns({"m": F.col("all") - F.col("n"), "mw": F.col("all_words") - F.col("nw")})
-    sums = sums.select("band", _dealt("first", "n", "nw"), F.when(F.col("m") > 0, _dealt("x", "m", "mw")).otherwise(0).alias("more"))
+    # a table of its own: so a hot bucket is split when it is joined
+    sums = shelf.save(sums.select("band", _dealt("first", "n", "nw"), F.when(F.col("m") > 0, _dealt("x", "m", "mw")).otherwise(0).alias("more")))
     # unlinked texts are in the first blocks and meet all blocks; linked texts meet only those
     rows = status.join(sums, "band")
     h = F.xxhash64("t")
@@ -324,7 +325,7 @@ def _settled(live: DataFrame, linked: DataFrame, there: DataFrame, weights: Weig
 
     met = rows.hint("merge").join(there, "t").repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
     out = shelf.save(met.mapInArrow(run, "c binary, t binary"))
-    shelf.drop(status, rows)
+    shelf.drop(status, sums, rows)
     return out
 
 
@@ -345,7 +346,8 @@ def _classes(docs: DataFrame, bands: int, width: int, least: float) -> tuple[int
     # four orders take turns over the buckets, so that one text is the centre of many
     order = F.xxhash64("t", F.pmod("band", F.lit(4)))
     centres = buckets.groupBy("band").agg(F.max_by("t", order).alias("centre"), F.count("*").alias("n"), F.sum("words").alias("nw")).where("n > 1")
-    live = shelf.save(buckets.join(centres.select("band", "centre", _dealt("blocks", "n", "nw")), "band").where("t <> centre"))
+    centres = shelf.save(centres.select("band", "centre", _dealt("blocks", "n", "nw", STAR)))
+    live = shelf.save(buckets.join(centres, "band").where("t <> centre"))
     nodes = live.select("t").union(live.select("centre")).distinct()
     # the same joins at every size: texts are never broadcast
     there = rows.groupBy("t").agg(F.first("text").alias("text")).join(nodes.hint("merge"), "t").join(texts.select("t", "bands"), "t")
@@ -361,7 +363,7 @@ def _classes(docs: DataFrame, bands: int, width: int, least: float) -> tuple[int
         "t", "rep", "n", (F.size("bands") == 0).alias("bare"), F.coalesce("label", "t").alias("label"), F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("class_size", "n").alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
     each = shelf.save(each)
-    shelf.drop(texts, live, there, links, more, every, labels)
+    shelf.drop(texts, centres, live, there, links, more, every, labels)
     return n_rows, signed.select("doc_id", "t"), each
 
 
