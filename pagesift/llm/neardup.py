@@ -51,8 +51,8 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys[first], np.diff(np.append(first, len(keys))), owners[first]
 
 
-def frequent(texts: DataFrame, shelf: Shelf) -> tuple[int, dict[int, int]]:
-    """How many rows there are, and of every shingle in more than a SHARE-th of them, in how many.
+def frequent(texts: DataFrame, shelf: Shelf) -> tuple[int, np.ndarray, np.ndarray]:
+    """How many rows there are, the shingles in more than a SHARE-th of them (sorted), and in how many rows each is.
 
     Partitions are gone through in groups of about a million shingles; a group names those that are in a part of its rows
     that is half as large. What groups don't name then bounds a shingle's count, and only those that can still reach the
@@ -83,10 +83,10 @@ def frequent(texts: DataFrame, shelf: Shelf) -> tuple[int, dict[int, int]]:
     total = found.where("rows > 0").agg(F.sum("rows").alias("rows"), F.sum("wide").alias("wide")).first()
     rows, wide = total.rows or 0, total.wide or 0
     named = found.where("rows = 0").groupBy("h").agg(F.sum("n").alias("n"), F.sum("wide").alias("wide"))
-    named = named.where((F.col("n") * 2 * SHARE + F.lit(wide) - F.col("wide") > 2 * rows)).collect()
+    named = named.where((F.col("n") * 2 * SHARE + F.lit(wide) - F.col("wide") > 2 * rows)).toArrow()
     shelf.drop(found)
-    out = {r.h: r.n for r in named if r.wide == wide and r.n * SHARE > rows}
-    known = np.sort(np.array([r.h for r in named if r.wide < wide], np.int64).view(np.uint64))
+    h, n, whole = named.column("h").to_numpy(), named.column("n").to_numpy(), named.column("wide").to_numpy() == wide
+    known = np.sort(h[~whole].view(np.uint64))
 
     def exact(batches):
         n = np.zeros(len(known), np.int64)
@@ -97,17 +97,19 @@ def frequent(texts: DataFrame, shelf: Shelf) -> tuple[int, dict[int, int]]:
         yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(n)], names=["h", "n"])
 
     if len(known):
-        counts = texts.select("text").mapInArrow(exact, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-        out |= {r.h: r.n for r in counts.where(F.col("n") * SHARE > rows).collect()}
-    return rows, out
+        counts = texts.select("text").mapInArrow(exact, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).toArrow()
+        h, n = np.append(h[whole], counts.column("h").to_numpy()), np.append(n[whole], counts.column("n").to_numpy())
+    often = n * SHARE > rows
+    keys, n = h[often].view(np.uint64), n[often]
+    order = np.argsort(keys)
+    return rows, keys[order], n[order]
 
 
 class Weights:
     """Weights of shingles: counts, those of frequent shingles times a factor between LOWEST and 1."""
 
-    def __init__(self, rows: int, often: dict[int, int]):
-        self.keys = np.sort(np.array(list(often), np.int64).view(np.uint64))
-        n = np.array([often[int(k)] for k in self.keys.view(np.int64)], float)
+    def __init__(self, rows: int, keys: np.ndarray, n: np.ndarray):
+        self.keys = keys
         self.idf = 1 - (1 - LOWEST) * np.log(np.maximum(1, n * SHARE / max(rows, 1))) / np.log(SHARE)
 
     def __call__(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -338,8 +340,8 @@ def _classes(docs: DataFrame, bands: int, width: int, least: float) -> tuple[int
     (no words), label (its component), class_id, class_size and n_links."""
     shelf = Shelf(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), _digest().alias("t"))
-    n_rows, often = frequent(rows, shelf)
-    weights = Weights(n_rows, often)
+    n_rows, *often = frequent(rows, shelf)
+    weights = Weights(n_rows, *often)
     signed = shelf.save(rows.mapInArrow(_signed(weights, bands, width), "t binary, doc_id long, bands array<long>, words long"))
     texts = shelf.save(signed.groupBy("t").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("words").alias("words")))
     buckets = texts.select("t", "words", F.explode("bands").alias("band"))

@@ -296,3 +296,18 @@ def test_pipeline_on_odd_rows(spark, tmp_path, empty):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert all(r.round_trip for r in got) and (not got if empty else len(got) >= 3)
+
+
+@pytest.mark.parametrize("parts", [1, 40])
+def test_frequent_shingles_are_counted_exactly(spark, parts):
+    """However the rows are dealt, just the shingles in over a twentieth of them are named, with their exact counts."""
+    draw = random.Random(9)
+    lines = [f"common line {k} of five words" for k in range(12)]
+    texts = [" ".join(draw.sample(lines, draw.randrange(4))) + f" own{i} text{i} of{i} this{i} row{i}" for i in range(300)] + [None, ""]
+    rows = spark.createDataFrame([(t or "",) for t in texts], "text string").repartition(parts)
+    n, keys, counts = neardup.frequent(rows, neardup.Shelf(spark))
+    every, want = np.unique(np.concatenate([neardup.shingles([t or ""])[0] for t in texts]), return_counts=True)
+    often = want * 20 > len(texts)
+    assert n == len(texts) and often.sum() > 12
+    np.testing.assert_array_equal(keys, every[often])
+    np.testing.assert_array_equal(counts, want[often])
