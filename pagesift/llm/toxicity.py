@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from pagesift.llm.common import text_chunks
 
 BLOCK = 64
-#: Words held by a model's cache in a worker at most; beyond, it starts anew.
-CACHE = 500_000
+#: Words held by a model's cache in a worker at most (beyond, it starts anew), and their letters; longer ones are not held.
+CACHE, LONGEST = 500_000, 64
 #: Lengths of the word starts that are terms too.
 STEMS = (4, 5, 6, 7, 8)
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -106,9 +106,11 @@ class Model:
         words, counts = _LETTERS.findall(text.lower()), Counter()
         if len(self.seen) > CACHE:
             self.seen = {}
-        for word in set(words):
+        for word in dict.fromkeys(words):  # in the text's order, so that sums are the same at each run
             if (found := self.seen.get(word)) is None:
-                found = self.seen[word] = tuple(self.terms[t] for t in {word, *(f"{word[:n]}*" for n in STEMS if len(word) > n)} if t in self.terms)
+                found = tuple(self.terms[t] for t in (word, *(f"{word[:n]}*" for n in STEMS if len(word) > n)) if t in self.terms)
+                if len(word) <= LONGEST:
+                    self.seen[word] = found
             if found:
                 times = words.count(word)
                 for t in found:
