@@ -64,7 +64,9 @@ def frequent(texts: DataFrame, shelf: Shelf) -> tuple[int, np.ndarray, np.ndarra
         often = counts * 2 * SHARE >= rows
         wide = rows if rows > 2 * SHARE else 0  # smaller groups name all they hold
         n = int(often.sum()) + 1
-        columns = (np.append(every[often].view(np.int64), 0), np.append(counts[often], 0), np.append(np.zeros(n - 1, np.int64), rows), np.full(n, wide))
+        columns = (
+            np.append(every[often].view(np.int64), 0), np.append(counts[often], 0), np.append(np.zeros(n - 1, np.int64), rows), np.full(n, wide)
+        )
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["h", "n", "rows", "wide"])
 
     def local(batches):
@@ -181,7 +183,9 @@ def _signed(weights: Weights, bands: int, width: int):
                 sizes[1 + np.unique(owner)] = bands
             words = np.bincount(owner, n, len(texts)).astype(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(values))
-            yield pa.RecordBatch.from_arrays([batch.column("t"), batch.column("doc_id"), lists, pa.array(words)], names=["t", "doc_id", "bands", "words"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("t"), batch.column("doc_id"), lists, pa.array(words)], names=["t", "doc_id", "bands", "words"]
+            )
 
     return run
 
@@ -308,14 +312,21 @@ def _settled(live: DataFrame, linked: DataFrame, there: DataFrame, weights: Weig
     own = linked.select(F.col("c").alias("centre"), "t", F.lit(True).alias("own"))
     status = shelf.save(live.join(own, ["centre", "t"], "left").select("band", "t", "words", F.coalesce("own", F.lit(False)).alias("own")))
     apart = F.when(~F.col("own"), F.col("words"))
-    sums = status.groupBy("band").agg(F.count(apart).alias("n"), F.coalesce(F.sum(apart), F.lit(0)).alias("nw"), F.count("*").alias("all"), F.sum("words").alias("all_words"))
+    sums = status.groupBy("band").agg(
+        F.count(apart).alias("n"), F.coalesce(F.sum(apart), F.lit(0)).alias("nw"), F.count("*").alias("all"), F.sum("words").alias("all_words")
+    )
     sums = sums.where("n > 0 and all > 1").withColumns({"m": F.col("all") - F.col("n"), "mw": F.col("all_words") - F.col("nw")})
     # a table of its own: so a hot bucket is split when it is joined
     sums = shelf.save(sums.select("band", _dealt("first", "n", "nw"), F.when(F.col("m") > 0, _dealt("x", "m", "mw")).otherwise(0).alias("more")))
     # unlinked texts are in the first blocks and meet all blocks; linked texts meet only those
     rows = status.join(sums, "band")
     h = F.xxhash64("t")
-    rows = rows.withColumn("block", F.when(F.col("own"), F.col("first") + F.try_mod(F.abs(h % 1_000_003).cast("int"), F.col("more"))).otherwise(F.pmod(h, F.col("first")).cast("int")).cast("int"))
+    rows = rows.withColumn(
+        "block",
+        F.when(
+            F.col("own"), F.col("first") + F.try_mod(F.abs(h % 1_000_003).cast("int"), F.col("more"))
+        ).otherwise(F.pmod(h, F.col("first")).cast("int")).cast("int")
+    )
     last = F.when(F.col("own"), F.col("first")).otherwise(F.col("first") + F.col("more"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), last - 1)))
     rows = shelf.save(rows.select("t", "band", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")))
@@ -339,11 +350,17 @@ def _classes(docs: DataFrame, bands: int, width: int, least: float) -> tuple[int
     """How many rows there are; doc_id and digest t of each; of every digest: how many rows (n), its least doc_id (rep), bare
     (no words), label (its component), class_id, class_size and n_links."""
     shelf = Shelf(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), _digest().alias("t"))
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), _digest().alias("t")
+    )
     n_rows, *often = frequent(rows, shelf)
     weights = Weights(n_rows, *often)
     signed = shelf.save(rows.mapInArrow(_signed(weights, bands, width), "t binary, doc_id long, bands array<long>, words long"))
-    texts = shelf.save(signed.groupBy("t").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("words").alias("words")))
+    texts = shelf.save(
+        signed.groupBy("t").agg(
+            F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("words").alias("words")
+        )
+    )
     buckets = texts.select("t", "words", F.explode("bands").alias("band"))
     # four orders take turns over the buckets, so that one text is the centre of many
     order = F.xxhash64("t", F.pmod("band", F.lit(4)))
@@ -362,7 +379,14 @@ def _classes(docs: DataFrame, bands: int, width: int, least: float) -> tuple[int
     classes = labels.join(texts, "t").groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("n").alias("class_size"))
     linked = labels.join(classes, "label").join(degree, "t").select("t", "label", "class_id", "class_size", "n_links")
     each = texts.join(linked, "t", "left").select(
-        "t", "rep", "n", (F.size("bands") == 0).alias("bare"), F.coalesce("label", "t").alias("label"), F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("class_size", "n").alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+        "t",
+        "rep",
+        "n",
+        (F.size("bands") == 0).alias("bare"),
+        F.coalesce("label", "t").alias("label"),
+        F.coalesce("class_id", "rep").alias("class_id"),
+        F.coalesce("class_size", "n").alias("class_size"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
     each = shelf.save(each)
     shelf.drop(texts, centres, live, there, links, more, every, labels)
@@ -380,7 +404,11 @@ def near_duplicates(docs: DataFrame, bands: int = 16, width: int = 3, least: flo
     hot = F.broadcast(each.where(F.col("n") * 1000 > n_rows))
     out = rows.join(hot, "t").unionByName(rows.join(hot.select("t"), "t", "left_anti").join(each, "t"))
     bare = F.col("bare")
-    return out.select("doc_id", F.when(bare, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(bare, F.lit(1)).otherwise(F.col("class_size")).alias("class_size"), "n_links", F.when(~bare, F.lower(F.hex("label"))).alias("class_key"))
+    return out.select(
+        "doc_id", F.when(bare, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(bare, F.lit(1)).otherwise(F.col("class_size")).alias("class_size"), "n_links",
+        F.when(~bare, F.lower(F.hex("label"))).alias("class_key")
+    )
 
 
 def one_of_each(docs: DataFrame, bands: int = 16, width: int = 3, least: float = LEAST) -> DataFrame:
@@ -391,7 +419,9 @@ def one_of_each(docs: DataFrame, bands: int = 16, width: int = 3, least: float =
     """
     _, _, each = _classes(docs, bands, width, least)
     first = F.min(F.struct(F.col("rep").isNull(), "rep", "t"))
-    keep = each.where("not bare").groupBy("label").agg(first.alias("first")).select(F.col("first.t").alias("__first"), F.col("first.rep").alias("__rep"))
+    keep = each.where("not bare").groupBy("label").agg(first.alias("first")).select(
+        F.col("first.t").alias("__first"), F.col("first.rep").alias("__rep")
+    )
     tagged = docs.withColumn("__t", _digest())
     bare = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__rep"))

@@ -10,7 +10,8 @@ the whole span; tokens outside entities score 0. As no entity goes without a dig
 Boundaries and kinds are chosen jointly by dynamic programming. Features see tokens by shape alone (and which segments
 pass the check of card numbers), so that islands of one shape share a decoding. Weights are learned by maximum
 likelihood from the base matches in a bounded sample of documents (`sample`, about), on the `shapes` most frequent
-shapes of islands in it, with `hidden` of the telling first characters withheld so that spans are known by their other features too. Model spans that touch a base span are dropped.
+shapes of islands in it, with `hidden` of the telling first characters withheld so that spans are known by their other
+features too. Model spans that touch a base span are dropped.
 
 Null and empty texts have no spans; repeated rows and clashing columns don't matter (doc_id and text alone are read).
 """
