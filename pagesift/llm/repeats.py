@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagesift.llm.common import row_key, saved, text_chunks, window_hashes, word_hashes
+from pagesift.llm.common import Shelf, row_key, text_chunks, window_hashes, word_hashes
 
 _ANCHORS = "k1 long, k2 int, pos int, h long"
 _WINDOWS = "k1 long, k2 int, pos int, h long, h2 int"
@@ -148,19 +148,20 @@ def repeated_out(docs: DataFrame, length: int = 35, keep_text: bool = True, firs
     """
     sizes = [first or (length + 1) // 2]
     rows = row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    flags, key = None, ["k1", "k2"]
+    flags, key, shelf = None, ["k1", "k2"], Shelf(docs.sparkSession)
     while True:
         if flags is None:
             anchors = rows.select(*key, "text").mapInArrow(_anchors(length, sizes[0]), _ANCHORS)
         else:
             anchors = rows.join(flags, key).select(*key, "text", "flagged").mapInArrow(_longer(length, list(sizes)), _ANCHORS)
-        anchors = saved(anchors)
-        again = saved(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+        anchors = shelf.save(anchors)
+        again = shelf.save(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
         found = anchors.join(again, "h", "left_semi").groupBy(*key).agg(F.collect_set("pos").alias("places"))
         if flags is not None:
             found = found.join(flags, key)
         before = F.array().cast("array<array<int>>") if flags is None else F.col("flagged")
-        flags = saved(found.select(*key, F.array_append(before, F.col("places")).alias("flagged")))
+        flags = shelf.save(found.select(*key, F.array_append(before, F.col("places")).alias("flagged")))
+        shelf.drop(anchors, again)
         if 2 * sizes[-1] >= length or not flags.limit(1).count():
             break
         sizes.append(2 * sizes[-1])
