@@ -4,15 +4,14 @@ A code is cut into segments, and each segment is an index of its own. By the pig
 Hamming radius agree with the query in some segment to within the radius shared out over the segments, so probing each
 index at all values that near retrieves every such code.
 
-`exact_top_k`: the index is a table of (segment, value) of all codes, and a probe is a join with it, so that it reads
-its buckets alone. Radii of the segments grow together, a round for each, until the k-th best verified distance is
-provably covered; queries that are done leave. Equal codes are one code from the start, with their least ids; so are
-queries of equal codes.
+`exact_top_k`: radii of the segments grow together until the k-th best verified distance is provably covered. Equal codes
+are one code from the start, with their least ids; so are queries of equal codes.
 
 `approximate_top_k`: codes are signs of learned rotated components (principal axes, then iterative quantisation, fitted
 on a bounded sample of vectors); all codes within a radius, also fitted on the sample, are reranked by inner products.
-Rows are dealt into blocks by a hash of their id, and so are the queries; each pair of blocks is a task's work, with an
-index of its own, and gives the k best of each query, of which the k best over all blocks are kept.
+
+Codes (or rows) are dealt into blocks by a hash, and so are the queries; each pair of blocks is a task's work, with an
+index of its own, and gives the best of each query, of which the best over all blocks are kept.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part; repeated rows are one, and of
 several vectors of a vec_id the least (by components in order) stands for it; a query meets only vectors of its own
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagesift.llm.common import Shelf, saved
+from pagesift.llm.common import saved
 
 QUERIES, ROWS, BLOCKS = 8192, 16_384, 8
 
@@ -48,14 +47,22 @@ def in_blocks(rows: DataFrame, every: int, k: int, search) -> DataFrame:
     """query_id, rank, vec_id and score: search(candidates, queries) in each pair of blocks, then the k best of each query."""
     n = rows.select("vec_id").count()
     n_q, n_r = max(1, -(-n // every // QUERIES)), max(BLOCKS, -(-n // ROWS))
-    candidates = rows.withColumn("r", F.pmod(F.xxhash64("vec_id"), F.lit(n_r))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)).cast("array<bigint>")))
+    candidates = rows.withColumn(
+        "r", F.pmod(F.xxhash64("vec_id"), F.lit(n_r))
+    ).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)).cast("array<bigint>")))
     queries = rows.where(F.col("vec_id") % every == 0).withColumn("q", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_q)))
     queries = queries.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(n_r - 1)).cast("array<bigint>")))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = [(np.full(len(ids), q), ids, s) for q, ids, s in search(left.column("vec_id").to_numpy(), _matrix(left), right.column("vec_id").to_numpy(), _matrix(right))] if len(left) and len(right) else []
+        found = [
+            (np.full(len(ids), q), ids, s) for q, ids,
+            s in search(left.column("vec_id").to_numpy(), _matrix(left), right.column("vec_id").to_numpy(), _matrix(right))
+        ] if len(left) and len(right) else []
         columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", "vec_id", "score"])
+        return pa.table(
+            [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())],
+            names=["query_id", "vec_id", "score"]
+        )
 
     keys = ["q", "r", "dim"]
     best = candidates.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score double")
@@ -71,14 +78,19 @@ def segments(bits: np.ndarray, width: int) -> np.ndarray:
 class Index:
     """Codes in an index for each segment: the rows in order of its values, and where each value begins."""
 
-    def __init__(self, bits: np.ndarray, width: int):
-        self.values, self.width = segments(bits, width), width
+    def __init__(self, bits: np.ndarray, width: int, values: np.ndarray | None = None):
+        self.values, self.width = segments(bits, width) if values is None else values, width
         self.n = self.values.shape[1]
         self.order = np.argsort(self.values, 0, kind="stable")
         each = [np.unique(self.values[:, s], return_counts=True) for s in range(self.n)]
         self.known = [v for v, _ in each]
         self.starts = [np.append(0, np.cumsum(n)) for _, n in each]
 
+    def at(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """Rows with a segment at just this Hamming distance from the code's, one entry for each such segment."""
+        near = [np.bitwise_count(self.known[s] ^ code[s]) == radius for s in range(self.n)]
+        return np.concatenate([self.order[np.repeat(x, np.diff(self.starts[s])), s] for s, x in enumerate(near)])
+
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Rows that probing retrieves: those with a segment near enough that the whole code may be within the radius.
 
@@ -105,8 +117,7 @@ def _firsts(rows: DataFrame, n: int, by: list[str], *order) -> DataFrame:
 
 def exact_top_k(vectors: DataFrame, every: int = 100, k: int = 10, width: int = 16) -> DataFrame:
     """query_id, rank, vec_id and distance: the k rows nearest by Hamming distance of sign codes (component > 0) to each
-    row whose id is divisible by `every`, exactly. Segments have `width` bits (16 at most; about log2 of the number of rows)."""
-    shelf = Shelf(vectors.sparkSession)
+    row whose id is divisible by `every`, exactly. Segments have `width` bits (about log2 of the number of rows in a block)."""
 
     def coded(batches):
         for batch in batches:
@@ -115,46 +126,53 @@ def exact_top_k(vectors: DataFrame, every: int = 100, k: int = 10, width: int =
                 part = table.filter(pc.equal(table.column("dim"), int(dim)))
                 code = segments(_matrix(part) > 0, width).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(code) + 1) * code.shape[1], pa.int32()), pa.array(code.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("vec_id").combine_chunks(), part.column("dim").combine_chunks(), lists], names=["vec_id", "dim", "code"])
+                columns = [part.column("vec_id").combine_chunks(), part.column("dim").combine_chunks(), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "dim", "code"])
 
-    rows = shelf.save(usable(vectors).mapInArrow(coded, "vec_id long, dim int, code array<int>"))
-    of = ["dim", "code"]
+    rows = saved(usable(vectors).mapInArrow(coded, "vec_id long, dim int, code array<int>"))
+    of, key = ["dim", "code"], ["dim", "query"]
     # more ids of one code than a result can hold never matter
-    codes = _firsts(rows, k + 1, of, "vec_id").groupBy(*of).agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    postings = shelf.save(codes.select("dim", F.posexplode("code").alias("segment", "value"), "code", "ids"))
-    total = postings.where("segment = 0").groupBy("dim").agg(F.count("*").alias("total"))
-    asked = rows.where(F.col("vec_id") % every == 0)
-    live = shelf.save(asked.select(F.col("dim"), F.col("code").alias("query")).distinct().join(F.broadcast(total), "dim").withColumn("found", F.lit(0).cast("long")))
-    best = vectors.sparkSession.createDataFrame([], "dim int, query array<int>, distance int, vec_id long")
-    done, key = best, ["dim", "query"]
-    for radius in range(width + 1):
-        masks = F.split(F.lit(",".join(str(m) for m in range(1 << width) if m.bit_count() == radius)), ",").cast("array<int>")
-        probes = live.select(*key, F.posexplode("query").alias("segment", "at")).withColumn("mask", F.explode(masks))
-        probes = probes.select(*key, "segment", F.col("at").bitwiseXOR(F.col("mask")).alias("value"))
-        hits = probes.join(postings, ["dim", "segment", "value"])
-        gaps = F.zip_with("query", "code", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
-        hits = hits.withColumn("gaps", gaps)
-        # a code is new in this round if no segment is nearer, and counts in the first segment that is so near
-        hits = hits.where((F.array_min("gaps") == radius) & (F.array_position("gaps", radius) == F.col("segment") + 1))
-        hits = hits.select(*key, F.aggregate("gaps", F.lit(0), lambda a, b: a + b).alias("distance"), "ids")
-        hits = shelf.save(hits)
-        counts = hits.groupBy(*key).agg(F.count("*").alias("more"))
-        new = hits.select(*key, "distance", F.explode("ids").alias("vec_id"))
-        merged = shelf.save(_firsts(best.unionByName(new), k + 1, key, "distance", "vec_id").drop("rank"))
-        # codes not found yet differ by more than the radius in every segment
-        ends = merged.groupBy(*key).agg(F.count("*").alias("n"), F.max("distance").alias("far"))
-        state = live.join(counts, key, "left").withColumn("found", F.col("found") + F.coalesce("more", F.lit(0))).drop("more").join(ends, key, "left")
-        covered = (F.coalesce("n", F.lit(0)) > k) & (F.col("far") < F.size("query") * (radius + 1))
-        state = shelf.save(state.withColumn("over", covered | (F.col("found") == F.col("total"))))
-        over = state.where("over").select(*key)
-        done = done.unionByName(shelf.save(merged.join(over, key, "left_semi")))
-        best = shelf.save(merged.join(over, key, "left_anti"))
-        live = state.where("not over").select(*key, "total", "found")
-        shelf.drop(hits, merged)
-        if not live.limit(1).count():
-            break
-    answers = asked.select("dim", F.col("code").alias("query"), F.col("vec_id").alias("query_id")).join(done, key).where("query_id <> vec_id")
-    out = _firsts(answers, k, ["query_id"], "distance", "vec_id")
+    codes = saved(_firsts(rows, k + 1, of, "vec_id").groupBy(*of).agg(F.array_sort(F.collect_list("vec_id")).alias("ids")))
+    asked = rows.where(F.col("vec_id") % every == 0).select("dim", F.col("code").alias("query"), F.col("vec_id").alias("query_id"))
+    n_q, n_r = max(1, -(-asked.count() // QUERIES)), max(BLOCKS, -(-codes.count() // ROWS))
+    deal = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n))
+    every_one = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
+    left = codes.withColumn("r", deal("code", n_r)).withColumn("q", every_one(n_q))
+    right = asked.select(*key).distinct().withColumn("q", deal("query", n_q)).withColumn("r", every_one(n_r))
+
+    def numbers(column: pa.ChunkedArray) -> np.ndarray:
+        column = column.combine_chunks()
+        return column.flatten().to_numpy().reshape(len(column), -1)
+
+    def run(codes: pa.Table, queries: pa.Table) -> pa.Table:
+        out = []
+        if len(codes) and len(queries):
+            index = Index(None, width, numbers(codes.column("code")))
+            lists = codes.column("ids").combine_chunks()
+            ids, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+            starts = np.cumsum(sizes) - sizes
+            for query in numbers(queries.column("query")):
+                seen, found, far = np.zeros(len(codes), bool), np.zeros(0, np.int64), np.zeros(0, np.int64)
+                for radius in range(width + 1):
+                    new = np.unique(index.at(query, radius))
+                    new = new[~seen[new]]
+                    seen[new] = True
+                    n = sizes[new]
+                    each = np.repeat(starts[new] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    found, far = np.append(found, ids[each]), np.append(far, np.repeat(index.distances(query, new), n))
+                    best = _best(found, far, k + 1)
+                    found, far = found[best], far[best]
+                    # codes not found yet differ by more than the radius in every segment
+                    if seen.all() or len(found) > k and far[-1] < index.n * (radius + 1):
+                        break
+                out += [(queries.column("dim")[0].as_py(), query, d, i) for d, i in zip(far.tolist(), found.tolist(), strict=True)]
+        columns = zip(*out, strict=True) if out else [()] * 4
+        kinds = (pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.int64())
+        return pa.table([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=[*key, "distance", "vec_id"])
+
+    met = left.groupBy("q", "r", "dim").cogroup(right.groupBy("q", "r", "dim"))
+    best = _firsts(met.applyInArrow(run, "dim int, query array<int>, distance int, vec_id long"), k + 1, key, "distance", "vec_id").drop("rank")
+    out = _firsts(asked.join(best, key).where("query_id <> vec_id"), k, ["query_id"], "distance", "vec_id")
     return out.select("query_id", "rank", "vec_id", F.col("distance").cast("long").alias("distance"))
 
 
