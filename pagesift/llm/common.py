@@ -97,17 +97,27 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of the texts in order, and how many words each text has."""
-    buf = np.frombuffer(b" ".join([b"", *texts, b""]), np.uint8)
-    flips = np.flatnonzero(np.diff(_SPACE[buf])) + 1
-    starts, ends = flips[::2], flips[1::2]
+def word_places(texts: list[bytes], gaps: np.ndarray = _SPACE) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts with a blank around each, starts and ends of their words (runs of bytes that aren't gaps), and how many each text has."""
+    raw = b" ".join([b"", *texts, b""])
+    flips = np.flatnonzero(np.diff(gaps[np.frombuffer(raw, np.uint8)])) + 1
+    bounds = np.cumsum([0, *(len(t) + 1 for t in texts)]) + 1
+    return raw, flips[::2], flips[1::2], np.diff(np.searchsorted(flips[::2], bounds))
+
+
+def hashed(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words at these places."""
+    buf = np.frombuffer(raw, np.uint8)
     p, inv = powers(_BYTE_BASE, len(buf))
     total = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * p[: len(buf)], out=total[1:])
-    h = mixed((total[ends] - total[starts]) * inv[starts] + (ends - starts).astype(np.uint64) * np.uint64(_WORD_BASE))
-    bounds = np.cumsum([0, *(len(t) + 1 for t in texts)]) + 1
-    return h, np.diff(np.searchsorted(starts, bounds))
+    return mixed((total[ends] - total[starts]) * inv[starts] + (ends - starts).astype(np.uint64) * np.uint64(_WORD_BASE))
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts in order, and how many words each text has."""
+    raw, starts, ends, counts = word_places(texts)
+    return hashed(raw, starts, ends), counts
 
 
 def window_hashes(words: np.ndarray, n: int, second: bool = False) -> np.ndarray:

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagesift.llm import bpe, langid, mixing, neardup, pieces, pii, repeats, search, toxicity
+from pagesift.llm import bpe, conversations, decontaminate, langid, mixing, neardup, pieces, pii, repeats, search, spelling, toxicity
 from pagesift.llm.common import table
 
 
@@ -63,11 +63,23 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.approximate_top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.summary(conversations.repaired(conversations.damaged(table(spark, sf_dir, "conversations"))))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents")))
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digests(decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_pii, op2_toxicity, op3_language, op4_substring_dedup, op5_mixing, op6_pieces, op7_token_counts, op8_near_duplicates, op9_exact_top_k,
-        op10_nearest
+        op10_nearest, op11_conversation_repair, op12_spelling_variants, op13_decontamination
     )
 }
 
@@ -90,4 +102,37 @@ ORACLE_SQL = {
               FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
         SELECT query_id, rank, vec_id, distance
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INTEGER AS rank FROM d) WHERE rank <= 10""",
+    "op12_spelling_variants": r"""
+        WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i)) AS tab),
+        d AS (SELECT row_number() OVER () AS rid, coalesce(doc_id::VARCHAR, '') || ':' AS pre,
+                     regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+') AS w FROM documents),
+        e AS (SELECT rid, pre, unnest(w) AS run FROM d),
+        r AS (SELECT pre, run, count(*) AS m FROM e GROUP BY pre, run),
+        b AS (SELECT pre, run, m, flatten(list_transform(string_split(pre || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 | (unicode(c) >> 6), 128 | (unicode(c) & 63)] END)) AS bytes FROM r),
+        h AS (SELECT pre, run, m, xor(4294967295, list_reduce(bytes, lambda c, x: xor(tab[(xor(c, x) & 255) + 1], c >> 8), 4294967295::BIGINT)) AS h FROM b, t),
+        f AS (SELECT m, CASE WHEN h % 97 = 0 THEN substr(run, 1, h % len(run)) || substr(run, h % len(run) + 2) ELSE run END AS word FROM h),
+        v AS (SELECT word, sum(m)::BIGINT AS n FROM f WHERE len(word) >= 5 GROUP BY word HAVING sum(m) >= 3),
+        g AS (SELECT word, n, unnest(range(len(word))) AS i FROM v),
+        k AS (SELECT word, n, i, substr(word, 1, i) AS a, substr(word, i + 2) AS z FROM g),
+        p AS (SELECT x.word AS x, y.word AS y, y.n AS m FROM k x JOIN k y ON x.a = y.a AND x.z = y.z AND x.word <> y.word
+              UNION SELECT k.word, v.word, v.n FROM k JOIN v ON v.word = a || z UNION SELECT v.word, k.word, k.n FROM k JOIN v ON v.word = a || z),
+        o AS (SELECT x, count(*) AS n_near, max(m) AS top FROM p GROUP BY x),
+        c AS (SELECT o.x, n_near, top, min(y) AS y FROM o JOIN p ON o.x = p.x AND m = top GROUP BY o.x, n_near, top),
+        w AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 2 * n THEN y END AS form, CASE WHEN top >= 2 * n THEN top END AS form_n FROM v LEFT JOIN c ON x = word),
+        q AS (WITH RECURSIVE s(word, here, step) AS (SELECT word, word, 0 FROM w UNION ALL SELECT s.word, w.form, step + 1 FROM s JOIN w ON w.word = s.here WHERE w.form IS NOT NULL)
+              SELECT word, arg_max(here, step) AS root FROM s GROUP BY word)
+        SELECT word, form, root, n, n_near, form_n FROM w JOIN q USING (word)""",
+    "op13_decontamination": r"""
+        WITH l AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS up, 'abcdefghijklmnopqrstuvwxyz' AS low),
+        d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), up, low), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents, l),
+        b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), up, low), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark, l),
+        g AS (SELECT item, w, least(10, len(w)) AS m, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0),
+        k AS (SELECT DISTINCT item, m, array_to_string(w[i:i + m - 1], ' ') AS gram FROM g),
+        s AS (SELECT DISTINCT m FROM k),
+        p AS (SELECT rid, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, s WHERE len(w) >= m),
+        h AS (SELECT rid, i, p.m, item FROM p JOIN k ON k.m = p.m AND k.gram = array_to_string(w[i:i + p.m - 1], ' ')),
+        c AS (SELECT rid, len(list_distinct(flatten(list(range(i, i + m))))) AS n_hit FROM h GROUP BY rid),
+        u AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM h) GROUP BY rid)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (rid) LEFT JOIN u USING (rid)""",
 }
