@@ -241,7 +241,7 @@ CONTENT_WRITTEN_DATE = rf"\b(?:{_MONTHS})\s+[0-9]{{1,2}},?\s+(202[0-9])\b"
 # What sanitizing takes out, and the notes of texts that are cut.
 SCRIPT_URI = r"(?:javascript|vbscript|data:(?:text/html|application/[a-z+\-]+)):[^\s]*"
 CONTROL_CHARACTERS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
-FENCE = r"(```\w*\n.*?\n```)"
+FENCE_OPENING, FENCE_CLOSING = r"```[\w]*\n", "\n```"
 SAFETY_NOTE = "\n\n[Content truncated for safety.]"
 CONTENT_NOTE = "\n\n[Content truncated...]"
 
@@ -253,3 +253,45 @@ SENTENCE_ENDS = (". ", ".\n", "! ", "? ")
 NEWS_SITES = ("reuters", "apnews", "bbc", "cnn", "news", "bloomberg")
 ACADEMIC_SITES = ("arxiv", "pubmed", "doi", "acm", "ieee", "springer")
 DOC_SITES = ("docs", "documentation", "api", "developer")
+
+# Fixed values, for each provider of result pages: class of a hit's container, then (tag, classes) of title, link and snippet; None stands for any class.
+RESULT_SHAPES = {
+    "duckduckgo": ("result", ("a", ("result__a",)), ("a", ("result__a",)), ("a", ("result__snippet",))),
+    "google": ("g", ("h3", None), ("a", None), ("div", ("VwiC3b", "s3v94d", "Lyiue"))),
+}
+
+# Names of the authority tiers.
+TIER_LABELS = {1: "Official/Institutional", 2: "Academic", 3: "Established Media", 4: "Research Orgs/Reference", 5: "Unknown/Other"}
+
+# Ranges of addresses that aren't public (first, last), as hexadecimal numbers, by the registries of special IPv4 and IPv6 addresses.
+SPECIAL_V4 = (
+    ("00000000", "00ffffff"),
+    ("0a000000", "0affffff"),
+    ("64400000", "647fffff"),
+    ("7f000000", "7fffffff"),
+    ("a9fe0000", "a9feffff"),
+    ("ac100000", "ac1fffff"),
+    ("c0000000", "c0000008"),
+    ("c000000b", "c00000ff"),
+    ("c0000200", "c00002ff"),
+    ("c0a80000", "c0a8ffff"),
+    ("c6120000", "c613ffff"),
+    ("c6336400", "c63364ff"),
+    ("cb007100", "cb0071ff"),
+    ("f0000000", "ffffffff"),
+)
+SPECIAL_V6 = (
+    ("00000000000000000000000000000000", "00000000000000000000000000000001"),
+    ("00000000000000000000ffff00000000", "00000000000000000000ffffffffffff"),
+    ("0064ff9b000100000000000000000000", "0064ff9b0001ffffffffffffffffffff"),
+    ("01000000000000000000000000000000", "0100000000000000ffffffffffffffff"),
+    ("20010000000000000000000000000000", "20010001000000000000000000000000"),
+    ("20010001000000000000000000000003", "20010002ffffffffffffffffffffffff"),
+    ("20010004000000000000000000000000", "200100040111ffffffffffffffffffff"),
+    ("20010004011300000000000000000000", "2001001fffffffffffffffffffffffff"),
+    ("20010040000000000000000000000000", "200101ffffffffffffffffffffffffff"),
+    ("20010db8000000000000000000000000", "20010db8ffffffffffffffffffffffff"),
+    ("20020000000000000000000000000000", "2002ffffffffffffffffffffffffffff"),
+    ("fc000000000000000000000000000000", "fdffffffffffffffffffffffffffffff"),
+    ("fe800000000000000000000000000000", "febfffffffffffffffffffffffffffff"),
+)

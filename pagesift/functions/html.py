@@ -4,9 +4,9 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
 from pagesift import constants as K
+from pagesift.functions.elements import VOID, OpenElements
 
 DROPPED = K.DROPPED_ELEMENTS
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
 def language_of(classes: str) -> str:
@@ -41,7 +41,7 @@ class Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.url, self.all = url, scope == "all"
         self.host = resolved(url, "")[1]
-        self.open: list[str] = []
+        self.open = OpenElements()
         self.dropped = 0
         self.texts = {"main": [], "article": [], "body": []}
         self.all_text: list[str] = []
@@ -67,9 +67,9 @@ class Page(HTMLParser):
             self.block = [tag, language_of(a.get("class", "")), []]
         elif tag == "code" and self.block[0] == "pre":  # only the code inside counts
             self.block = ["pre", language_of(a.get("class", "")), []]
-        if tag in _VOID:
+        if tag in VOID:
             return
-        self.open.append(tag)
+        self.open.begin(tag)
         self.dropped += tag in DROPPED
         if tag in self.texts and not self.dropped:
             self.seen.add(tag)
@@ -92,10 +92,8 @@ class Page(HTMLParser):
     def handle_endtag(self, tag):
         if tag == "a":
             self._linked()
-        if tag in self.open:
-            while (last := self.open.pop()) != tag:
-                self._left(last)
-            self._left(tag)
+        for closed in self.open.end(tag):
+            self._left(closed)
 
     def _left(self, tag):
         if self.block and tag == self.block[0]:
@@ -105,9 +103,9 @@ class Page(HTMLParser):
             self.done.add(tag)
 
     def handle_data(self, data):
-        if self.open and self.open[-1] == "title" and self.title is None and data.strip():
+        if self.open.last() == "title" and self.title is None and data.strip():
             self.title = data.strip()
-        if self.anchor and not (self.open and self.open[-1] in ("script", "style")):
+        if self.anchor and self.open.last() not in ("script", "style"):
             self.anchor[3].append(data)
         if self.block is not None:
             self.block[2].append(data)

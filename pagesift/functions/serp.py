@@ -2,12 +2,8 @@
 
 from html.parser import HTMLParser
 
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-#: Fixed values, for each provider: class of a hit's container, then (tag, classes) of title, link and snippet; None stands for any class.
-SHAPES = {
-    "duckduckgo": ("result", ("a", ("result__a",)), ("a", ("result__a",)), ("a", ("result__snippet",))),
-    "google": ("g", ("h3", None), ("a", None), ("div", ("VwiC3b", "s3v94d", "Lyiue"))),
-}
+from pagesift.constants import RESULT_SHAPES
+from pagesift.functions.elements import VOID, OpenElements
 
 
 class _Results(HTMLParser):
@@ -15,7 +11,7 @@ class _Results(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.shape, self.found, self.forms = shape, [], []
         self.hit_depth, self.hit, self.into = None, None, []
-        self.open: list[str] = []
+        self.open = OpenElements()
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
@@ -24,8 +20,8 @@ class _Results(HTMLParser):
             self.forms.append({})
         elif tag == "input" and self.forms and a.get("type", "").lower() == "hidden" and a.get("name"):
             self.forms[-1][a["name"]] = a.get("value", "")
-        if tag not in _VOID:
-            self.open.append(tag)
+        if tag not in VOID:
+            self.open.begin(tag)
         if not self.shape:
             return
         container, title, link, snippet = self.shape
@@ -43,10 +39,8 @@ class _Results(HTMLParser):
                 self.into.append((key, len(self.open)))
 
     def handle_endtag(self, tag):
-        if tag not in self.open:
+        if not any([*self.open.end(tag)]):
             return
-        while self.open.pop() != tag:
-            pass
         self.into = [(k, d) for k, d in self.into if d <= len(self.open)]
         if self.hit is not None and len(self.open) < self.hit_depth:
             self._done()
@@ -75,7 +69,7 @@ def _read(html: str | None, shape=None) -> _Results:
 
 def hits(html: str | None, provider: str) -> list[dict]:
     """title, url and snippet of each container of a hit, empty where it lacks one."""
-    return _read(html, SHAPES[provider]).found
+    return _read(html, RESULT_SHAPES[provider]).found
 
 
 def form(html: str | None) -> dict | None:

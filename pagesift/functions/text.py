@@ -88,20 +88,27 @@ def spaced_citations(text: Column) -> Column:
 
 def spaced_lists(text: Column) -> Column:
     """An empty line before each list item (a line that starts with a digit, a hyphen or a bullet) that follows other text."""
-    lines = F.split(text, "\n")
-    item = lambda x: x.rlike(r"(?U)^\s*[\p{Nd}\-•]")
-    spaced = lambda x, i: F.when(item(x) & (F.trim(F.coalesce(F.get(lines, i - 1), F.lit(""))) != ""), F.concat(F.lit("\n"), x)).otherwise(x)
-    return F.array_join(F.transform(lines, spaced), "\n")
+    return F.regexp_replace(text, r"(?U)(\S[^\S\n]*)\n(?=[^\S\n]*[\p{Nd}\-•])", "$1\n\n")
 
 
 def folded(text: Column) -> Column:
     return F.translate(text, "ıçşöüğ", "icsoug")
 
 
-_SCRIPT, _CONTROL, _FENCE = re.compile(K.SCRIPT_URI, re.I), re.compile(K.CONTROL_CHARACTERS), re.compile(K.FENCE, re.S)
+_SCRIPT, _CONTROL, _OPENING = re.compile(K.SCRIPT_URI, re.I), re.compile(K.CONTROL_CHARACTERS), re.compile(K.FENCE_OPENING)
 SAFETY_NOTE = K.SAFETY_NOTE
 
 
+def fenced(text: str) -> list[str]:
+    """The text in parts, fences at odd places: from an opening to the next closing behind it. Without one, no later opening has one."""
+    parts, done = [], 0
+    while (m := _OPENING.search(text, done)) and (end := text.find(K.FENCE_CLOSING, m.end())) >= 0:
+        end += len(K.FENCE_CLOSING)
+        parts += [text[done : m.start()], text[m.start() : end]]
+        done = end
+    return [*parts, text[done:]]
+
+
 def sanitize(text: str | None, max_chars: int) -> str:
     """Plain text: entities resolved, script URIs and control characters gone, runs of spaces and empty lines shortened.
 
@@ -109,8 +116,7 @@ def sanitize(text: str | None, max_chars: int) -> str:
     says so. Null is empty.
     """
     plain = _CONTROL.sub("", _SCRIPT.sub("", html.unescape(text or ""))).replace("\r\n", "\n").replace("\r", "\n")
-    parts = _FENCE.split(plain)  # fences are at odd places
-    shorter = [p if i % 2 else re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]{2,}", " ", p)) for i, p in enumerate(parts)]
+    shorter = [p if i % 2 else re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]{2,}", " ", p)) for i, p in enumerate(fenced(plain))]
     out = "".join(shorter).strip()
     if len(out) <= max_chars:
         return out

@@ -1,8 +1,5 @@
 """URLs: parts, normal form, authority tier and screening."""
 
-import ipaddress
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,6 +31,11 @@ def normalize(url: Column) -> Column:
     )
 
 
+def quote_plus(text: Column) -> Column:
+    """Percent-encoded, blanks as `+`; letters, digits and `_.-~` stand as they are."""
+    return F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def ensure_scheme(url: Column) -> Column:
     return F.when(url.startswith("http://") | url.startswith("https://"), url).otherwise(F.concat(F.lit("https://"), url))
 
@@ -78,21 +80,63 @@ def source_name(url: Column) -> Column:
     return out.otherwise(F.regexp_extract(h, r"^([^.]*)", 1))
 
 
-def public_address(address: Column) -> Column:
-    """Whether an IP address (IPv4, IPv6, IPv4 inside IPv6) is public; null for what is none."""
+def _hex4(text: Column) -> Column:
+    """A dotted IPv4 address as eight hexadecimal digits; null for what is none (leading zeros, numbers over 255)."""
+    number = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+    digits = F.transform(F.split(text, r"\."), lambda x: F.lpad(F.lower(F.hex(x.try_cast("int"))), 2, "0"))
+    return F.when(text.rlike(rf"^{number}(\.{number}){{3}}\z"), F.array_join(digits, ""))
+
+
+def _bound(value: Column, of) -> Column:
+    """of(value), where value is worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def _hex6(text: Column) -> Column:
+    """An IPv6 address, its last part dotted or not, as 32 hexadecimal digits; null for what is none."""
+
+    def undotted(t):
+        last = F.regexp_extract(t, r"([0-9.]*\.[0-9.]*)\z", 1)
+        tail = lambda x: F.concat(F.regexp_extract(t, r"^(.*:)[0-9.]*\z", 1), F.substring(x, 1, 4), F.lit(":"), F.substring(x, 5, 4))
+        return F.when(last == "", t).otherwise(_bound(_hex4(last), tail))
 
-    @F.pandas_udf("boolean")
-    def public(values: pd.Series) -> pd.Series:
-        def one(value):
-            try:
-                ip = ipaddress.ip_address((value or "").partition("%")[0])
-            except ValueError:
-                return None
-            return (getattr(ip, "ipv4_mapped", None) or ip).is_global
+    def whole(sides):
+        groups = lambda i: F.when(F.coalesce(F.get(sides, F.lit(i)), F.lit("")) != "", F.split(F.get(sides, F.lit(i)), ":", -1))
+        parts = F.struct(*[F.coalesce(groups(i), F.array().cast("array<string>")).alias(n) for i, n in ((0, "left"), (1, "right"))], F.size(sides).alias("n"))
+        return _bound(parts, filled)
 
-        return values.map(one)
+    def filled(p):
+        n = F.size(p["left"]) + F.size(p["right"])
+        zeros = F.when((p["n"] == 2) & (n <= 7), F.array_repeat(F.lit("0"), 8 - n)).when((p["n"] == 1) & (n == 8), F.array().cast("array<string>"))
+        return _bound(F.concat(p["left"], zeros, p["right"]), padded)
+
+    def padded(groups):
+        ok = F.forall(groups, lambda g: g.rlike(r"^[0-9a-fA-F]{1,4}\z"))
+        return F.when(ok, F.array_join(F.transform(groups, lambda g: F.lpad(F.lower(g), 4, "0")), ""))
+
+    return F.when(text.contains(":"), _bound(F.split(undotted(text), "::", -1), whole))
+
+
+def _within(number: Column, ranges) -> Column:
+    """Whether a fixed-width number lies in one of the ranges (first, last)."""
+    out = F.lit(False)
+    for first, last in ranges:
+        out = out | number.between(first, last)
+    return out
+
+
+def public_address(address: Column) -> Column:
+    """Whether an IP address (IPv4, IPv6, IPv4 inside IPv6) is public; null for what is none.
+
+    Addresses become hexadecimal numbers of a fixed width, which sort as the addresses do, and are looked up in the
+    disjoint ranges of the special registries. A zone (`%eth0`) doesn't count.
+    """
+    def found(h):
+        four = F.coalesce(h["four"], F.when(h["six"].startswith("0" * 20 + "ffff"), F.substring(h["six"], 25, 8)))
+        return F.when(four.isNotNull(), ~_within(four, K.SPECIAL_V4)).when(h["six"].isNotNull(), ~_within(h["six"], K.SPECIAL_V6))
 
-    return public(address)
+    text = F.regexp_extract(F.coalesce(address, F.lit("")), r"^([^%]*)", 1)
+    return _bound(text, lambda t: _bound(F.struct(_hex4(t).alias("four"), _hex6(t).alias("six")), found))
 
 
 def bare_host(url: Column) -> Column:

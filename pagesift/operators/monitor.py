@@ -5,6 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagesift import constants as K
+from pagesift.functions.joins import matched
 
 
 def windowed_counts(log: DataFrame, by: str, width: int = 300, slide: int = 15) -> DataFrame:
@@ -86,23 +87,63 @@ def in_flight(log: DataFrame, by: str, bucket: int = 3600) -> DataFrame:
     )
     order = W.partitionBy(by, "bucket").orderBy("at", "d").rowsBetween(W.unboundedPreceding, 0)
     tops = both.withColumn("now", F.sum("d").over(order)).groupBy(by, "bucket").agg(F.max("now").alias("now"))
-    return tops.join(sums, [by, "bucket"]).groupBy(by).agg(F.max(F.col("before") + F.col("now")).alias("most"))
+    return matched(tops, sums, [by, "bucket"]).groupBy(by).agg(F.max(F.col("before") + F.col("now")).alias("most"))
 
 
-def history(log: DataFrame) -> DataFrame:
-    """Requests, successes and cache hits of each endpoint."""
-    good = (F.col("status") < 500).cast("long")
-    return log.groupBy("endpoint").agg(F.count("*").alias("n"), F.sum(good).alias("n_success"), F.sum(F.col("cached").cast("long")).alias("n_cached"))
+def _changes(log: DataFrame, by: str) -> DataFrame:
+    """by, at (epoch microseconds) and change of requests under way, one row for each moment at which any starts or ends; open ones start alone."""
+    start = F.unix_micros("ts")
+    end = start + F.round(F.col("duration_s") * 1e6).cast("long")
+    ends = F.array(F.struct(start.alias("at"), F.lit(1).alias("d")), F.struct(end.alias("at"), F.lit(-1).alias("d")))
+    return log.select(by, F.inline(ends)).where("at is not null").groupBy(by, "at").agg(F.sum("d").alias("change"))
+
+
+def in_flight_changes(log: DataFrame, by: str, bucket: int = 3600) -> DataFrame:
+    """by, at (epoch microseconds) and in_flight: the requests under way from each moment on at which their number changes.
+
+    Sums of buckets of `bucket` seconds are added up over a group; moments are put in order within a bucket alone.
+    """
+    rows = _changes(log, by).withColumn("bucket", F.floor(F.col("at") / (bucket * 1_000_000)))
+    earlier = W.partitionBy(by).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    sums = rows.groupBy(by, "bucket").agg(F.sum("change").alias("c")).select(by, "bucket", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("before"))
+    order = W.partitionBy(by, "bucket").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+    rows = matched(rows.withColumn("now", F.sum("change").over(order)), sums, [by, "bucket"])
+    return rows.where("change <> 0").select(by, "at", (F.col("before") + F.col("now")).alias("in_flight"))
+
+
+def in_flight_series(log: DataFrame, by: str, step: int = 15) -> DataFrame:
+    """by, at (epoch seconds), in_flight and mean: every `step` seconds the requests under way, and their mean over the step, weighted by time.
+
+    Each request counts towards two steps, which are summed before they are shuffled; levels are running sums over steps.
+    Steps without a change carry the level on; those without any request under way give no row.
+    """
+    start = F.unix_micros("ts")
+    end = start + F.round(F.col("duration_s") * 1e6).cast("long")
+    ends = F.array(F.struct(start.alias("t"), F.lit(1).alias("d")), F.struct(end.alias("t"), F.lit(-1).alias("d")))
+    size = step * 1_000_000
+    rows = log.select(by, F.inline(ends)).where("t is not null").withColumn("k", F.floor(F.col("t") / size))
+    sums = rows.groupBy(by, "k").agg(F.sum("d").alias("change"), F.sum(F.col("d") * ((F.col("k") + 1) * size - F.col("t"))).alias("area"))
+    order = W.partitionBy(by).orderBy("k")
+    sums = sums.withColumn("level", F.sum("change").over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("following", F.lead("k").over(order))
+    own = F.struct((F.col("k") + 1).alias("end"), F.round((F.col("level") - F.col("change")) + F.col("area") / size, 6).alias("mean"))
+    carried = F.when(F.col("level") != 0, F.filter(F.sequence("k", F.coalesce("following", F.col("k") + 1) - 1), lambda x: x > F.col("k")))
+    carried = F.coalesce(F.transform(carried, lambda x: F.struct((x + 1).alias("end"), F.col("level").cast("double").alias("mean"))), F.array().cast("array<struct<end:bigint,mean:double>>"))
+    out = sums.select(by, "level", F.inline(F.concat(F.array(own), carried)))
+    return out.where("level <> 0 or mean <> 0").select(by, (F.col("end") * step).alias("at"), F.col("level").alias("in_flight"), "mean")
 
 
 def latency_stats(runs: DataFrame, by: str) -> DataFrame:
-    """Of each group: runs, mean, median and the 95th percentile by the exclusive rule (place p (n + 1)).
+    """Of each group: runs, the percentage without a server error, and of those with a duration the mean, median and 95th
+    percentile by the exclusive rule (place p (n + 1)).
 
     Durations are counted in ranges (even steps of their inverse hyperbolic sine); only the few ranges that hold a wanted
     place are put in order, each on its own.
     """
-    rows = runs.where("duration_s is not null").withColumn("range", F.floor(F.asinh(F.col("duration_s") * 1000) * 64))
-    counts = rows.groupBy(by, "range").agg(F.count("*").alias("m"), F.sum("duration_s").alias("s"))
+    rows = runs.withColumn("range", F.floor(F.asinh(F.col("duration_s") * 1000) * 64))
+    ok = F.coalesce(F.col("status") < 500, F.lit(True)) if "status" in runs.columns else F.lit(True)
+    good = F.sum(ok.cast("long"))
+    every = rows.groupBy(by, "range").agg(F.count("*").alias("m"), F.sum("duration_s").alias("s"), good.alias("good"))
+    counts = every.where("range is not null")
     group = W.partitionBy(by)
     counts = counts.withColumn("before", F.coalesce(F.sum("m").over(group.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     counts = counts.withColumn("n", F.sum("m").over(group))
@@ -114,19 +155,23 @@ def latency_stats(runs: DataFrame, by: str) -> DataFrame:
     counts = counts.withColumns({"places": places, "part": part})
     holds = F.exists("places", lambda x: (x > F.col("before")) & (x <= F.col("before") + F.col("m")))
     wanted = counts.where(holds).select(by, "range", "before", "places", "part")
-    picked = rows.select(by, "range", "duration_s").join(wanted, [by, "range"])
+    picked = matched(rows.where("range is not null").select(by, "range", "duration_s"), wanted, [by, "range"])
     picked = picked.withColumn("rank", F.col("before") + F.row_number().over(W.partitionBy(by, "range").orderBy("duration_s")))
     at = lambda i: F.max(F.when(F.col("rank") == F.col("places")[i], F.col("duration_s")))
     values = picked.groupBy(by).agg(
         at(0).alias("x0"), at(1).alias("x1"), at(2).alias("x2"), F.coalesce(at(3), F.lit(0.0)).alias("x3"), F.max("part").alias("part")
     )
-    totals = counts.groupBy(by).agg(F.sum("m").alias("n"), F.round(F.sum("s") / F.sum("m"), 6).alias("mean"))
+    timed = F.sum(F.when(F.col("range").isNotNull(), F.col("m")))
+    totals = every.groupBy(by).agg(
+        F.sum("m").alias("n"), F.round(F.sum("good") * 100.0 / F.sum("m"), 6).alias("success_rate"), F.round(F.sum("s") / timed, 6).alias("mean")
+    )
     p95 = (F.col("x2") * (20 - F.col("part")) + F.col("x3") * F.col("part")) / 20
-    return totals.join(values, by).select(by, "n", "mean", F.round((F.col("x0") + F.col("x1")) / 2, 6).alias("median"), F.round(p95, 6).alias("p95"))
+    return matched(totals, values, [by], "left").select(by, "n", "success_rate", "mean", F.round((F.col("x0") + F.col("x1")) / 2, 6).alias("median"), F.round(p95, 6).alias("p95"))
 
 
 def top_errors(log: DataFrame, n: int = 3) -> DataFrame:
-    return log.where("status >= 500").groupBy("subject").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "subject").limit(n)
+    """The n most frequent errors of failed requests; ties go to the lesser message."""
+    return log.where("status >= 500").groupBy("error").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "error").limit(n)
 
 
 def breaker_alert(states: DataFrame, by: str, width: int = 300, slide: int = 15, hold: int = 60) -> DataFrame:

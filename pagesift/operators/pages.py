@@ -46,8 +46,10 @@ def is_challenge(html: Column, status: Column) -> Column:
 
 
 def prefer_rescrapes(base: DataFrame, again: DataFrame) -> DataFrame:
-    """base(url, content, error), where a second scrape without error and with longer content wins."""
-    b = again.where("error is null").select("url", F.col("content").alias("c2"))
+    """base(url, content, error), where a further scrape without error and with longer content wins: the longest of several,
+    of equally long ones the greatest in code-point order."""
+    size = F.length(F.trim("content"))
+    b = again.where("error is null and content is not null").groupBy("url").agg(F.max_by("content", F.struct(size, "content")).alias("c2"))
     longer = F.length(F.trim("c2")) > F.length(F.trim(F.coalesce("content", F.lit(""))))
     rows = base.join(b, "url", "left")
     return rows.withColumn(

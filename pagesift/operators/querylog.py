@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagesift import constants as K
+from pagesift.functions import urls as U
 from pagesift.functions import text as T
 
 _URL = r"""(?i)https?://[^\s,，、;；"'<>()\[\]{}]+"""
@@ -88,13 +89,13 @@ def source_budget(queries: DataFrame) -> DataFrame:
 
 
 def fallback_plan(queries: DataFrame, candidates: DataFrame) -> DataFrame:
-    """query_id, type, url and priority for queries(query_id, query, target, deep) without candidates: templates in order, deep ones over again."""
+    """query_id, type, url, title and priority for queries(query_id, query, target, deep) without candidates: templates in order, deep ones over again."""
     lone = queries.join(candidates.select("query_id").distinct(), "query_id", "left_anti")
     n = F.when(F.col("deep"), F.least("target", F.lit(50))).otherwise(F.greatest(F.lit(1), F.least("target", F.lit(len(K.TEMPLATES)))))
     kinds = F.array(*[F.struct(F.lit(k).alias("type"), F.lit(u.partition("{")[0]).alias("head")) for k, u in K.TEMPLATES.items()])
     rows = lone.select("query_id", "query", F.explode(F.sequence(F.lit(1), n.cast("int"))).alias("priority"))
     rows = rows.withColumn("t", F.element_at(kinds, (F.pmod(F.col("priority") - 1, F.lit(len(K.TEMPLATES))) + 1).cast("int")))
-    return rows.select("query_id", F.col("t.type").alias("type"), F.concat("t.head", F.url_encode("query")).alias("url"), "priority")
+    return rows.select("query_id", F.col("t.type").alias("type"), F.concat("t.head", U.quote_plus(F.col("query"))).alias("url"), F.concat("t.type", F.lit(" results for "), "query").alias("title"), "priority")
 
 
 def request_key(route: Column, *fields: str) -> Column:

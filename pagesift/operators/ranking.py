@@ -1,7 +1,9 @@
 """Search candidates: merged, scored, deduplicated and cut to a diverse shortlist for each query.
 
-All windows lead with query_id, so one exchange by query serves them. Scores are built-in expressions; what depends
-on the query alone is worked out once for each query, not for each candidate.
+merge_variants bounds a provider's rows of a query: its windows are limits by rank, which Spark applies to each partition
+before it shuffles, so a query with very many candidates never gathers. What is left is dealt by query once (by_query);
+scores, dedup, diversity and top-up all lead with query_id and need no further exchange. Scores are built-in expressions;
+what depends on the query alone is worked out once for each query, not for each candidate.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -21,21 +23,21 @@ def merge_variants(candidates: DataFrame, cap: int) -> DataFrame:
     return kept.withColumn("n", F.row_number().over(place)).where(F.col("n") <= cap).drop("n")
 
 
+def by_query(candidates: DataFrame) -> DataFrame:
+    """candidates dealt by query_id, for all that follows; for candidates that merge_variants has bounded."""
+    return candidates.repartition("query_id")
+
+
 def with_dates(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("publication_date", F.coalesce(T.some(F.col("publication_date")), T.snippet_date(F.col("snippet"))))
 
 
 def query_features(queries: DataFrame) -> DataFrame:
     """query_id, query, tokens, profile, and the hosts of documentation of technologies named in it (the table of these is fixed)."""
-    spark = queries.sparkSession
-    docs = spark.createDataFrame([(k, [u.split("/")[2] for u in urls]) for k, urls in K.TECH_DOCS.items()], "word string, hosts array<string>")
-    whole = F.expr(r"lower(query) rlike concat('(?<![a-z0-9_])\\Q', word, '\\E(?![a-z0-9_])')")
-    official = queries.join(F.broadcast(docs), whole).groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("hosts"))).alias("official"))
-    return (
-        queries.join(official, "query_id", "left")
-        .withColumn("official", F.coalesce("official", F.array().cast("array<string>")))
-        .select("query_id", "query", "official", T.tokens(F.col("query")).alias("qt"), T.profile(F.col("query")).alias("profile"))
-    )
+    named = lambda word: F.lower("query").rlike(rf"(?<![a-z0-9_])\Q{word}\E(?![a-z0-9_])")
+    hosts = [F.when(named(word), F.array(*[F.lit(u.split("/")[2]) for u in urls])) for word, urls in K.TECH_DOCS.items()]
+    official = F.array_distinct(F.flatten(F.array_compact(F.array(*hosts))))
+    return queries.select("query_id", "query", official.alias("official"), T.tokens(F.col("query")).alias("qt"), T.profile(F.col("query")).alias("profile"))
 
 
 def _domain_boost(host: Column, tech, standard) -> Column:
@@ -95,11 +97,11 @@ def score_candidates(candidates: DataFrame, queries: DataFrame, as_of_year: int
 def dedupe_candidates(scored: DataFrame) -> DataFrame:
     """One row for each query and URL: the best score (the earliest of equals) at the place of its first hit, with all providers."""
     place = F.struct("set_pos", "pos")
-    best = F.max_by(F.struct("title", "snippet", "rank_score"), F.struct("rank_score", -F.col("set_pos"), -F.col("pos")))
+    best = F.max_by(F.struct("title", "snippet", "rank_score", "source"), F.struct("rank_score", -F.col("set_pos"), -F.col("pos")))
     out = scored.groupBy("query_id", "url").agg(
         best.alias("b"), F.min(place).alias("p"), F.array_join(F.array_sort(F.collect_set("provider")), ",").alias("providers")
     )
-    return out.select("query_id", "url", "b.title", "b.snippet", "b.rank_score", "p.set_pos", "p.pos", "providers")
+    return out.select("query_id", "url", "b.title", "b.snippet", "b.source", "b.rank_score", "p.set_pos", "p.pos", "providers")
 
 
 def diversity_topk(deduped: DataFrame, k: int, first: float = 0.25, later: float = 0.08) -> DataFrame:
@@ -132,14 +134,17 @@ def append_new(early: DataFrame, extra: DataFrame) -> DataFrame:
 
 
 def evaluate(ranked: DataFrame, fallback: tuple = ("google",)) -> DataFrame:
-    """Of each query: results, distinct domains, providers, whether a fallback gave results, and its first five URLs."""
-    top = F.slice(F.array_sort(F.collect_list(F.struct("rank", "url"))), 1, 5)
+    """Of each query: results, distinct domains, providers, whether a fallback gave results, and its first five results
+    (title, url, provider, source)."""
+    have = lambda name: F.col(name) if name in ranked.columns else F.lit(None).cast("string")
+    texts = [F.coalesce(have(c), F.lit(other)).alias(name) for c, name, other in (("title", "title", ""), ("url", "url", ""), ("providers", "provider", "unknown"), ("source", "source", "unknown"))]
+    top = F.array_sort(F.collect_list(F.when(F.col("rank") <= 5, F.struct("rank", F.struct(*texts).alias("hit")))))
     providers = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.split("providers", ",")))))
     out = ranked.groupBy("query_id").agg(
         F.count("*").alias("n_results"),
         F.countDistinct(U.domain(F.col("url"))).alias("n_domains"),
         F.array_join(providers, ",").alias("providers_used"),
-        F.array_join(F.transform(top, lambda x: x["url"]), " ").alias("top"),
+        F.transform(top, lambda x: x["hit"]).alias("top_results"),
     )
     return out.withColumn("fallback_used", F.arrays_overlap(F.split("providers_used", ","), F.array(*map(F.lit, fallback))))
 

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagesift.functions.joins import matched
+
 
 class Limiter:
     """A request passes while fewer than `limit` passed in the last `window` seconds: admitted, remaining, retry_after."""
@@ -124,7 +126,7 @@ def with_islands(log: DataFrame, gap: float, *keys: str, spans: int = 16) -> Dat
     last = F.last(F.when((F.col("cuts") > 0) | F.col("opens"), here), ignorenulls=True).over(over.rowsBetween(W.unboundedPreceding, -1))
     own = F.struct("span", F.lit(0).cast("long").alias("cuts"))
     each = each.select(*keys, "span", F.when(F.col("opens"), own).otherwise(last).alias("head"))
-    rows = rows.join(each, [*keys, "span"])
+    rows = matched(rows, each, [*keys, "span"])  # requests without a key are a key of their own
     inner = F.col("n") > 0
     islands = {"island_span": F.when(inner, F.col("span")).otherwise(F.col("head.span")), "island": F.when(inner, F.col("n")).otherwise(F.col("head.cuts"))}
     return rows.withColumns(islands).drop("span", "cut", "n", "head")
@@ -163,7 +165,7 @@ def breaker_islands(rows: DataFrame, threshold: int, recovery: float) -> DataFra
     before = W.partitionBy("endpoint").orderBy("span").rowsBetween(W.unboundedPreceding, -1)
     cut = F.when(F.col("cuts") > 0, F.struct("span", "cuts"))
     spans = spans.select("endpoint", "span", F.last(cut, ignorenulls=True).over(before).alias("from"))
-    rows = rows.join(spans, ["endpoint", "span"])
+    rows = matched(rows, spans, ["endpoint", "span"])
     own = F.col("island") > 0
     island = F.when(own, F.col("island")).otherwise(F.coalesce("from.cuts", F.lit(0)))
     return rows.select(

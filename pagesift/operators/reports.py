@@ -24,14 +24,21 @@ def claims_of(text: str, before: int = K.CLAIM_SIZE) -> list[dict]:
     return out
 
 
-def claim_windows(reports: DataFrame) -> DataFrame:
-    """query_id, marker (from 0), n and claim of every marker in reports(query_id, text)."""
+def audit_reports(numbered: DataFrame, reports: DataFrame) -> DataFrame:
+    """verify_citations' rows for the markers of reports(query_id, text) against numbered sources, and a row with a null marker
+    for each report without any."""
+    return verify_citations(claim_windows(reports, outer=True), numbered)
+
+
+def claim_windows(reports: DataFrame, outer: bool = False) -> DataFrame:
+    """query_id, marker (from 0), n and claim of every marker in reports(query_id, text); outer: nulls for a report without markers."""
 
     @F.pandas_udf("array<struct<n:int,claim:string>>")
     def claims(texts: pd.Series) -> pd.Series:
         return texts.fillna("").map(claims_of)
 
-    return reports.select("query_id", F.posexplode(claims("text")).alias("marker", "c")).select("query_id", "marker", "c.n", "c.claim")
+    each = F.posexplode_outer if outer else F.posexplode
+    return reports.select("query_id", each(claims("text")).alias("marker", "c")).select("query_id", "marker", "c.n", "c.claim")
 
 
 def words(text) -> F.Column:
@@ -58,14 +65,20 @@ def verify_citations(claims: DataFrame, numbered: DataFrame, least: float = 0.04
 
 
 def citation_summary(reports: DataFrame, audit: DataFrame) -> DataFrame:
-    """Of each report: citations, supported ones, their share to three digits (1 if there is none), and the weak ones.
+    """audit_summary for all reports(query_id, ...), where audit may lack those without citations."""
+    out = reports.select("query_id").join(audit_summary(audit), "query_id", "left")
+    return out.na.fill(0, ["total", "supported"]).na.fill("", ["weak"]).na.fill(1.0, ["faithfulness"])
+
+
+def audit_summary(audit: DataFrame) -> DataFrame:
+    """Of each report of audit_reports: citations, supported ones, their share to three digits (1 if there is none), and the weak ones.
 
     The weak ones are numbers and reasons in order of the markers, as `2:weak 7:out_of_range`.
     """
-    weak = F.when(~F.col("supported"), F.struct("marker", F.concat(F.col("n").cast("string"), F.lit(":"), F.col("reason")).alias("s")))
+    weak = F.when(~F.col("supported") & F.col("marker").isNotNull(), F.struct("marker", F.concat(F.col("n").cast("string"), F.lit(":"), F.col("reason")).alias("s")))
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(weak)), lambda x: x["s"]), " ")
-    sums = audit.groupBy("query_id").agg(F.count("*").alias("total"), F.sum(F.col("supported").cast("long")).alias("supported"), listed.alias("weak"))
-    out = reports.select("query_id").join(sums, "query_id", "left").na.fill(0).na.fill("", ["weak"])
+    good = F.coalesce(F.sum((F.col("supported") & F.col("marker").isNotNull()).cast("long")), F.lit(0)).alias("supported")
+    out = audit.groupBy("query_id").agg(F.count("marker").alias("total"), good, listed.alias("weak"))
     return out.withColumn("faithfulness", F.when(F.col("total") == 0, 1.0).otherwise(F.bround(F.col("supported") / F.col("total"), 3)))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pagesift import constants as K
 from pagesift.functions import text as T
+from pagesift.functions.joins import matched
 
 NOTE = K.CONTENT_NOTE
 RULE = "\n\n---\n\n"
@@ -44,11 +45,13 @@ def number_citations(results: DataFrame) -> DataFrame:
     return results.withColumn("n", F.row_number().over(order))
 
 
-def context_pack(numbered: DataFrame, size: int = 2500) -> DataFrame:
-    """Of each query: its numbered sources in order, contents cut at `size` characters, an index of them, and their whole length.
+def context_pack(numbered: DataFrame, size: int = 2500, most: int = 15) -> DataFrame:
+    """Of each query: its first `most` numbered sources in order, contents cut at `size` characters, an index of them, and their whole length.
 
-    chars, where it is there, is the length of contents that were cut before.
+    chars, where it is there, is the length of contents that were cut before. The limit stands on the rank that
+    number_citations gives, so Spark applies it to each partition before rows are shuffled: no query's whole list meets.
     """
+    numbered = numbered.where(F.col("n") <= most)
     n, date = F.col("n").cast("string"), F.col("publication_date")
     share = F.concat(F.bround(F.col("relevance_score") * 100, 0).cast("int").cast("string"), F.lit("%"))
     block = F.concat(
@@ -66,8 +69,15 @@ def context_pack(numbered: DataFrame, size: int = 2500) -> DataFrame:
     return out.select("query_id", joined("block", RULE), joined("line", "\n"), "n_sources", "total_chars")
 
 
+def successful(results: DataFrame) -> DataFrame:
+    """Results without error that have content."""
+    return results.where((F.coalesce("error", F.lit("")) == "") & (F.coalesce("content", F.lit("")) != ""))
+
+
 def tier_summary(results: DataFrame) -> DataFrame:
-    return results.groupBy("query_id", "source_tier").agg(F.count("*").alias("n"))
+    """Of each query the successful results of every tier, with the tier's name."""
+    label = F.coalesce(*[F.when(F.col("source_tier") == k, v) for k, v in K.TIER_LABELS.items()], F.concat(F.lit("Tier "), F.col("source_tier").cast("string")))
+    return successful(results).groupBy("query_id", "source_tier").agg(F.count("*").alias("n")).withColumn("label", label)
 
 
 def run_stats(results: DataFrame) -> DataFrame:
@@ -83,30 +93,36 @@ def run_stats(results: DataFrame) -> DataFrame:
 
 
 def official_doc_hits(results: DataFrame, most: int = 5) -> DataFrame:
-    """Of each query with any: the first URLs (by pos) that look like official documentation, among results without error."""
+    """Of each query: the first URLs (by pos) of successful results that look like official documentation, and whether there are any."""
     lower, hit = F.lower("url"), F.lit(False)
     for sign in K.DOC_URL_SIGNS:
         hit = hit | lower.contains(sign)
-    rows = results.where("error is null").where(hit)
+    rows = successful(results).where(hit)
     rows = rows.withColumn("k", F.row_number().over(W.partitionBy("query_id").orderBy("pos", "url"))).where(F.col("k") <= most)
-    return rows.groupBy("query_id").agg(
+    found = rows.groupBy("query_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "url"))), lambda x: x["url"]), " ").alias("doc_urls")
     )
+    out = matched(results.select("query_id").distinct(), found, ["query_id"], "left")
+    return out.select("query_id", F.coalesce("doc_urls", F.lit("")).alias("doc_urls"), F.col("doc_urls").isNotNull().alias("has_official_docs"))
+
+
+def _mapped(results: DataFrame) -> list:
+    """An answer's fields of a source: unknown where it has none, score 0 and tier 5 where those are missing or 0."""
+    have = lambda name: F.col(name) if name in results.columns else F.lit(None).cast("string")
+    text = lambda name, other: F.coalesce(have(name), F.lit(other)).alias(name)
+    return [
+        "query_id", "pos", text("source", "unknown"), text("url", ""), text("title", ""), F.coalesce("relevance_score", F.lit(0.0)).alias("relevance_score"),
+        F.coalesce(F.nullif("source_tier", F.lit(0)), F.lit(5)).alias("source_tier"), have("publication_date").alias("publication_date")
+    ]
 
 
 def map_sources(results: DataFrame, include_content: bool = False, max_chars: int = 8000) -> DataFrame:
-    """Results as an answer's sources: sanitized content (null if empty or not asked for), score 0 and tier 5 where unknown."""
+    """Results as an answer's sources, with sanitized content (null if empty or not asked for)."""
     text = T.some(T.sanitized(F.col("content"), max_chars)) if include_content else F.lit(None).cast("string")
-    return results.select(
-        "query_id", "pos", "title", text.alias("content"), "error", F.coalesce("relevance_score", F.lit(0.0)).alias("relevance_score"),
-        F.coalesce("source_tier", F.lit(5)).alias("source_tier")
-    )
+    return results.select(*_mapped(results), text.alias("content"), "error")
 
 
 def map_citations(results: DataFrame, max_chars: int = 8000) -> DataFrame:
     """Results without error as citations, with a snippet of their sanitized content."""
     good = results.where("error is null or error = ''")
-    return good.select(
-        "query_id", "pos", "title", F.coalesce("relevance_score", F.lit(0.0)).alias("relevance_score"),
-        T.snippet(T.sanitized(F.col("content"), max_chars)).alias("snippet"), F.coalesce("source_tier", F.lit(5)).alias("source_tier")
-    )
+    return good.select(*_mapped(results), T.snippet(T.sanitized(F.col("content"), max_chars)).alias("snippet"))

@@ -8,7 +8,7 @@ from pagesift.functions import urls as U
 from pagesift.operators import monitor, pages, querylog, ranking, reports, results
 from pagesift.plans import bindings as B
 from pagesift.plans.queries import _C, _DOMAIN, _HOST, _LOG, _PART, _Q, _R, _REL, _has, _in, _ranked, _score, _scored
-from pagesift.sources import feeds
+from pagesift.sources import feeds, history
 from pagesift.sources.pages import read_pages
 from pagesift.streaming import monitor as live
 
@@ -97,22 +97,53 @@ def _reports(s, d):
     return reports.normalize_reports(reports.parse_reports(_answers(s, d)))
 
 
+def _per_item(of):
+    """An array of of(j, title, url, body, date) for the two to five items of a page: some without a title, some of one URL, every second without a date."""
+    def one(j):
+        text = j.cast("string")
+        title = F.when((F.col("page_id") + j) % 5 == 4, "").otherwise(F.concat(_plain(_title()), F.lit(" "), text))
+        url = F.concat(F.lit("https://e.example/"), F.col("page_id").cast("string"), F.lit("/"), F.floor(j / 2).cast("string"))
+        return of(j, title, url, F.concat(F.lit("a <b>bold</b> word "), text), F.when(j % 2 == 0, F.concat(F.lit("2024-01-0"), (j + 1).cast("string"))))
+
+    return F.transform(F.sequence(F.lit(0), (F.col("page_id") % 4 + 1).cast("int")), one)
+
+
+def _json(s, d, of, *path):
+    """Each page as a JSON payload with its items under the path."""
+    body = _per_item(of)
+    for name in reversed(path):
+        body = F.struct(body.alias(name))
+    return _pages(s, d).select(F.col("page_id").alias("query_id"), F.to_json(body).alias("json"))
+
+
 def _hits(s, d):
-    """Each page as a search payload of one hit."""
-    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    hit = F.struct(title.alias("title"), F.lit("a <b>bold</b> word").alias("snippet"))
-    return _pages(s, d).select(
-        F.col("page_id").alias("query_id"), F.to_json(F.struct(F.struct(F.array(hit).alias("search")).alias("query"))).alias("json")
-    )
+    """Titles of encyclopedia hits come twice each, with signs that a URL must escape."""
+    title = lambda j, title: F.when(title == "", title).otherwise(F.concat(_plain(_title()), F.lit(" AC/DC (band)*~ "), F.floor(j / 2).cast("string")))
+    return _json(s, d, lambda j, t, u, b, x: F.struct(title(j, t).alias("title"), b.alias("snippet")), "query", "search")
+
+
+def _stories(s, d):
+    """Every second hit has a story's title alone, every third a story's URL alone."""
+    return _json(s, d, lambda j, t, u, b, x: F.struct(
+        F.when(j % 2 == 0, t).alias("title"), t.alias("story_title"), F.when(j % 3 == 0, "").otherwise(u).alias("url"), u.alias("story_url"), x.alias("created_at"),
+        F.struct(b.alias("t")).alias("_highlightResult")
+    ), "hits")
+
+
+def _xml(s, d, head, of, tail):
+    """Each page as an XML feed of its items; every tenth is broken."""
+    body = F.concat(F.lit(head), F.array_join(_per_item(of), ""), F.lit(tail))
+    return _pages(s, d).select(F.col("page_id").alias("query_id"), F.when(F.col("page_id") % 10 == 0, "not xml <><").otherwise(body).alias("xml"))
+
+
+def _tag(name, value):
+    """An element, or nothing where the value is null."""
+    return F.coalesce(F.concat(F.lit(f"<{name}>"), value, F.lit(f"</{name}>")), F.lit(""))
 
 
 def _feeds(s, d):
-    title = F.regexp_replace(F.regexp_extract("html", "<title>([^<]*)</title>", 1), "[&<>]", " ")
-    xml = F.concat(
-        F.lit("<rss><channel><item><title>"), title, F.lit("</title><link>https://e.example/"), F.col("page_id").cast("string"),
-        F.lit("</link></item></channel></rss>")
-    )
-    return _pages(s, d).select(F.col("page_id").alias("query_id"), F.when(F.col("page_id") % 10 == 0, "not xml <><").otherwise(xml).alias("xml"))
+    item = lambda j, t, u, b, x: F.concat(F.lit("<item>"), _tag("title", t), _tag("link", u), _tag("description", F.regexp_replace(b, "<[^>]*>", "")), _tag("pubDate", x), F.lit("</item>"))
+    return _xml(s, d, "<rss><channel>", item, "</channel></rss>")
 
 
 def _described(s, d):
@@ -134,30 +165,50 @@ def _title():
 
 
 def _atom(s, d, paper=False):
-    """Each page as an Atom feed of one entry; every tenth is broken."""
-    link = F.concat(F.lit("http://arxiv.example/"), F.col("page_id").cast("string"))
-    where = F.concat(F.lit("<id>"), link, F.lit("</id>")) if paper else F.concat(F.lit('<link href="'), link, F.lit('"/>'))
-    date = "published" if paper else "updated"
-    xml = F.concat(
-        F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><entry>'), where, F.lit("<title>"), _plain(_title()),
-        F.lit(f"</title><summary>about it</summary><{date}>2024-01-02</{date}></entry></feed>")
+    where = lambda u: _tag("id", u) if paper else F.concat(F.lit('<link href="'), u, F.lit('"/>'))
+    about = lambda j, b: F.concat(F.regexp_replace(b, "<[^>]*>", ""), F.repeat(F.concat(F.lit(" about "), j.cast("string")), F.lit(60)))
+    entry = lambda j, t, u, b, x: F.concat(
+        F.lit("<entry>"), where(u), _tag("title", t), _tag("summary", about(j, b)), _tag("published" if paper else "updated", x), F.lit("</entry>")
     )
-    return _pages(s, d).select(F.col("page_id").alias("query_id"), F.when(F.col("page_id") % 10 == 0, "<").otherwise(xml).alias("xml"))
+    return _xml(s, d, '<feed xmlns="http://www.w3.org/2005/Atom">', entry, "</feed>")
 
 
-def _result_pages(s, d):
-    """Each page as a search-result page of one hit behind a redirect."""
-    hit = F.concat(
-        F.lit('<div class="result"><a class="result__a" href="//duckduckgo.com/l/?uddg='), F.url_encode("url"), F.lit('&rut=1">hit '),
-        F.col("page_id").cast("string"), F.lit('</a><a class="result__snippet" href="#">Some text</a></div>')
-    )
-    return _pages(s, d).select(F.col("page_id").alias("query_id"), hit.alias("html"))
+def _articles(s, d):
+    """Article sets: some articles share an id, some have no title, and titles and abstracts have markup."""
+    def one(j, t, u, b, x):
+        number = F.concat(F.col("page_id").cast("string"), F.floor(j / 2).cast("string"))
+        year = F.coalesce(F.concat(F.lit("<Journal><JournalIssue><PubDate>"), _tag("Year", F.substring(x, 1, 4)), F.lit("</PubDate></JournalIssue></Journal>")), F.lit(""))
+        title = F.when(t == "", F.lit("")).otherwise(F.concat(t, F.lit(" in <i>vivo</i>")))
+        abstract = F.concat(F.lit("<Abstract><AbstractText>"), F.regexp_replace(b, "<[^>]*>", ""), F.lit("</AbstractText><AbstractText>more</AbstractText></Abstract>"))
+        return F.concat(F.lit("<PubmedArticle><MedlineCitation>"), _tag("PMID", number), F.lit("<Article>"), _tag("ArticleTitle", title), abstract, year, F.lit("</Article></MedlineCitation></PubmedArticle>"))
 
+    return _xml(s, d, "<PubmedArticleSet>", one, "</PubmedArticleSet>")
 
-def _payload(s, d, name, **fields):
-    """Each page as a JSON payload of one item."""
-    item = F.struct(*[v.alias(k) for k, v in fields.items()])
-    return _pages(s, d).select(F.col("page_id").alias("query_id"), F.to_json(F.struct(F.array(item).alias(name))).alias("json"))
+
+def _result_pages(s, d):
+    """Each page as a search-result page: hits behind redirects, some without a title, one of the engine itself, and the next page's form behind another."""
+    hit = lambda j, t, u, b, x: F.concat(
+        F.lit('<div class="result"><li><p>'), F.when(j == 3, F.lit('<a class="result__a" href="https://duckduckgo.com/y">')).otherwise(
+            F.concat(F.lit('<a class="result__a" href="//duckduckgo.com/l/?uddg='), F.url_encode(u), F.lit('&rut=1">'))
+        ), t, F.lit('</a><a class="result__snippet" href="#">Text '), j.cast("string"), F.lit("</a></div>")
+    )
+    number = F.col("page_id").cast("string")
+    forms = F.concat(
+        F.lit('<form><input type="hidden" name="q" value="x"></form>'), F.when(F.col("page_id") % 3 > 0, F.concat(
+            F.lit('<form><input type="hidden" name="s" value="'), number, F.lit('"><input type="text" name="t" value="no"><input type="HIDDEN" name="vqd" value="v-'), number, F.lit('"></form>')
+        )).otherwise("")
+    )
+    return _pages(s, d).select(F.col("page_id").alias("query_id"), F.concat(F.array_join(_per_item(hit), ""), forms).alias("html"))
+
+
+def _coded(s, d):
+    """Pages with blocks of code and inline code: languages by prefix and by name, an empty block, a short and a long one of several lines."""
+    number, long = F.col("page_id").cast("string"), F.concat(F.lit("x = "), F.col("page_id").cast("string"), F.lit("\n"), F.repeat(F.lit("y"), F.lit(70)))
+    body = F.concat(
+        F.lit('<html><body><p>Run <code>make '), number, F.lit('</code> first</p><pre class="highlight-source-'), F.when(F.col("page_id") % 2 == 0, "python").otherwise("js"),
+        F.lit('">\n\n  a  =  '), number, F.lit('\n\n    b\n\n</pre><pre>  </pre><code class="bash">'), long, F.lit("</code><code>one\ntwo</code></body></html>")
+    )
+    return pages.extract_pages(_pages(s, d).withColumn("html", body)).select("page_id", "content")
 
 
 def _documented(s, d):
@@ -165,7 +216,22 @@ def _documented(s, d):
     named = F.concat(F.lit("https://docs.python.org/3/library/"), F.col("pos").cast("string"))
     return B.candidates(s, d).withColumn(
         "url", F.when(F.col("pos") % 3 == 0, named).otherwise(F.col("url"))
-    ).withColumn("error", F.when(F.col("pos") % 7 == 0, "timeout"))
+    ).withColumns({"error": F.when(F.col("pos") % 7 == 0, "timeout"), "content": F.when(F.col("pos") % 11 == 0, "").otherwise("text")}).where("query_id % 5 <> 1 or pos % 3 <> 0")
+
+
+def _gapped(s, d):
+    """Scored results, some without source, URL or tier."""
+    rows, n = _scored(s, d), F.col("pos")
+    return rows.withColumns({
+        "source": F.when(n % 10 != 3, F.col("source")), "url": F.when(n % 10 != 4, F.col("url")), "source_tier": F.when(n % 10 == 5, 0).when(n % 10 != 6, F.col("source_tier"))
+    })
+
+
+def _jsonl(s, d):
+    """Pages written as JSON lines and read again."""
+    path = B.scratch(s)
+    history.write_results_jsonl(_pages(s, d).select("page_id", "url", F.length("html").alias("n_chars"), F.lit(None).cast("string").alias("error")), path)
+    return s.read.schema("page_id long, url string, n_chars int, error string").json(path)
 
 
 def _shortlist(s, d):
@@ -185,6 +251,8 @@ def _rescraped(s, d):
     half = F.expr("substring(text, 1, length(text) div 2)")
     first = base.select("url", half.alias("content"), F.when(F.col("doc_id") % 4 == 0, "timeout").alias("error"))
     again = base.where("doc_id % 3 = 0").select("url", F.col("text").alias("content"), F.when(F.col("doc_id") % 9 == 0, "timeout").alias("error"))
+    again = again.unionByName(base.where("doc_id % 6 = 0").select("url", F.concat("text", F.lit(" again")).alias("content"), F.lit(None).cast("string").alias("error")))
+    again = again.unionByName(base.where("doc_id % 12 = 0").select("url", F.lit("x").alias("content"), F.lit(None).cast("string").alias("error")))
     return pages.prefer_rescrapes(first, again)
 
 
@@ -194,17 +262,21 @@ def _collected(s, d):
 
 
 QUERIES = {
-    "s2_json_candidates": lambda s, d: feeds.encyclopedia_candidates(_hits(s, d)).select("query_id", "title", "snippet"),
+    "s2_json_candidates": lambda s, d: feeds.encyclopedia_candidates(_hits(s, d)),
     "s1_pages": lambda s, d: read_pages(s, f"{d}/pages.parquet").select("page_id", "url", F.length("html").alias("n_chars"), "status_code"),
-    "s2_stories": lambda s, d: feeds.story_candidates(_payload(s, d, "hits", title=_title(), story_url=F.col("url"), created_at=F.lit("2024-01-02"))),
-    "s2_answers": lambda s, d: feeds.answer_candidates(
-        _payload(s, d, "items", title=_title(), link=F.col("url"), body=F.lit("<p>an <b>answer</b></p>"))
-    ),
+    "s2_stories": lambda s, d: feeds.story_candidates(_stories(s, d)),
+    "s2_answers": lambda s, d: feeds.answer_candidates(_json(s, d, lambda j, t, u, b, x: F.struct(t.alias("title"), u.alias("link"), b.alias("body")), "items")),
     "s3_atom": lambda s, d: feeds.feed_candidates(_atom(s, d)),
     "s4_papers": lambda s, d: feeds.arxiv_candidates(_atom(s, d, True)),
+    "s4_pubmed": lambda s, d: feeds.pubmed_candidates(_articles(s, d)),
+    "s5_next_page": lambda s, d: feeds.next_page_fields(_result_pages(s, d)).select(
+        "query_id", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("fields")))).alias("fields")
+    ),
+    "s7_jsonl": lambda s, d: _jsonl(s, d),
+    "p3_code_blocks": _coded,
     "s5_result_pages": lambda s, d: feeds.result_page_candidates(_result_pages(s, d)).select("query_id", "pos", "title", "url", "snippet"),
     "m11_progress": lambda s, d: live.progress(B.results(s, d)),
-    "s3_feed_candidates": lambda s, d: feeds.feed_candidates(_feeds(s, d)).select("query_id", "url"),
+    "s3_feed_candidates": lambda s, d: feeds.feed_candidates(_feeds(s, d)),
     "s6_feed_filter": lambda s, d: feeds.filter_feed_by_query(B.candidates(s, d), B.queries(s, d)).select("query_id", "pos", "url"),
     "u4_redirects": lambda s, d: _redirects(s, d).select("page_id", U.decode_redirect(F.col("url")).alias("url")),
     "u5_source_name": lambda s, d: _pages(s, d).select("page_id", U.source_name(F.col("url")).alias("source")),
@@ -249,9 +321,8 @@ QUERIES = {
     "c7_official_docs": lambda s, d: results.official_doc_hits(_documented(s, d)),
     "a1_parse_status": lambda s, d: reports.parse_reports(_answers(s, d)).select("report_id", "parse_status"),
     "a2_normalized": lambda s, d: _reports(s, d).select("report_id", "executive_summary", "confidence_level"),
-    "a4_claims": lambda s, d: reports.claim_windows(B.reports(s, d)),
-    "a7_citations": lambda s, d: results.map_citations(_scored(s, d)),
-    "a7_sources": lambda s, d: results.map_sources(_scored(s, d)).select("query_id", "pos", "error", "relevance_score", "source_tier"),
+    "a7_citations": lambda s, d: results.map_citations(_gapped(s, d)),
+    "a7_sources": lambda s, d: results.map_sources(_gapped(s, d)).drop("content"),
     "a8_data_rows": lambda s, d: reports.data_table_rows(_reports(s, d)).select("report_id", "pos", "metric", "value"),
     "m5_breaker_alert": lambda s, d: monitor.breaker_alert(_states(s, d), "upstream"),
 }
@@ -277,18 +348,19 @@ _BUD = f"""{_Q}, b0 AS (SELECT query_id, query, CASE WHEN query_id % 3 = 0 THEN
     b AS (SELECT *, (CASE WHEN deep THEN least(greatest(wish, 15), 50) ELSE least(greatest(wish, 1), 15) END)::INTEGER AS target FROM b1)"""
 _TOPIC = f"list_filter(list_transform(list_filter(regexp_split_to_array(replace(query, '-', ' '), '\\s+'), lambda x: len(x) > 2), lambda x: lower(x)), lambda x: NOT {_in('x', K.TOPIC_STOPWORDS)})"
 
+_ITEMS = rf"""it AS (SELECT page_id AS query_id, pos, page_title, CASE WHEN (page_id + pos) % 5 = 4 THEN '' ELSE page_title || ' ' || pos END AS title, 'https://e.example/' || page_id || '/' || pos // 2 AS url,
+    'a <b>bold</b> word ' || pos AS body, CASE WHEN pos % 2 = 0 THEN '2024-01-0' || (pos + 1) END AS date
+    FROM (SELECT page_id, regexp_replace({_TITLE}, '[&<>]', ' ', 'g') AS page_title, unnest(range((page_id % 4 + 2)::BIGINT))::INTEGER AS pos FROM pages))"""
+
 ORACLE_SQL = {
-    "s2_json_candidates": "SELECT page_id AS query_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, 'a bold word' AS snippet FROM "
-        "pages",
+    "s2_json_candidates": f"""WITH {_ITEMS}, x AS (SELECT query_id, pos, trim(page_title || ' AC/DC (band)*~ ' || pos // 2) AS title, body FROM it WHERE title <> '')
+        SELECT query_id, pos, title, 'https://en.wikipedia.org/wiki/' || url_encode(replace(title, ' ', '_')) AS url, 'a bold word ' || pos AS snippet FROM x QUALIFY row_number() OVER (PARTITION BY query_id, url ORDER BY pos) = 1""",
     "s1_pages": "SELECT page_id, url, len(html)::INTEGER AS n_chars, NULL::INTEGER AS status_code FROM pages",
-    "s2_stories": f"SELECT page_id AS query_id, 0 AS pos, {_TITLE} AS title, url, '2024-01-02' AS publication_date FROM pages WHERE {_TITLE} <> '' "
-        f"AND url <> ''",
-    "s2_answers": f"SELECT page_id AS query_id, 0 AS pos, trim({_TITLE}) AS title, trim(url) AS url, 'an answer' AS snippet FROM pages WHERE "
-        f"trim({_TITLE}) <> '' AND trim(url) <> ''",
-    "s3_atom": f"SELECT page_id AS query_id, 0 AS pos, trim(regexp_replace({_TITLE}, '[&<>]', ' ', 'g')) AS title, 'http://arxiv.example/' || page_id "
-        f"AS url, 'about it' AS snippet, '2024-01-02' AS publication_date FROM pages WHERE page_id % 10 <> 0 AND trim({_TITLE}) <> ''",
-    "s4_papers": f"SELECT page_id AS query_id, 0 AS pos, trim(regexp_replace({_TITLE}, '[&<>]', ' ', 'g')) AS title, 'http://arxiv.example/' || page_id AS url, 'about it' AS snippet, '2024-01-02' AS publication_date FROM pages WHERE page_id % 10 <> 0 AND trim({_TITLE}) <> ''",
-    "s5_result_pages": "SELECT page_id AS query_id, 0 AS pos, 'hit ' || page_id AS title, url, 'Some text' AS snippet FROM pages WHERE NOT contains(url, 'duckduckgo.com')",
+    "s2_stories": f"""WITH {_ITEMS} SELECT query_id, pos, trim(title) AS title, url, '{{"t":"' || body || '"}}' AS snippet, date AS publication_date FROM it WHERE trim(title) <> '' QUALIFY row_number() OVER (PARTITION BY query_id, url ORDER BY pos) = 1""",
+    "s2_answers": f"""WITH {_ITEMS} SELECT query_id, pos, trim(title) AS title, url, 'a bold word ' || pos AS snippet FROM it WHERE trim(title) <> '' QUALIFY row_number() OVER (PARTITION BY query_id, url ORDER BY pos) = 1""",
+    "s3_atom": f"""WITH {_ITEMS} SELECT query_id, pos, trim(title) AS title, url, trim(substr('a bold word ' || pos || repeat(' about ' || pos, 60), 1, 300)) AS snippet, date AS publication_date FROM it WHERE trim(title) <> '' AND query_id % 10 <> 0""",
+    "s4_papers": f"""WITH {_ITEMS} SELECT query_id, pos, trim(title) AS title, url, substr('a bold word ' || pos || repeat(' about ' || pos, 60), 1, 350) AS snippet, date AS publication_date FROM it WHERE trim(title) <> '' AND query_id % 10 <> 0 QUALIFY row_number() OVER (PARTITION BY query_id, url ORDER BY pos) = 1""",
+    "s5_result_pages": f"""WITH {_ITEMS} SELECT query_id, pos, trim(title) AS title, url, 'Text ' || pos AS snippet FROM it WHERE title <> '' AND pos <> 3""",
     "m11_progress": f"WITH {_R} SELECT query_id, count(*) AS done, count(*) FILTER (error IS NULL) AS succeeded, coalesce(sum(len(content)) FILTER (error IS NULL), 0)::BIGINT AS total_chars FROM d GROUP BY query_id",
     "p4_metadata": "SELECT page_id, unnest(['description', 'og:url']) AS name, unnest(['about ' || page_id, 'x']) AS content FROM pages",
     "p6_images": "SELECT page_id, 0 AS pos, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || '/i/' || page_id || '.png' AS url, 'an image' AS alt FROM pages",
@@ -296,7 +368,7 @@ ORACLE_SQL = {
             '[,\s]+$', '') ELSE 's [1], [2] ' || t END AS executive_summary,
         CASE WHEN doc_id % 4 = 3 THEN 'Low' WHEN doc_id % 4 IN (0, 2) AND doc_id % 3 = 0 THEN 'High' ELSE 'Medium' END AS confidence_level FROM
             (SELECT doc_id, regexp_replace(coalesce(text, ''), '["\\\x00-\x1f]', '', 'g') AS t FROM documents)""",
-    "s3_feed_candidates": "SELECT page_id AS query_id, 'https://e.example/' || page_id AS url FROM pages WHERE page_id % 10 <> 0 AND trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) <> ''",
+    "s3_feed_candidates": f"""WITH {_ITEMS} SELECT query_id, pos, trim(title) AS title, url, 'a bold word ' || pos AS snippet, date AS publication_date FROM it WHERE trim(title) <> '' AND query_id % 10 <> 0""",
     "s6_feed_filter": f"""WITH {_C}, k AS (SELECT query_id, list_filter(regexp_split_to_array(lower(query), '[\\s,;]+'), lambda x: len(x) > 3) AS words FROM q)
         SELECT query_id, pos, url FROM c JOIN k USING (query_id) WHERE url <> '' AND (len(words) = 0 OR len(list_filter(words, lambda x:
             contains(lower(title || ' ' || snippet), x))) > 0)
@@ -330,12 +402,11 @@ ORACLE_SQL = {
         p AS (SELECT *, unnest(range(1, CASE WHEN deep THEN least(target, 50) ELSE greatest(1, least(target, {len(K.TEMPLATES)})) END + 1))::INTEGER
             AS priority FROM lone)
         SELECT query_id, [{', '.join(repr(k) for k in K.TEMPLATES)}][(priority - 1) % {len(K.TEMPLATES)} + 1] AS type,
-        [{', '.join(repr(u.partition('{')[0]) for u in K.TEMPLATES.values())}][(priority - 1) % {len(K.TEMPLATES)} + 1] || replace(url_encode(query), '%20', '+') AS url, priority FROM p""",
-    "q12_request_key": f"WITH {_LOG} SELECT event_id, sha256(endpoint || ':' || '{{\"cached\":' || cached || ',\"subject\":' || subject || '}}') AS request_key FROM l",
-    "p12_rescrapes": """WITH f AS (SELECT doc_id::VARCHAR AS url, doc_id, substr(text, 1, len(text) // 2) AS a, CASE WHEN doc_id % 4 = 0 THEN
-            'timeout' END AS error, CASE WHEN doc_id % 3 = 0 AND doc_id % 9 <> 0 THEN text END AS b FROM documents)
-        SELECT url, CASE WHEN len(trim(b, ' ')) > len(trim(coalesce(a, ''), ' ')) THEN b ELSE a END AS content, CASE WHEN len(trim(b, ' ')) >
-            len(trim(coalesce(a, ''), ' ')) THEN NULL ELSE error END AS error FROM f""",
+        [{', '.join(repr(u.partition('{')[0]) for u in K.TEMPLATES.values())}][(priority - 1) % {len(K.TEMPLATES)} + 1] || replace(url_encode(query), '%20', '+') AS url, type || ' results for ' || query AS title, priority FROM p""",
+    "q12_request_key": f"WITH {_LOG} SELECT event_id, sha256(endpoint || ':' || '{{\"cached\":' || cached || ',\"subject\":' || coalesce(subject::VARCHAR, 'null') || '}}') AS request_key FROM l",
+    "p12_rescrapes": f"""WITH f AS (SELECT doc_id::VARCHAR AS url, doc_id, substr(text, 1, len(text) // 2) AS a, CASE WHEN doc_id % 4 = 0 THEN 'timeout' END AS error,
+            CASE WHEN doc_id % 6 = 0 THEN coalesce(text || ' again', CASE WHEN doc_id % 12 = 0 THEN 'x' END) WHEN doc_id % 3 = 0 AND doc_id % 9 <> 0 THEN text END AS b FROM documents)
+        SELECT url, CASE WHEN len(trim(b, ' ')) > len(trim(coalesce(a, ''), ' ')) THEN b ELSE a END AS content, CASE WHEN len(trim(b, ' ')) > len(trim(coalesce(a, ''), ' ')) THEN NULL ELSE error END AS error FROM f""",
     "r12_expanded": f"""WITH {_C}, {_score('m50')}, {_BUD.replace(_Q + ',', '')}, tp AS (SELECT query_id, target, {_TOPIC} AS topic FROM b),
         x AS (SELECT DISTINCT r.query_id, r.url, r.rank, target, rank <= 2 AS chosen FROM r JOIN s USING (query_id, url) JOIN tp USING (query_id)
             WHERE rank <= 2 OR len(topic) = 0 OR len(list_filter(topic, lambda w: contains(lower(coalesce(s.title, '') || ' ' || coalesce(s.snippet,
@@ -344,12 +415,13 @@ ORACLE_SQL = {
             ELSE k END AS priority FROM y WHERE k <= target""",
     "r13_collected": f"WITH {_C} SELECT query_id, (pos % 2)::INTEGER AS set_pos, pos, provider, pos % 2 = 1 AS bare FROM c WHERE pos % 6 <> 0",
     "r13_failures": f"WITH {_C} SELECT provider, 'timeout' AS error, count(*) AS n FROM c WHERE pos % 6 = 0 GROUP BY provider",
-    "c7_official_docs": f"""WITH {_C}, dc AS (SELECT query_id, pos, CASE WHEN pos % 3 = 0 THEN 'https://docs.python.org/3/library/' || pos ELSE url
-            END AS url FROM c), h AS (SELECT query_id, pos, url, row_number() OVER (PARTITION BY query_id ORDER BY pos, url) AS k FROM dc WHERE pos %
-            7 <> 0 AND {_has('lower(url)', K.DOC_URL_SIGNS)})
-        SELECT query_id, string_agg(url, ' ' ORDER BY k) AS doc_urls FROM h WHERE k <= 5 GROUP BY query_id""",
+    "c7_official_docs": f"""WITH {_C}, dc AS (SELECT query_id, pos, CASE WHEN pos % 3 = 0 THEN 'https://docs.python.org/3/library/' || pos ELSE url END AS url FROM c WHERE query_id % 5 <> 1 OR pos % 3 <> 0),
+        h AS (SELECT query_id, pos, url, row_number() OVER (PARTITION BY query_id ORDER BY pos, url) AS k FROM dc WHERE pos % 7 <> 0 AND pos % 11 <> 0 AND {_has('lower(url)', K.DOC_URL_SIGNS)}),
+        g AS (SELECT query_id, string_agg(url, ' ' ORDER BY k) AS urls FROM h WHERE k <= 5 GROUP BY query_id)
+        SELECT query_id, coalesce(urls, '') AS doc_urls, urls IS NOT NULL AS has_official_docs FROM (SELECT DISTINCT query_id FROM dc) LEFT JOIN g USING (query_id)""",
     "a1_parse_status": "SELECT doc_id AS report_id, ['strict', 'repaired', 'repaired', 'excerpt'][doc_id % 4 + 1] AS parse_status FROM documents",
-    "a7_sources": f"WITH {_REL} SELECT query_id, pos, error, relevance_score, source_tier FROM e",
+    "a7_sources": f"""WITH {_REL} SELECT query_id, pos, CASE WHEN pos % 10 = 3 THEN 'unknown' ELSE coalesce(source, 'unknown') END AS source, CASE WHEN pos % 10 = 4 THEN '' ELSE url END AS url, title, error, relevance_score,
+        CASE WHEN pos % 10 IN (5, 6) THEN 5 ELSE source_tier END AS source_tier, published AS publication_date FROM e""",
     "a8_data_rows": "SELECT doc_id AS report_id, 0 AS pos, 'm' AS metric, '5' AS value FROM documents WHERE doc_id % 4 IN (0, 2)",
     "m5_breaker_alert": f"""WITH {_LOG}, st AS (SELECT DISTINCT subject % 10 AS upstream, ceil(epoch_us(ts) / 15000000)::BIGINT AS step FROM l WHERE
             status >= 500),
@@ -357,4 +429,10 @@ ORACLE_SQL = {
             upstream ORDER BY step)),
         sp AS (SELECT *, sum(new) OVER (PARTITION BY upstream ORDER BY step) AS spell FROM nw) SELECT upstream, min(step) * 15 + 60 AS start,
             (max(step) + 19) * 15 AS "end" FROM sp GROUP BY upstream, spell""",
+    "s4_pubmed": f"""WITH {_ITEMS}, x AS (SELECT *, query_id::VARCHAR || pos // 2 AS pmid FROM it WHERE query_id % 10 <> 0 QUALIFY row_number() OVER (PARTITION BY query_id, pos // 2 ORDER BY pos) = 1)
+        SELECT query_id, pos, CASE WHEN title = '' THEN 'PubMed ' || pmid ELSE trim(title || ' in vivo') END AS title, 'https://pubmed.ncbi.nlm.nih.gov/' || pmid || '/' AS url, 'a bold word ' || pos AS snippet, date[1:4] AS publication_date FROM x""",
+    "s5_next_page": f"""SELECT page_id AS query_id, CASE WHEN page_id % 3 > 0 THEN '{{"s":"' || page_id || '","vqd":"v-' || page_id || '"}}' END AS fields FROM pages""",
+    "s7_jsonl": f"""SELECT page_id, url, len(html)::INTEGER AS n_chars, NULL::VARCHAR AS error FROM pages""",
+    "p3_code_blocks": f"""SELECT page_id, 'Run' || chr(10) || '`make ' || page_id || '`' || chr(10) || 'first' || chr(10) || '```' || CASE WHEN page_id % 2 = 0 THEN 'python' ELSE 'js' END || chr(10) || '  a  =  ' || page_id || chr(10) || chr(10) || '    b' || chr(10) || '```'
+        || chr(10) || '```bash' || chr(10) || 'x = ' || page_id || chr(10) || repeat('y', 70) || chr(10) || '```' || chr(10) || '`one' || chr(10) || 'two`' AS content FROM pages""",
 }

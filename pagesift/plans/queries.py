@@ -13,7 +13,8 @@ YEAR, TOP, CAP = 2026, 10, 50
 
 
 def _ranked(spark, d):
-    scored = ranking.score_candidates(ranking.with_dates(ranking.merge_variants(B.candidates(spark, d), CAP)), B.queries(spark, d), YEAR)
+    merged = ranking.by_query(ranking.merge_variants(B.candidates(spark, d), CAP))
+    scored = ranking.score_candidates(ranking.with_dates(merged), B.queries(spark, d), YEAR)
     return ranking.diversity_topk(ranking.dedupe_candidates(scored), TOP)
 
 
@@ -41,13 +42,23 @@ def _texts(spark, d):
     return B.table(spark, d, "conversations").select("conv_id", "turn", "text")
 
 
+def _cited(spark, d, most=50):
+    """The sources that a deep report may cite."""
+    return results.number_citations(_scored(spark, d).where("error is null and content is not null")).where(F.col("n") <= most)
+
+
+def _reports(spark, d):
+    return B.reports(_cited(spark, d))
+
+
 def _audit(spark, d):
-    numbered = results.number_citations(_scored(spark, d).where("error is null and content is not null"))
-    return reports.verify_citations(reports.claim_windows(B.reports(spark, d)), numbered)
+    """Reports and sources are worked out once."""
+    cited = _cited(spark, d)
+    return reports.audit_reports(cited, B.reports(cited))
 
 
 def _summary(spark, d):
-    return reports.citation_summary(B.reports(spark, d), _audit(spark, d))
+    return reports.audit_summary(_audit(spark, d))
 
 
 def _extracted(spark, d, scope="all"):
@@ -112,9 +123,12 @@ QUERIES = {
     "a3_spacing": lambda s, d: B.queries(s, d).select(
         "query_id", T.spaced_citations(F.concat("query", F.lit(" [1][2][3] x [4] [5][6]"))).alias("text")
     ),
-    "a5_citations": _audit,
+    "a4_claims": lambda s, d: reports.claim_windows(_reports(s, d)),
+    "a5_citations": lambda s, d: _audit(s, d).where("marker is not null"),
     "a6_citation_summary": _summary,
-    "e1_evaluation": lambda s, d: ranking.evaluate(_ranked(s, d)),
+    "e1_evaluation": lambda s, d: ranking.evaluate(_ranked(s, d)).withColumn(
+        "top_results", F.array_join(F.transform("top_results", lambda x: F.concat_ws("|", x["title"], x["url"], x["provider"], x["source"])), "\n")
+    ),
     "e2_evaluation_summary": lambda s, d: ranking.evaluation_summary(ranking.evaluate(_ranked(s, d))),
     "e3_latency_stats": lambda s, d: monitor.latency_stats(B.log(s, d), "endpoint"),
     "e4_top_errors": lambda s, d: monitor.top_errors(B.log(s, d)),
@@ -132,10 +146,10 @@ QUERIES = {
         B.log(s, d).withColumn("endpoint", F.concat(F.lit("upstream "), (F.col("subject") % 100).cast("string"))), 2, 3600.0
     ),
     "m9_in_flight": lambda s, d: monitor.in_flight(B.log(s, d).withColumn("duration_s", F.col("duration_s") * 1000), "endpoint"),
-    "m10_history": lambda s, d: monitor.history(B.log(s, d)),
-    "s8_history_rows": lambda s, d: history.history_rows(
-        B.log(s, d).withColumn("query", F.concat(F.lit("q"), F.col("subject").cast("string")))
-    ).groupBy("route", "query_hash", "query_length", "success").agg(F.count("*").alias("n")),
+    "m9_changes": lambda s, d: monitor.in_flight_changes(B.log(s, d).withColumn("duration_s", F.col("duration_s") * 1000), "endpoint"),
+    "m9_series": lambda s, d: monitor.in_flight_series(B.log(s, d).withColumn("duration_s", F.col("duration_s") * 100), "endpoint"),
+    "m10_history": lambda s, d: history.history_snapshot(B.stored_history(s, d)),
+    "s8_history_rows": lambda s, d: history.history_rows(B.asked_log(s, d)).withColumn("created_at", F.unix_micros("created_at")),
 }
 
 
@@ -156,10 +170,10 @@ _NORM = lambda u="url": (
     f"regexp_replace({_PART(3, u)}, '/+$', '') END"
     f" || CASE WHEN {_PART(4, u)} = '' THEN '' ELSE '?' || {_PART(4, u)} END"
 )
-_Q = "q AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:6], ' ') AS query FROM benchmark)"
+_Q = "q AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 _C = f"""{_Q}, nq AS (SELECT count(*) AS n FROM q),
-    c0 AS (SELECT page_id % n AS query_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, url, substr(regexp_extract(html, '<p>([^<]*)<',
-            1), 1, 200) AS snippet, page_id AS pos FROM pages, nq),
+    c0 AS (SELECT page_id % n AS query_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, url, regexp_extract(html, '<p>([^<]*)<',
+            1) AS snippet, page_id AS pos FROM pages, nq),
     c1 AS (SELECT *, ['duckduckgo', 'google', 'wikipedia'][pos % 3 + 1] AS provider, 0 AS set_pos FROM c0
            UNION ALL SELECT query_id, title, url || '#x', snippet, pos, ['duckduckgo', 'google', 'wikipedia'][(pos + 1) % 3 + 1], 1 FROM c0 WHERE pos % 4 = 0),
     c AS (SELECT c1.*, regexp_extract({_HOST('c1.url')}, '^([^.]*)', 1) AS source, q.query AS search_query FROM c1 JOIN q USING (query_id)),
@@ -208,7 +222,7 @@ def _score(of: str) -> str:
     s AS (SELECT *, round(inner_ + {_boost((0.8, 0.3, 0.0, 0.1), (0.5, 0.4, 0.2))}
           + (CASE WHEN len(list_filter(qt, lambda t: len(t) > 3 AND contains(lower({_PART(3)}), t))) > 0 THEN 0.05 ELSE 0 END)::DOUBLE, 6) AS
             rank_score FROM s3),
-    u AS (SELECT query_id, url, max(rank_score) AS rank_score, min(set_pos * 1000000000 + pos) AS place, array_to_string(list_sort(list(DISTINCT
+    u AS (SELECT query_id, url, max(rank_score) AS rank_score, first(title ORDER BY rank_score DESC, set_pos, pos) AS title, first(source ORDER BY rank_score DESC, set_pos, pos) AS source, min(set_pos * 1000000000 + pos) AS place, array_to_string(list_sort(list(DISTINCT
             provider)), ',') AS providers FROM s GROUP BY query_id, url),
     j AS (SELECT *, {_DOMAIN()} AS domain, row_number() OVER (PARTITION BY query_id, {_DOMAIN()} ORDER BY rank_score DESC, place) - 1 AS j FROM u),
     k AS (SELECT *, (CASE WHEN j = 0 THEN rank_score + 0.25::DOUBLE ELSE rank_score - 0.08::DOUBLE * j END) AS eff FROM j),
@@ -228,7 +242,9 @@ _REL = f"""{_R}, w AS (SELECT query_id, list_filter(list_distinct(regexp_split_t
             len(telling), 2) ELSE 0.0 END AS relevance_score FROM d JOIN w3 USING (query_id))"""
 _NUM = f"""{_REL}, f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY source_tier, relevance_score DESC, pos)::INTEGER AS n FROM e
             WHERE error IS NULL AND content IS NOT NULL AND len(trim(content, ' ')) >= 100)"""
-_LOG = "l AS (SELECT event_id, ts, user_id AS subject, event_type AS endpoint, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status, value / 100 AS duration_s, event_id % 3 = 0 AS cached FROM events)"
+_LOG = """l AS (SELECT event_id, ts, CASE WHEN event_id % 60 <> 8 THEN user_id END AS subject, CASE WHEN event_id % 50 <> 7 THEN event_type END AS endpoint,
+    CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status, value / 100 AS duration_s, event_id % 3 = 0 AS cached,
+    CASE WHEN event_type = 'error' THEN 'upstream ' || user_id % 7 || ' failed' END AS error FROM events)"""
 _B = ", ".join(f"({b if b != float('inf') else 1e9}::DOUBLE)" for b in K.LATENCY_BOUNDS)
 _HIST = f"{_LOG}, b(le) AS (VALUES {_B}), h AS (SELECT endpoint, le, count(*) FILTER (duration_s <= le) AS n FROM l, b WHERE duration_s IS NOT NULL GROUP BY endpoint, le)"
 _ANCHORS = """l AS (SELECT page_id, url, regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')[1:99] AS a FROM pages)"""
@@ -296,16 +312,17 @@ ORACLE_SQL = {
             || 'RELEVANCE: ' || round_even(relevance_score * 100, 0)::INTEGER || '%' || chr(10) || 'CONTENT:' || chr(10) || substr(content, 1, 2500),
             chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY n) AS context,
         string_agg('  [' || n || '] ' || title || ' — ' || url || ' (' || coalesce(published, 'date unknown') || ')', chr(10) ORDER BY n) AS
-            source_index, count(*) AS n_sources, sum(len(content))::BIGINT AS total_chars FROM f GROUP BY query_id""",
-    "c6_tiers": f"WITH {_R} SELECT query_id, source_tier, count(*) AS n FROM d GROUP BY ALL",
+            source_index, count(*) AS n_sources, sum(len(content))::BIGINT AS total_chars FROM f WHERE n <= 15 GROUP BY query_id""",
+    "c6_tiers": f"WITH {_R} SELECT query_id, source_tier, ['Official/Institutional', 'Academic', 'Established Media', 'Research Orgs/Reference', 'Unknown/Other'][source_tier] AS label, "
+        f"count(*) AS n FROM d WHERE error IS NULL AND coalesce(content, '') <> '' GROUP BY ALL",
     "c8_run_stats": f"""WITH {_R} SELECT query_id, count(*) AS checked, count(*) FILTER (error IS NULL) AS succeeded, coalesce(sum(len(content))
             FILTER (error IS NULL), 0)::BIGINT AS total_chars, count(*) FILTER (error IS NOT NULL) AS failed,
         round(succeeded * 100.0::DOUBLE / checked, 6) AS success_rate FROM d GROUP BY query_id""",
     "a3_spacing": f"WITH {_Q} SELECT query_id, query || ' [1], [2], [3] x [4] [5], [6]' AS text FROM q",
     "e1_evaluation": f"""WITH {_C}, {_score('m50')}, v AS (SELECT query_id, unnest(string_split(providers, ',')) AS p FROM r), pv AS (SELECT query_id,
             array_to_string(list_sort(list(DISTINCT p)), ',') AS providers_used, bool_or(p = 'google') AS fallback_used FROM v GROUP BY query_id)
-        SELECT query_id, count(*) AS n_results, count(DISTINCT domain) AS n_domains, providers_used, fallback_used, array_to_string(list(url ORDER BY
-            rank)[1:5], ' ') AS top FROM r JOIN pv USING (query_id) GROUP BY query_id, providers_used, fallback_used""",
+        SELECT query_id, count(*) AS n_results, count(DISTINCT domain) AS n_domains, providers_used, fallback_used, array_to_string(list(coalesce(title, '') || '|' || url || '|' || providers || '|' || coalesce(source, 'unknown') ORDER BY
+            rank)[1:5], chr(10)) AS top_results FROM r JOIN pv USING (query_id) GROUP BY query_id, providers_used, fallback_used""",
     "e2_evaluation_summary": f"""WITH {_C}, {_score('m50')}, v AS (SELECT query_id, unnest(string_split(providers, ',')) AS p FROM r), z AS (SELECT
             query_id, count(*) AS a, count(DISTINCT domain) AS b FROM r GROUP BY query_id)
         SELECT count(*) AS n_queries, round(avg(a), 6) AS avg_results, round(avg(b), 6) AS avg_domains, (SELECT count(DISTINCT query_id) FROM v WHERE
@@ -315,11 +332,11 @@ ORACLE_SQL = {
         "regexp_matches(coalesce(text, ''), '[^\\s][^\\S\\n]*$') THEN chr(10) ELSE '' END || chr(10) || '2) d') AS sha FROM documents",
     "m2_totals": f"WITH {_LOG} SELECT endpoint, round(sum(duration_s), 6) AS total, count(*) AS n FROM l WHERE duration_s IS NOT NULL GROUP BY "
         f"endpoint",
-    "e3_latency_stats": f"""WITH {_LOG}, o AS (SELECT endpoint, list(duration_s ORDER BY duration_s) AS x, count(*) AS n, round(avg(duration_s), 6) AS
+    "e3_latency_stats": f"""WITH {_LOG}, o AS (SELECT endpoint, list(duration_s ORDER BY duration_s) AS x, count(*) AS n, round(count(*) FILTER (status < 500) * 100.0 / count(*), 6) AS success_rate, round(avg(duration_s), 6) AS
             mean, round(median(duration_s), 6) AS median FROM l GROUP BY endpoint),
         p AS (SELECT *, greatest(1, least((19 * (n + 1)) // 20, n - 1)) AS low FROM o)
-        SELECT endpoint, n, mean, median, round((x[low] * (20 - (19 * (n + 1) - 20 * low)) + x[low + 1] * (19 * (n + 1) - 20 * low)) / 20, 6) AS p95 FROM p""",
-    "e4_top_errors": f"WITH {_LOG} SELECT subject, count(*) AS n FROM l WHERE status >= 500 GROUP BY subject ORDER BY n DESC, subject LIMIT 3",
+        SELECT endpoint, n, success_rate, mean, median, round((x[low] * (20 - (19 * (n + 1) - 20 * low)) + x[low + 1] * (19 * (n + 1) - 20 * low)) / 20, 6) AS p95 FROM p""",
+    "e4_top_errors": f"WITH {_LOG} SELECT error, count(*) AS n FROM l WHERE status >= 500 GROUP BY error ORDER BY n DESC, error LIMIT 3",
     "m1_windowed_counts": f"WITH {_LOG}, {_WIN} SELECT * FROM y",
     "m2_histogram": f"WITH {_HIST} SELECT endpoint, le, n FROM h",
     "m3_quantile": f"""WITH {_HIST}, g AS (SELECT *, coalesce(lag(le) OVER o, 0) AS low, coalesce(lag(n) OVER o, 0) AS before, max(n) OVER (PARTITION
@@ -336,8 +353,16 @@ ORACLE_SQL = {
             round(duration_s * 1000 * 1e6)::BIGINT, -1 FROM l),
         z AS (SELECT endpoint, sum(d) OVER (PARTITION BY endpoint ORDER BY t, d ROWS UNBOUNDED PRECEDING) AS now FROM v) SELECT endpoint,
             max(now)::BIGINT AS most FROM z GROUP BY endpoint""",
-    "m10_history": f"WITH {_LOG} SELECT endpoint, count(*) AS n, count(*) FILTER (status < 500) AS n_success, count(*) FILTER (cached) AS n_cached "
-        f"FROM l GROUP BY endpoint",
-    "s8_history_rows": f"WITH {_LOG} SELECT endpoint AS route, sha256('q' || subject) AS query_hash, len('q' || subject)::INTEGER AS query_length, "
-        f"status < 500 AS success, count(*) AS n FROM l GROUP BY ALL",
+    "m9_changes": f"""WITH {_LOG}, v AS (SELECT endpoint, epoch_us(ts) AS "at", 1 AS d FROM l UNION ALL SELECT endpoint, epoch_us(ts) +
+            round(duration_s * 1000 * 1e6)::BIGINT, -1 FROM l), g AS (SELECT endpoint, "at", sum(d) AS change FROM v GROUP BY ALL),
+        z AS (SELECT *, sum(change) OVER (PARTITION BY endpoint ORDER BY "at" ROWS UNBOUNDED PRECEDING)::BIGINT AS in_flight FROM g) SELECT endpoint, "at", in_flight FROM z WHERE change <> 0""",
+    "m9_series": f"""WITH {_LOG}, v AS (SELECT endpoint, epoch_us(ts) AS s, epoch_us(ts) + round(duration_s * 100 * 1e6)::BIGINT AS e FROM l),
+        x AS (SELECT *, unnest(range(s // 15000000, e // 15000000 + 1)) AS k FROM v),
+        y AS (SELECT endpoint, k, count(*) FILTER (e >= (k + 1) * 15000000) AS in_flight, round(sum(least(e, (k + 1) * 15000000) - greatest(s, k * 15000000))::DOUBLE / 15000000, 6) AS mean FROM x GROUP BY ALL)
+        SELECT endpoint, (k + 1) * 15 AS at, in_flight, mean FROM y WHERE in_flight <> 0 OR mean <> 0""",
+    "m10_history": f"WITH {_LOG} SELECT endpoint AS route, 'model-' || event_id % 3 AS model, count(*) AS n, count(*) FILTER (status < 500) AS n_success, count(*) FILTER (cached) AS n_cached "
+        f"FROM l GROUP BY ALL",
+    "s8_history_rows": f"""WITH {_LOG}, h AS (SELECT *, 'q' || coalesce(subject::VARCHAR, '') AS query FROM l) SELECT epoch_us(ts) AS created_at, endpoint AS route, sha256(query) AS query_hash, len(query)::INTEGER AS query_length,
+        'model-' || event_id % 3 AS model, status < 500 AS success, cached, round(duration_s * 1000, 3) AS response_ms, 't-' || event_id AS trace_id, error,
+        '{{' || CASE WHEN subject IS NULL THEN '' ELSE '"subject":' || subject || ',' END || '"event":' || event_id || '}}' AS metadata FROM h""",
 }

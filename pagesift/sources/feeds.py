@@ -16,14 +16,13 @@ def _flat(column) -> F.Column:
 
 
 def encyclopedia_candidates(raw: DataFrame) -> DataFrame:
-    """raw(query_id, json) of an encyclopedia's search: pos, title, url and snippet of each hit."""
+    """raw(query_id, json) of an encyclopedia's search: pos, title, url and snippet of each hit with a title, each URL once."""
     parsed = F.from_json("json", "query struct<search:array<struct<title:string,snippet:string>>>")
     rows = raw.select("query_id", F.posexplode(parsed["query"]["search"]).alias("pos", "hit"))
-    page = F.replace(F.url_encode(F.replace(F.col("hit.title"), F.lit(" "), F.lit("_"))), F.lit("+"), F.lit("%20"))
-    return rows.select(
-        "query_id", "pos", F.col("hit.title").alias("title"), F.concat(F.lit("https://en.wikipedia.org/wiki/"), page).alias("url"),
-        _flat(F.col("hit.snippet")).alias("snippet")
-    )
+    title = F.trim("hit.title")
+    page = U.quote_plus(F.replace(title, F.lit(" "), F.lit("_")))
+    rows = rows.select("query_id", "pos", title.alias("title"), F.concat(F.lit("https://en.wikipedia.org/wiki/"), page).alias("url"), _flat(F.col("hit.snippet")).alias("snippet"))
+    return _once(rows.where("title <> ''"))
 
 
 def feed_candidates(raw: DataFrame) -> DataFrame:
@@ -84,15 +83,18 @@ def filter_feed_by_query(items: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def story_candidates(raw: DataFrame) -> DataFrame:
-    """raw(query_id, json) of a story search: rows without title or URL go; a story's own fields stand in for missing ones."""
-    parsed = F.from_json("json", "hits array<struct<title:string,story_title:string,url:string,story_url:string,created_at:string>>")
+    """raw(query_id, json) of a story search: rows without title or URL go; a story's own fields stand in for missing ones; each URL once.
+
+    The snippet is the start of the hit's highlights, as their JSON text.
+    """
+    parsed = F.from_json("json", "hits array<struct<title:string,story_title:string,url:string,story_url:string,created_at:string,_highlightResult:string>>")
     rows = raw.select("query_id", F.posexplode(parsed["hits"]).alias("pos", "h"))
-    either = lambda a, b: F.coalesce(F.nullif(F.col(f"h.{a}"), F.lit("")), F.nullif(F.col(f"h.{b}"), F.lit("")))
+    either = lambda a, b: F.trim(F.coalesce(F.nullif(F.col(f"h.{a}"), F.lit("")), F.col(f"h.{b}")))
     rows = rows.select(
         "query_id", "pos", either("title", "story_title").alias("title"), either("url", "story_url").alias("url"),
-        F.col("h.created_at").alias("publication_date")
+        F.substring(F.coalesce("h._highlightResult", F.lit("{}")), 1, 240).alias("snippet"), F.col("h.created_at").alias("publication_date")
     )
-    return rows.where("title is not null and url is not null")
+    return _once(rows.where("title <> '' and url <> ''"))
 
 
 def answer_candidates(raw: DataFrame) -> DataFrame:

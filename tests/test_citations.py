@@ -136,3 +136,55 @@ def test_answers_and_atom(spark):
     atom = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>One</title><link href="http://a/1"/><link href="http://a/b"/><summary>About</summary><updated>2024</updated></entry><entry><title>Two</title></entry></feed>'
     raw = spark.createDataFrame([(1, atom), (2, "<"), (3, None)], "query_id long, xml string")
     assert [tuple(r) for r in feeds.feed_candidates(raw).collect()] == [(1, 0, "One", "http://a/1", "About", "2024")]
+
+
+def test_the_same_batch_twice_adds_nothing(spark, tmp_path):
+    log = spark.createDataFrame([(dt.datetime(2024, 1, 1, 5), "r", "secret", 200, 1.5), (dt.datetime(2024, 1, 2), None, None, 500, 0.0)], "ts timestamp, endpoint string, query string, status int, duration_s double")
+    log = log.withColumns({"model": F.lit("m"), "cached": F.lit(True), "trace_id": F.lit("t"), "error": F.lit(None).cast("string"), "metadata": F.struct(F.lit(1).alias("k"))})
+    rows, path = history.history_rows(log), str(tmp_path / "h")
+    for batch in (0, 1, 1, 0):
+        history.append_history(rows, path, batch)
+    back = history.read_history(spark, path)
+    assert back.count() == 4 and {r.metadata for r in back.collect()} == {'{"k":1}'} and len(rows.columns) == 11
+    assert sorted(map(str, history.history_snapshot(back).collect())) == ["Row(route='r', model='m', n=2, n_success=2, n_cached=2)", "Row(route=None, model='m', n=2, n_success=0, n_cached=2)"]
+
+
+def test_history_of_a_stream(spark, tmp_path):
+    log = spark.createDataFrame([(dt.datetime(2024, 1, 1, 5), "r", "secret", 200, 1.5)] * 3, "ts timestamp, endpoint string, query string, status int, duration_s double")
+    for k in range(2):
+        log.write.mode("append").parquet(str(tmp_path / "in"))
+        arriving = spark.readStream.schema(log.schema).parquet(str(tmp_path / "in"))
+        history.stream_history(arriving, str(tmp_path / "h"), str(tmp_path / "c")).awaitTermination()
+        assert history.read_history(spark, str(tmp_path / "h")).count() == 3 * (k + 1)
+
+
+def test_a_query_with_very_many_results_stays_bounded(spark):
+    rows = spark.range(1_000_000).select(
+        F.floor(F.col("id") / 10_000_000).alias("query_id"), F.col("id").alias("pos"), F.lit("t").alias("title"), F.lit("s").alias("source"), F.lit("u").alias("url"), F.lit(None).cast("string").alias("publication_date"),
+        F.repeat(F.lit("word "), F.lit(50)).alias("content"), (F.col("id") % 5 + 1).alias("source_tier"), F.lit(0.5).alias("relevance_score")
+    )
+    packed = results.context_pack(results.number_citations(rows))
+    r = packed.first()
+    assert r.n_sources == 15 and r.total_chars == 15 * 250 and "[Tier 1]" in r.context and "[Tier 2]" not in r.context
+    assert "WindowGroupLimit" in packed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tiers_documentation_and_answers(spark):
+    rows = spark.createDataFrame(
+        [(1, 0, "https://docs.python.org/3/", 1, None, "x"), (1, 1, "https://a.example/", 9, None, "x"), (2, 0, "https://docs.python.org/3/", 1, "timeout", "x"), (2, 1, "https://b.example/", 2, None, "")],
+        "query_id long, pos int, url string, source_tier int, error string, content string"
+    )
+    assert sorted(map(tuple, results.tier_summary(rows).collect())) == [(1, 1, 1, "Official/Institutional"), (1, 9, 1, "Tier 9")]
+    assert sorted(map(tuple, results.official_doc_hits(rows).collect())) == [(1, "https://docs.python.org/3/", True), (2, "", False)]
+
+
+def test_one_exchange_by_query(spark):
+    """Merging bounds candidates in two exchanges; from there on all is dealt by query once."""
+    from pagesift.plans import queries as plans
+
+    plan = plans.QUERIES["r9_diversity_topk"](spark, "/root/testdata/sf0.001")
+    plan.collect()
+    text = plan._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    dealt = [line for line in text.split("\n") if " Exchange hashpartitioning(" in line or "- Exchange hashpartitioning(" in line]
+    assert len([line for line in dealt if "hashpartitioning(query_id#" in line and ", provider" not in line]) == 1, text
+    assert len(dealt) <= 3 and text.count("pages.parquet") == 1

@@ -48,7 +48,7 @@ def test_json_payloads(spark):
         [(1, json.dumps({"hits": [{"title": None, "story_title": "S", "url": "", "story_url": "http://s"}, {"title": "T"}]}))],
         "query_id long, json string"
     )
-    assert values(feeds.story_candidates(raw)) == [(1, 0, "S", "http://s", None)]
+    assert values(feeds.story_candidates(raw)) == [(1, 0, "S", "http://s", "{}", None)]
 
 
 def test_result_pages(spark):

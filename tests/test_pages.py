@@ -1,5 +1,7 @@
 """Page extraction: links, metadata, images and text of pages that are not tidy."""
 
+from pyspark.sql import functions as F
+
 from pagesift.functions.html import extract
 from pagesift.operators import pages
 from pagesift.sources.pages import read_pages
@@ -74,3 +76,75 @@ def test_tables(spark, tmp_path):
         "checkpointLocation", str(tmp_path / "state")
     ).trigger(availableNow=True).start()
     assert query.awaitTermination(60) and spark.table("arriving").count() == 2
+
+
+def test_page_passes_take_time_in_proportion():
+    import time
+
+    from pagesift.functions import serp
+    from pagesift.functions.html import extract
+    from pagesift.functions.text import sanitize
+
+    def seconds(run, text):
+        best = 9.0
+        for _ in range(2):
+            began = time.perf_counter()
+            run(text)
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    extracted = lambda t: extract("http://a.example/", t)
+    cases = {
+        "unclosed p": (extracted, lambda n: "<body>" + "<p>word" * n), "unclosed li": (extracted, lambda n: "<body>" + "<li>word</b>" * n),
+        "result page": (lambda t: serp.hits(t, "duckduckgo"), lambda n: '<div class="result">' + "<li>word</b>" * n),
+        "open fences": (lambda t: sanitize(t, 8000), lambda n: "```py\nx " * n),
+    }
+    for name, (run, text) in cases.items():
+        small, large = seconds(run, text(8_000)), seconds(run, text(32_000))
+        assert large <= 6 * small + 0.05 and seconds(run, text(16_000)) < 0.5, (name, small, large)
+
+
+def test_spaced_lists_of_many_lines(spark):
+    import time
+
+    from pagesift.functions import text as T
+
+    lines = spark.range(1).select(T.spaced_lists(F.repeat(F.lit("word\n- item\n"), F.lit(16_000))).alias("x"))
+    began = time.time()
+    assert lines.select(F.length("x")).first()[0] == 16_000 * 13
+    assert time.time() - began < 2
+
+
+def test_addresses_against_the_standard_library(spark):
+    import ipaddress
+    import random
+
+    from pagesift.functions import urls as U
+
+    def want(text):
+        try:
+            ip = ipaddress.ip_address(text.partition("%")[0])
+        except ValueError:
+            return None
+        return (getattr(ip, "ipv4_mapped", None) or ip).is_global
+
+    rng = random.Random(1)
+    some = ["", "1.2.3", "01.2.3.4", "1.2.3.256", "::", "::1", "1::2::3", ":::", "fe80::1%eth0", "::ffff:8.8.8.8", "64:ff9b::1.2.3.4", "12345::", "1:2:3:4:5:6:7::", "1:2:3:4:5:6:7:8:9", "::1.2.3", ":1:2:3:4:5:6:7", "host", "::1\n"]
+    for _ in range(2000):
+        four = ipaddress.ip_address(rng.getrandbits(32))
+        edge = int(rng.choice(["a00", "7f00", "a9fe", "ac10", "ac20", "c000", "c0a8", "c612", "cb00", "f000", "6440", "6480"]).ljust(8, "0"), 16) + rng.randrange(-3, 700)
+        six = ipaddress.IPv6Address((rng.choice([0x2001, 0x2002, 0xFC00, 0xFE80, 0xFEC0, 0x0064, 0x2606]) << 112) + rng.getrandbits(rng.choice([3, 40, 112])))
+        some += [str(four), str(ipaddress.ip_address(edge % 2**32)), str(six), six.exploded.upper(), f"::ffff:{four}"]
+    df = spark.createDataFrame([(x,) for x in some], "x string").select("x", U.public_address(F.col("x")).alias("public"))
+    assert [(r.x, r.public) for r in df.collect() if r.public != want(r.x)] == []
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_best_of_several_scrapes(spark):
+    base = spark.createDataFrame([("a", "short", "timeout"), ("b", "long enough", None), ("c", None, None)], "url string, content string, error string")
+    again = spark.createDataFrame(
+        [("a", "a longer text", None), ("a", "middling", None), ("a", "the longest text of all", "timeout"), ("b", "x", None), ("c", None, None)],
+        "url string, content string, error string"
+    )
+    got = sorted(map(tuple, pages.prefer_rescrapes(base, again).collect()))
+    assert got == [("a", "a longer text", None), ("b", "long enough", None), ("c", None, None)]

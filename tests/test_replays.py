@@ -131,3 +131,24 @@ def test_error_spells_over_midnight(spark):
     got = sorted(map(tuple, monitor.error_rate_alert(log).collect()))
     assert got == [(86_400 - 585, 86_400 + 885 + 300), (3 * 86_400 - 15, 5 * 86_400 + 45 + 300), (7 * 86_400 + 15, 7 * 86_400 + 345)]
     assert [x for x in map(tuple, monitor.error_rate_alert(log, hold=400).collect())].__len__() == 2
+
+
+def test_requests_without_a_key(spark):
+    """Anonymous requests and those of no known endpoint are keys of their own; no row is lost."""
+    rows = [(k, BASE + dt.timedelta(seconds=k % 40), ("a", None, "b")[k % 3], (None, 7)[k % 2], 200 if k % 5 else 500, 1.0) for k in range(60)]
+    log = spark.createDataFrame(rows, "event_id long, ts timestamp, endpoint string, subject long, status int, duration_s double")
+    named = log.fillna({"endpoint": "none", "subject": -1})
+    for run in (lambda x: replay.rate_limit(x, 2, 30.0), lambda x: replay.ttl_cache(x, 5.0), lambda x: replay.circuit_breaker(x, 2, 4.0)):
+        got = sorted(map(tuple, run(log).collect()))
+        assert len(got) == 60 and got == sorted(map(tuple, run(named).collect()))
+    for run in (lambda x: monitor.in_flight(x, "endpoint"), lambda x: monitor.in_flight_changes(x, "endpoint"), lambda x: monitor.in_flight_series(x, "endpoint"), lambda x: monitor.latency_stats(x, "endpoint")):
+        got = run(log).fillna({"endpoint": "none"}).collect()
+        assert {r.endpoint for r in got} == {"a", "b", "none"} and sorted(map(str, got)) == sorted(map(str, run(named).collect()))
+
+
+def test_in_flight_series_by_hand(spark):
+    log = spark.createDataFrame([(BASE, 20.0), (BASE + dt.timedelta(seconds=10), 50.0), (BASE + dt.timedelta(seconds=600), 3.0)], "ts timestamp, duration_s double").withColumn("endpoint", F.lit("a"))
+    at = int(BASE.replace(tzinfo=dt.timezone.utc).timestamp())
+    start = at - at % 15
+    got = [(r["at"] - start, r.in_flight, r["mean"]) for r in monitor.in_flight_series(log, "endpoint").orderBy("at").collect()]
+    assert at == start and got == [(15, 2, round(20 / 15, 6)), (30, 1, round(20 / 15, 6)), (45, 1, 1.0), (60, 1, 1.0), (615, 0, 0.2)]
