@@ -18,7 +18,9 @@ Null and empty texts have no spans; repeated rows and clashing columns don't mat
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -262,11 +264,12 @@ def learn(docs: DataFrame, sample: int = 2000, shapes: int = 150, hidden: float
 def all_spans(text: str, model: SemiMarkov) -> tuple[list, list]:
     """Base spans, and all spans, as (start, kind, end)."""
     base = base_spans(text)
-    added, covered = [], [(s, e) for s, _, e in base]
+    begins, reach, added = [s for s, _, _ in base], [*accumulate((e for _, _, e in base), max)], []
     for starts, shapes in islands(text):
         for i, kind, j in model.decode(shapes):
             s, e = starts[i], starts[j]
-            if not any(s < b and a < e for a, b in covered if a < e and b > s):
+            before = bisect_left(begins, e)  # of base spans that begin ahead of its end, none may reach beyond its start
+            if not before or reach[before - 1] <= s:
                 added.append((s, kind, e))
     return base, sorted(base + added)
 

@@ -11,13 +11,17 @@ are one code from the start, with their least ids; so are queries of equal codes
 on a bounded sample of vectors); all codes within a radius, also fitted on the sample, are reranked by inner products.
 
 Codes (or rows) are dealt into blocks by a hash, and so are the queries; each pair of blocks is a task's work, with an
-index of its own, and gives the best of each query, of which the best over all blocks are kept.
+index of its own, and gives the best of each query, of which the best over all blocks are kept. An index is probed by
+address: a table holds for each value of a segment where its rows begin, and the values at a radius are the query's own
+with so many bits flipped. Many queries are probed at once.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part; repeated rows are one, and of
 several vectors of a vec_id the least (by components in order) stands for it; a query meets only vectors of its own
 dimension; ties go to the smaller vec_id; with fewer than k candidates all are returned. Only vec_id and embedding are read.
 """
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 
 from pagesift.llm.common import saved
 
-QUERIES, ROWS, BLOCKS = 8192, 16_384, 8
+QUERIES, ROWS, CODES, PAIRS = 8192, 16_384, 1 << 19, 8
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -43,10 +47,15 @@ def _matrix(table: pa.Table) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
+def _blocks(n_queries: int, n_rows: int, size: int) -> tuple[int, int]:
+    """Blocks of queries and of rows: of bounded size, rows in as few as may be, and pairs of blocks enough to share the work."""
+    n_r = max(1, -(-n_rows // size))
+    return max(1, -(-n_queries // QUERIES), -(-PAIRS // n_r)), n_r
+
+
 def in_blocks(rows: DataFrame, every: int, k: int, search) -> DataFrame:
     """query_id, rank, vec_id and score: search(candidates, queries) in each pair of blocks, then the k best of each query."""
-    n = rows.select("vec_id").count()
-    n_q, n_r = max(1, -(-n // every // QUERIES)), max(BLOCKS, -(-n // ROWS))
+    n_q, n_r = _blocks(-(-(n := rows.select("vec_id").count()) // every), n, ROWS)
     candidates = rows.withColumn(
         "r", F.pmod(F.xxhash64("vec_id"), F.lit(n_r))
     ).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)).cast("array<bigint>")))
@@ -72,39 +81,95 @@ def in_blocks(rows: DataFrame, every: int, k: int, search) -> DataFrame:
 def segments(bits: np.ndarray, width: int) -> np.ndarray:
     """Codes (rows of bits) as numbers of `width` bits, a column for each segment."""
     bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % width)))
-    return bits.reshape(len(bits), -1, width) @ (1 << np.arange(width))
+    return (bits.reshape(len(bits), -1, width) @ (1 << np.arange(width))).astype(np.uint16)
+
+
+@functools.lru_cache
+def flips(width: int) -> list[np.ndarray]:
+    """By radius: what turns an address of `width` bits into those at just this Hamming distance."""
+    masks = np.arange(1 << width, dtype=np.uint16)
+    return [masks[np.bitwise_count(masks) == radius] for radius in range(width + 1)]
+
+
+def packed(values: np.ndarray) -> np.ndarray:
+    """Codes in segments as rows of 64-bit words."""
+    return np.ascontiguousarray(np.pad(values, ((0, 0), (0, -values.shape[1] % 4)))).view(np.uint64)
 
 
 class Index:
-    """Codes in an index for each segment: the rows in order of its values, and where each value begins."""
+    """Codes in a table for each segment: the rows in order of its values, and for each address where its rows begin."""
 
-    def __init__(self, bits: np.ndarray, width: int, values: np.ndarray | None = None):
-        self.values, self.width = segments(bits, width) if values is None else values, width
-        self.n = self.values.shape[1]
-        self.order = np.argsort(self.values, 0, kind="stable")
-        each = [np.unique(self.values[:, s], return_counts=True) for s in range(self.n)]
-        self.known = [v for v, _ in each]
-        self.starts = [np.append(0, np.cumsum(n)) for _, n in each]
+    def __init__(self, values: np.ndarray, width: int):
+        self.values, self.width, self.n = values, width, values.shape[1]
+        self.order = [np.argsort(values[:, s], kind="stable").astype(np.int32) for s in range(self.n)]
+        self.starts = [np.append(0, np.cumsum(np.bincount(values[:, s], minlength=1 << width))).astype(np.int32) for s in range(self.n)]
+        whole = packed(values)
+        self.codes = [whole[order] for order in self.order]  # in order of each segment, so that an address's codes lie side by side
 
-    def at(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Rows with a segment at just this Hamming distance from the code's, one entry for each such segment."""
-        near = [np.bitwise_count(self.known[s] ^ code[s]) == radius for s in range(self.n)]
-        return np.concatenate([self.order[np.repeat(x, np.diff(self.starts[s])), s] for s, x in enumerate(near)])
+    def at(self, queries: np.ndarray, radius: int, upto: int | None = None, bound: np.ndarray | None = None):
+        """Which query, row and whole distance of all codes found by probing the first `upto` segments (all) at this radius,
+        of those alone that are no farther than the query's bound.
 
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Rows that probing retrieves: those with a segment near enough that the whole code may be within the radius.
+        A code is found where its nearest segment is, once: nearer ones were found at smaller radii.
+        """
+        masks, found, wanted = flips(self.width)[radius], [], packed(queries)
+        # about as many codes at once as a processor's cache holds
+        for a in range(0, len(queries), step := max(1, (1 << 16) // (len(masks) * max(1, len(self.values) >> self.width)))):
+            part = queries[a : a + step]
+            for s in range(self.n if upto is None else upto):
+                address = (part[:, s, None] ^ masks).ravel()
+                low = self.starts[s][address]
+                n = self.starts[s][1:][address] - low
+                each = n.reshape(len(part), -1).sum(1)
+                place = np.repeat(low - np.cumsum(n, dtype=np.int32) + n, n)
+                place += np.arange(len(place), dtype=np.int32)
+                far = np.bitwise_count(self.codes[s][place] ^ np.repeat(wanted[a : a + step], each, axis=0))
+                far = far[:, 0] if far.shape[1] == 1 else far.sum(1, dtype=np.int32)
+                who = np.repeat(np.arange(a, a + len(part), dtype=np.int32), each)
+                if bound is not None:
+                    near = np.flatnonzero(far <= bound[who])
+                    who, place, far = who[near], place[near], far[near]
+                rows = self.order[s][place]
+                apart = np.bitwise_count(self.values[rows] ^ queries[who])
+                new = (apart >= radius).all(1) & ~(apart[:, :s] == radius).any(1)
+                found.append((who[new].astype(np.int64), rows[new], far[new].astype(np.int64)))
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+
+    def within(self, queries: np.ndarray, radius: int):
+        """Which query, row and distance of all codes that probing retrieves for whole distances up to the radius.
 
         Within the radius some segment is within a share of it: `least`, or one less for the segments past `extra`.
         """
         least, extra = divmod(radius, self.n)
-        seen = np.zeros(len(self.values), bool)
-        for s in range(self.n):
-            near = np.bitwise_count(self.known[s] ^ code[s]) <= (least if s <= extra else least - 1)
-            seen[self.order[np.repeat(near, np.diff(self.starts[s])), s]] = True
-        return np.flatnonzero(seen)
+        parts = [self.at(queries, r) for r in range(min(least, self.width + 1))]
+        if least <= self.width:
+            parts.append(self.at(queries, least, extra + 1))
+        return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
-    def distances(self, code: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(self.values[rows] ^ code).sum(1).astype(np.int64)
+    def nearest(self, queries: np.ndarray, k: int, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
+        """Which query, distance and id of the k nearest ids: of the code in row i, ids[starts[i]] and the next, sizes[i] in all.
+
+        Radii grow together until the k-th verified distance is covered: codes not found yet differ by more than the
+        radius in every segment.
+        """
+        who, far, best = (np.zeros(0, np.int64) for _ in range(3))
+        active, bound = np.arange(len(queries)), np.full(len(queries), 1 << 30)  # distance of the k-th so far
+        for radius in range(self.width + 1):
+            if not len(active):
+                break
+            q, rows, d = self.at(queries[active], radius, bound=bound[active])
+            q = active[q]
+            n = sizes[rows]
+            each = np.repeat(starts[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            who, far, best = np.append(who, np.repeat(q, n)), np.append(far, np.repeat(d, n)), np.append(best, ids[each])
+            order = np.lexsort((best, far, who))
+            who, far, best = who[order], far[order], best[order]
+            place = np.arange(len(who)) - np.searchsorted(who, who)
+            last = place == k - 1
+            bound[who[last]] = far[last]
+            who, far, best = who[place < k], far[place < k], best[place < k]
+            active = active[bound[active] >= self.n * (radius + 1)]
+        return who, far, best
 
 
 def _best(ids: np.ndarray, keys: np.ndarray, k: int) -> np.ndarray:
@@ -115,9 +180,13 @@ def _firsts(rows: DataFrame, n: int, by: list[str], *order) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= n)
 
 
-def exact_top_k(vectors: DataFrame, every: int = 100, k: int = 10, width: int = 16) -> DataFrame:
+def exact_top_k(vectors: DataFrame, every: int = 100, k: int = 10, width: int | None = None) -> DataFrame:
     """query_id, rank, vec_id and distance: the k rows nearest by Hamming distance of sign codes (component > 0) to each
-    row whose id is divisible by `every`, exactly. Segments have `width` bits (about log2 of the number of rows in a block)."""
+    row whose id is divisible by `every`, exactly. Segments have `width` bits: by default about log2 of the rows in a block,
+    4 at least and 16 at most."""
+    if width is None:
+        n = vectors.count()
+        width = int(np.clip(round(np.log2(max(1, n / _blocks(1, n, CODES)[1]))), 4, 16))
 
     def coded(batches):
         for batch in batches:
@@ -134,7 +203,7 @@ def exact_top_k(vectors: DataFrame, every: int = 100, k: int = 10, width: int =
     # more ids of one code than a result can hold never matter
     codes = saved(_firsts(rows, k + 1, of, "vec_id").groupBy(*of).agg(F.array_sort(F.collect_list("vec_id")).alias("ids")))
     asked = rows.where(F.col("vec_id") % every == 0).select("dim", F.col("code").alias("query"), F.col("vec_id").alias("query_id"))
-    n_q, n_r = max(1, -(-asked.count() // QUERIES)), max(BLOCKS, -(-codes.count() // ROWS))
+    n_q, n_r = _blocks(asked.count(), codes.count(), CODES)
     deal = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n))
     every_one = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
     left = codes.withColumn("r", deal("code", n_r)).withColumn("q", every_one(n_q))
@@ -142,34 +211,19 @@ def exact_top_k(vectors: DataFrame, every: int = 100, k: int = 10, width: int =
 
     def numbers(column: pa.ChunkedArray) -> np.ndarray:
         column = column.combine_chunks()
-        return column.flatten().to_numpy().reshape(len(column), -1)
+        return column.flatten().to_numpy().reshape(len(column), -1).astype(np.uint16)
 
     def run(codes: pa.Table, queries: pa.Table) -> pa.Table:
-        out = []
+        out = [pa.nulls(0, t) for t in kinds]
         if len(codes) and len(queries):
-            index = Index(None, width, numbers(codes.column("code")))
             lists = codes.column("ids").combine_chunks()
-            ids, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
-            starts = np.cumsum(sizes) - sizes
-            for query in numbers(queries.column("query")):
-                seen, found, far = np.zeros(len(codes), bool), np.zeros(0, np.int64), np.zeros(0, np.int64)
-                for radius in range(width + 1):
-                    new = np.unique(index.at(query, radius))
-                    new = new[~seen[new]]
-                    seen[new] = True
-                    n = sizes[new]
-                    each = np.repeat(starts[new] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                    found, far = np.append(found, ids[each]), np.append(far, np.repeat(index.distances(query, new), n))
-                    best = _best(found, far, k + 1)
-                    found, far = found[best], far[best]
-                    # codes not found yet differ by more than the radius in every segment
-                    if seen.all() or len(found) > k and far[-1] < index.n * (radius + 1):
-                        break
-                out += [(queries.column("dim")[0].as_py(), query, d, i) for d, i in zip(far.tolist(), found.tolist(), strict=True)]
-        columns = zip(*out, strict=True) if out else [()] * 4
-        kinds = (pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.int64())
-        return pa.table([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=[*key, "distance", "vec_id"])
+            ids, sizes, wanted = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()), numbers(queries.column("query"))
+            who, far, best = Index(numbers(codes.column("code")), width).nearest(wanted, k + 1, ids, np.cumsum(sizes) - sizes, sizes)
+            own = queries.column("query").combine_chunks().take(pa.array(who))
+            out = [pa.array(np.full(len(who), queries.column("dim")[0].as_py()), pa.int32()), own, pa.array(far, pa.int32()), pa.array(best, pa.int64())]
+        return pa.table(out, names=[*key, "distance", "vec_id"])
 
+    kinds = (pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.int64())
     met = left.groupBy("q", "r", "dim").cogroup(right.groupBy("q", "r", "dim"))
     best = _firsts(met.applyInArrow(run, "dim int, query array<int>, distance int, vec_id long"), k + 1, key, "distance", "vec_id").drop("rank")
     out = _firsts(asked.join(best, key).where("query_id <> vec_id"), k, ["query_id"], "distance", "vec_id")
@@ -218,17 +272,24 @@ def approximate_top_k(vectors: DataFrame, every: int = 20, k: int = 20, sample:
 
     def search(ids, rows, query_ids, queries):
         model = codes[rows.shape[1]]
-        index, query_codes = Index(model.bits(rows), width), segments(model.bits(queries), width)
-        for i, q in enumerate(query_ids):
-            radius, others = model.radius, int((ids != q).sum())
-            while True:  # wider only where a block holds too few
-                found = index.within(query_codes[i], radius)
-                found = found[(index.distances(query_codes[i], found) <= radius) & (ids[found] != q)]
-                if len(found) >= min(k, others) or radius >= index.n * width:
-                    break
-                radius += index.n
-            scores = (rows[found] * queries[i]).sum(1)
-            best = _best(ids[found], -scores, k)
-            yield q, ids[found[best]], scores[best]
+        index = Index(segments(model.bits(rows), width), width)
+        for a in range(0, len(query_ids), 16):
+            part, wanted = query_ids[a : a + 16], segments(model.bits(queries[a : a + 16]), width)
+            left, radius = np.arange(len(part)), model.radius
+            while len(left):  # wider only where a block holds too few
+                who, found, far = index.within(wanted[left], radius)
+                who = left[who]
+                near = (far <= radius) & (ids[found] != part[who])
+                who, found = who[near], found[near]
+                short = []
+                for i in left.tolist():
+                    own = found[who == i]
+                    if len(own) < min(k, int((ids != part[i]).sum())) and radius < index.n * width:
+                        short.append(i)
+                        continue
+                    scores = (rows[own] * queries[a + i]).sum(1)
+                    best = _best(ids[own], -scores, k)
+                    yield part[i], ids[own[best]], scores[best]
+                left, radius = np.array(short, np.int64), radius + index.n
 
     return in_blocks(rows, every, k, search)

@@ -91,16 +91,18 @@ def test_probes_read_a_part_of_the_codes(spark, capsys):
     """Recall at the share of codes that probing retrieves and of vectors that are reranked."""
     x = np.array([r.embedding for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("embedding").collect()], float)
     model = search.Codes(x[:5000], 20, 0.92)
-    index, codes = search.Index(model.bits(x), 16), search.segments(model.bits(x), 16)
+    codes = search.segments(model.bits(x), 16)
+    index, asked = search.Index(codes, 16), np.arange(0, len(x), 40)
+    who, found, far = index.within(codes[asked], model.radius)
     probed = reranked = hits = 0
-    asked = range(0, len(x), 40)
-    for i in asked:
-        found = index.within(codes[i], model.radius)
-        near = found[index.distances(codes[i], found) <= model.radius]
-        every = index.distances(codes[i], np.arange(len(x))) <= model.radius
+    for k, i in enumerate(asked.tolist()):
+        own = found[who == k]
+        assert len(np.unique(own)) == len(own)
+        near = own[far[who == k] <= model.radius]
+        every = np.bitwise_count(codes ^ codes[i]).sum(1) <= model.radius
         assert every.sum() == len(near)  # the pigeonhole principle: probing loses no code within the radius
         top = np.argsort(-(x @ x[i]), kind="stable")[1:21]
-        probed, reranked, hits = probed + len(found), reranked + len(near), hits + len({*top} & {*near})
+        probed, reranked, hits = probed + len(own), reranked + len(near), hits + len({*top} & {*near})
     n = len(asked) * len(x)
     with capsys.disabled():
         print(
@@ -110,6 +112,65 @@ def test_probes_read_a_part_of_the_codes(spark, capsys):
     assert hits >= 0.9 * len(asked) * 20 and probed < 0.85 * n and reranked < 0.4 * n
 
 
+def test_probing_by_address_beats_the_scan_of_its_block(capsys):
+    """Exact nearest codes of 100 queries in a block of the size used, against a scan with a partial sort of all distances."""
+    import time
+
+    rng = np.random.default_rng(5)
+    codes = np.unique(rng.integers(0, 1 << 16, (search.CODES, 4), dtype=np.uint16), axis=0)
+    ids, one, wanted = np.arange(len(codes)), np.ones(len(codes), np.int64), codes[rng.choice(len(codes), 100, replace=False)]
+    index = search.Index(codes, 16)
+    index.nearest(wanted[:5], 11, ids, ids, one)
+    began = time.perf_counter()
+    who, far, best = index.nearest(wanted, 11, ids, ids, one)
+    probing, began, scanned = time.perf_counter() - began, time.perf_counter(), []
+    whole = np.ascontiguousarray(codes).view(np.uint64)[:, 0]
+    for q in np.ascontiguousarray(wanted).view(np.uint64)[:, 0]:
+        d = np.bitwise_count(whole ^ q).astype(np.int64) * len(codes) + ids
+        scanned.append(np.sort(np.partition(d, 10)[:11]))
+    scan = time.perf_counter() - began
+    assert [*(far * len(codes) + best).reshape(100, 11).ravel()] == [*np.concatenate(scanned)]
+    with capsys.disabled():
+        print(f"\n  100 exact searches in a block of {len(codes)} codes: probing {probing:.2f} s, scan {scan:.2f} s")
+    assert probing < scan
+
+
+def test_many_spans_take_time_in_proportion():
+    import time
+
+    model = pii.SemiMarkov()
+    text = "".join(f"user{k}@mail{k % 90}.example " for k in range(16_000))
+    began = time.perf_counter()
+    base = pii.base_spans(text)
+    alone = time.perf_counter() - began
+    model.decode = lambda shapes: [(0, 0, pii.length(shapes))]  # a span over each island
+    began = time.perf_counter()
+    assert pii.all_spans(text, model)[0] == base and len(base) == 16_000
+    islands = sum(1 for _ in pii.islands(text))
+    assert islands and time.perf_counter() - began < 2 + 3 * alone
+
+
+def test_model_spans_keep_off_base_spans():
+    rng = random.Random(8)
+
+    class Fixed(pii.SemiMarkov):
+        def decode(self, shapes):
+            n, r = pii.length(shapes), random.Random(str(shapes))
+            cuts = sorted(r.sample(range(n + 1), min(n + 1, 4)))
+            return [(a, 3, b) for a, b in zip(cuts[::2], cuts[1::2], strict=False)]
+
+    for _ in range(60):
+        text = " ".join(rng.choice(["a@b.de", "10.1.2.3", "4111 1111 1111 1111", "+49 (30) 1234567", "word", "12-3", "x@", "+1"]) for _ in range(30))
+        base, every = pii.all_spans(text, Fixed())
+        wanted = list(base)
+        for starts, shapes in pii.islands(text):
+            for i, kind, j in Fixed().decode(shapes):
+                s, e = starts[i], starts[j]
+                if not any(s < b and a < e for a, _, b in base):
+                    wanted.append((s, kind, e))
+        assert every == sorted(wanted)
+
+
 # pieces
 
 
