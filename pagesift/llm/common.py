@@ -1,6 +1,7 @@
 """Shared small helpers of the training-data operators: tables, scratch storage, text batches, word hashes."""
 
 import functools
+import re
 import uuid
 
 import numpy as np
@@ -21,8 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder name in the shared folder of the cluster (spark.checkpoint.dir); in the warehouse only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/pagesift-scratch"
+    """A new folder name in the shared folder of the cluster (spark.checkpoint.dir); in the warehouse only where that is unset.
+
+    A warehouse on a local disk will do for a single machine alone.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/pagesift-scratch"
+        if root.startswith(("file:", "/")) and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 

@@ -66,14 +66,17 @@ def keyed(docs: DataFrame) -> DataFrame:
     return with_size(docs).withColumn("key", -F.log(unit) / weight)
 
 
-def mix(docs: DataFrame, most: float = 3.0, steps: int = 256) -> DataFrame:
+def mix(docs: DataFrame, most: float = 3.0, steps: int | None = None, held: int = 4096) -> DataFrame:
     """doc_id, source, key, size, source_size, target, epochs and taken of every row of docs(doc_id, text, source, weight).
 
-    A document is in the mix taken / size times: epochs times, and once more at the start of its source's order.
+    A document is in the mix taken / size times: epochs times, and once more at the start of its source's order. Keys are put
+    in order in ranges of even steps of their logarithm, as fine as it takes for one to hold about `held` rows at most (a
+    step of an octave / n holds a quarter of an n-th of a source, where keys are densest); repeated rows share a key.
     """
     rows = saved(keyed(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "source", "size", "key"))
     sizes = saved(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     goals = saved(targets(sizes, most))
+    steps = steps or max(256, rows.count() // (4 * held))
     place = F.floor(F.log2("key") * steps).cast("long")
     out = rows.alias("r").join(_small(goals).alias("g"), _same("r", "g")).select("r.*", "source_size", "target", place.alias("place"))
     before = W.partitionBy("source").orderBy("place").rowsBetween(W.unboundedPreceding, -1)

@@ -232,27 +232,37 @@ def exact_top_k(vectors: DataFrame, every: int = 100, k: int = 10, width: int |
 
 class Codes:
     """Signs of rotated components of vectors of one dimension, fitted on a sample, and the radius that holds enough of
-    each one's k nearest in it."""
+    each one's k nearest in it. `more` further rotations give longer codes with a radius (`reach`) of their own, which sift
+    what the first code finds: it loses `lost` of the nearest."""
 
-    def __init__(self, sample: np.ndarray, k: int, recall: float, turns: int = 30):
+    def __init__(self, sample: np.ndarray, k: int, recall: float, turns: int = 30, more: int = 3, lost: float = 0.015):
         self.mean = sample.mean(0)
         centred = sample - self.mean
         _, axes = np.linalg.eigh(centred.T @ centred)
         projected = centred @ axes[:, ::-1]
-        turn = np.linalg.qr(np.random.default_rng(7).normal(size=(sample.shape[1],) * 2))[0]
-        for _ in range(turns):
-            u, _, v = np.linalg.svd(np.sign(projected @ turn).T @ projected)
-            turn = (u @ v).T
-        self.rotation = axes[:, ::-1] @ turn
-        bits = self.bits(sample)
+        rotations = []
+        for seed in range(7, 8 + more):
+            turn = np.linalg.qr(np.random.default_rng(seed).normal(size=(sample.shape[1],) * 2))[0]
+            for _ in range(turns):
+                u, _, v = np.linalg.svd(np.sign(projected @ turn).T @ projected)
+                turn = (u @ v).T
+            rotations.append(axes[:, ::-1] @ turn)
+        self.rotation, self.rotations = rotations[0], np.concatenate(rotations, axis=1)
+        bits, long = self.bits(sample), self.long(sample)
         packed = np.packbits(bits, axis=1)
-        distances = []
+        distances, far = [], []
         for i in range(0, len(sample), max(1, len(sample) // 500)):
             near = sample @ sample[i]
             near[i] = -np.inf
             top = np.argpartition(-near, min(k, len(sample) - 1) - 1)[:k] if len(sample) > 1 else []
             distances.append(np.bitwise_count(packed[top] ^ packed[i]).sum(1))
+            far.append(np.bitwise_count(long[top] ^ long[i]).sum(1))
         self.radius = int(np.quantile(np.concatenate(distances), recall, method="higher")) if len(sample) > 1 else sample.shape[1]
+        self.reach = int(np.quantile(np.concatenate(far), 1 - lost, method="higher")) if len(sample) > 1 else self.rotations.shape[1]
+
+    def long(self, rows: np.ndarray) -> np.ndarray:
+        """The longer codes, as rows of bytes."""
+        return np.packbits((rows - self.mean) @ self.rotations > 0, axis=1)
 
     def bits(self, rows: np.ndarray) -> np.ndarray:
         return (rows - self.mean) @ self.rotation > 0
@@ -260,7 +270,7 @@ class Codes:
 
 def approximate_top_k(vectors: DataFrame, every: int = 20, k: int = 20, sample: int = 5000, recall: float = 0.92, width: int = 16) -> DataFrame:
     """query_id, rank, vec_id and score: of each row whose id is divisible by `every`, the k rows with the largest inner
-    product among those whose codes are near. Rotation and radius come from about `sample` vectors of each dimension, one
+    product among those whose codes, the longer ones too, are near. Rotations and radii come from about `sample` vectors of each dimension, one
     dimension after the other; the radius is wide enough for `recall` of the nearest ones in the sample."""
     rows = saved(usable(vectors))
     sizes = {r.dim: r.n for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect()}
@@ -272,24 +282,26 @@ def approximate_top_k(vectors: DataFrame, every: int = 20, k: int = 20, sample:
 
     def search(ids, rows, query_ids, queries):
         model = codes[rows.shape[1]]
-        index = Index(segments(model.bits(rows), width), width)
+        index, long = Index(segments(model.bits(rows), width), width), model.long(rows)
         for a in range(0, len(query_ids), 16):
             part, wanted = query_ids[a : a + 16], segments(model.bits(queries[a : a + 16]), width)
-            left, radius = np.arange(len(part)), model.radius
+            left, radius, reach, asked = np.arange(len(part)), model.radius, model.reach, model.long(queries[a : a + 16])
             while len(left):  # wider only where a block holds too few
                 who, found, far = index.within(wanted[left], radius)
                 who = left[who]
                 near = (far <= radius) & (ids[found] != part[who])
                 who, found = who[near], found[near]
+                near = np.bitwise_count(long[found] ^ asked[who]).sum(1) <= reach
+                who, found = who[near], found[near]
                 short = []
                 for i in left.tolist():
                     own = found[who == i]
-                    if len(own) < min(k, int((ids != part[i]).sum())) and radius < index.n * width:
+                    if len(own) < min(k, int((ids != part[i]).sum())) and (radius < index.n * width or reach < 8 * long.shape[1]):
                         short.append(i)
                         continue
                     scores = (rows[own] * queries[a + i]).sum(1)
                     best = _best(ids[own], -scores, k)
                     yield part[i], ids[own[best]], scores[best]
-                left, radius = np.array(short, np.int64), radius + index.n
+                left, radius, reach = np.array(short, np.int64), radius + index.n, reach + len(model.rotations)
 
     return in_blocks(rows, every, k, search)
