@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagesift.llm import mixing, neardup, pieces, pii, toxicity
-from pagesift.llm.common import saved, table
+from pagesift.llm.common import Shelf, table
 from pagesift.llm.queries import fold, vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -56,9 +56,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = saved(docs)
-    return docs
+    """Each stage's result is written once; its input is taken down as soon as nothing reads it any more."""
+    docs, shelf, before = table(spark, sf_dir, "documents"), Shelf(spark), []
+    for _, stage in STAGES[:-1]:
+        docs = shelf.save(stage(spark, docs, sf_dir))
+        shelf.drop(*before)
+        before = [docs]
+    return STAGES[-1][1](spark, docs, sf_dir)
