@@ -82,10 +82,15 @@ def _planned(s, d):
 
 
 def _answers(s, d):
-    """Documents as a model's answers: whole JSON, JSON cut off, a cut inside a list, and no JSON."""
+    """Documents as a model's answers: whole JSON, JSON cut off, a cut inside a list, and no JSON; table rows of several kinds, some lacking a field."""
     kind, text = F.col("doc_id") % 4, F.translate(F.coalesce("text", F.lit("")), '"\\\n\t\r', "")
     level = F.when(F.col("doc_id") % 3 == 0, "High").otherwise("sure")
-    tail = F.concat(F.lit('", "confidence_level": "'), level, F.lit('", "data_table": [{"metric": "m", "value": 5}, {"metric": "only"}'))
+    number = F.col("doc_id").cast("string")
+    table = [
+        F.lit('{"metric": "m'), number, F.lit('", "value": '), number, F.lit('.5}, {"metric": "only"}, {"metric": "n", "value": "'), number, F.lit(' %", "source": "[1]", "date": "2024"}'),
+        F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit(', {"metric": "k", "value": true, "source": null}'))).otherwise("")
+    ]
+    tail = F.concat(F.lit('", "confidence_level": "'), level, F.lit('", "data_table": ['), *table)
     body = F.concat(F.lit('{"executive_summary": "s [1][2] '), F.regexp_replace(text, r"[\x00-\x1f]", ""))
     raw = F.when(
         kind == 0, F.concat(F.lit("Here: "), body, tail, F.lit("]} done"))
@@ -148,10 +153,12 @@ def _feeds(s, d):
 
 def _described(s, d):
     """Pages with metadata and an image in front."""
+    number, odd = F.col("page_id").cast("string"), F.col("page_id") % 2 == 1
     front = F.concat(
-        F.lit('<meta name="description" content="about '), F.col("page_id").cast("string"),
-        F.lit('"><meta property="og:url" content="x"><meta name="empty" content=""><img src="/i/'), F.col("page_id").cast("string"),
-        F.lit('.png" alt="an image">')
+        F.lit('<meta name="description" content="about '), number, F.lit('"><meta property="og:url" content="x"><meta name="empty" content=""><meta property="og:url" content="y'), number,
+        F.lit('"><meta name="keywords" content="a, b"><meta name="keywords" content="c"><link rel="canonical" href="/c/'), number, F.lit('">'),
+        F.when(odd, F.lit('<meta name="author" content="A &amp; B">')).otherwise(""), F.lit('<img src="/i/'), number, F.lit('.png" alt="an image"><img alt="none"><img data-src="late.png">'),
+        F.when(odd, F.lit('<img src="https://other.example/z.png" alt="z">')).otherwise("")
     )
     return pages.extract_pages(_pages(s, d).withColumn("html", F.concat(front, F.coalesce("html", F.lit("")))), "all")
 
@@ -319,11 +326,13 @@ QUERIES = {
     ),
     "r13_failures": lambda s, d: ranking.collector_failures(*_collected(s, d)),
     "c7_official_docs": lambda s, d: results.official_doc_hits(_documented(s, d)),
-    "a1_parse_status": lambda s, d: reports.parse_reports(_answers(s, d)).select("report_id", "parse_status"),
+    "a1_parse_status": lambda s, d: reports.parse_reports(_answers(s, d)).select(
+        "report_id", "parse_status", F.col("report.confidence_level").alias("level"), F.coalesce(F.size("report.data_table"), F.lit(-1)).alias("n_rows")
+    ),
     "a2_normalized": lambda s, d: _reports(s, d).select("report_id", "executive_summary", "confidence_level"),
     "a7_citations": lambda s, d: results.map_citations(_gapped(s, d)),
     "a7_sources": lambda s, d: results.map_sources(_gapped(s, d)).drop("content"),
-    "a8_data_rows": lambda s, d: reports.data_table_rows(_reports(s, d)).select("report_id", "pos", "metric", "value"),
+    "a8_data_rows": lambda s, d: reports.data_table_rows(_reports(s, d)),
     "m5_breaker_alert": lambda s, d: monitor.breaker_alert(_states(s, d), "upstream"),
 }
 
@@ -352,6 +361,19 @@ _ITEMS = rf"""it AS (SELECT page_id AS query_id, pos, page_title, CASE WHEN (pag
     'a <b>bold</b> word ' || pos AS body, CASE WHEN pos % 2 = 0 THEN '2024-01-0' || (pos + 1) END AS date
     FROM (SELECT page_id, regexp_replace({_TITLE}, '[&<>]', ' ', 'g') AS page_title, unnest(range((page_id % 4 + 2)::BIGINT))::INTEGER AS pos FROM pages))"""
 
+def _clean(text: str, size: int = 8000) -> str:
+    """SQL of sanitized texts without fences: entities that occur, script URIs, control characters, line ends, runs, and the cut."""
+    out = text
+    for entity, sign in (("&nbsp;", "chr(160)"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&amp;", "'&'")):
+        out = f"replace({out}, '{entity}', {sign})"
+    out = rf"regexp_replace({out}, '(javascript|vbscript|data:(text/html|application/[a-z+\-]+)):[^\s]*', '', 'gi')"
+    out = rf"regexp_replace({out}, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g')"
+    out = f"replace(replace({out}, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+    out = rf"regexp_replace(regexp_replace({out}, '[ \t]{{{{2,}}}}', ' ', 'g'), '\n{{{{3,}}}}', chr(10) || chr(10), 'g')"
+    out = rf"regexp_replace({out}, '^\s+|\s+$', '', 'g')"
+    return f"(SELECT CASE WHEN len(z) <= {size} THEN z ELSE substr(z, 1, {size}) || '{T.SAFETY_NOTE}' END FROM (SELECT {out} AS z))".replace("{{", "{").replace("}}", "}")
+
+
 ORACLE_SQL = {
     "s2_json_candidates": f"""WITH {_ITEMS}, x AS (SELECT query_id, pos, trim(page_title || ' AC/DC (band)*~ ' || pos // 2) AS title, body FROM it WHERE title <> '')
         SELECT query_id, pos, title, 'https://en.wikipedia.org/wiki/' || url_encode(replace(title, ' ', '_')) AS url, 'a bold word ' || pos AS snippet FROM x QUALIFY row_number() OVER (PARTITION BY query_id, url ORDER BY pos) = 1""",
@@ -362,8 +384,9 @@ ORACLE_SQL = {
     "s4_papers": f"""WITH {_ITEMS} SELECT query_id, pos, trim(title) AS title, url, substr('a bold word ' || pos || repeat(' about ' || pos, 60), 1, 350) AS snippet, date AS publication_date FROM it WHERE trim(title) <> '' AND query_id % 10 <> 0 QUALIFY row_number() OVER (PARTITION BY query_id, url ORDER BY pos) = 1""",
     "s5_result_pages": f"""WITH {_ITEMS} SELECT query_id, pos, trim(title) AS title, url, 'Text ' || pos AS snippet FROM it WHERE title <> '' AND pos <> 3""",
     "m11_progress": f"WITH {_R} SELECT query_id, count(*) AS done, count(*) FILTER (error IS NULL) AS succeeded, coalesce(sum(len(content)) FILTER (error IS NULL), 0)::BIGINT AS total_chars FROM d GROUP BY query_id",
-    "p4_metadata": "SELECT page_id, unnest(['description', 'og:url']) AS name, unnest(['about ' || page_id, 'x']) AS content FROM pages",
-    "p6_images": "SELECT page_id, 0 AS pos, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || '/i/' || page_id || '.png' AS url, 'an image' AS alt FROM pages",
+    "p4_metadata": f"""SELECT page_id, unnest(['description', 'og:url', 'keywords', 'canonical_url'] || CASE WHEN page_id % 2 = 1 THEN ['author'] ELSE [] END) AS name, unnest(['about ' || page_id, 'y' || page_id, 'a, b', '/c/' || page_id] || CASE WHEN page_id % 2 = 1 THEN ['A & B'] ELSE [] END) AS content FROM pages""",
+    "p6_images": f"""WITH b AS (SELECT page_id, url, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) AS base FROM pages) SELECT page_id, 0 AS pos, base || '/i/' || page_id || '.png' AS url, 'an image' AS alt FROM b
+        UNION ALL SELECT page_id, 1, base || regexp_replace({_PART(3)}, '[^/]*$', '') || 'late.png', '' FROM b UNION ALL SELECT page_id, 2, 'https://other.example/z.png', 'z' FROM b WHERE page_id % 2 = 1""",
     "a2_normalized": r"""SELECT doc_id AS report_id, CASE doc_id % 4 WHEN 3 THEN 'no answer' WHEN 1 THEN regexp_replace(rtrim('s [1], [2] ' || t),
             '[,\s]+$', '') ELSE 's [1], [2] ' || t END AS executive_summary,
         CASE WHEN doc_id % 4 = 3 THEN 'Low' WHEN doc_id % 4 IN (0, 2) AND doc_id % 3 = 0 THEN 'High' ELSE 'Medium' END AS confidence_level FROM
@@ -419,10 +442,12 @@ ORACLE_SQL = {
         h AS (SELECT query_id, pos, url, row_number() OVER (PARTITION BY query_id ORDER BY pos, url) AS k FROM dc WHERE pos % 7 <> 0 AND pos % 11 <> 0 AND {_has('lower(url)', K.DOC_URL_SIGNS)}),
         g AS (SELECT query_id, string_agg(url, ' ' ORDER BY k) AS urls FROM h WHERE k <= 5 GROUP BY query_id)
         SELECT query_id, coalesce(urls, '') AS doc_urls, urls IS NOT NULL AS has_official_docs FROM (SELECT DISTINCT query_id FROM dc) LEFT JOIN g USING (query_id)""",
-    "a1_parse_status": "SELECT doc_id AS report_id, ['strict', 'repaired', 'repaired', 'excerpt'][doc_id % 4 + 1] AS parse_status FROM documents",
+    "a1_parse_status": f"""SELECT doc_id AS report_id, ['strict', 'repaired', 'repaired', 'excerpt'][doc_id % 4 + 1] AS parse_status, CASE doc_id % 4 WHEN 3 THEN 'Low' WHEN 1 THEN NULL ELSE CASE WHEN doc_id % 3 = 0 THEN 'High' ELSE 'sure' END END AS level,
+        CASE WHEN doc_id % 4 IN (1, 3) THEN -1 WHEN doc_id % 3 = 1 THEN 4 ELSE 3 END AS n_rows FROM documents""",
     "a7_sources": f"""WITH {_REL} SELECT query_id, pos, CASE WHEN pos % 10 = 3 THEN 'unknown' ELSE coalesce(source, 'unknown') END AS source, CASE WHEN pos % 10 = 4 THEN '' ELSE url END AS url, title, error, relevance_score,
         CASE WHEN pos % 10 IN (5, 6) THEN 5 ELSE source_tier END AS source_tier, published AS publication_date FROM e""",
-    "a8_data_rows": "SELECT doc_id AS report_id, 0 AS pos, 'm' AS metric, '5' AS value FROM documents WHERE doc_id % 4 IN (0, 2)",
+    "a8_data_rows": f"""WITH o AS (SELECT * FROM documents WHERE doc_id % 4 IN (0, 2)) SELECT doc_id AS report_id, 0 AS pos, 'm' || doc_id AS metric, doc_id || '.5' AS value, NULL AS source, NULL AS date FROM o
+        UNION ALL SELECT doc_id, 2, 'n', doc_id || ' %', '[1]', '2024' FROM o UNION ALL SELECT doc_id, 3, 'k', 'true', NULL, NULL FROM o WHERE doc_id % 3 = 1""",
     "m5_breaker_alert": f"""WITH {_LOG}, st AS (SELECT DISTINCT subject % 10 AS upstream, ceil(epoch_us(ts) / 15000000)::BIGINT AS step FROM l WHERE
             status >= 500),
         nw AS (SELECT *, CASE WHEN step - coalesce(lag(step) OVER w, -1099511627776) > 20 THEN 1 ELSE 0 END AS new FROM st WINDOW w AS (PARTITION BY
@@ -435,4 +460,8 @@ ORACLE_SQL = {
     "s7_jsonl": f"""SELECT page_id, url, len(html)::INTEGER AS n_chars, NULL::VARCHAR AS error FROM pages""",
     "p3_code_blocks": f"""SELECT page_id, 'Run' || chr(10) || '`make ' || page_id || '`' || chr(10) || 'first' || chr(10) || '```' || CASE WHEN page_id % 2 = 0 THEN 'python' ELSE 'js' END || chr(10) || '  a  =  ' || page_id || chr(10) || chr(10) || '    b' || chr(10) || '```'
         || chr(10) || '```bash' || chr(10) || 'x = ' || page_id || chr(10) || repeat('y', 70) || chr(10) || '```' || chr(10) || '`one' || chr(10) || 'two`' AS content FROM pages""",
+    "p8_sanitized": f"""SELECT doc_id, sha256({_clean("('a &amp; b ' || coalesce(text, ''))")}) AS sha FROM documents""",
+    "a7_citations": f"""WITH {_REL}, x AS (SELECT *, {_clean("coalesce(content, '')")} AS clean FROM e WHERE error IS NULL), y AS (SELECT *, trim(regexp_replace(clean, '\s+', ' ', 'g')) AS flat FROM x)
+        SELECT query_id, pos, CASE WHEN pos % 10 = 3 THEN 'unknown' ELSE coalesce(source, 'unknown') END AS source, CASE WHEN pos % 10 = 4 THEN '' ELSE url END AS url, title, relevance_score,
+        CASE WHEN pos % 10 IN (5, 6) THEN 5 ELSE source_tier END AS source_tier, published AS publication_date, CASE WHEN len(flat) <= 280 THEN flat ELSE rtrim(substr(flat, 1, 280)) || '...' END AS snippet FROM y""",
 }

@@ -242,6 +242,20 @@ _REL = f"""{_R}, w AS (SELECT query_id, list_filter(list_distinct(regexp_split_t
             len(telling), 2) ELSE 0.0 END AS relevance_score FROM d JOIN w3 USING (query_id))"""
 _NUM = f"""{_REL}, f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY source_tier, relevance_score DESC, pos)::INTEGER AS n FROM e
             WHERE error IS NULL AND content IS NOT NULL AND len(trim(content, ' ')) >= 100)"""
+_CITED = rf"""{_REL}, ct AS (SELECT query_id, pos, content, row_number() OVER (PARTITION BY query_id ORDER BY source_tier, relevance_score DESC, pos)::INTEGER AS n FROM e
+            WHERE error IS NULL AND content IS NOT NULL QUALIFY n <= 50),
+    rp AS (SELECT query_id, string_agg(regexp_replace(content, '\.\s+', ' [' || (n + pos % 2) || ']. ', 'g') || ' [' || (n + pos % 2) || ']. ', '' ORDER BY n) AS text FROM ct GROUP BY query_id),
+    mk AS (SELECT query_id, text, regexp_extract_all(text, '\[[0-9]+\]') AS marks, regexp_split_to_array(text, '\[[0-9]+\]') AS gaps FROM rp),
+    at0 AS (SELECT query_id, text, marks, unnest(range(len(marks))) AS marker, list_transform(gaps, lambda x: len(x)) AS g, list_transform(marks, lambda x: len(x)) AS m FROM mk),
+    at1 AS (SELECT query_id, text, marker, marks[marker + 1] AS mark, list_sum(g[1:marker + 1]) + coalesce(list_sum(m[1:marker]), 0) AS before FROM at0),
+    hd AS (SELECT query_id, marker, substr(mark, 2, len(mark) - 2)::INTEGER AS n, substr(text, greatest(0, before - 300)::BIGINT + 1, least(300, before)::BIGINT) AS head FROM at1),
+    cl AS (SELECT query_id, marker::INTEGER AS marker, n, regexp_replace(regexp_replace(head, '^(.|\n)*(\. |\.\n|! |\? )', ''), '^\s+|\s+$', '', 'g') AS claim FROM hd)"""
+_WORDS = lambda x: f"list_filter(list_distinct(regexp_extract_all(lower({x}), '[a-z][a-z0-9]*')), lambda w: len(w) > 2 AND NOT {_in('w', K.CITATION_STOPWORDS)})"
+_AUDITED = f"""{_CITED}, src AS (SELECT query_id, n, {_WORDS("substr(coalesce(content, ''), 1, 5000)")} AS have, trim(content) = '' AS none FROM ct),
+    sd AS (SELECT query_id, marker, n, claim, {_WORDS('claim')} AS said FROM cl),
+    ov AS (SELECT query_id, marker, n, claim, have, none, CASE WHEN len(said) > 0 AND len(have) > 0 THEN len(list_intersect(said, have)) / (len(said) + len(have) - len(list_intersect(said, have))) ELSE 0 END AS share FROM sd LEFT JOIN src USING (query_id, n)),
+    au AS (SELECT query_id, marker, n, substr(claim, 1, 120) AS claim, CASE WHEN have IS NULL THEN 'out_of_range' WHEN none THEN 'empty_source' WHEN share >= 0.04 THEN 'ok' ELSE 'weak' END AS reason,
+        CASE WHEN have IS NULL OR none THEN 0 ELSE round_even(share, 4) END AS overlap FROM ov)"""
 _LOG = """l AS (SELECT event_id, ts, CASE WHEN event_id % 60 <> 8 THEN user_id END AS subject, CASE WHEN event_id % 50 <> 7 THEN event_type END AS endpoint,
     CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status, value / 100 AS duration_s, event_id % 3 = 0 AS cached,
     CASE WHEN event_type = 'error' THEN 'upstream ' || user_id % 7 || ' failed' END AS error FROM events)"""
@@ -365,4 +379,13 @@ ORACLE_SQL = {
     "s8_history_rows": f"""WITH {_LOG}, h AS (SELECT *, 'q' || coalesce(subject::VARCHAR, '') AS query FROM l) SELECT epoch_us(ts) AS created_at, endpoint AS route, sha256(query) AS query_hash, len(query)::INTEGER AS query_length,
         'model-' || event_id % 3 AS model, status < 500 AS success, cached, round(duration_s * 1000, 3) AS response_ms, 't-' || event_id AS trace_id, error,
         '{{' || CASE WHEN subject IS NULL THEN '' ELSE '"subject":' || subject || ',' END || '"event":' || event_id || '}}' AS metadata FROM h""",
+    "a4_claims": f"WITH {_CITED} SELECT query_id, marker, n, claim FROM cl",
+    "a5_citations": f"WITH {_AUDITED} SELECT query_id, marker, n, claim, overlap::DOUBLE AS overlap, reason = 'ok' AS supported, reason FROM au",
+    "a6_citation_summary": f"""WITH {_AUDITED} SELECT rp.query_id, count(marker) AS total, count(*) FILTER (reason = 'ok') AS supported, coalesce(string_agg(n || ':' || reason, ' ' ORDER BY marker) FILTER (reason <> 'ok'), '') AS weak,
+        CASE WHEN count(marker) = 0 THEN 1.0 ELSE round_even(count(*) FILTER (reason = 'ok') / count(marker), 3) END::DOUBLE AS faithfulness FROM rp LEFT JOIN au USING (query_id) GROUP BY rp.query_id""",
+    "p2_extract_pages": rf"""WITH p AS (SELECT page_id, html, regexp_replace(html, '(?s)<!--.*?-->|<(script|style|nav|header|footer|aside|form|noscript|iframe|svg|button)\b.*?</(script|style|nav|header|footer|aside|form|noscript|iframe|svg|button)>', chr(10), 'g') AS h FROM pages),
+        a AS (SELECT page_id, html, CASE WHEN contains(h, '<main') THEN regexp_extract(h, '(?s)<main[^>]*>(.*)</main>', 1) WHEN contains(h, '<article') THEN regexp_extract(h, '(?s)<article[^>]*>(.*?)</article>', 1) ELSE regexp_extract(h, '(?s)<body[^>]*>(.*)', 1) END AS t FROM p),
+        x AS (SELECT page_id, html, replace(replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', chr(10), 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&') AS t FROM a)
+        SELECT page_id, coalesce(nullif(trim(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&')), ''), 'No title found') AS title,
+        substr(array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda y: trim(regexp_replace(y, '\s+', ' ', 'g'))), lambda y: y <> ''), chr(10)), 1, 12000) AS content FROM x""",
 }
