@@ -135,15 +135,15 @@ class Index:
                 found.append((who[new].astype(np.int64), rows[new], far[new].astype(np.int64)))
         return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
 
-    def within(self, queries: np.ndarray, radius: int):
-        """Which query, row and distance of all codes that probing retrieves for whole distances up to the radius.
+    def within(self, queries: np.ndarray, radius: int, bound: np.ndarray | None = None):
+        """Which query, row and distance of all codes (within the bound) that probing retrieves for whole distances up to the radius.
 
         Within the radius some segment is within a share of it: `least`, or one less for the segments past `extra`.
         """
         least, extra = divmod(radius, self.n)
-        parts = [self.at(queries, r) for r in range(min(least, self.width + 1))]
+        parts = [self.at(queries, r, bound=bound) for r in range(min(least, self.width + 1))]
         if least <= self.width:
-            parts.append(self.at(queries, least, extra + 1))
+            parts.append(self.at(queries, least, extra + 1, bound))
         return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
     def nearest(self, queries: np.ndarray, k: int, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
@@ -287,9 +287,9 @@ def approximate_top_k(vectors: DataFrame, every: int = 20, k: int = 20, sample:
             part, wanted = query_ids[a : a + 16], segments(model.bits(queries[a : a + 16]), width)
             left, radius, reach, asked = np.arange(len(part)), model.radius, model.reach, model.long(queries[a : a + 16])
             while len(left):  # wider only where a block holds too few
-                who, found, far = index.within(wanted[left], radius)
+                who, found, _ = index.within(wanted[left], radius, np.full(len(left), radius))
                 who = left[who]
-                near = (far <= radius) & (ids[found] != part[who])
+                near = ids[found] != part[who]
                 who, found = who[near], found[near]
                 near = np.bitwise_count(long[found] ^ asked[who]).sum(1) <= reach
                 who, found = who[near], found[near]
