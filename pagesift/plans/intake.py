@@ -461,7 +461,7 @@ ORACLE_SQL = {
     "p3_code_blocks": f"""SELECT page_id, 'Run' || chr(10) || '`make ' || page_id || '`' || chr(10) || 'first' || chr(10) || '```' || CASE WHEN page_id % 2 = 0 THEN 'python' ELSE 'js' END || chr(10) || '  a  =  ' || page_id || chr(10) || chr(10) || '    b' || chr(10) || '```'
         || chr(10) || '```bash' || chr(10) || 'x = ' || page_id || chr(10) || repeat('y', 70) || chr(10) || '```' || chr(10) || '`one' || chr(10) || 'two`' AS content FROM pages""",
     "p8_sanitized": f"""SELECT doc_id, sha256({_clean("('a &amp; b ' || coalesce(text, ''))")}) AS sha FROM documents""",
-    "a7_citations": f"""WITH {_REL}, x AS (SELECT *, {_clean("coalesce(content, '')")} AS clean FROM e WHERE error IS NULL), y AS (SELECT *, trim(regexp_replace(clean, '\s+', ' ', 'g')) AS flat FROM x)
+    "a7_citations": rf"""WITH {_REL}, x AS (SELECT *, {_clean("coalesce(content, '')")} AS clean FROM e WHERE error IS NULL), y AS (SELECT *, trim(regexp_replace(clean, '\s+', ' ', 'g')) AS flat FROM x)
         SELECT query_id, pos, CASE WHEN pos % 10 = 3 THEN 'unknown' ELSE coalesce(source, 'unknown') END AS source, CASE WHEN pos % 10 = 4 THEN '' ELSE url END AS url, title, relevance_score,
         CASE WHEN pos % 10 IN (5, 6) THEN 5 ELSE source_tier END AS source_tier, published AS publication_date, CASE WHEN len(flat) <= 280 THEN flat ELSE rtrim(substr(flat, 1, 280)) || '...' END AS snippet FROM y""",
 }
