@@ -87,7 +87,7 @@ def _hex4(text: Column) -> Column:
     return F.when(text.rlike(rf"^{number}(\.{number}){{3}}\z"), F.array_join(digits, ""))
 
 
-def _bound(value: Column, of) -> Column:
+def bound(value: Column, of) -> Column:
     """of(value), where value is worked out once however often it is used."""
     return F.get(F.transform(F.array(value), of), F.lit(0))
 
@@ -98,23 +98,23 @@ def _hex6(text: Column) -> Column:
     def undotted(t):
         last = F.regexp_extract(t, r"([0-9.]*\.[0-9.]*)\z", 1)
         tail = lambda x: F.concat(F.regexp_extract(t, r"^(.*:)[0-9.]*\z", 1), F.substring(x, 1, 4), F.lit(":"), F.substring(x, 5, 4))
-        return F.when(last == "", t).otherwise(_bound(_hex4(last), tail))
+        return F.when(last == "", t).otherwise(bound(_hex4(last), tail))
 
     def whole(sides):
         groups = lambda i: F.when(F.coalesce(F.get(sides, F.lit(i)), F.lit("")) != "", F.split(F.get(sides, F.lit(i)), ":", -1))
         parts = F.struct(*[F.coalesce(groups(i), F.array().cast("array<string>")).alias(n) for i, n in ((0, "left"), (1, "right"))], F.size(sides).alias("n"))
-        return _bound(parts, filled)
+        return bound(parts, filled)
 
     def filled(p):
         n = F.size(p["left"]) + F.size(p["right"])
         zeros = F.when((p["n"] == 2) & (n <= 7), F.array_repeat(F.lit("0"), 8 - n)).when((p["n"] == 1) & (n == 8), F.array().cast("array<string>"))
-        return _bound(F.concat(p["left"], zeros, p["right"]), padded)
+        return bound(F.concat(p["left"], zeros, p["right"]), padded)
 
     def padded(groups):
         ok = F.forall(groups, lambda g: g.rlike(r"^[0-9a-fA-F]{1,4}\z"))
         return F.when(ok, F.array_join(F.transform(groups, lambda g: F.lpad(F.lower(g), 4, "0")), ""))
 
-    return F.when(text.contains(":"), _bound(F.split(undotted(text), "::", -1), whole))
+    return F.when(text.contains(":"), bound(F.split(undotted(text), "::", -1), whole))
 
 
 def _within(number: Column, ranges) -> Column:
@@ -136,7 +136,7 @@ def public_address(address: Column) -> Column:
         return F.when(four.isNotNull(), ~_within(four, K.SPECIAL_V4)).when(h["six"].isNotNull(), ~_within(h["six"], K.SPECIAL_V6))
 
     text = F.regexp_extract(F.coalesce(address, F.lit("")), r"^([^%]*)", 1)
-    return _bound(text, lambda t: _bound(F.struct(_hex4(t).alias("four"), _hex6(t).alias("six")), found))
+    return bound(text, lambda t: bound(F.struct(_hex4(t).alias("four"), _hex6(t).alias("six")), found))
 
 
 def bare_host(url: Column) -> Column:

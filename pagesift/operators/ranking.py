@@ -43,10 +43,10 @@ def query_features(queries: DataFrame) -> DataFrame:
 def _domain_boost(host: Column, tech, standard) -> Column:
     """tech and standard: boosts of (official,) trusted, institutional and other non-profit hosts."""
     trusted, state, org = host.isin(*K.TRUSTED), host.rlike(r"\.(gov|edu|int)$"), host.endswith(".org")
-    official = F.exists("official", lambda x: x.contains(host))
+    official = U.bound(host, lambda h: F.exists("official", lambda x: x.contains(h)))
     by_tech = F.when(official, tech[0]).when(trusted, tech[1]).when(state, tech[2]).when(org, tech[3]).otherwise(0.0)
     plain = F.when(trusted, standard[0]).when(state, standard[1]).when(org, standard[2]).otherwise(0.0)
-    in_host = F.exists("qt", lambda t: (F.length(t) > 3) & host.contains(t))
+    in_host = U.bound(host, lambda h: F.exists("qt", lambda t: (F.length(t) > 3) & h.contains(t)))
     return F.when(F.size("official") > 0, by_tech).otherwise(plain) + F.when(in_host, 0.1).otherwise(0.0)
 
 
@@ -78,7 +78,7 @@ def score_parts(candidates: DataFrame, queries: DataFrame, as_of_year: int = 202
         "freshness": T.freshness(F.col("publication_date"), F.col("snippet"), as_of_year),
         "domain_boost": _domain_boost(host, (0.6, 0.2, 0.0, 0.1), (0.3, 0.3, 0.15)),
         "merge_boost": _domain_boost(host, (0.8, 0.3, 0.0, 0.1), (0.5, 0.4, 0.2)),
-        "path_boost": F.when(F.exists("qt", lambda t: (F.length(t) > 3) & path.contains(t)), 0.05).otherwise(0.0),
+        "path_boost": F.when(U.bound(path, lambda p: F.exists("qt", lambda t: (F.length(t) > 3) & p.contains(t))), 0.05).otherwise(0.0),
     })
     rows = rows.withColumn("profile_boost", _profile_boost(url, F.col("source"), F.col("freshness")))
     return rows.drop("qt", "official", "profile", "query")

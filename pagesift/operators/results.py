@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pagesift import constants as K
 from pagesift.functions import text as T
 from pagesift.functions.joins import matched
+from pagesift.functions.urls import bound
 
 NOTE = K.CONTENT_NOTE
 RULE = "\n\n---\n\n"
@@ -36,7 +37,7 @@ def with_relevance(results: DataFrame, queries: DataFrame) -> DataFrame:
     asked = queries.select("query_id", words.alias("words")).select("query_id", telling.alias("telling"))
     rows = results.join(asked, "query_id", "left")
     lower = F.lower(F.coalesce("content", F.lit("")))
-    hits = F.size(F.filter("telling", lambda w: lower.contains(w)))
+    hits = bound(lower, lambda text: F.size(F.filter("telling", lambda w: text.contains(w))))  # lowered once, not for each word
     return rows.withColumn("relevance_score", F.when(F.size("telling") > 0, F.bround(hits / F.size("telling"), 2)).otherwise(0.0)).drop("telling")
 
 
