@@ -4,23 +4,23 @@ import json
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from pagesift import constants as K
 from pagesift.functions import text as T
 
 _MARK = re.compile(r"\[([0-9]+)\]")
-_LAST_END = re.compile("(?s).*(?:" + "|".join(map(re.escape, K.SENTENCE_ENDS)) + ")")
 
 
-def claims_of(text: str, before: int = K.CLAIM_SIZE) -> list[dict]:
+def claims_of(text: str, before: int = K.CLAIM_SIZE) -> list[tuple[int, str]]:
     """Each marker's number, and the text before it from the last end of a sentence on."""
     out = []
     for m in _MARK.finditer(text):
         head = text[max(0, m.start() - before) : m.start()]
-        end = _LAST_END.match(head)
-        out.append({"n": min(int(m[1]), 2**31 - 1), "claim": head[end.end() if end else 0 :].strip()})
+        out.append((min(int(m[1]), 2**31 - 1), head[max(at + len(e) if (at := head.rfind(e)) >= 0 else 0 for e in K.SENTENCE_ENDS) :].strip()))
     return out
 
 
@@ -33,17 +33,27 @@ def audit_reports(numbered: DataFrame, reports: DataFrame) -> DataFrame:
 def claim_windows(reports: DataFrame, outer: bool = False) -> DataFrame:
     """query_id, marker (from 0), n and claim of every marker in reports(query_id, text); outer: nulls for a report without markers."""
 
-    @F.pandas_udf("array<struct<n:int,claim:string>>")
-    def claims(texts: pd.Series) -> pd.Series:
-        return texts.fillna("").map(claims_of)
+    rows = reports.select("query_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
-    each = F.posexplode_outer if outer else F.posexplode
-    return reports.select("query_id", each(claims("text")).alias("marker", "c")).select("query_id", "marker", "c.n", "c.claim")
+    def run(batches):
+        for batch in batches:
+            row, marker, n, claim = [], [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                found = claims_of(text)
+                none = outer and not found
+                row += [i] * (len(found) or none)
+                marker += [None] if none else range(len(found))
+                n += [None] if none else [k for k, _ in found]
+                claim += [None] if none else [c for _, c in found]
+            columns = [pa.array(marker, pa.int32()), pa.array(n, pa.int32()), pa.array(claim, pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column("query_id").take(pa.array(row, pa.int64())), *columns], names=["query_id", "marker", "n", "claim"])
+
+    return rows.mapInArrow(run, StructType([rows.schema["query_id"], *(StructField(c, t) for c, t in (("marker", IntegerType()), ("n", IntegerType()), ("claim", StringType())))]))
 
 
 def words(text) -> F.Column:
     found = F.regexp_extract_all(F.lower(text), F.lit("[a-z][a-z0-9]*"), F.lit(0))
-    return F.array_except(F.array_distinct(F.filter(found, lambda w: F.length(w) > 2)), F.array(*map(F.lit, K.CITATION_STOPWORDS)))
+    return F.array_distinct(F.filter(found, lambda w: (F.length(w) > 2) & ~w.isin(*K.CITATION_STOPWORDS)))
 
 
 def verify_citations(claims: DataFrame, numbered: DataFrame, least: float = 0.04) -> DataFrame:
@@ -53,7 +63,7 @@ def verify_citations(claims: DataFrame, numbered: DataFrame, least: float = 0.04
         (F.trim(F.coalesce("content", F.lit(""))) == "").alias("empty")
     )
     rows = claims.withColumn("said", words(F.col("claim"))).join(sources, ["query_id", "n"], "left")
-    both = F.size(F.array_intersect("said", "have"))
+    both = F.size(F.array_intersect("have", "said"))  # hashes the claim's few words, not the source's many
     rows = rows.withColumn("both", both)  # either list is distinct
     either = F.size("said") + F.size("have") - F.col("both")
     rows = rows.withColumn("share", F.when(F.least(F.size("said"), F.size("have")) > 0, F.col("both") / either).otherwise(0.0))

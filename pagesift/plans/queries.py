@@ -43,8 +43,9 @@ def _texts(spark, d):
 
 
 def _cited(spark, d, most=50):
-    """The sources that a deep report may cite."""
-    return results.number_citations(_scored(spark, d).where("error is null and content is not null")).where(F.col("n") <= most)
+    """The sources that a deep report may cite. Without null queries both uses of them have one plan, so that it runs once."""
+    good = _scored(spark, d).where("error is null and content is not null and query_id is not null")
+    return results.number_citations(good).where(F.col("n") <= most)
 
 
 def _reports(spark, d):

@@ -46,10 +46,19 @@ def test_mixed(spark):
 
 def test_claims():
     assert [
-        c["claim"] for c in reports.claims_of("First. Second one [1] and more [2]! Third [3]")
+        claim for _, claim in reports.claims_of("First. Second one [1] and more [2]! Third [3]")
     ] == ["Second one", "Second one [1] and more", "Third"]
-    assert len(reports.claims_of("x" * 500 + " [1]")[0]["claim"]) == 299
-    assert reports.claims_of("[99999999999]")[0]["n"] == 2**31 - 1
+    assert len(reports.claims_of("x" * 500 + " [1]")[0][1]) == 299
+    assert reports.claims_of("[99999999999]")[0][0] == 2**31 - 1
+
+
+def test_claim_windows_of_reports_without_markers(spark):
+    said = spark.createDataFrame([(1, "One [1]. Two [2]."), (2, "none"), (3, None), (None, "Five [5]")], "query_id long, text string")
+    both = [(None, 0, 5, "Five"), (1, 0, 1, "One"), (1, 1, 2, "Two")]
+    shown = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert shown(reports.claim_windows(said)) == sorted(both, key=str)
+    assert shown(reports.claim_windows(said, outer=True)) == sorted([*both, (2, None, None, None), (3, None, None, None)], key=str)
+    assert reports.claim_windows(said.limit(0)).count() == 0
 
 
 def test_spaced_lists(spark):
