@@ -102,6 +102,50 @@ ORACLE_SQL = {
               FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
         SELECT query_id, rank, vec_id, distance
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id)::INTEGER AS rank FROM d) WHERE rank <= 10""",
+    "op11_conversation_repair": r"""
+        WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i)) AS tab),
+        i AS (SELECT row_number() OVER () AS rid, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                     list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: unicode(x)) AS bytes FROM conversations),
+        h AS (SELECT i.*, xor(4294967295, list_reduce(bytes, lambda c, x: xor(tab[(xor(c, x) & 255) + 1], c >> 8), 4294967295::BIGINT)) % 20 AS h FROM i, t),
+        m AS (SELECT rid, conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+                     CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                     unnest(CASE WHEN h = 0 THEN [] WHEN h = 3 THEN [1, 2] ELSE [1] END) AS copy FROM h),
+        f AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, rid, copy) AS k,
+                     row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, rid, copy) > 1 AS again, rtrim(text, E' \t\n\x0b\x0c\r') AS kept FROM m),
+        r AS (SELECT conv_id, turn, k, role, text, CASE WHEN kept = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(kept, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+                     CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE '-' END AS initial FROM f),
+        -- ways of a row from state b ('' start, s, u, a) over inserts to state e: what it costs, its edits and the roles of what it leaves (K: the row's own)
+        ins AS (SELECT * FROM (VALUES ('', '', 0, '', ''), ('', 'u', 3, 'I', 'u'), ('', 'a', 6, 'II', 'ua'), ('s', 's', 0, '', ''), ('s', 'u', 3, 'I', 'u'), ('s', 'a', 6, 'II', 'ua'),
+                                      ('u', 'u', 0, '', ''), ('u', 'a', 3, 'I', 'a'), ('a', 'a', 0, '', ''), ('a', 'u', 3, 'I', 'u')) x(b, v, price, edits, roles)),
+        fits AS (SELECT * FROM (VALUES ('', 's'), ('', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')) x(v, e)),
+        acts AS (SELECT v, e, e AS initial, 'K' AS edit, 0 AS price, 'K' AS made FROM fits
+                 UNION ALL SELECT v, e, i, 'R', 3, e FROM fits, (VALUES ('s'), ('u'), ('a'), ('-')) y(i) WHERE e <> 's'
+                 UNION ALL SELECT v, v, i, 'D', 4, '' FROM (VALUES (''), ('s'), ('u'), ('a')) z(v), (VALUES ('s'), ('u'), ('a'), ('-')) y(i)),
+        ways AS (SELECT b, e, initial, edit, ins.price + acts.price AS price, edits || edit AS edits, roles || made AS roles FROM ins JOIN acts USING (v)),
+        c AS (SELECT DISTINCT conv_id FROM conversations),
+        p AS (SELECT conv_id, 0::BIGINT AS k, '' AS state, 0::BIGINT AS cost, '' AS audit, '' AS roles FROM c
+              UNION ALL
+              SELECT conv_id, k, state, cost, audit, roles FROM (
+                  SELECT p.conv_id, r.k, e AS state, cost + price + CASE WHEN fault = 'truncated' AND edit <> 'D' THEN 3 ELSE 0 END AS cost, audit || edits AS audit, p.roles || ways.roles AS roles,
+                         row_number() OVER (PARTITION BY p.conv_id, e ORDER BY cost + price + CASE WHEN fault = 'truncated' AND edit <> 'D' THEN 3 ELSE 0 END, audit || edits) AS place
+                  FROM p JOIN r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.k = p.k + 1 JOIN ways ON b = p.state AND ways.initial = r.initial
+                  WHERE edit = 'D' OR fault IS NULL OR fault = 'truncated') WHERE place = 1),
+        n AS (SELECT c.conv_id, count(r.k) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                     count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated FROM c LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM c.conv_id GROUP BY c.conv_id),
+        g AS (SELECT conv_id, count(*) AS illegal FROM (SELECT conv_id, lag(left(role, 1)) OVER w || left(role, 1) AS two FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY k))
+              WHERE two NOT IN ('su', 'ua', 'au') GROUP BY conv_id),
+        o AS (SELECT n.*, cost + price AS cost, audit || edits AS audit, roles || more AS roles,
+                     row_number() OVER (PARTITION BY n.conv_id ORDER BY cost + price, audit || edits) AS place
+              FROM n JOIN p ON p.conv_id IS NOT DISTINCT FROM n.conv_id AND p.k = n.n
+              JOIN (VALUES ('', 0, '', ''), ('a', 0, '', ''), ('u', 3, 'I', 'a'), ('s', 6, 'II', 'ua')) z(state, price, edits, more) USING (state)),
+        b AS (SELECT * FROM o WHERE place = 1),
+        u AS (SELECT conv_id, audit, roles, unnest(range(1, len(audit) + 1)) AS j FROM b),
+        x AS (SELECT conv_id, j, audit[j] AS edit, roles[len(replace(audit[1:j], 'D', ''))] AS made,
+                     len(replace(audit[1:j], 'I', '')) AS k FROM u),
+        l AS (SELECT x.conv_id, string_agg(CASE made WHEN 'K' THEN role WHEN 'u' THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS lines
+              FROM x LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM x.conv_id AND r.k = x.k WHERE edit <> 'D' GROUP BY x.conv_id)
+        SELECT b.conv_id, gaps, blank, duplicate, truncated, coalesce(illegal, 0) AS illegal, cost, audit, sha256(coalesce(lines, '')) AS repaired_sha256
+        FROM b LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN l ON l.conv_id IS NOT DISTINCT FROM b.conv_id""",
     "op12_spelling_variants": r"""
         WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i)) AS tab),
         d AS (SELECT row_number() OVER () AS rid, coalesce(doc_id::VARCHAR, '') || ':' AS pre,

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,17 +119,29 @@ def summaries(df):
     return {r.conv_id: tuple(r)[1:] for r in got}
 
 
-def test_repair_of_odd_conversations(spark):
+def odd_conversations():
     rng, rows = random.Random(5), []
     for conv in [*range(150), None]:
         texts = ["Yes.", "no", "", " \t", "What? ", "é!\n", None, "Yes.", "x" * 500]
         rows += [(conv, rng.choice([None, 0, 1, 2, 3, 7]), rng.choice(["user", "assistant", "system", "tool", "", None, "u"]), rng.choice(texts)) for _ in range(rng.randrange(1, 7))]
-    rows += [(900, 1, "user", "same.")] * 6 + [(901, k, "user", "a.") for k in range(9)]
+    return rows + [(900, 1, "user", "same.")] * 6 + [(901, k, "user", "a.") for k in range(9)]
+
+
+def test_repair_of_odd_conversations(spark):
+    rows = odd_conversations()
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"copies": F.lit("x"), "fault": F.lit(1), "h": F.lit(1)})
     assert summaries(df) == brute_repair(rows)
     assert summaries(df.where("false")) == {}
 
 
+def test_sql_of_odd_conversations():
+    """The SQL that checks the query takes odd rows as brute force does."""
+    rows, duck = odd_conversations(), duckdb.connect()
+    duck.execute("CREATE TABLE conversations(conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    duck.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    assert {r[0]: r[1:] for r in duck.execute(queries.ORACLE_SQL["op11_conversation_repair"]).fetchall()} == brute_repair(rows)
+
+
 def test_repair_of_the_given_table(spark):
     df = spark.read.parquet(f"{SF}/conversations.parquet")
     assert summaries(df) == brute_repair([tuple(r) for r in df.select("conv_id", "turn", "role", "text").collect()])
