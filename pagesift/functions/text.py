@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pagesift import constants as K
 
 
-
 def some(column: Column) -> Column:
     """Null for the empty string."""
     return F.nullif(column, F.lit(""))
@@ -20,6 +19,11 @@ def clean(query: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(query, F.lit("")), r"\s+", " "))
 
 
+def caseless(text: Column) -> Column:
+    """The text in a form that is equal for texts that differ in case alone, in any script (`STRASSE`, `straße`); dotless i stays apart from i."""
+    return F.upper(F.translate(F.lower(text), "\u0131", "\ue000"))
+
+
 def with_year(query: Column, year: int) -> Column:
     """The query, with the year at its end if it holds no year of 1900 to 2099."""
     return F.when(query.rlike(r"\b(19|20)[0-9]{2}\b"), query).otherwise(F.concat(query, F.lit(f" {year}")))

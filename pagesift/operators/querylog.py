@@ -11,14 +11,14 @@ _URL = r"""(?i)https?://[^\s,，、;；"'<>()\[\]{}]+"""
 
 
 def query_variants(queries: DataFrame, cap: int = 5, longest: int = 500) -> DataFrame:
-    """queries(query_id, original, normalized, variants) with variants cleaned, of 2 to `longest` characters, first seen (by lower case), `cap` at most.
+    """queries(query_id, original, normalized, variants) with variants cleaned, of 2 to `longest` characters, first seen (whatever their case), `cap` at most.
 
     The normalized query leads, then the original one. Where nothing is left, the cleaned original is taken, if it has any text.
     """
     every = F.concat(F.array("normalized", "original"), F.coalesce("variants", F.array().cast("array<string>")))
     fit = F.filter(F.transform(every, T.clean), lambda x: F.length(x).between(2, longest))
-    rows = queries.withColumn("__fit", fit).withColumn("__keys", F.transform("__fit", F.lower))
-    first = F.slice(F.filter("__fit", lambda x, i: F.array_position("__keys", F.lower(x)) == i + 1), 1, cap)
+    rows = queries.withColumn("__fit", fit).withColumn("__keys", F.transform("__fit", T.caseless))
+    first = F.slice(F.filter("__fit", lambda x, i: F.array_position("__keys", T.caseless(x)) == i + 1), 1, cap)
     original = T.clean(F.col("original"))
     rows = rows.withColumn(
         "variants", F.when(F.size(first) > 0, first).when(original != "", F.array(original)).otherwise(F.array().cast("array<string>"))

@@ -73,7 +73,7 @@ def score_parts(candidates: DataFrame, queries: DataFrame, as_of_year: int = 202
     path = F.lower(U.part(url, 3))
     rows = rows.withColumns({
         "overlap": F.when(F.size("qt") == 0, 0.0).otherwise(F.size(F.array_intersect("qt", have)) / F.size("qt")),
-        "exact": F.when(F.lower("search_query") == F.lower("query"), 0.15).otherwise(0.0),
+        "exact": F.when(T.caseless(F.col("search_query")) == T.caseless(F.col("query")), 0.15).otherwise(0.0),
         "provider_boost": F.when(F.col("provider") == "duckduckgo", 0.05).otherwise(0.0),
         "freshness": T.freshness(F.col("publication_date"), F.col("snippet"), as_of_year),
         "domain_boost": _domain_boost(host, (0.6, 0.2, 0.0, 0.1), (0.3, 0.3, 0.15)),
@@ -139,7 +139,7 @@ def evaluate(ranked: DataFrame, fallback: tuple = ("google",)) -> DataFrame:
     have = lambda name: F.col(name) if name in ranked.columns else F.lit(None).cast("string")
     texts = [F.coalesce(have(c), F.lit(other)).alias(name) for c, name, other in (("title", "title", ""), ("url", "url", ""), ("providers", "provider", "unknown"), ("source", "source", "unknown"))]
     top = F.array_sort(F.collect_list(F.when(F.col("rank") <= 5, F.struct("rank", F.struct(*texts).alias("hit")))))
-    providers = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.split("providers", ",")))))
+    providers = F.array_sort(F.array_distinct(F.flatten(F.transform(F.collect_set("providers"), lambda x: F.split(x, ",")))))  # sets of the few providers
     out = ranked.groupBy("query_id").agg(
         F.count("*").alias("n_results"),
         F.countDistinct(U.domain(F.col("url"))).alias("n_domains"),

@@ -260,6 +260,9 @@ _AUDITED = f"""{_CITED}, src AS (SELECT query_id, n, {_WORDS("substr(coalesce(co
 _LOG = """l AS (SELECT event_id, ts, CASE WHEN event_id % 60 <> 8 THEN user_id END AS subject, CASE WHEN event_id % 50 <> 7 THEN event_type END AS endpoint,
     CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status, value / 100 AS duration_s, event_id % 3 = 0 AS cached,
     CASE WHEN event_type = 'error' THEN 'upstream ' || user_id % 7 || ' failed' END AS error FROM events)"""
+# requests of each key in order of time (k from 1), and the join with a key's next one
+_STEPS = lambda keys: f"e AS (SELECT event_id, endpoint, subject, status < 500 AS ok, epoch_us(ts) / 1e6 AS sec, row_number() OVER (PARTITION BY {keys} ORDER BY ts, event_id) AS k FROM l)"
+_NEXT = lambda *keys: " AND ".join(f"e.{c} IS NOT DISTINCT FROM s.{c}" for c in keys) + " AND e.k = s.k + 1"
 _B = ", ".join(f"({b if b != float('inf') else 1e9}::DOUBLE)" for b in K.LATENCY_BOUNDS)
 _HIST = f"{_LOG}, b(le) AS (VALUES {_B}), h AS (SELECT endpoint, le, count(*) FILTER (duration_s <= le) AS n FROM l, b WHERE duration_s IS NOT NULL GROUP BY endpoint, le)"
 _ANCHORS = """l AS (SELECT page_id, url, regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')[1:99] AS a FROM pages)"""
@@ -364,6 +367,22 @@ ORACLE_SQL = {
         i AS (SELECT window_end, window_end // 15 - row_number() OVER (ORDER BY window_end) AS g FROM t), z AS (SELECT min(window_end) AS a,
             max(window_end) AS b FROM i GROUP BY g)
         SELECT a AS start, b AS "end" FROM z WHERE b - a >= 300""",
+    "m6_rate_limit": f"""WITH RECURSIVE {_LOG}, {_STEPS("endpoint, subject")},
+        s AS (SELECT *, true AS admitted, 1 AS remaining, 0 AS retry_after, [sec] AS passed FROM e WHERE k = 1 UNION ALL
+              SELECT event_id, endpoint, subject, ok, sec, k, len(live) < 2, greatest(1 - len(live), 0)::INTEGER, CASE WHEN len(live) < 2 THEN 0 ELSE greatest(1, trunc(86400 - (sec - live[1])))::INTEGER END,
+                     CASE WHEN len(live) < 2 THEN list_append(live, sec) ELSE live END
+              FROM (SELECT e.*, list_filter(s.passed, lambda p: e.sec - p < 86400) AS live FROM s JOIN e ON {_NEXT("endpoint", "subject")}))
+        SELECT event_id, admitted, remaining, retry_after FROM s""",
+    "m7_ttl_cache": f"""WITH RECURSIVE {_LOG}, {_STEPS("endpoint, subject")},
+        s AS (SELECT *, false AS hit, sec + 21600 AS until FROM e WHERE k = 1 UNION ALL
+              SELECT e.*, e.sec < until, CASE WHEN e.sec < until THEN until ELSE e.sec + 21600 END FROM s JOIN e ON {_NEXT("endpoint", "subject")})
+        SELECT event_id, hit FROM s""",
+    "m8_circuit_breaker": f"""WITH RECURSIVE l0 AS (SELECT * FROM (WITH {_LOG} SELECT * FROM l)), l AS (SELECT event_id, ts, status, subject, 'upstream ' || subject % 100 AS endpoint FROM l0), {_STEPS("endpoint")},
+        s AS (SELECT *, 'closed' AS state, (NOT ok)::INTEGER AS failed, NULL::DOUBLE AS opened FROM e WHERE k = 1 UNION ALL
+              SELECT event_id, endpoint, subject, ok, sec, k, CASE WHEN open THEN 'rejected' ELSE 'closed' END, counted, CASE WHEN open THEN opened WHEN counted >= 2 THEN sec END
+              FROM (SELECT *, CASE WHEN open THEN before WHEN ok THEN 0 WHEN opened IS NULL THEN before + 1 ELSE 1 END AS counted
+                    FROM (SELECT e.*, s.failed AS before, s.opened, s.opened IS NOT NULL AND e.sec - s.opened < 3600 AS open FROM s JOIN e ON {_NEXT("endpoint")})))
+        SELECT event_id, state FROM s""",
     "m9_in_flight": f"""WITH {_LOG}, v AS (SELECT endpoint, epoch_us(ts) AS t, 1 AS d FROM l UNION ALL SELECT endpoint, epoch_us(ts) +
             round(duration_s * 1000 * 1e6)::BIGINT, -1 FROM l),
         z AS (SELECT endpoint, sum(d) OVER (PARTITION BY endpoint ORDER BY t, d ROWS UNBOUNDED PRECEDING) AS now FROM v) SELECT endpoint,

@@ -1,6 +1,7 @@
 """Small cases with known results: payloads, pages, URLs, queries, reports, alerts."""
 
 import json
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -139,6 +140,21 @@ def test_variants(spark):
     assert got == [["OpenAI ajanlari son gelismeler", "OpenAI ajanlari", "OpenAI agents latest updates"], ["x"], []]
 
 
+def test_case_is_folded_in_every_script(spark):
+    """Letters are equal just where Python's case folding makes them equal, as far as both know them."""
+    letters = [c for c in map(chr, range(1, 0xD800)) if unicodedata.category(c) != "Cn"]
+    rows = spark.createDataFrame([(c,) for c in letters], "c string").select("c", T.caseless(F.col("c")).alias("k")).collect()
+    ours, python = {}, {}
+    for c, k in rows:
+        ours.setdefault(k, set()).add(c)
+        python.setdefault(c.casefold(), set()).add(c)
+    assert sorted(map(sorted, ours.values())) == sorted(map(sorted, python.values()))
+    text = "Straße STRASSE ΟΔΟΣ οδος ırmak IRMAK"
+    same = spark.createDataFrame([tuple(text.split())], "a string, b string, c string, d string, e string, f string")
+    two = lambda x, y: T.caseless(F.col(x)) == T.caseless(F.col(y))
+    assert tuple(same.select(two("a", "b"), two("c", "d"), two("e", "f")).first()) == (True, True, False)
+
+
 def test_budget(spark):
     rows = spark.createDataFrame(
         [(5, None, True), (70, None, True), (None, 1, False), (None, 40, False), (40, None, False)], "requested int, suggested int, deep boolean"
