@@ -3,8 +3,8 @@
 Each language has a probability for every piece of a fixed public vocabulary (letter pieces only; characters outside
 it have a small fixed probability). A word's probability is the sum over all its segmentations into pieces, by a
 forward recursion; a text's is the product over its words. Piece probabilities are learned by expectation-maximisation
-on a bounded sample of texts whose language is known: about `sample` documents of each language. Scoring sums over all
-segmentations of words of any length; in learning alone, words of over 64 characters count as their parts of 64.
+on a bounded sample of texts whose language is known: about `sample` documents of each language. Learning and scoring
+sum over all segmentations of words of any length; long words pass in stretches, in bounded memory.
 
 Null texts and texts without letters give `und` with score 0; ties go to the language that sorts first; repeated rows
 are scored alike. Only doc_id, text and lang are read, lang for learning alone.
@@ -87,21 +87,62 @@ class Unigrams:
             np.add.at(out, e[e >= 0], post[e >= 0])
         return out
 
+    def _steps(self, word: str, first: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of a stretch of a long word: the piece of each length (axis 1) from each start on, and its log probabilities (-inf: none)."""
+        far, m = self.table.longest, min(STRETCH, len(word) - first)
+        part = word[first : first + STRETCH + far - 1]
+        index, steps = np.full((m, far), -1), np.full((m, far, self.probs.shape[1]), -np.inf)
+        for n, e, p in self._weights([part], len(part)):
+            index[: len(e), n - 1] = e[:m, 0]
+            with np.errstate(divide="ignore"):
+                steps[: len(p), n - 1] = np.log(p[:m, 0])
+        return index, steps
+
+    @staticmethod
+    def _onward(edge: np.ndarray, steps: np.ndarray) -> np.ndarray:
+        """Forward log probabilities of a stretch's places and as many beyond as edge has, which are those known at its start."""
+        far = len(edge)
+        log = np.concatenate([edge, np.full((len(steps), edge.shape[1]), -np.inf)])
+        for k in range(len(steps)):
+            ends = log[k + 1 : k + 1 + far]
+            np.logaddexp(ends, log[k] + steps[k], out=ends)
+        return log
+
+    def _edges(self, word: str):
+        """Forward log probabilities of the places from each stretch's start on, as far as a piece reaches, and those behind the word."""
+        edge = np.full((self.table.longest, self.probs.shape[1]), -np.inf)
+        edge[0] = 0
+        for first in range(0, len(word), STRETCH):
+            yield edge
+            steps = self._steps(word, first)[1]
+            edge = self._onward(edge, steps)[len(steps) :]
+        yield edge
+
     def long(self, word: str) -> np.ndarray:
-        """Log probabilities (languages) of one word, by the same recursion from each start on, in stretches of bounded memory."""
-        size, far = len(word), self.table.longest
-        log = np.full((size + far + 1, self.probs.shape[1]), -np.inf)
-        log[0] = 0
-        for first in range(0, size, STRETCH):
-            part, m = word[first : first + STRETCH + far - 1], min(STRETCH, size - first)
-            steps = np.full((m, far, self.probs.shape[1]), -np.inf)
-            for n, _, p in self._weights([part], len(part)):
-                with np.errstate(divide="ignore"):
-                    steps[: len(p), n - 1] = np.log(p[:m, 0])
-            for k in range(m):
-                ends = log[first + k + 1 : first + k + 1 + far]
-                np.logaddexp(ends, log[first + k] + steps[k], out=ends)
-        return log[size]
+        """Log probabilities (languages) of one word, by the same recursion from each start on."""
+        for edge in self._edges(word):
+            pass
+        return edge[0]
+
+    def expected_long(self, word: str, counts: np.ndarray) -> np.ndarray:
+        """Expected piece counts (as probs) of a long word that occurs counts (languages) times; only the stretches' edges are held."""
+        *edges, end = self._edges(word)
+        out = np.zeros_like(self.probs)
+        ahead = np.full_like(end, -np.inf)
+        ahead[0] = 0
+        for first in reversed(range(0, len(word), STRETCH)):
+            index, steps = self._steps(word, first)
+            m, far = index.shape
+            log = self._onward(edges.pop(), steps)
+            back = np.concatenate([np.full((m, steps.shape[2]), -np.inf), ahead])
+            for k in reversed(range(m)):
+                steps[k] += back[k + 1 : k + 1 + far]
+                back[k] = np.logaddexp.reduce(steps[k], axis=0)
+            some = index >= 0
+            post = np.exp(log[:m, None] + steps - end[0]) * counts
+            np.add.at(out, index[some], post[some])
+            ahead = back[:far]
+        return out
 
     def words(self, words: list[str]) -> None:
         """Learn the scores of new words."""
@@ -152,17 +193,18 @@ def learn(docs: DataFrame, pieces: list[str], sample: int = 300, rounds: int = 3
     ).reindex(columns=langs, fill_value=0).sort_index() if len(rows) else pd.DataFrame(columns=langs)
     by_size = defaultdict(list)
     for i, w in enumerate(table.index):
-        w = _WORD_END + w
-        for k in range(0, len(w), LONG):
-            by_size[len(part := w[k : k + LONG])].append((part, i))
+        by_size[min(len(w) + 1, LONG + 1)].append((_WORD_END + w, i))
+    long = by_size.pop(LONG + 1, [])
     model = Unigrams(pieces, np.full((len(pieces) + 1, len(langs)), 1.0 / (len(pieces) + 1)))
     counts = table.to_numpy(float)
     for _ in range(rounds):
         got = np.zeros_like(model.probs)
         for size, which in by_size.items():
             for k in range(0, len(which), 4000):
-                parts, at = zip(*which[k : k + 4000], strict=True)
-                got += model.expected(list(parts), size, counts[list(at)])
+                words, at = zip(*which[k : k + 4000], strict=True)
+                got += model.expected(list(words), size, counts[list(at)])
+        for word, i in long:
+            got += model.expected_long(word, counts[i])
         got += 1e-3
         model.probs = got / got.sum(0)
         model.probs[-1] = _FLOOR

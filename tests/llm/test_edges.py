@@ -221,13 +221,24 @@ def test_long_words_are_summed_whole():
     for size in (5, 70, 200):
         word = "▁" + "".join(draw.choice("abc") for _ in range(size))
         np.testing.assert_allclose(model.long(word), model.forward([word], len(word))[2][0])
-    stretch, langid.STRETCH = langid.STRETCH, 17
+    stretch, counts = langid.STRETCH, np.array([3.0, 0.0, 1.0])
     try:
-        np.testing.assert_allclose(model.long(word), model.forward([word], len(word))[2][0])
+        for langid.STRETCH in (1, 17, stretch):
+            np.testing.assert_allclose(model.long(word), model.forward([word], len(word))[2][0])
+            np.testing.assert_allclose(model.expected_long(word, counts), model.expected([word], len(word), counts[None]))
     finally:
         langid.STRETCH = stretch
 
 
+def test_long_words_are_learned_whole(spark):
+    """A word of many letters teaches the pieces across its 64th letter as those before it; nothing is cut."""
+    rows = [(i, ("ab" * 200 if i % 2 else "ba" * 200)[: 399 - i], "x" if i % 2 else "y") for i in range(40)]
+    langs, _, probs = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), ["a", "ab", "b", "ba", "▁", "▁a", "▁b"])
+    assert langs == ["x", "y"]
+    assert probs[5, 0] > probs[6, 0] and probs[6, 1] > probs[5, 1]  # one start a word, so no part began with another letter
+    assert probs[6, 0] < 1e-3 > probs[5, 1]
+
+
 # substring dedup
 
 
