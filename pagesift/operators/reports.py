@@ -11,6 +11,7 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from pagesift import constants as K
 from pagesift.functions import text as T
+from pagesift.functions.numbers import half_even
 
 _MARK = re.compile(r"\[([0-9]+)\]")
 
@@ -68,7 +69,7 @@ def verify_citations(claims: DataFrame, numbered: DataFrame, least: float = 0.04
     either = F.size("said") + F.size("have") - F.col("both")
     rows = rows.withColumn("share", F.when(F.least(F.size("said"), F.size("have")) > 0, F.col("both") / either).otherwise(0.0))
     reason = F.when(F.col("have").isNull(), "out_of_range").when(F.col("empty"), "empty_source").when(F.col("share") >= least, "ok").otherwise("weak")
-    rows = rows.withColumn("reason", reason).withColumn("overlap", F.when(F.col("reason").isin("ok", "weak"), F.bround("share", 4)).otherwise(0.0))
+    rows = rows.withColumn("reason", reason).withColumn("overlap", F.when(F.col("reason").isin("ok", "weak"), half_even(F.col("share"), 4)).otherwise(0.0))
     return rows.select(
         "query_id", "marker", "n", F.substring("claim", 1, 120).alias("claim"), "overlap", (F.col("reason") == "ok").alias("supported"), "reason"
     )
@@ -89,7 +90,7 @@ def audit_summary(audit: DataFrame) -> DataFrame:
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(weak)), lambda x: x["s"]), " ")
     good = F.coalesce(F.sum((F.col("supported") & F.col("marker").isNotNull()).cast("long")), F.lit(0)).alias("supported")
     out = audit.groupBy("query_id").agg(F.count("marker").alias("total"), good, listed.alias("weak"))
-    return out.withColumn("faithfulness", F.when(F.col("total") == 0, 1.0).otherwise(F.bround(F.col("supported") / F.col("total"), 3)))
+    return out.withColumn("faithfulness", F.when(F.col("total") == 0, 1.0).otherwise(half_even(F.col("supported") / F.col("total"), 3)))
 
 
 def _closed(text: str) -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pagesift import constants as K
 from pagesift.functions import text as T
 from pagesift.functions.joins import matched
+from pagesift.functions.numbers import half_even
 from pagesift.functions.urls import bound
 
 NOTE = K.CONTENT_NOTE
@@ -38,7 +39,7 @@ def with_relevance(results: DataFrame, queries: DataFrame) -> DataFrame:
     rows = results.join(asked, "query_id", "left")
     lower = F.lower(F.coalesce("content", F.lit("")))
     hits = bound(lower, lambda text: F.size(F.filter("telling", lambda w: text.contains(w))))  # lowered once, not for each word
-    return rows.withColumn("relevance_score", F.when(F.size("telling") > 0, F.bround(hits / F.size("telling"), 2)).otherwise(0.0)).drop("telling")
+    return rows.withColumn("relevance_score", F.when(F.size("telling") > 0, half_even(hits / F.size("telling"), 2)).otherwise(0.0)).drop("telling")
 
 
 def number_citations(results: DataFrame) -> DataFrame:
@@ -54,7 +55,7 @@ def context_pack(numbered: DataFrame, size: int = 2500, most: int = 15) -> DataF
     """
     numbered = numbered.where(F.col("n") <= most)
     n, date = F.col("n").cast("string"), F.col("publication_date")
-    share = F.concat(F.bround(F.col("relevance_score") * 100, 0).cast("int").cast("string"), F.lit("%"))
+    share = F.concat(half_even(F.col("relevance_score") * 100, 0).cast("int").cast("string"), F.lit("%"))
     block = F.concat(
         F.lit("SOURCE ["), n, F.lit("]: "), F.coalesce("source", F.lit("")), F.lit(" [Tier "), F.col("source_tier").cast("string"), F.lit("]\nTITLE: "), F.coalesce("title", F.lit("")),
         F.lit("\nURL: "), F.coalesce("url", F.lit("")), F.lit("\nDATE: "), F.coalesce(date, F.lit("unknown")), F.lit("\nRELEVANCE: "), share, F.lit("\nCONTENT:\n"), F.substring("content", 1, size),
