@@ -47,13 +47,15 @@ def number_citations(results: DataFrame) -> DataFrame:
     return results.withColumn("n", F.row_number().over(order))
 
 
-def context_pack(numbered: DataFrame, size: int = 2500, most: int = 15) -> DataFrame:
-    """Of each query: its first `most` numbered sources in order, contents cut at `size` characters, an index of them, and their whole length.
+def context_pack(numbered: DataFrame, size: int = 2500, most: int | None = 15) -> DataFrame:
+    """Of each query: its first `most` numbered sources (None: all) in order, contents cut at `size` characters, an index of them, and their whole length.
 
     chars, where it is there, is the length of contents that were cut before. The limit stands on the rank that
     number_citations gives, so Spark applies it to each partition before rows are shuffled: no query's whole list meets.
+    Without a limit a query's blocks meet in one row.
     """
-    numbered = numbered.where(F.col("n") <= most)
+    if most is not None:
+        numbered = numbered.where(F.col("n") <= most)
     n, date = F.col("n").cast("string"), F.col("publication_date")
     share = F.concat(half_even(F.col("relevance_score") * 100, 0).cast("int").cast("string"), F.lit("%"))
     block = F.concat(

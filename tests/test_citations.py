@@ -197,3 +197,14 @@ def test_one_exchange_by_query(spark):
     dealt = [line for line in text.split("\n") if " Exchange hashpartitioning(" in line or "- Exchange hashpartitioning(" in line]
     assert len([line for line in dealt if "hashpartitioning(query_id#" in line and ", provider" not in line]) == 1, text
     assert len(dealt) <= 3 and text.count("pages.parquet") == 1
+
+
+def test_the_context_holds_every_source(spark):
+    """c5_context packs all good results of a query; sf0.01 has queries with more than 15."""
+    from pagesift.plans import bindings as B
+    from pagesift.plans import queries as plans
+
+    d = "/root/testdata/sf0.01"
+    good = {r.query_id: r["count"] for r in results.filter_low_quality(B.results(spark, d)).groupBy("query_id").count().collect()}
+    got = {r.query_id: (r.n_sources, r.context.count("SOURCE ["), r.source_index.count("\n") + 1) for r in plans.QUERIES["c5_context"](spark, d).collect()}
+    assert got == {k: (n, n, n) for k, n in good.items()} and max(good.values()) > 15
