@@ -2,12 +2,14 @@
 
 import html
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagesift import constants as K
+from pagesift.functions.batches import parts
 
 
 def some(column: Column) -> Column:
@@ -131,8 +133,10 @@ def sanitize(text: str | None, max_chars: int) -> str:
 
 
 def sanitized(text: Column, max_chars: int) -> Column:
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: sanitize(t, max_chars))
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            for start, size in parts(texts):
+                yield pa.array([sanitize(t, max_chars) for t in texts.slice(start, size).to_pylist()], pa.string())
 
     return run(text)
