@@ -19,6 +19,7 @@ import math
 import re
 from array import array
 from collections import defaultdict
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,7 @@ class Lattice:
     def __init__(self, model: dict, n_best: int):
         self.bytes, self.byte_score = model["bytes"], model["byte_score"]
         self.n, self.seen, self.trie, self.held = n_best, {}, {}, 0
-        self.ids, self.losses, self.sums = [], [], np.zeros((3, 0))
+        self.ids, self.others, self.sums = [], [], np.zeros((3, 0))
         # letters are apart from all else in every piece, but for such signs as ² in pieces that mix them with others
         odd = {c for p in model["pieces"] if len(re.findall(r"[^\W\d_]+|[\W\d_]+", p.lstrip(SPACE))) > 1 for c in p if not c.isalpha()}
         letters = rf"[^\W\d_{re.escape(''.join(sorted(odd)))}]+"
@@ -163,24 +164,32 @@ class Lattice:
             raw[e - c : e] if ok else None for e, c, ok in zip(ends.tolist(), counts.tolist(), plain.tolist(), strict=True)
         ], best[size].tolist(), loss.tolist()
 
-    def _found(self, part: str) -> tuple[bytes, tuple[float, ...], float, bool]:
-        """Of a part of a word: ids of its best segmentation, losses of the others of the n best, its score, if it decodes."""
+    def _found(self, part: str) -> tuple[bytes, tuple[tuple[float, bytes], ...], float, bool]:
+        """Of a part of a word: ids of its best segmentation, losses and ids of the others of the n best, its score, if it decodes."""
         found = self.search(part)
         score, ids = found[0]
-        return ids.tobytes(), tuple([s - score for s, _ in found[1:]]), score, self.spelled(ids) == part.replace(SPACE, " ").replace(_PRIVATE, SPACE)
+        others = tuple([(s - score, x.tobytes()) for s, x in found[1:]])
+        return ids.tobytes(), others, score, self.spelled(ids) == part.replace(SPACE, " ").replace(_PRIVATE, SPACE)
 
-    def _parts(self, word: str) -> tuple[bytes, tuple[float, ...], float, bool]:
+    def _parts(self, word: str) -> tuple[bytes, tuple[tuple[float, bytes], ...], float, bool]:
         """As _found, for a word in parts that no piece crosses."""
         parts = [self._found(p) for p in self.pattern.findall("\n" + word[1:] if word[:1] == _LINE else SPACE + word)]
-        some = [0.0]
-        for _, more, _, _ in parts:
-            some = heapq.nlargest(self.n, [a + b for a in some for b in (0.0, *more)]) if more else some
-        return b"".join([p[0] for p in parts]), tuple(some[1:]), sum(p[2] for p in parts), all(p[3] for p in parts)
+        some = [(0.0, None)]  # loss, and a chain of the parts that are not as in the best: the one before, place and ids
+        for at, (_, more, _, _) in enumerate(parts):
+            if more:
+                some = heapq.nlargest(self.n, [(a + b, (x, at, y) if y else x) for a, x in some for b, y in ((0.0, None), *more)], key=itemgetter(0))
+        own, others = [p[0] for p in parts], []
+        for loss, chain in some[1:]:
+            ids = own.copy()
+            while chain:
+                chain, at, ids[at] = chain
+            others.append((loss, b"".join(ids)))
+        return b"".join(own), tuple(others), sum(p[2] for p in parts), all(p[3] for p in parts)
 
     def _learn(self, words) -> None:
         """Search words not seen before (forget all, if there are none). Of words that the arrays hold, the queue is left to when a text's n best need it."""
         if not words:
-            self.seen, self.ids, self.losses, self.sums, self.held = {}, [], [], np.zeros((3, 0)), 0
+            self.seen, self.ids, self.others, self.sums, self.held = {}, [], [], np.zeros((3, 0)), 0
         rows, by_size = [], defaultdict(list)
         line = array("i", [self.bytes[10]]).tobytes()
         for word in words:
@@ -196,22 +205,27 @@ class Lattice:
                 else:
                     rows.append((word, ids, None, score, loss, True))
         for word in rest:
-            ids, losses, score, same = self._parts(word)
-            rows.append((word, ids, losses, score, losses[0] if losses else -math.inf, same))
+            ids, others, score, same = self._parts(word)
+            rows.append((word, ids, others, score, others[0][0] if others else -math.inf, same))
         if rows:
-            words, ids, losses, *sums = zip(*rows, strict=True)
+            words, ids, others, *sums = zip(*rows, strict=True)
             self.seen.update(zip(words, range(len(self.ids), len(self.ids) + len(rows)), strict=True))
             self.ids += ids
-            self.losses += losses
+            self.others += others
             self.sums = np.concatenate([self.sums, np.array(sums, float)], 1)
 
-    def _losses(self, word: str, at: int) -> tuple[float, ...]:
-        if self.losses[at] is None:
-            self.losses[at] = self._parts(word)[1]
-        return self.losses[at]
+    def _others(self, word: str, at: int) -> tuple[tuple[float, bytes], ...]:
+        if self.others[at] is None:
+            self.others[at] = self._parts(word)[1]
+        return self.others[at]
 
     def encode(self, texts: list[str]):
         """For each text: ids of the best segmentation as 4-byte integers, scores of the n best, and if the ids decode to the text."""
+        for ids, scores, same in self.n_best(texts):
+            yield ids[0], scores, same
+
+    def n_best(self, texts: list[str]):
+        """For each text, best first: ids of the n best segmentations as 4-byte integers, their scores, and if the best decodes to the text."""
         split = [self.chunks(t) for t in texts]
         if len(self.seen) > CACHE or self.held > LETTERS:
             self._learn(())
@@ -222,12 +236,18 @@ class Lattice:
         for words in split:
             at = np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))
             first = self.sums[1].take(at)
-            deltas = [0.0]
+            deltas = [(0.0, ())]  # loss, and the words that are not as in the best: place and ids
             # only the words with the least first loss can be in one of the n best
             for i in np.argpartition(-first, self.n)[: self.n] if len(at) > self.n else range(len(at)):
-                deltas = heapq.nlargest(self.n, (a + b for a in deltas for b in (0.0, *self._losses(words[i], at[i]))))
-            score = float(self.sums[0].take(at).sum())
-            yield b"".join(map(self.ids.__getitem__, at.tolist())), [score + d for d in deltas], bool(self.sums[2].take(at).all())
+                more = ((0.0, None), *self._others(words[i], at[i]))
+                deltas = heapq.nlargest(self.n, [(a + b, (*x, (i, y)) if y else x) for a, x in deltas for b, y in more], key=itemgetter(0))
+            score, own, found = float(self.sums[0].take(at).sum()), list(map(self.ids.__getitem__, at.tolist())), []
+            for _, swaps in deltas:
+                ids = own.copy() if swaps else own
+                for i, other in swaps:
+                    ids[i] = other
+                found.append(b"".join(ids))
+            yield found, [score + d for d, _ in deltas], bool(self.sums[2].take(at).all())
 
     def spelled(self, ids) -> str:
         """What the ids spell, with the space before the first word."""
@@ -252,14 +272,15 @@ _lattices: dict = {}
 
 
 def encode(docs: DataFrame, path: str, n_best: int = 3, with_ids: bool = True) -> DataFrame:
-    """Best segmentation of every row of docs(doc_id, text), and scores of the n best.
+    """The n best segmentations of every row of docs(doc_id, text).
 
     Returns doc_id, n_pieces, ids (null unless with_ids), ids_sha256 (of the ids as little-endian 4-byte integers),
-    score, nbest_scores (best first) and round_trip (whether decoding the ids gives the text).
+    score, nbest_scores (best first), round_trip (whether decoding the ids gives the text), nbest_ids (null unless with_ids)
+    and nbest_sha256.
     """
     model = docs.sparkSession.sparkContext.broadcast(load(path))
-    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.string(), pa.float64(), pa.list_(pa.float64()), pa.bool_())
-    names = ["doc_id", "n_pieces", "ids", "ids_sha256", "score", "nbest_scores", "round_trip"]
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.string(), pa.float64(), pa.list_(pa.float64()), pa.bool_(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.string()))
+    names = ["doc_id", "n_pieces", "ids", "ids_sha256", "score", "nbest_scores", "round_trip", "nbest_ids", "nbest_sha256"]
 
     def run(batches):
         key = (path, n_best)
@@ -268,14 +289,15 @@ def encode(docs: DataFrame, path: str, n_best: int = 3, with_ids: bool = True) -
         lattice = _lattices[key]
         for batch, texts in text_chunks(batches):
             rows = []
-            for doc_id, (raw, scores, same) in zip(batch.column("doc_id").to_pylist(), lattice.encode(texts), strict=True):
-                ids = np.frombuffer(raw, "<i4")
-                rows.append((doc_id, len(ids), ids if with_ids else None, hashlib.sha256(raw).hexdigest(), scores[0], scores, same))
+            for doc_id, (raws, scores, same) in zip(batch.column("doc_id").to_pylist(), lattice.n_best(texts), strict=True):
+                ids, digests = [np.frombuffer(x, "<i4") for x in raws] if with_ids else None, [hashlib.sha256(x).hexdigest() for x in raws]
+                rows.append((doc_id, len(raws[0]) // 4, ids and ids[0], digests[0], scores[0], scores, same, ids, digests))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(
-        run, "doc_id long, n_pieces long, ids array<int>, ids_sha256 string, score double, nbest_scores array<double>, round_trip boolean"
+        run, "doc_id long, n_pieces long, ids array<int>, ids_sha256 string, score double, nbest_scores array<double>, round_trip boolean, "
+        "nbest_ids array<array<int>>, nbest_sha256 array<string>"
     )
 
 

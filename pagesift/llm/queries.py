@@ -44,7 +44,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), with_ids=False).drop("ids")
+    return pieces.encode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), with_ids=False).drop("ids", "nbest_ids")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
