@@ -1,6 +1,5 @@
 """Shared small helpers of the training-data operators: tables, scratch storage, text batches, word hashes."""
 
-import functools
 import re
 import uuid
 
@@ -9,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagesift.functions.batches import parts
+
 #: A word, everywhere in this subpackage unless said otherwise: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 _SPACE = np.zeros(256, bool)
@@ -65,26 +66,24 @@ def row_key(df: DataFrame) -> DataFrame:
     return df.withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.hash("text", "doc_id")})
 
 
-def chunks(sizes: np.ndarray, limit: int) -> list[slice]:
-    """Consecutive slices of rows with about `limit` bytes each, one row at least."""
-    out, start, total = [], 0, 0
-    for i, n in enumerate(sizes):
-        if total and total + n > limit:
-            out.append(slice(start, i))
-            start, total = i, 0
-        total += n
-    return [*out, slice(start, len(sizes))] if len(sizes) else []
+def text_slices(batches, limit: int = 1 << 20):
+    """Arrow batches (with a column text) in slices of about `limit` bytes; what Arrow keeps of batches gone by is given back."""
+    for batch in batches:
+        for start, n in parts(batch.column("text"), limit):
+            yield batch.slice(start, n)
+        pa.default_memory_pool().release_unused()
 
 
 def text_chunks(batches, limit: int = 1 << 20):
     """Arrow batches (with a column text) as (batch slice, list of str) of about `limit` bytes; null texts are empty."""
-    for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for s in chunks(np.array([len(t or "") for t in texts]), limit):
-            yield batch.slice(s.start, s.stop - s.start), [t or "" for t in texts[s]]
+    for batch in text_slices(batches, limit):
+        yield batch, [t or "" for t in batch.column("text").to_pylist()]
+
+
+#: By base, the powers that a worker keeps, in steps of 2**18; more than 2**21 are made anew each time.
+_kept: dict = {}
 
 
-@functools.lru_cache(8)
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i in 0..n."""
     out = []
@@ -96,7 +95,12 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(base, 1 << max(10, int(n).bit_length()))
+    """base**i and base**-i modulo 2**64 for i in 0..n at least."""
+    if n > 1 << 21:
+        return _powers(base, n)
+    if base not in _kept or len(_kept[base][0]) <= n:
+        _kept[base] = _powers(base, max(1 << 18, -(-n >> 18 << 18)) if n > 1 << 14 else 1 << 14)
+    return _kept[base]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagesift.llm.common import Shelf, mixed, text_chunks, window_hashes, word_hashes
+from pagesift.llm.common import Shelf, mixed, text_chunks, text_slices, window_hashes, word_hashes
 
 SHINGLE, LEAST, SHARE, LOWEST = 5, 0.8, 20, 0.75
 #: Texts of a block, texts that meet a centre in one cell, and words of either about.
@@ -71,7 +71,7 @@ def frequent(texts: DataFrame, shelf: Shelf) -> tuple[int, np.ndarray, np.ndarra
 
     def local(batches):
         rows, keys, size = 0, [np.zeros(0, np.uint64)], 0
-        for _, part in text_chunks(batches):
+        for _, part in text_chunks(batches, 1 << 18):
             found = shingles(part)[0]
             rows, size = rows + len(part), size + len(found)
             keys.append(found)
@@ -92,7 +92,7 @@ def frequent(texts: DataFrame, shelf: Shelf) -> tuple[int, np.ndarray, np.ndarra
 
     def exact(batches):
         n = np.zeros(len(known), np.int64)
-        for _, part in text_chunks(batches):
+        for _, part in text_chunks(batches, 1 << 18):
             keys = shingles(part)[0]
             at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
             n += np.bincount(at[known[at] == keys], minlength=len(known))
@@ -193,7 +193,7 @@ def _signed(weights: Weights, bands: int, width: int):
 def _grouped(batches, keys: tuple[str, ...]):
     """Lists of rows that are next to each other and agree in the keys."""
     key, rows = None, []
-    for batch in batches:
+    for batch in text_slices(batches):
         for row in batch.to_pylist():
             if (at := tuple(row[k] for k in keys)) != key:
                 if rows:
@@ -289,7 +289,7 @@ def _star(live: DataFrame, there: DataFrame, weights: Weights, least: float, she
 
     def run(batches):
         centre, rows, size = None, [], 0
-        for batch in batches:
+        for batch in text_slices(batches):
             for row in batch.to_pylist():
                 if not row["place"] or len(rows) > BLOCK or size > 8 * WORDS:
                     if len(rows) > 1:

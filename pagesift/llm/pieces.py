@@ -30,7 +30,7 @@ from pagesift.llm.common import text_chunks
 from pagesift.llm.lattice import PieceTable
 
 #: Words held by a worker's cache at most, and their letters; beyond, it starts anew.
-CACHE, LETTERS = 400_000, 1 << 25
+CACHE, LETTERS = 200_000, 1 << 24
 SPACE = "▁"
 #: Marks within words that no text holds: for a real ▁, and for a line end.
 _PRIVATE, _LINE = "\udfff", "\udffe"
@@ -268,9 +268,6 @@ class Lattice:
         return self.spelled(ids)[1:]
 
 
-_lattices: dict = {}
-
-
 def encode(docs: DataFrame, path: str, n_best: int = 3, with_ids: bool = True) -> DataFrame:
     """The n best segmentations of every row of docs(doc_id, text).
 
@@ -283,10 +280,10 @@ def encode(docs: DataFrame, path: str, n_best: int = 3, with_ids: bool = True) -
     names = ["doc_id", "n_pieces", "ids", "ids_sha256", "score", "nbest_scores", "round_trip", "nbest_ids", "nbest_sha256"]
 
     def run(batches):
-        key = (path, n_best)
-        if key not in _lattices:
-            _lattices[key] = Lattice(model.value, n_best)
-        lattice = _lattices[key]
+        shared = model.value  # a worker lets go of it, and so of the lattice, when it turns to other work
+        if "lattice" not in shared:
+            shared["lattice"] = Lattice(shared, n_best)
+        lattice = shared["lattice"]
         for batch, texts in text_chunks(batches):
             rows = []
             for doc_id, (raws, scores, same) in zip(batch.column("doc_id").to_pylist(), lattice.n_best(texts), strict=True):

@@ -26,7 +26,7 @@ from pagesift.llm.common import text_chunks
 
 BLOCK = 64
 #: Words held by a model's cache in a worker at most (beyond, it starts anew), and their letters; longer ones are not held.
-CACHE, LONGEST = 500_000, 64
+CACHE, LONGEST = 200_000, 64
 #: Lengths of the word starts that are terms too.
 STEMS = (4, 5, 6, 7, 8)
 _LETTERS = re.compile(r"[^\W\d_]+")
